@@ -26,7 +26,7 @@ BLOCK_WORDS, LEAST_BLOCKS = 64, 128
 SHARD_SLOTS = 4096
 ROUNDS = 12
 #: Rows of a source that share one running total; slots made from one row.
-BUCKET_ROWS, CHUNK = 50_000, 4096
+BUCKET_ROWS, CHUNK = 10_000, 4096
 
 
 def permute(index: Column, length: Column, *key: Column, seed: int) -> Column:
@@ -91,8 +91,9 @@ def lay_out(docs: DataFrame, weights: tuple[int, ...], most: int, block_words: i
 
 def slot_plan(sources: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """One row for each slot of the mix: shard, slot, s_no, pass_no and block (index in the source)."""
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few small rows become many: a given number isn't coalesced
     df = sources.filter("n_slots > 0").select("s_no", "n_slots", "n_blocks", "first_slot", "all_slots")
-    df = df.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_slots - 1) div {CHUNK}")))).repartition("s_no", "chunk")
+    df = df.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_slots - 1) div {CHUNK}")))).repartition(tasks, "s_no", "chunk")
     k = F.sequence(F.col("chunk") * CHUNK, F.least(F.col("n_slots"), (F.col("chunk") + 1) * CHUNK) - 1)
     df = df.withColumn("k", F.explode(k)).withColumn("pass_no", F.expr("k div n_blocks"))
     df = df.withColumn("block", permute(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.col("s_no"), F.col("pass_no"), seed=seed))
@@ -120,7 +121,7 @@ def mix_sources(
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     placed, sources = lay_out(docs, weights, most, block_words, scratch)
     drawn = slot_plan(sources, seed).groupBy("s_no", "block").agg(F.count("*").alias("times"))
-    parts = document_blocks(placed).join(drawn, ["s_no", "block"], "left")
+    parts = document_blocks(placed).join(drawn.hint("merge"), ["s_no", "block"], "left")  # both sides grow with the corpus
     out = ["doc_id", "size", "source_size", "target"]
     taken = parts.groupBy("s_no", "start", *out).agg(F.sum(F.col("n") * F.coalesce("times", F.lit(0).cast("long"))).alias("taken"))
     none = placed.filter("size = 0").select(*out, F.lit(0).cast("long").alias("taken"))
@@ -134,13 +135,13 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3,
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixture")
     placed, sources = lay_out(docs, weights, most, block_words, scratch)
-    parts = document_blocks(placed).join(slot_plan(sources, seed), ["s_no", "block"])
+    parts = document_blocks(placed).join(slot_plan(sources, seed).hint("merge"), ["s_no", "block"])
     # A row is told from others with its id by its text and source, and equal rows by number.
     same = ["_id", "text_hash", "source"]
     number = F.row_number().over(Window.partitionBy(*same).orderBy("start"))
     placed = placed.filter("size > 0").withColumn("_id", F.coalesce("doc_id", "text_hash")).withColumn("_no", number)
     ranges = parts.groupBy("s_no", "start", "pass_no").agg(F.array_sort(F.collect_list(F.struct("from_word", "n"))).alias("_ranges"), F.sum("n").alias("_n"))
-    ranges = scratch.save(placed.select(*same, "_no", "s_no", "start", "size").join(ranges, ["s_no", "start"]).drop("s_no", "start"), "ranges")
+    ranges = scratch.save(placed.select(*same, "_no", "s_no", "start", "size").join(ranges.hint("merge"), ["s_no", "start"]).drop("s_no", "start"), "ranges")
     whole = docs.select(
         F.struct(*(F.col(c) for c in docs.columns)).alias("_doc"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))).alias("_id"),
         F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("source").cast("string").alias("_source"),
