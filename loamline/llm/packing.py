@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .tokenization import WordIds
+from .tokenization import word_ids
 
 #: Pieces that one group holds on average; groups whose open bins are packed together.
 GROUP_PIECES, GROUPS_TOGETHER = 40_000, 256
@@ -130,7 +130,7 @@ def _pieces(vocab: str, cap: int, end_id: int):
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(vocab)
+        words = word_ids(vocab)
         for b in batches:
             rows = []
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
