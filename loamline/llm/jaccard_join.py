@@ -11,10 +11,10 @@ subsets cost no more than its lists.
 The order puts shingles of often-used cells of a count sketch last, so that a passage that many
 documents share is rarely listed. The sketch only sets the order; any order gives the same links.
 
-Equal sets are one node from the start. A list is first joined as a star around its smallest set; what
-these verified links connect needs no further pairs, and a second pass takes all pairs between
-different components. So a group of n near copies costs about n pairs, not n squared, and no component
-is missed. Candidate pairs pass a parity bitmap test (an upper bound, so nothing is lost), and the rest are
+Equal sets are one node from the start. A list is first joined in two linear passes, of each set with its list's first and
+the two before it, in order of size and in a random order; what these verified links connect needs no further
+pairs, and a last pass takes all pairs between different components. So a group of n near copies costs about n pairs, not n
+squared, and no component is missed. Candidate pairs pass a parity bitmap test (an upper bound, so nothing is lost), and the rest are
 decided by exact intersections of the hashed sets.
 """
 
@@ -173,26 +173,35 @@ def _pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
 
 
+#: A set is paired with so many sets before it in its list.
+CHAIN = 2
+
+
 def _stars(percent: int):
-    """Rows (token, n, node, ...) sorted so -> pairs of each set with the smallest of its list, or, beyond its sizes, with the one before."""
+    """Rows (token, n, node, comp) in order of token -> pairs of each set with the first of its list and the ``CHAIN`` before it, if in reach of size and of other components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for b in batches:
-            tok, n, node = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if not len(tok):
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            if not len(cols[0]):
                 continue
             if last is not None:
-                tok, n, node = np.concatenate((last[0], tok)), np.concatenate((last[1], n)), np.concatenate((last[2], node))
-            first = np.concatenate(([True], tok[1:] != tok[:-1]))
-            start = np.maximum.accumulate(np.where(first, np.arange(len(tok)), 0))
-            near = ~first & (100 * n[start] >= percent * n)
-            prev = np.arange(len(tok)) - 1
-            chain = ~first & ~near & (100 * n[np.maximum(prev, 0)] >= percent * n)
-            yield _pairs_batch(np.concatenate((node[near], node[chain])), np.concatenate((node[start[near]], node[prev[chain]])))
-            # Carry the open list's head and its last member into the next batch.
-            carry = sorted({int(start[-1]), len(tok) - 1})
-            last = (tok[carry], n[carry], node[carry])
+                cols = [np.concatenate(x) for x in zip(last, cols, strict=True)]
+            tok, n, node, comp = cols
+            i = np.arange(len(tok))
+            start = np.maximum.accumulate(np.where(np.concatenate(([True], tok[1:] != tok[:-1])), i, 0))
+            left, right = [], []
+            for other in (start, *(i - k for k in range(1, CHAIN + 1))):
+                at = np.maximum(other, 0)
+                lo, hi = np.minimum(n, n[at]), np.maximum(n, n[at])
+                good = (other >= start) & (at != i) & (comp[at] != comp) & (100 * lo >= percent * hi)
+                left.append(node[good])
+                right.append(node[at[good]])
+            yield _pairs_batch(np.concatenate(left), np.concatenate(right))
+            # The open list's first and last sets go on into the next batch.
+            carry = sorted({int(start[-1]), *(k for k in range(len(tok) - CHAIN, len(tok)) if k >= start[-1])})
+            last = [x[carry] for x in cols]
 
     return run
 
@@ -216,21 +225,56 @@ def _subset_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         last = [x[start[-1] : start[-1] + 1] for x in (key, n, node, least)]
 
 
+_POP = np.array([bin(i).count("1") for i in range(256)], np.uint16)
+
+#: Bytes of the folded parity bitmap that list rows carry in the second pass.
+FOLD = 256
+#: Smallest tokens of a set's lists that they carry too.
+LOW = 8
+
+
+def _narrow(sig: bytes, width: int) -> bytes:
+    """A parity bitmap of ``width`` bytes, or as it is if not wider."""
+    x = np.frombuffer(sig, np.uint8)
+    while len(x) > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_narrow(s, FOLD) for s in b.column(1).to_pylist()], pa.binary())], names=["node", "fold"])
+
+
 def _cross(percent: int):
-    """Rows (token, n, node, comp) sorted so, of one list after another -> all pairs of different components in reach of size."""
+    """Rows (token, n, node, comp, fold, low) sorted so -> all pairs of a list in reach of size, of different components, whose bitmaps allow enough overlap.
+
+    ``low`` has the smallest tokens of the set's lists. A pair for which these hold a smaller common one comes out of that list, so it is left out here.
+    """
 
-    def pairs(n: np.ndarray, node: np.ndarray, comp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(token: np.ndarray, n: np.ndarray, node: np.ndarray, comp: np.ndarray, fold: list[bytes], low: np.ndarray) -> Iterator[pa.RecordBatch]:
         if (comp == comp[0]).all():
             return
         reach = np.searchsorted(n, 100 * n // percent, side="right")
+        width = np.array([len(x) for x in fold])
+        bits = {w: np.stack([np.frombuffer(_narrow(x, w), np.uint8) if len(x) >= w else np.zeros(w, np.uint8) for x in fold]) for w in set(width.tolist())}
         a, b, size = [], [], 0
         for i in range(len(n) - 1):
             j = np.arange(i + 1, reach[i])
             j = j[comp[j] != comp[i]]
-            if len(j):
-                a.append(np.full(len(j), node[i], np.int64))
-                b.append(node[j])
-                size += len(j)
+            for lo in range(0, len(j), 20_000):
+                # Sets of a list are sorted by size, so the first's bitmap is no wider than the others'.
+                k, w = j[lo : lo + 20_000], int(width[i])
+                apart = _POP[bits[w][k] ^ bits[w][i]].sum(axis=1)
+                total = n[i] + n[k]
+                k = k[apart <= total - 2 * (-(-percent * total // (100 + percent)))]
+                mine = low[i][low[i] < token[0]]
+                if len(k) and len(mine):
+                    k = k[~(low[k][:, :, None] == mine[None, None, :]).any(axis=(1, 2))]
+                if len(k):
+                    a.append(np.full(len(k), node[i], np.int64))
+                    b.append(node[k])
+                    size += len(k)
             if size > 200_000:
                 yield _pairs_batch(np.concatenate(a), np.concatenate(b))
                 a, b, size = [], [], 0
@@ -239,30 +283,30 @@ def _cross(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        folds: list[bytes] = []
+
+        def lists(allc: np.ndarray, own: list[bytes]) -> Iterator[pa.RecordBatch]:
+            allc, low = allc[:4], allc[4:].T
+            edges = np.concatenate(([0], np.flatnonzero(allc[0, 1:] != allc[0, :-1]) + 1, [allc.shape[1]]))
+            for x, y in itertools.pairwise(edges.tolist()):
+                if y - x > 1:
+                    yield from pairs(*allc[:, x:y], own[x:y], low[x:y])
+
         for b in batches:
-            cols = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+            cols = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, *range(5, 5 + LOW))])
             held.append(cols)
+            folds += b.column(4).to_pylist()
             if cols.shape[1] and cols[0, -1] != held[0][0, 0]:
                 allc = np.concatenate(held, axis=1)
-                cut = np.flatnonzero(allc[0, 1:] != allc[0, :-1])[-1] + 1
-                edges = np.concatenate(([0], np.flatnonzero(allc[0, 1:cut] != allc[0, : cut - 1]) + 1, [cut]))
-                for x, y in itertools.pairwise(edges.tolist()):
-                    if y - x > 1:
-                        yield from pairs(*allc[1:, x:y])
-                held = [allc[:, cut:]]
+                cut = int(np.flatnonzero(allc[0, 1:] != allc[0, :-1])[-1]) + 1
+                yield from lists(allc[:, :cut], folds[:cut])
+                held, folds = [allc[:, cut:]], folds[cut:]
         if held:
-            allc = np.concatenate(held, axis=1)
-            edges = np.concatenate(([0], np.flatnonzero(allc[0, 1:] != allc[0, :-1]) + 1, [allc.shape[1]]))
-            for x, y in itertools.pairwise(edges.tolist()):
-                if y - x > 1:
-                    yield from pairs(*allc[1:, x:y])
+            yield from lists(np.concatenate(held, axis=1), folds)
 
     return run
 
 
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint16)
-
-
 def _plausible(percent: int):
     """(a, b, na, siga, nb, sigb) -> pairs whose parity bitmaps allow enough overlap."""
 
@@ -271,11 +315,8 @@ def _plausible(percent: int):
             a, b, na, sa, nb, sb = (t.column(i).to_pylist() for i in range(6))
             keep = []
             for i in range(len(a)):
-                x, y = np.frombuffer(sa[i], np.uint8), np.frombuffer(sb[i], np.uint8)
-                while len(x) > len(y):
-                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-                while len(y) > len(x):
-                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                width = min(len(sa[i]), len(sb[i]))
+                x, y = (np.frombuffer(_narrow(z, width), np.uint8) for z in (sa[i], sb[i]))
                 most = na[i] + nb[i] - 2 * min_overlap(na[i], nb[i], percent)
                 keep.append(int(_POP[x ^ y].sum()) <= most)
             m = np.array(keep, bool)
@@ -344,10 +385,12 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Sc
     subsets = raw.filter("kind = 2").select("token", "n", "node", "least").repartition("token").distinct()
     light = subsets.sortWithinPartitions("token", "n", "node").mapInArrow(_subset_stars, "a long, b long").distinct()
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        na, nb = (nodes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("sig").alias("s" + x)) for x in "ab")
-        likely = pairs.join(na, "a").join(nb, "b").select("a", "b", "na", "sa", "nb", "sb")
-        likely = scratch.save(likely.mapInArrow(_plausible(percent), "a long, b long"), "likely")
+    def verified(pairs: DataFrame, screened: bool = False) -> DataFrame:
+        likely = pairs
+        if not screened:
+            na, nb = (nodes.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.col("sig").alias("s" + x)) for x in "ab")
+            likely = pairs.join(na, "a").join(nb, "b").select("a", "b", "na", "sa", "nb", "sb")
+            likely = scratch.save(likely.mapInArrow(_plausible(percent), "a long, b long"), "likely")
         needed = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
         holders = digests.groupBy("node").agg(F.min("ref").alias("ref")).join(needed, "node", "left_semi")
         texts = src.join(holders, "ref").select("node", "text")
@@ -355,18 +398,34 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Sc
         sa, sb = (sets.select(F.col("node").alias(x), F.col("items").alias("i" + x)) for x in "ab")
         return scratch.save(likely.join(sa, "a").join(sb, "b").select("a", "b", "ia", "ib").mapInArrow(_decide(percent), "a long, b long"), "links")
 
-    listed = lists.repartition("token").sortWithinPartitions("token", "n", "node")
-    stars = scratch.save(listed.mapInArrow(_stars(percent), "a long, b long").distinct(), "stars")
-    links = scratch.save(verified(stars).unionByName(light), "links")
-    comp = scratch.save(components(links, scratch), "comp")
+    def in_lists(rows: DataFrame, order: str) -> DataFrame:
+        return rows.repartition("token").withColumn("_o", F.expr(order)).sortWithinPartitions("token", "_o", "node").drop("_o")
+
+    def between(comp: DataFrame) -> DataFrame:
+        """Rows of the lists that still hold several components."""
+        rows = lists.join(comp, "node", "left").select("token", "n", "node", F.coalesce("comp", "node").alias("comp"))
+        several = "min(comp) over (partition by token) <> max(comp) over (partition by token)"
+        return rows.withColumn("_m", F.expr(several)).filter("_m").drop("_m")
 
-    tagged = lists.join(comp, "node", "left").select("token", "n", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = "min(comp) over (partition by token) <> max(comp) over (partition by token)"
-    tagged = tagged.withColumn("_m", F.expr(mixed)).filter("_m").drop("_m")
-    cross = tagged.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_cross(percent), "a long, b long").distinct()
-    cross = scratch.save(cross.join(stars, ["a", "b"], "left_anti"), "cross")
+    # Linear passes: neighbours by size, then neighbours in a random order. What they link needs no more pairs.
+    tried = scratch.save(in_lists(lists.withColumn("comp", F.col("node")), "n").mapInArrow(_stars(percent), "a long, b long").distinct(), "stars")
+    links = scratch.save(verified(tried).unionByName(light), "links")
+    comp = scratch.save(components(links, scratch), "comp")
+    more = in_lists(between(comp), "xxhash64(node)").mapInArrow(_stars(percent), "a long, b long").distinct()
+    more = scratch.save(more.join(tried, ["a", "b"], "left_anti"), "stars")
+    if not more.isEmpty():
+        links = scratch.save(links.unionByName(verified(more)), "links")
+        comp = scratch.save(components(links, scratch), "comp")
+    # All pairs that are left.
+    folds = nodes.select("node", "sig").mapInArrow(_folded, "node long, fold binary")
+    mixed = scratch.save(between(comp), "mixed")
+    low = mixed.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("token")), 1, LOW).alias("_low"))
+    lows = [F.coalesce(F.get("_low", F.lit(i)), F.lit(2**63 - 1)).alias(f"low{i}") for i in range(LOW)]
+    rows = mixed.join(folds, "node").join(low, "node").select("token", "n", "node", "comp", "fold", *lows)
+    cross = in_lists(rows, "n").mapInArrow(_cross(percent), "a long, b long").distinct()
+    cross = scratch.save(cross.join(tried.unionByName(more), ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
-        links = links.unionByName(verified(cross))
+        links = links.unionByName(verified(cross, screened=True))
         comp = scratch.save(components(links, scratch), "comp")
 
     named = digests.groupBy("node").agg(F.min("doc_id").alias("least")).join(comp, "node", "left")
@@ -376,3 +435,14 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Sc
     return digests.join(named, "node").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("label")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, without the members of each component but the one with the smallest doc_id.
+
+    Rows that share a doc_id stay or go together: they stay if one of them is the first of its component. Rows without a doc_id stay.
+    """
+    comp = ngram_components(docs, k, percent).filter("doc_id is not null")
+    gone = comp.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("_gone"))
+    gone = gone.filter("_gone").select(F.col("doc_id").alias("_gone_id"))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")
