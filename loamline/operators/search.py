@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
+from ..functions.text import document_subquery, heuristic_route
+from ..functions.vectors import cosine, dot, normalised
+from ..scratch import Scratch
 from . import fulltext
 from .documents import rrf, top_k, visible
 
+#: Queries of one pass of a batch search: 4,096 vectors of 1,024 doubles are 32 MB.
+QUERY_BLOCK = 4096
+
 
 def hybrid(chunks: DataFrame, index: DataFrame, query: str, vector: list[float], caller: list[str], k: int = 8, candidates: int = 40, rrf_k: int = 60) -> DataFrame:
     """The best ``k`` of ``chunks`` (chunk_id, allowed_groups, embedding, ...) with score, similarity and both ranks; ties by chunk_id.
@@ -26,13 +34,46 @@ def hybrid(chunks: DataFrame, index: DataFrame, query: str, vector: list[float],
     return seen.join(F.broadcast(fused), "chunk_id").withColumn("similarity", similarity).orderBy(F.col("score").desc(), "chunk_id").limit(k)
 
 
-def batch_vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, similarity, rank): the nearest ``k`` of all ``vectors`` (id, embedding) for each of a bounded set of ``queries`` (query_id, query).
+def batch_vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK, digits: int | None = None) -> DataFrame:
+    """(query_id, id, similarity, rank): the nearest ``k`` of all ``vectors`` (id, embedding) for each of ``queries`` (query_id, query), exactly.
+
+    A pass takes about ``block`` queries to every task of the vectors, so what is broadcast has that bound however many queries there are;
+    a task keeps its best k for each query of the pass. Null and zero vectors aren't found and find nothing. Similarities are
+    rounded to ``digits`` before they are ordered, if given; ties go to the least id.
+    """
+    spark = vectors.sparkSession
+    unit = vectors.select("id", normalised(F.col("embedding")).alias("_v")).filter("_v is not null")
+    asked = queries.select("query_id", normalised(F.col("query")).alias("_q")).filter("_q is not null")
+    passes = max(1, math.ceil(queries.count() / block))
+    score = dot(F.col("_v"), F.col("_q")) if digits is None else F.round(dot(F.col("_v"), F.col("_q")), digits)
+
+    def one_pass(part: DataFrame) -> DataFrame:
+        near = unit.join(F.broadcast(part)).select("query_id", F.struct((-score).alias("d"), F.col("id").alias("id")).alias("c"))
+        best = near.groupBy("query_id", F.spark_partition_id()).agg(F.slice(F.array_sort(F.collect_list("c")), 1, k).alias("b"))
+        best = best.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("b"))), 1, k).alias("b"))
+        out = best.select("query_id", F.posexplode("b").alias("p", "b"))
+        return out.select("query_id", F.col("b.id").alias("id"), (-F.col("b.d")).alias("similarity"), (F.col("p") + 1).alias("rank"))
+
+    if passes == 1:
+        return one_pass(asked)
+    scratch = Scratch(spark, "batch-search")
+    asked = scratch.save(asked.withColumn("_pass", F.pmod(F.xxhash64("query_id"), F.lit(passes))), "queries")
+    done = [scratch.save(one_pass(asked.filter(F.col("_pass") == i).drop("_pass")), "found") for i in range(passes)]
+    return spark.read.schema(done[0].schema).parquet(*(d._loamline_path for d in done))
+
+
+def evaluate_retrieval(cases: DataFrame, chunks: DataFrame, index: DataFrame, embed: Callable[[str], list[float]], k: int = 8) -> DataFrame:
+    """(case_id, rank, doc_id, route) of the best chunks for each of a golden set's ``cases`` (case_id, question, groups), without a model.
 
-    Queries are joined to blocks of vectors; each task keeps k candidates of a query, so what is shuffled is k rows a task and query.
+    The route is that of the wording; hybrid questions search with their document clauses alone. A golden set is some hundred questions
+    written by hand, so they are looped over; each search is one distributed plan.
     """
-    near = vectors.join(F.broadcast(queries)).withColumn("similarity", cosine(F.col("embedding"), F.col("query")))
-    order = F.struct((-F.col("similarity")).alias("d"), F.col("id").alias("id"))
-    best = near.filter("similarity is not null").groupBy("query_id", F.spark_partition_id()).agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("b"))
-    best = best.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("b"))), 1, k).alias("b"))
-    return best.select("query_id", F.posexplode("b").alias("p", "b")).select("query_id", F.col("b.id").alias("id"), (-F.col("b.d")).alias("similarity"), (F.col("p") + 1).alias("rank"))
+    routed = cases.withColumn("route", heuristic_route(F.col("question")))
+    asked = routed.withColumn("wanted", F.when(F.col("route") == "hybrid", document_subquery(F.col("question"))).otherwise(F.col("question")))
+    spark, rows = cases.sparkSession, []
+    for c in asked.toLocalIterator():
+        if c["route"] == "sql":
+            continue
+        hits = hybrid(chunks, index, c["wanted"], embed(c["wanted"]), list(c["groups"] or []), k).select("doc_id").collect()  # k rows
+        rows += [(c["case_id"], n, h["doc_id"], c["route"]) for n, h in enumerate(hits, 1)]
+    return spark.createDataFrame(rows, "case_id string, rank int, doc_id string, route string")

@@ -6,6 +6,7 @@ expressions in scope. The checked DataFrame runs in a child session that holds t
 
 from __future__ import annotations
 
+import re
 import threading
 from dataclasses import dataclass
 
@@ -30,6 +31,10 @@ EXPRESSIONS = frozenset(
 )
 
 
+#: The schema's name before a view; strings, quoted names and comments are matched first and stay as they are.
+_QUALIFIER = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/)|\banalytics\s*\.\s*""", re.S | re.I)
+
+
 class Rejected(ValueError):
     pass
 
@@ -119,10 +124,23 @@ class Caller:
     def _moved(self, df: DataFrame):
         return self.session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.session._jsparkSession, df._jdf.queryExecution().analyzed())
 
+    def query(self, sql: str) -> DataFrame:
+        """A checked statement as a DataFrame of at most the cap's rows."""
+        return self._checked(sql).limit(self.max_rows)
+
+    def describe(self) -> str:
+        """The caller's views and their columns in words, as a model is told of them."""
+        return "\n".join(f"{v}({', '.join(f'{f.name} {f.dataType.simpleString()}' for f in self.session.table(v).schema)})" for v in self.views)
+
+    def _checked(self, sql: str) -> DataFrame:
+        validate(self.session, sql, self.views)
+        plain = _QUALIFIER.sub(lambda m: m[1] or "", sql)
+        validate(self.session, plain, self.views)
+        return self.session.sql(plain)
+
     def run(self, sql: str) -> Result:
         """Runs a checked statement, with one row more than the cap to tell whether rows are left; stops at the timeout."""
-        validate(self.session, sql, self.views)
-        df = self.session.sql(sql.replace("analytics.", ""))
+        df = self._checked(sql)
         sc, tag = self.session.sparkContext, f"caller-{id(self)}"
         sc.addJobTag(tag)
         timer = threading.Timer(self.timeout_s, lambda: sc.cancelJobsWithTag(tag))

@@ -13,21 +13,8 @@ from ..functions.vectors import cosine
 from ..operators import documents as D
 from ..operators import evaluation, fulltext
 from ..operators.search import batch_vector_top_k
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with SQL for the same rows where SQL can express it."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+from . import lake_queries, record_queries  # noqa: F401  they register queries
+from .catalog import ORACLES, QUERIES, query, table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -38,10 +25,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 #: Groups of a document by the last digit of its source, in Spark and in SQL.
 GROUPS_SQL = "CASE WHEN right(source, 1) IN ('0','1','2') THEN ['all-staff','sales'] WHEN right(source, 1) IN ('3','4') THEN ['hr'] WHEN right(source, 1) = '5' THEN [] ELSE ['all-staff'] END"
 
@@ -181,12 +164,12 @@ def rrf_fusion(spark, sf_dir):
 
 
 @query("""SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity
-FROM embeddings v, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 16) q
-QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) <= 8""")
+FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, v.vec_id) <= 8""")
 def batch_retrieval(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    q = v.orderBy("vec_id").limit(16).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return batch_vector_top_k(v.select(F.col("vec_id").alias("id"), "embedding"), q, 8).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return batch_vector_top_k(v.select(F.col("vec_id").alias("id"), "embedding"), q, 8, digits=6).select("query_id", "id", "similarity")
 
 
 @query(r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN 'email' END,

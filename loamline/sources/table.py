@@ -105,12 +105,12 @@ class VersionedTable:
         """Insert-only merge: rows whose key is new; of repeated keys one row."""
         return self.merge(source.dropDuplicates([key]), key, update_if=F.lit(False), **commit)
 
-    def replace_where(self, rows: DataFrame, key: str, unit: str, units: DataFrame) -> dict[str, int]:
-        """Replaces all rows of the given ``units`` by ``rows`` in one commit."""
+    def replace_where(self, rows: DataFrame, key: str, unit: str, units: DataFrame, ignore: tuple[str, ...] = ()) -> dict[str, int]:
+        """Replaces all rows of the given ``units`` by ``rows`` in one commit. Rows that differ in columns to ``ignore`` alone stay as they are."""
         names = self.schema.names
         gone = self.read().join(units.select(unit).distinct(), unit, "left_semi").join(rows.select(key), key, "left_anti")
         both = rows.select(*names, F.lit(False).alias("_gone")).unionByName(gone.select(*names, F.lit(True).alias("_gone")))
-        changed = ~F.struct(*(F.col(f"t.{c}") for c in names)).eqNullSafe(F.struct(*(F.col(f"s.{c}") for c in names)))
+        changed = ~F.struct(*(F.col(f"t.{c}") for c in names if c not in ignore)).eqNullSafe(F.struct(*(F.col(f"s.{c}") for c in names if c not in ignore)))
         return self._apply(merge_plan(self.read(), both, key, changed, F.col("s._gone")))
 
     def keep_only(self, keep: DataFrame, key: str) -> dict[str, int]:

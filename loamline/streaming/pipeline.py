@@ -45,13 +45,51 @@ def manifests(events: DataFrame) -> DataFrame:
     got = lambda k: F.try_element_at("metadata", F.lit(k))
     df = df.withColumn("event_type", kind).withColumns({
         "event_id": X.event_id(F.col("bucket"), F.col("key"), version, F.col("event_type")), "sort_key": X.sort_key(F.col("sequencer"), F.col("event_time")),
-        "doc_id": F.coalesce(F.nullif(got("doc-id"), F.lit("")), F.col("key")), "source_type": got("source-type"), "title": got("title"), "owner": got("owner"),
+        "doc_id": got("doc-id"), "source_type": got("source-type"), "title": got("title"), "owner": got("owner"),
         "allowed_groups": X.csv_set(got("allowed-groups")), "source_updated_at": got("updated-at"),
     })
-    df = df.withColumn("event_type", kind)
+    absent = [c for c in ("etag", "content_type") if c not in events.columns]
+    df = df.withColumns({c: F.lit(None).cast("string") for c in absent}).withColumns({
+        "manifest_version": F.lit(contracts.MANIFEST_VERSION), "etag": F.trim(F.col("etag"), F.lit('"')), "registered_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"),
+    })
     return df.select(*T.StructType.fromDDL(contracts.MANIFEST).names)
 
 
+def listed(listing: DataFrame) -> DataFrame:
+    """Manifests of a listing's latest versions and delete markers. They have the ids of the events they stand for, so a backfill may be run again."""
+    latest = listing.filter("is_latest")
+    name = F.when(F.col("is_delete_marker"), "ObjectRemoved:DeleteMarkerCreated").otherwise("ObjectCreated:Put")
+    return manifests(_as_events(latest.withColumn("event_name", name)))
+
+
+def _as_events(versions: DataFrame) -> DataFrame:
+    encoded = F.url_encode("key")  # keys of events are encoded, those of listings aren't
+    return versions.withColumns({"key": encoded, "sequencer": F.lit(None).cast("string"), "event_time": X.utc_timestamp(F.col("last_modified"))})
+
+
+def registered(events: DataFrame, listing: DataFrame) -> DataFrame:
+    """Manifests of ``events``, looked up in a ``listing`` of the versions that there are.
+
+    A created object that is gone by now is left out: a later event tells of it. Where one version was purged but the object is still there, its
+    current version is registered again. Other removals become deletes. Metadata of created objects come from the listing.
+    """
+    versions = listing.filter("not is_delete_marker").select(*(F.col(c).alias(f"_l_{c}") for c in listing.columns))
+    keyed = events.withColumn("_key", F.url_decode("key"))
+    same = (F.col("bucket") == F.col("_l_bucket")) & (F.col("_key") == F.col("_l_key"))
+    given = F.nullif("version_id", F.lit(""))
+    created = F.col("event_name").startswith("ObjectCreated")
+    purged = (F.col("event_name") == "ObjectRemoved:Delete") & given.isNotNull()
+    wanted = F.when(created & given.isNotNull(), F.col("_l_version_id") == given).otherwise(F.col("_l_is_latest")) & (created | purged)
+    found = keyed.join(versions, same & wanted, "left")
+    there = F.col("_l_key").isNotNull()
+    new = found.filter(created & there).withColumns({"metadata": F.col("_l_metadata"), "content_type": F.col("_l_content_type")})
+    again = found.filter(purged & there).select(*(F.col(f"_l_{c}").alias(c) for c in listing.columns), F.lit("ObjectCreated:Put").alias("event_name"))
+    gone = found.filter(~created & ~(purged & there)).withColumn("metadata", F.lit(None).cast("map<string,string>"))
+    names = events.columns
+    out = manifests(new.select(*names, *(["content_type"] if "content_type" not in names else [])))
+    return out.unionByName(manifests(gone.select(*names))).unionByName(manifests(_as_events(again))).dropDuplicates(["event_id"])
+
+
 def write_manifests(df: DataFrame, path: str) -> None:
     df.withColumn("dt", F.substring("event_time", 1, 10)).write.mode("append").partitionBy("dt").json(path)
 
@@ -63,7 +101,7 @@ def with_content(df: DataFrame, objects: DataFrame) -> DataFrame:
     upsert, size = F.col("event_type") == "upsert", F.octet_length("_c")
     error = F.when(upsert & F.col("_c").isNull(), "missing: NoSuchVersion").when(upsert & (size > MAX_OBJECT_BYTES), F.concat(F.lit("too_large: "), size, F.lit(" bytes")))
     df = df.withColumn("fetch_error", error).withColumn("content", F.when(upsert & F.col("fetch_error").isNull(), F.col("_c")))
-    return df.withColumn("content_sha256", F.when(F.col("content").isNotNull(), F.sha2("content", 256))).drop("_k", "_v", "_c")
+    return df.withColumn("content_sha256", F.when(F.col("content").isNotNull(), F.sha2("content", 256))).withColumn("ingested_at", F.current_timestamp()).drop("_k", "_v", "_c")
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,15 +109,17 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for key, data, error in zip(b.column("key").to_pylist(), b.column("content").to_pylist(), b.column("fetch_error").to_pylist(), strict=True):
             title, found = None, []
-            if data is not None and error is None:
+            if data is None or error is not None:
+                error = f"fetch: {error or 'no content'}"
+            else:
                 try:
                     title, found = parse(key, data)
                 except ParseError as e:
-                    error = str(e)
+                    error = f"parse: {e}"
             headed = [s for s in found if s["heading"]] or found
             norm = "\n".join(" ".join(f"{s['heading'] or ''}\n{s['text']}".split()).lower() for s in headed)
             text = "\n".join(x for s in found for x in (s["heading"], s["text"]) if x)
-            rows.append((title, found, text, hashlib.sha256(norm.encode()).hexdigest() if found else None, error))
+            rows.append((title, found, text if found else None, hashlib.sha256(norm.encode()).hexdigest() if found else None, error))
         cols = list(zip(*rows, strict=True)) or [()] * 5
         section = pa.list_(pa.struct([("heading", pa.string()), ("text", pa.string())]))
         kinds = (pa.string(), section, pa.string(), pa.string(), pa.string())
@@ -95,8 +135,10 @@ def silver_rows(bronze: DataFrame) -> DataFrame:
     )
     df = latest.drop("content").join(parsed, ["key", "event_id"])
     gone = F.col("event_type") == "delete"
-    title = F.coalesce(F.nullif("title", F.lit("")), F.nullif("_title", F.lit("")), X.basename(F.col("key")))
+    own = F.nullif("title", F.lit(""))
+    title = F.when(F.col("fingerprint").isNull(), own).otherwise(F.coalesce(own, F.nullif("_title", F.lit("")), X.basename(F.col("key"))))
     df = df.withColumns({"is_deleted": gone, "title": title, "parse_error": F.when(~gone, F.col("parse_error")), "pii_types": X.detect_pii(F.coalesce("text", F.lit("")))})
+    df = df.withColumns({"doc_id": F.coalesce(F.nullif("doc_id", F.lit("")), F.col("key")), "parser_version": F.lit(contracts.PARSER_VERSION), "updated_at": F.current_timestamp()})
     return df.withColumns({"canonical_key": F.col("key"), "is_duplicate": F.lit(False)}).select(*T.StructType.fromDDL(contracts.SILVER).names)
 
 
@@ -107,26 +149,30 @@ def canonical_updates(silver: DataFrame, touched: DataFrame) -> DataFrame:
     order = Window.partitionBy("fingerprint", F.array_join(F.array_sort("allowed_groups"), ","), live)
     first = F.min(F.struct(F.col("source_updated_at").isNull(), "source_updated_at", F.length("key"), F.col("key").alias("k"))).over(order)["k"]
     df = df.withColumn("canonical_key", F.when(live, first).otherwise(F.col("key")))
-    return df.withColumn("is_duplicate", F.col("canonical_key") != F.col("key")).select(*T.StructType.fromDDL(contracts.SILVER).names)
+    return df.withColumns({"is_duplicate": F.col("canonical_key") != F.col("key"), "updated_at": F.current_timestamp()}).select(*T.StructType.fromDDL(contracts.SILVER).names)
 
 
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for key, title, found in zip(b.column("key").to_pylist(), b.column("title").to_pylist(), b.column("sections").to_pylist(), strict=True):
-            rows += [(key, c["ordinal"], c["heading"], content(title, c["heading"], c["text"])) for c in chunk_sections(found or [])]
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "ordinal", "heading", "content"])
+            rows += [(key, c["ordinal"], c["heading"], content(title, c["heading"], c["text"]), c["text"]) for c in chunk_sections(found or [])]
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "ordinal", "heading", "content", "_text"])
 
 
 def gold_rows(silver: DataFrame) -> DataFrame:
     """Chunks of live canonical documents."""
     live = silver.filter("not is_deleted and parse_error is null and not is_duplicate")
-    chunks = live.select("key", "title", "sections").mapInArrow(_chunk, "key string, ordinal int, heading string, content string")
-    df = chunks.join(live.select("key", "doc_id", "title", "source_type", "owner", "allowed_groups", "source_updated_at", "pii_types"), "key")
-    df = df.withColumns({"chunk_id": F.format_string("%s:%04d", "doc_id", "ordinal"), "content_hash": F.sha2("content", 256)})
-    names = [c for c in T.StructType.fromDDL(contracts.GOLD).names if c != "row_hash"]
+    chunks = live.select("key", "title", "sections").mapInArrow(_chunk, "key string, ordinal int, heading string, content string, _text string")
+    df = chunks.join(live.select("key", "bucket", "doc_id", "title", "source_type", "owner", "allowed_groups", "source_updated_at", "version_id", "content_sha256", "parser_version"), "key")
+    df = df.withColumns({"chunk_id": F.format_string("%s:%04d", "doc_id", "ordinal"), "content_hash": F.sha2("content", 256), "allowed_groups": F.array_sort("allowed_groups")})
+    df = df.withColumns({
+        "source_uri": F.concat(F.lit("s3://"), "bucket", F.lit("/"), "key"), "doc_version": F.coalesce(F.nullif("version_id", F.lit("")), F.col("content_sha256")),
+        "pii_types": X.detect_pii(F.col("_text")), "chunker_version": F.lit(contracts.CHUNKER_VERSION), "updated_at": F.current_timestamp(),
+    })
+    names = [c for c in T.StructType.fromDDL(contracts.GOLD).names if c not in ("row_hash", *contracts.AUDIT)]
     whole = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
     return df.withColumn("row_hash", F.sha2(whole, 256)).select(*T.StructType.fromDDL(contracts.GOLD).names)
 
@@ -180,5 +226,5 @@ def run_gold(lake: Lake) -> None:
     gold = lake.table("gold")
     keys = changed.filter("_change_type <> 'update_preimage'").select("key").distinct()
     desired = gold_rows(lake.table("silver").read().join(keys, "key", "left_semi"))
-    gold.replace_where(desired, "chunk_id", "key", keys)
+    gold.replace_where(desired, "chunk_id", "key", keys, ignore=contracts.AUDIT)
     _mark(lake, "silver", "gold", now)
