@@ -13,6 +13,9 @@ import zipfile
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+from . import pdf
+from .pdf import PdfError
+
 Blocks = list[tuple[bool, str]]
 
 
@@ -171,11 +174,25 @@ def parse_conversation(data: bytes) -> tuple[str | None, Blocks]:
     raise ParseError("unknown conversation")
 
 
+#: Font sizes from which a line of a PDF is the title, or a heading.
+PDF_TITLE, PDF_HEADING = 17, 13
+
+
+def parse_pdf(data: bytes) -> tuple[str | None, Blocks]:
+    """The first line of the title's size, else the metadata's title; lines of a heading's size are headings."""
+    try:
+        named, lines = pdf.read(data)
+    except PdfError as e:
+        raise ParseError(f"bad pdf: {e}") from e
+    title = next((t.strip() for t, size in lines if size >= PDF_TITLE), named)
+    return title, [(size >= PDF_HEADING, t) for t, size in lines if size < PDF_TITLE]
+
+
 def parse_text(data: bytes) -> tuple[str | None, Blocks]:
     return None, [(False, line) for line in data.decode("utf-8", "replace").split("\n")]
 
 
-PARSERS = {"md": parse_markdown, "html": parse_html, "htm": parse_html, "docx": parse_docx, "json": parse_conversation, "txt": parse_text}
+PARSERS = {"md": parse_markdown, "html": parse_html, "htm": parse_html, "docx": parse_docx, "pdf": parse_pdf, "json": parse_conversation, "txt": parse_text}
 
 
 def parse(key: str, data: bytes) -> tuple[str | None, list[dict]]:
