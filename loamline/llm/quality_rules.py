@@ -122,13 +122,16 @@ def keep_good(docs: DataFrame, host: str = "source", max_failure: float = MAX_HO
     measured = measure(docs, host).withColumn("base_failed", fails_base(F.col("n_words"), F.col("n_repeat_words")))
     failed = F.col("base_failed") | F.col("fails_symbols") | F.col("fails_dup_lines")
     hosts = scratch.save(host_verdicts(scratch.save(measured.select("host", failed.alias("failed")), "measured"), max_failure), "hosts")
-    bad = hosts.filter(~F.col("host_kept")).select(F.col("host").alias("_bad_host"))
+    name = "_bad_host"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    bad = hosts.filter(~F.col("host_kept")).select(F.col("host").alias(name))
     n = bad.count()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kept = docs.filter(~let(word_array(text), lambda w: fails_base(F.size(w), repeat_words(w))))
     if n:
         bad = F.broadcast(bad) if n <= BROADCAST_HOSTS else bad
-        kept = kept.join(bad, F.col(host).cast("string").eqNullSafe(F.col("_bad_host")), "left_anti")
+        kept = kept.join(bad, F.col(host).cast("string").eqNullSafe(F.col(name)), "left_anti")
     return kept
 
 

@@ -89,8 +89,8 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
             if len(s) > 1:
                 s = s[np.concatenate(([True], s[1:] != s[:-1]))]
         elif c:
-            short = (h[at : at + c] * _ODD[:c]).sum(dtype=np.uint64) + _ODD[32 + c]
-            s = mix(np.array([short], np.uint64))
+            short = (h[at : at + c] * _ODD[:c]).sum(dtype=np.uint64, keepdims=True)
+            s = mix(short + _ODD[32 + c])
         else:
             s = np.empty(0, np.uint64)
         out.append(s)

@@ -50,6 +50,8 @@ def test_host_verdicts(spark):
     assert kept == {*range(60), 200, 300}
     assert {r.doc_id for r in quality_rules.keep_good(df).collect()} == kept
     assert quality_rules.keep_good(df).columns == df.columns
+    more = df.withColumns({c: F.lit("x") for c in ("_bad_host", "_bad_host_", "host", "kept", "n_words", "failed")})
+    assert {r.doc_id for r in quality_rules.keep_good(more).collect()} == kept and quality_rules.keep_good(more).columns == more.columns
     assert quality_rules.quality_rules(df.limit(0)).collect() == [] and quality_rules.keep_good(df.limit(0)).collect() == []
 
 
