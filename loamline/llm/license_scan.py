@@ -1,17 +1,19 @@
 """Licence scans by conditional compression.
 
 Blocks of a document that use licence wording are compressed alone and, with each template as a zstandard raw-content
-dictionary, given the template. Templates are ranked by how much smaller that makes the block; the winner is confirmed by the exact wording: its words must
-stand in the block in order, all of them for a short notice and nearly all for a long text.
+dictionary, given the template. Templates are ranked by how much smaller that makes the block; they are confirmed by the exact wording: a template's words must
+stand in the document in order, all of them for a short notice and nearly all for a long text. The wording is searched in the words of the whole
+document, so neither line ends nor the sentences without licence wording at a template's end cut it off.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -19,16 +21,21 @@ from pyspark.sql import functions as F
 
 from .license_templates import templates
 
-CUE = r"(?i)licen[cs]e|copyright|rights reserved|permission is hereby|permission to use|redistribution|warrant(y|ies)|\bSPDX\b|public domain|creative commons|\bCC[ -]BY|\bGNU\b|free software|released under"
+#: The words of a cue may stand on two lines, the second behind a comment's marks.
+CUE = r"(?i)licen[cs]e|copyright|rights_reserved|permission_is_hereby|permission_to_use|redistribution|warrant(y|ies)|\bSPDX\b|public_domain|creative_commons|\bCC(_|-)BY|\bGNU\b|free_software|released_under".replace(
+    "_", "[ \\t\\r\\n#*/]+"
+)
 _CUE = re.compile(CUE)
 _UNIT = re.compile(r"\n+|(?<=[.!?;:])\s+")
-_WORD = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+'-]*")
+#: A word may be broken at a hyphen.
+_BREAK = r"(?<=-)[ \t]*\r?\n[ \t#*/]*(?=[A-Za-z0-9])"
+_WORD = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9.+'-]|{_BREAK})*")
 #: Units without a cue that may stand between two with one in a block; a block's longest length in characters before it is closed at the next unit.
 GAP, LONGEST = 3, 8000
 #: A block is of no template if the best makes it less than this share smaller. Words of a long template that may differ; a template is long from so many words.
 LEAST_REDUCTION, LONG_WORDS, MAY_DIFFER = 0.3, 20, 0.08
-#: Templates whose wording is compared, best first: near variants of a licence compress almost alike.
-CONFIRM = 6
+#: Words of a document in which wordings are searched at once.
+CHUNK = 8192
 
 
 def candidate_blocks(text: str) -> list[tuple[int, int]]:
@@ -39,20 +46,27 @@ def candidate_blocks(text: str) -> list[tuple[int, int]]:
         if a > at:
             units.append((at, a))
         at = b
+    starts = [a for a, _ in units]
     out: list[list[int]] = []
     last = -GAP - 2
-    for k, (a, b) in enumerate(units):
-        if _CUE.search(text, a, b):
-            if k - last <= GAP + 1 and b - out[-1][0] <= LONGEST:
-                out[-1][1] = b
-            else:
-                out.append([a, b])
-            last = k
+    for m in _CUE.finditer(text):
+        k, to = bisect_right(starts, m.start()) - 1, bisect_right(starts, m.end() - 1) - 1
+        (a, _), (_, b) = units[k], units[to]
+        if out and k - last <= GAP + 1 and b - out[-1][0] <= LONGEST:
+            out[-1][1] = max(b, out[-1][1])
+        elif not out or b > out[-1][1]:
+            out.append([max(a, out[-1][1]) if out else a, b])
+        last = to
     return [(a, b) for a, b in out]
 
 
+def places(text: str) -> list[tuple[str, int, int]]:
+    """(word, start, end) of all words."""
+    return [(re.sub(_BREAK, "", m[0]).rstrip(".").lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
+
+
 def words(text: str) -> list[str]:
-    return [w.rstrip(".").lower() for w in _WORD.findall(text)]
+    return [w for w, _, _ in places(text)]
 
 
 @lru_cache(maxsize=1)
@@ -64,33 +78,125 @@ def _compressors() -> tuple:
     return zstandard.ZstdCompressor(level=3, write_content_size=False), every
 
 
-def differences(block: list[str], template: list[str]) -> tuple[list[str], list[str]]:
-    """(template words that the block lacks, block words between the first and last that match and that the template lacks)."""
-    ops = difflib.SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
-    same = [k for k, o in enumerate(ops) if o[0] == "equal"]
-    missing = [w for o in ops if o[0] in ("delete", "replace") for w in template[o[1] : o[2]]]
-    inner = ops[same[0] : same[-1] + 1] if same else []
-    return missing, [w for o in inner if o[0] in ("insert", "replace") for w in block[o[3] : o[4]]]
+@lru_cache(maxsize=1)
+def _wordings() -> tuple:
+    """Numbers of the templates' words; each template's words as numbers, how often it has each, and how many may differ."""
+    number: dict[str, int] = {}
+    ids = [np.array([number.setdefault(w, len(number)) for w in want], np.int64) for _, want, _ in _compressors()[1]]
+    has = np.stack([np.bincount(x, minlength=len(number)) for x in ids])
+    return number, ids, has, [int(MAY_DIFFER * len(x)) if len(x) >= LONG_WORDS else 0 for x in ids]
+
+
+def _costs(want: np.ndarray, have: np.ndarray) -> Iterator[np.ndarray]:
+    """For each prefix of ``want``, at j the fewest words that differ between it and a window of ``have`` that ends before word j."""
+    at = np.arange(len(have) + 1)
+    row = np.zeros(len(have) + 1, np.int64)
+    yield row
+    for i, w in enumerate(want.tolist()):
+        new = row + 1
+        new[1:] = np.minimum(new[1:], np.where(have == w, row[:-1], len(want) + 1))
+        new[0] = i + 1
+        row = np.minimum.accumulate(new - at) + at
+        yield row
+
+
+def alignment(want: np.ndarray, have: np.ndarray, end: int) -> tuple[int, list[int], list[int]]:
+    """(start of the window of ``have`` up to ``end`` that differs least from ``want``, places in ``want`` it lacks, places in ``have`` that ``want`` lacks)."""
+    lo = max(0, end - 2 * len(want))  # a longer window differs by more than all of want
+    cost = list(_costs(want, have[lo:end]))
+    i, j, missing, extra = len(want), end - lo, [], []
+    while i:
+        if j and want[i - 1] == have[lo + j - 1] and cost[i][j] == cost[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+        elif cost[i][j] == cost[i - 1][j] + 1:
+            i -= 1
+            missing.append(i)
+        else:
+            j -= 1
+            extra.append(lo + j)
+    return lo + j, missing[::-1], extra[::-1]
+
+
+def wordings(have: np.ndarray) -> list[tuple[int, int, int, int, list[int], list[int]]]:
+    """(score, template, start, end, missing, extra) of all windows of ``have`` that a template's wording confirms, best first.
+
+    The score is how many words match less how many differ, so a longer text goes before one that it contains.
+    """
+    _, ids, has, may = _wordings()
+    out = []
+    for lo in range(0, len(have), CHUNK):
+        reach = lo - max(map(len, ids)) - max(may)  # a window that ends in this chunk may begin before it
+        part, first = have[max(0, reach) : lo + CHUNK], max(0, reach)
+        lacks = np.maximum(has - np.bincount(part[part >= 0], minlength=has.shape[1]), 0).sum(axis=1)
+        for k in np.flatnonzero(lacks <= may).tolist():
+            want = ids[k]
+            if may[k]:
+                *_, row = _costs(want, part)
+                near = np.flatnonzero(row <= may[k])
+                ends = [int(run[row[run].argmin()]) for run in np.split(near, np.flatnonzero(np.diff(near) > 1) + 1) if len(run)]
+            else:
+                n = max(0, len(part) - len(want) + 1)
+                hit = np.ones(n, bool)
+                for i, w in enumerate(want.tolist()):
+                    hit &= part[i : i + n] == w
+                ends = (np.flatnonzero(hit) + len(want)).tolist()
+            for end in ends:
+                if end + first > lo:
+                    start, missing, extra = alignment(want, part, end)
+                    out.append((len(want) - 2 * len(missing) - len(extra), k, start + first, end + first, missing, [x + first for x in extra]))
+    return sorted(out, key=lambda x: (-x[0], x[1], x[2]))
+
+
+def _reductions(text: str, some: list[int] | None = None) -> list[float]:
+    """How much smaller each template makes a text, or ``some`` of them."""
+    plain, every = _compressors()
+    data = text.encode()
+    alone = len(plain.compress(data))
+    return [1 - len(c.compress(data)) / alone for _, _, c in (every if some is None else [every[k] for k in some])]
+
+
+def rows(text: str, blocks: list[tuple[int, int]]) -> list[tuple]:
+    """(block, start, end, licence, reduction, confirmed, missing words, extra words) of each block; of equal reductions the first template wins.
+
+    A confirmed block reaches to where the template's wording begins and ends.
+    """
+    _, every = _compressors()
+    number = _wordings()[0]
+    own = places(text)
+    have = np.array([number.get(w, -1) for w, _, _ in own], np.int64)
+    found = wordings(have)
+    out = []
+    for block, (a, b) in enumerate(blocks):
+        share = _reductions(text[a:b])
+        best = max(range(len(every)), key=lambda k: (share[k], -k))
+        for _, k, s, e, missing, extra in found:
+            if own[s][1] < b and own[e - 1][2] > a:
+                lo, hi = min(a, own[s][1]), max(b, own[e - 1][2])
+                whole = share[k] if (lo, hi) == (a, b) else _reductions(text[lo:hi], [k])[0]
+                if whole >= LEAST_REDUCTION:
+                    out.append((block, lo, hi, every[k][0], whole, True, [every[k][1][x] for x in missing], [own[x][0] for x in extra]))
+                    break
+        else:
+            if share[best] < LEAST_REDUCTION:
+                out.append((block, a, b, None, max(0.0, share[best]), False, [], []))
+            else:
+                out.append((block, a, b, every[best][0], share[best], False, *_differences(own, have, a, b, best)))
+    return out
+
+
+def _differences(own: list[tuple[str, int, int]], have: np.ndarray, a: int, b: int, k: int) -> tuple[list[str], list[str]]:
+    """(missing, extra) words of the window that is nearest to template ``k`` among those that end in the characters from ``a`` to ``b`` or up to the template's length after."""
+    want, ids = _compressors()[1][k][1], _wordings()[1][k]
+    lo = max(0, bisect_right(own, a, key=lambda x: x[2]) - len(ids))
+    part = have[lo : bisect_right(own, b, key=lambda x: x[1]) + len(ids)]
+    *_, row = _costs(ids, part)
+    _, missing, extra = alignment(ids, part, int(row.argmin()))
+    return [want[x] for x in missing], [own[lo + x][0] for x in extra]
 
 
 def classify(block: str) -> tuple[str | None, float, bool, list[str], list[str]]:
-    """(licence, reduction, confirmed, missing words, extra words) of a block; of equal reductions the first template wins."""
-    plain, every = _compressors()
-    data = block.encode()
-    alone = len(plain.compress(data))
-    rank = sorted(((1 - len(c.compress(data)) / alone, -k) for k, (_, _, c) in enumerate(every)), reverse=True)
-    own = words(block)
-    first = None
-    for reduction, k in rank[:CONFIRM]:
-        if reduction < LEAST_REDUCTION:
-            break
-        name, want, _ = every[-k]
-        missing, extra = differences(own, want)
-        wrong = len(missing) + len(extra)
-        if wrong <= (MAY_DIFFER * len(want) if len(want) >= LONG_WORDS else 0):
-            return name, reduction, True, missing, extra
-        first = first or (name, reduction, False, missing, extra)
-    return first or (None, max(0.0, rank[0][0]), False, [], [])
+    """(licence, reduction, confirmed, missing words, extra words) of a text that is one block."""
+    return rows(block, [(0, len(block))])[0][3:]
 
 
 _SCHEMA = "doc_id long, block int, start long, end long, license string, reduction double, confirmed boolean, missing array<string>, extra array<string>"
@@ -99,10 +205,8 @@ _SCHEMA = "doc_id long, block int, start long, end long, license string, reducti
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()))
     for b in batches:
-        rows = [
-            (doc, k, s, e, *classify(t[s:e])) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, (s, e) in enumerate(candidate_blocks(t))
-        ]
-        cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        found = [(doc, *r) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in rows(t, candidate_blocks(t))]
+        cols = list(zip(*found, strict=True)) or [()] * len(kinds)
         names = ["doc_id", "block", "start", "end", "license", "reduction", "confirmed", "missing", "extra"]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 

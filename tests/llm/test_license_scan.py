@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from loamline.llm import license_scan as ls
 from loamline.llm.license_templates import TEXTS, templates
@@ -45,3 +46,17 @@ def test_edges(spark):
     got = sorted(((r.doc_id, r.license, r.confirmed, r.start) for r in ls.scan_licenses(df).collect()), key=str)
     assert got == sorted([(None, "MIT", True, 0), (4, "MIT", True, 0), (4, "MIT", True, 0), (5, "All-rights-reserved", True, 18)], key=str)
     assert ls.scan_licenses(df.limit(0)).collect() == []
+
+
+def test_templates_in_documents(spark):
+    """Every template in a document, verbatim, wrapped, and wrapped in a comment."""
+    rows, want = [], {}
+    for name, text in templates():
+        for form in (text, "\n".join(textwrap.wrap(text, 72)), "\r\n".join(textwrap.wrap(text, 30, break_long_words=False)), "\n".join(f" * {x}" for x in textwrap.wrap(text, 72))):
+            want[len(rows)] = name
+            rows.append((len(rows), f"A first line of prose.\n\n{form}\n\nA last line of prose. And one more."))
+    got = {r.doc_id: r for r in ls.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).filter("confirmed").collect()}
+    assert {k: r.license for k, r in got.items()} == want
+    assert not any(r.missing or r.extra for r in got.values())
+    texts = [text for _, text in templates() for _ in range(4)]
+    assert all(ls.words(t[got[k].start : got[k].end]) == ls.words(texts[k]) for k, t in rows)
