@@ -1,7 +1,8 @@
 """Licence scans by conditional compression.
 
 Blocks of a document that use licence wording are compressed alone and, with each template as a zstandard raw-content
-dictionary, given the template. Templates are ranked by how much smaller that makes the block; they are confirmed by the exact wording: a template's words must
+dictionary, given the template. What a template saves is measured against the cheaper of the two, so other text in a block doesn't hide a notice. Templates are ranked
+by it; they are confirmed by the exact wording alone: a template's words must
 stand in the document in order, all of them for a short notice and nearly all for a long text. The wording is searched in the words of the whole
 document, so neither line ends nor the sentences without licence wording at a template's end cut it off.
 """
@@ -32,7 +33,7 @@ _BREAK = r"(?<=-)[ \t]*\r?\n[ \t#*/]*(?=[A-Za-z0-9])"
 _WORD = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9.+'-]|{_BREAK})*")
 #: Units without a cue that may stand between two with one in a block; a block's longest length in characters before it is closed at the next unit.
 GAP, LONGEST = 3, 8000
-#: A block is of no template if the best makes it less than this share smaller. Words of a long template that may differ; a template is long from so many words.
+#: A block whose wording no template confirms is of no template if none saves this share of what the block costs, or the template if that is less. Words of a long template that may differ; a template is long from so many words.
 LEAST_REDUCTION, LONG_WORDS, MAY_DIFFER = 0.3, 20, 0.08
 #: Words of a document in which wordings are searched at once.
 CHUNK = 8192
@@ -147,18 +148,25 @@ def wordings(have: np.ndarray) -> list[tuple[int, int, int, int, list[int], list
     return sorted(out, key=lambda x: (-x[0], x[1], x[2]))
 
 
-def _reductions(text: str, some: list[int] | None = None) -> list[float]:
-    """How much smaller each template makes a text, or ``some`` of them."""
+def _reductions(text: str, some: list[int] | None = None) -> list[tuple[int, float]]:
+    """(bytes that each template saves, or ``some`` of them; their share of the text's cost or the template's own, whichever is less)."""
     plain, every = _compressors()
     data = text.encode()
     alone = len(plain.compress(data))
-    return [1 - len(c.compress(data)) / alone for _, _, c in (every if some is None else [every[k] for k in some])]
+    saved = [(alone - len(every[k][2].compress(data)), _own_costs()[k]) for k in (range(len(every)) if some is None else some)]
+    return [(x, min(1.0, x / min(alone, cost))) for x, cost in saved]
+
+
+@lru_cache(maxsize=1)
+def _own_costs() -> list[int]:
+    plain = _compressors()[0]
+    return [len(plain.compress(text.encode())) for _, text in templates()]
 
 
 def rows(text: str, blocks: list[tuple[int, int]]) -> list[tuple]:
-    """(block, start, end, licence, reduction, confirmed, missing words, extra words) of each block; of equal reductions the first template wins.
+    """(block, start, end, licence, reduction, confirmed, missing words, extra words) of each block; of templates that save as many bytes the first wins.
 
-    A confirmed block reaches to where the template's wording begins and ends.
+    The reduction of a confirmed licence is that of its wording's window, whatever else the block holds. A confirmed block reaches to where the template's wording begins and ends.
     """
     _, every = _compressors()
     number = _wordings()[0]
@@ -167,20 +175,20 @@ def rows(text: str, blocks: list[tuple[int, int]]) -> list[tuple]:
     found = wordings(have)
     out = []
     for block, (a, b) in enumerate(blocks):
-        share = _reductions(text[a:b])
-        best = max(range(len(every)), key=lambda k: (share[k], -k))
         for _, k, s, e, missing, extra in found:
-            if own[s][1] < b and own[e - 1][2] > a:
-                lo, hi = min(a, own[s][1]), max(b, own[e - 1][2])
-                whole = share[k] if (lo, hi) == (a, b) else _reductions(text[lo:hi], [k])[0]
-                if whole >= LEAST_REDUCTION:
-                    out.append((block, lo, hi, every[k][0], whole, True, [every[k][1][x] for x in missing], [own[x][0] for x in extra]))
-                    break
+            lo, hi = own[s][1], own[e - 1][2]
+            if lo < b and hi > a:
+                share = _reductions(text[lo:hi], [k])[0][1]
+                out.append((block, min(a, lo), max(b, hi), every[k][0], share, True, [every[k][1][x] for x in missing], [own[x][0] for x in extra]))
+                break
         else:
-            if share[best] < LEAST_REDUCTION:
-                out.append((block, a, b, None, max(0.0, share[best]), False, [], []))
+            saved = _reductions(text[a:b])
+            some = [k for k, (_, share) in enumerate(saved) if share >= LEAST_REDUCTION]
+            if some:
+                best = max(some, key=lambda k: (saved[k][0], -k))
+                out.append((block, a, b, every[best][0], saved[best][1], False, *_differences(own, have, a, b, best)))
             else:
-                out.append((block, a, b, every[best][0], share[best], False, *_differences(own, have, a, b, best)))
+                out.append((block, a, b, None, max(0.0, *(share for _, share in saved)), False, [], []))
     return out
 
 
@@ -213,7 +221,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row for each candidate block of ``docs`` (doc_id, text; others are ignored): its place in characters, best licence or null, size
-    reduction, whether the wording confirms it, and the words that differ.
+    reduction (see ``rows``), whether the wording confirms it, and the words that differ.
 
     Texts without licence wording, null texts and empty tables give no rows. Repeated rows and null ids give rows of their own.
     """

@@ -60,3 +60,18 @@ def test_templates_in_documents(spark):
     assert not any(r.missing or r.extra for r in got.values())
     texts = [text for _, text in templates() for _ in range(4)]
     assert all(ls.words(t[got[k].start : got[k].end]) == ls.words(texts[k]) for k, t in rows)
+
+
+def test_other_wording_nearby():
+    """What else a block holds doesn't change a notice's verdict."""
+    before = ("", "Copyright 2021 Example Corp.\n", "Copyright (c) 2021 Jane Doe and the other contributors. ", "The warranty of the vendor is void. Some prose stands here, too. Copyright 2019, 2020 and 2021 by several people.\n")
+    for name, text in templates():
+        alone = ls.classify(text)
+        for x in before:
+            for after in ("", "\nSee the LICENSE file for details."):
+                d = x + text + after
+                got = [r for r in ls.rows(d, ls.candidate_blocks(d)) if r[5]]
+                assert [r[3:] for r in got] == [alone], (name, d)
+    # An unconfirmed notice, too, keeps its template beside other wording.
+    assert ls.classify("Licensed under CC BY-XX 9.0.")[0]
+    assert ls.classify("The warranty of the vendor is void. Copyright 2019, 2020 and 2021 by several people, who wrote much prose. Licensed under CC BY-XX 9.0.")[0]
