@@ -163,33 +163,56 @@ def _own_costs() -> list[int]:
     return [len(plain.compress(text.encode())) for _, text in templates()]
 
 
+def licences(have: np.ndarray) -> list[tuple[int, int, int, list[int], list[int]]]:
+    """(start, end, template, missing, extra) of all confirmed windows, in order; the best are taken out and the rest is searched again."""
+    out, todo = [], [(0, len(have))]
+    while todo:
+        lo, hi = todo.pop()
+        taken: list[tuple] = []
+        for _, k, s, e, missing, extra in wordings(have[lo:hi]):
+            at = bisect_right(taken, lo + s, key=lambda x: x[0])
+            if (not at or taken[at - 1][1] <= lo + s) and (at == len(taken) or lo + e <= taken[at][0]):
+                taken.insert(at, (lo + s, lo + e, k, missing, [lo + x for x in extra]))
+        if taken:
+            out += taken
+            todo += [(x, y) for x, y in zip([lo, *(t[1] for t in taken)], [*(t[0] for t in taken), hi], strict=True) if x < y]
+    return sorted(out)
+
+
 def rows(text: str, blocks: list[tuple[int, int]]) -> list[tuple]:
-    """(block, start, end, licence, reduction, confirmed, missing words, extra words) of each block; of templates that save as many bytes the first wins.
+    """(block, start, end, licence, reduction, confirmed, missing words, extra words) of each confirmed licence and of each part of a block that they leave
+    with licence wording of its own; of templates that save as many bytes the first wins.
 
-    The reduction of a confirmed licence is that of its wording's window, whatever else the block holds. A confirmed block reaches to where the template's wording begins and ends.
+    A confirmed licence has its wording's window and the reduction of that, whatever else the block holds. It may begin before the first block's cue or end
+    after it; one that several blocks share is of the first.
     """
     _, every = _compressors()
     number = _wordings()[0]
     own = places(text)
     have = np.array([number.get(w, -1) for w, _, _ in own], np.int64)
-    found = wordings(have)
-    out = []
+    out, spans = [], []
+    for s, e, k, missing, extra in licences(have):
+        lo, hi = own[s][1], own[e - 1][2]
+        block = min(bisect_right(blocks, lo, key=lambda x: x[1]), len(blocks) - 1)
+        spans.append((lo, hi))
+        out.append((block, lo, hi, every[k][0], _reductions(text[lo:hi], [k])[0][1], True, [every[k][1][x] for x in missing], [own[x][0] for x in extra]))
+    cues = [m.span() for m in _CUE.finditer(text)]
     for block, (a, b) in enumerate(blocks):
-        for _, k, s, e, missing, extra in found:
-            lo, hi = own[s][1], own[e - 1][2]
-            if lo < b and hi > a:
-                share = _reductions(text[lo:hi], [k])[0][1]
-                out.append((block, min(a, lo), max(b, hi), every[k][0], share, True, [every[k][1][x] for x in missing], [own[x][0] for x in extra]))
-                break
-        else:
-            saved = _reductions(text[a:b])
+        near = [x for x in spans[max(0, bisect_right(spans, (a, -1)) - 1) : bisect_right(spans, (b, b))] if x[0] < b and x[1] > a]
+        for lo, hi in zip([a, *(x[1] for x in near)], [*(x[0] for x in near), b], strict=True):
+            if near and not any(lo <= s and e <= hi for s, e in cues[bisect_right(cues, (lo, -1)) : bisect_right(cues, (hi, -1))]):
+                continue
+            part = text[lo:hi]
+            if near:
+                lo, hi = lo + len(part) - len(part.lstrip()), hi - len(part) + len(part.rstrip())
+            saved = _reductions(text[lo:hi])
             some = [k for k, (_, share) in enumerate(saved) if share >= LEAST_REDUCTION]
             if some:
                 best = max(some, key=lambda k: (saved[k][0], -k))
-                out.append((block, a, b, every[best][0], saved[best][1], False, *_differences(own, have, a, b, best)))
+                out.append((block, lo, hi, every[best][0], saved[best][1], False, *_differences(own, have, lo, hi, best)))
             else:
-                out.append((block, a, b, None, max(0.0, *(share for _, share in saved)), False, [], []))
-    return out
+                out.append((block, lo, hi, None, max(0.0, *(share for _, share in saved)), False, [], []))
+    return sorted(out, key=lambda x: x[:3])
 
 
 def _differences(own: list[tuple[str, int, int]], have: np.ndarray, a: int, b: int, k: int) -> tuple[list[str], list[str]]:
@@ -203,8 +226,8 @@ def _differences(own: list[tuple[str, int, int]], have: np.ndarray, a: int, b: i
 
 
 def classify(block: str) -> tuple[str | None, float, bool, list[str], list[str]]:
-    """(licence, reduction, confirmed, missing words, extra words) of a text that is one block."""
-    return rows(block, [(0, len(block))])[0][3:]
+    """(licence, reduction, confirmed, missing words, extra words) of a text that is one block; of several licences the first confirmed one."""
+    return min(rows(block, [(0, len(block))]), key=lambda x: not x[5])[3:]
 
 
 _SCHEMA = "doc_id long, block int, start long, end long, license string, reduction double, confirmed boolean, missing array<string>, extra array<string>"
@@ -220,8 +243,8 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """One row for each candidate block of ``docs`` (doc_id, text; others are ignored): its place in characters, best licence or null, size
-    reduction (see ``rows``), whether the wording confirms it, and the words that differ.
+    """A row for each licence whose wording stands in ``docs`` (doc_id, text; others are ignored), and for each rest of a candidate block with other licence
+    wording: its block, its place in characters, (best) licence or null, size reduction (see ``rows``), whether the wording confirms it, and the words that differ.
 
     Texts without licence wording, null texts and empty tables give no rows. Repeated rows and null ids give rows of their own.
     """

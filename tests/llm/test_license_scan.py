@@ -75,3 +75,21 @@ def test_other_wording_nearby():
     # An unconfirmed notice, too, keeps its template beside other wording.
     assert ls.classify("Licensed under CC BY-XX 9.0.")[0]
     assert ls.classify("The warranty of the vendor is void. Copyright 2019, 2020 and 2021 by several people, who wrote much prose. Licensed under CC BY-XX 9.0.")[0]
+
+
+def test_several_licences(spark):
+    """Each licence of a block has a row, and so has wording that no template confirms."""
+    wrapped = "\n".join(textwrap.wrap(TEXTS["Apache-2.0"], 72))
+    docs = [
+        ("Licensed under the Apache License, Version 2.0. Released under the MIT License.", ["Apache-2.0", "MIT"]),
+        (f"Copyright (c) 2021 Jane Doe. All rights reserved.\n{TEXTS['MIT']}\n{wrapped}", ["All-rights-reserved", "Apache-2.0", "MIT", None]),
+        (f"{TEXTS['BSD-3-Clause']}\n{TEXTS['BSD-2-Clause']}\n{TEXTS['BSD-3-Clause']}", ["BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause"]),
+        ("Released under MIT. " * 3 + "This vendor sells a licence to print money, not to lend it.", ["MIT", "MIT", "MIT", None]),
+        ("\n".join(text for _, text in templates()), [name for name, _ in templates()]),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(docs)], "doc_id long, text string")
+    got = ls.scan_licenses(df).collect()
+    for k, (t, want) in enumerate(docs):
+        mine = sorted((r.start, r.end) for r in got if r.doc_id == k)
+        assert sorted((r.license if r.confirmed else None for r in got if r.doc_id == k), key=str) == sorted(want, key=str)
+        assert all(e <= s for (_, e), (s, _) in zip(mine, mine[1:]))
