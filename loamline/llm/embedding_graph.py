@@ -4,8 +4,9 @@ Vectors of one label (and length) are split into overlapping shards: k-means cel
 almost as near as its own. In each shard a graph is built by robust pruning (Subramanya et al., DiskANN, 2019) of the nearest
 neighbours, and a vector's adjacency lists from its shards are united. Each vector is then searched in its own shard by a
 greedy walk from the shard's medoid that keeps widening while it finds vectors in range. Cosines are verified in
-double precision. Recall is audited against brute force on a fixed set of vectors, against all rows in blocks; if it falls
-short, the shards are made to overlap more.
+double precision. Recall is audited against brute force on a fixed set of vectors, against all rows in blocks, and averaged over those
+that have links, so that a large group doesn't hide what small ones lose; if it falls short, the shards are made to overlap more, and
+after the last step the labels that still fall short are searched exactly, block against block.
 
 Equal vectors are one node from the start; links come out of a search as local components, not as pairs, so a
 group of n near copies gives n rows.
@@ -30,6 +31,8 @@ OVERLAP = (0.12, 0.25, 0.5)
 DEGREE, POOL, ALPHA, BEAM = 24, 64, 1.2, 48
 AUDIT, TARGET = 256, 0.99
 BLOCK = 128
+#: Vectors on average in a block of the exact search.
+EXACT_BLOCK = 2000
 SALT = 16
 
 
@@ -274,6 +277,46 @@ def _audit(queries, low: float):
     return run
 
 
+def _exact(low: float):
+    """Two blocks (node, vec, copies, first, second) of a label -> (node, n, root) of all their links; a block against itself comes alone."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node = t.column("node").to_numpy()
+        order = np.argsort(node)
+        node, x = node[order], _stack(t.column("vec"))[order]
+        norm = np.sqrt((x * x).sum(axis=1))
+        copies, first, second = (t.column(c).to_numpy()[order] for c in ("copies", "first", "second"))
+        a, b = np.flatnonzero(first), np.flatnonzero(second)
+        n, uf = np.zeros(len(node), np.int64), UnionFind()
+        for lo in range(0, len(a), BLOCK):
+            i = a[lo : lo + BLOCK]
+            hit = (x[i] @ x[b].T) / (norm[i][:, None] * norm[b][None, :]) >= low
+            hit &= i[:, None] != b[None, :]
+            n[i] += hit @ copies[b]
+            if not first[b].all():  # two blocks: the links count from both ends
+                n[b] += copies[i] @ hit
+            for r, c in zip(*np.nonzero(hit), strict=True):
+                uf.union(int(node[i[r]]), int(node[b[c]]))
+        at = np.flatnonzero(n)
+        return pa.table({"node": pa.array(node[at]), "n": pa.array(n[at]), "root": pa.array([uf.find(int(node[k])) for k in at], pa.int64())})
+
+    return run
+
+
+def _searched_exactly(nodes: DataFrame, low: float, scratch: Scratch) -> DataFrame:
+    """(node, links, root) of ``nodes`` (node, vec, shard, copies) by comparing all vectors of a shard, as ``_search`` gives them."""
+    sizes = nodes.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(EXACT_BLOCK)).cast("int").alias("blocks"))
+    own = nodes.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    pairs = pairs.withColumns({"first": F.col("block") == F.col("lo"), "second": F.col("block") == F.col("hi")})
+    parts = pairs.select("shard", "lo", "hi", "node", "vec", "copies", "first", "second").groupBy("shard", "lo", "hi").applyInArrow(_exact(low), "node long, n long, root long")
+    parts = scratch.save(parts, "exact")
+    count = nodes.select("node", "copies").join(parts.groupBy("node").agg(F.sum("n").alias("n")), "node", "left")
+    count = count.select("node", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("links"), F.col("node").alias("root"))
+    return count.unionByName(parts.select("node", F.lit(None).cast("long").alias("links"), "root"))
+
+
 def near_duplicates(vectors: DataFrame, low: float = 0.93, scratch: Scratch | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audit_recall) for each row of ``vectors`` (vec_id, embedding, label; others are ignored).
 
@@ -298,18 +341,32 @@ def near_duplicates(vectors: DataFrame, low: float = 0.93, scratch: Scratch | No
     every = nodes.select("node", "vec", "shard", "copies").mapInArrow(_audit(audit, low), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
     true = {r["node"]: r["n"] for r in every.collect()}  # AUDIT rows
 
+    few = F.broadcast(spark.createDataFrame([(k,) for k in true], "node long"))
+    copies = {r["node"]: r["copies"] for r in nodes.join(few, "node").collect()}  # AUDIT rows
+
+    def audited(found: DataFrame) -> tuple[float, list[str]]:
+        """The mean recall of the audited vectors that have links, and the labels (with length) that fall short."""
+        got = {r["node"]: r["links"] for r in found.filter("links is not null").join(few, "node").collect()}
+        by: dict[str, list[float]] = {}
+        for r in picked:
+            if want := true[r["node"]]:
+                by.setdefault(r["shard"], []).append(min(want, got.get(r["node"], 0) - copies[r["node"]] + 1) / want)
+        every = [x for own in by.values() for x in own]
+        return (sum(every) / len(every) if every else 1.0), sorted(k for k, own in by.items() if sum(own) < TARGET * len(own))
+
     for overlap in OVERLAP:
         shards = scratch.save(_shards(nodes, overlap, scratch), "sharded")
         graph = shards.groupBy("shard").applyInArrow(_build, "node long, links array<bigint>")
         united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))  # a list a shard, DEGREE long
         members = shards.join(nodes.select("node", "copies"), "node").join(united, "node")
         found = scratch.save(members.groupBy("shard").applyInArrow(_search(low), "node long, links long, root long"), "found")
-        got = {r["node"]: r["links"] for r in found.filter("links is not null").join(F.broadcast(spark.createDataFrame(picked or [], nodes.select("node", "shard", "vec").schema).select("node")), "node").collect()}
-        copies = {r["node"]: r["copies"] for r in nodes.join(F.broadcast(spark.createDataFrame([(k,) for k in true], "node long")), "node").collect()}
-        want = sum(true.values())
-        recall = sum(min(true[k], got.get(k, 0) - copies[k] + 1) for k in true) / want if want else 1.0
+        recall, short = audited(found)
         if recall >= TARGET:
             break
+    else:
+        again = scratch.save(nodes.filter(F.col("shard").isin(short)), "again")
+        found = scratch.save(found.join(again.select("node"), "node", "left_anti").unionByName(_searched_exactly(again, low, scratch)), "found")
+        recall, _ = audited(found)
     comp = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     named = rows.filter("ok").groupBy("node").agg(F.min("vec_id").alias("least"))
     named = named.join(found.filter("links is not null").select("node", "links"), "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

@@ -93,3 +93,16 @@ def test_range_search_finds_all_in_range():
 def test_corpus(spark, d):
     rows = [tuple(r.values())[:3] for r in pq.read_table(f"/root/testdata/{d}/embeddings.parquet", columns=["vec_id", "embedding", "label"]).to_pylist()]
     assert run(spark, rows) == brute(rows)
+
+
+def test_small_groups_beside_a_large_one(spark, monkeypatch):
+    """What small groups lose isn't hidden by a large group, and is found exactly if no overlap is left to try."""
+    monkeypatch.setattr(eg, "MAX_SHARD", 60)
+    monkeypatch.setattr(eg, "OVERLAP", (0.0,))
+    monkeypatch.setattr(eg, "EXACT_BLOCK", 150)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(250, 16))
+    x = np.concatenate((base, base + 0.25 * rng.normal(size=base.shape), rng.normal(size=16) + 0.01 * rng.normal(size=(250, 16)))).astype(np.float32)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    rows += [(len(rows) + i, *r[1:]) for i, r in enumerate(rows[::50])]  # equal vectors
+    assert run(spark, rows) == brute(rows)
