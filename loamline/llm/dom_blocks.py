@@ -15,6 +15,8 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""",
     re.S,
 )
+#: A start tag that ends itself; a slash at the end of an unquoted value is part of that.
+_EMPTY = re.compile(r"""(?:[\s"']|<[a-zA-Z]+|\s[^\s=/"'>]+)/>\Z""")
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
@@ -25,6 +27,8 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their end tag; it is never part of a page's text.
 RAW = frozenset("script style title textarea iframe xmp noembed noframes svg math object".split())
+#: Of these, svg and math may be empty elements, and one without an end tag hides nothing: browsers show what follows.
+_FOREIGN, _MAY_STAY_OPEN = frozenset({"svg", "math"}), frozenset({"svg", "math", "object"})
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 #: A start tag ends the nearest open one of these, unless one of the second is nearer.
 _ENDS = {
@@ -66,6 +70,7 @@ def blocks(html: str) -> list[Block]:
     root = _Open("", frozenset(), frozenset())
     stack, out, parts, linked = [root], [], [], 0
     none: frozenset = frozenset()
+    unended: set[str] = set()
 
     def flush() -> None:
         nonlocal parts, linked
@@ -111,8 +116,14 @@ def blocks(html: str) -> list[Block]:
         if not tag:
             continue
         if tag in RAW:
-            e = _RAW_END[tag].search(html, at)
-            at = e.end() if e else end
+            if not (tag in _FOREIGN and _EMPTY.search(m[0])):
+                e = _RAW_END[tag].search(html, at) if tag not in unended else None
+                if e:
+                    at = e.end()
+                elif tag in _MAY_STAY_OPEN:
+                    unended.add(tag)  # no later one has an end tag either
+                else:
+                    at = end
             parts.append(" ")
             continue
         if tag in ("br", "img", "wbr", "input"):

@@ -96,3 +96,12 @@ def test_extract(spark, field):
     got = sorted(map(tuple, html_crf.extract(df, field).collect()), key=str)
     assert got == sorted([(1, "u", "", 0), (2, None, "", 0), (None, "v", want, len(want)), (3, "w", want, len(want)), (3, "w", want, len(want)), (4, "z", "", 0)], key=str)
     assert html_crf.extract(df.limit(0), field).collect() == []
+
+
+def test_empty_and_unended_raw_elements():
+    assert texts("<p>a</p><svg viewBox='0 0 1 1'/><p>b</p><svg><text>x</text></svg><p>c") == ["a", "b", "c"]
+    assert texts("<p>a</p><svg/><p>b</p><MATH hidden /><p>c") == ["a", "b", "c"]
+    assert texts("<p>a</p><svg class=x/><text>y</text></svg><p>b") == ["a", "b"]
+    for t in ("svg", "math", "object"):
+        assert texts(f"<p>a</p><{t} id=x><p>b</p><{t}><p>c") == ["a", "b", "c"]
+    assert texts("<p>a</p><script src=x /><p>b") == ["a"]
