@@ -25,6 +25,8 @@ from .tokenization import word_ids
 GROUP_PIECES, GROUPS_TOGETHER = 40_000, 256
 #: Passes of the local search over a group's underfull bins.
 PASSES = 60
+#: Pieces of a bin up to which two of them are exchanged at once: with many small ones, single pieces fit anyway.
+PAIRED = 24
 
 
 def best_fit(lengths: np.ndarray, cap: int) -> np.ndarray:
@@ -50,12 +52,40 @@ def best_fit(lengths: np.ndarray, cap: int) -> np.ndarray:
     return out
 
 
+def _largest_usable(sizes: np.ndarray, pool: np.ndarray, y: int, least: int, gap: int, target: int, bins: np.ndarray, fill: np.ndarray) -> int:
+    """Place of the largest of ``sizes`` that raises ``target`` by more than ``least`` and at most ``gap`` when it comes for ``y``, from one bin that is no
+    fuller than ``target`` is then; -1 if there is none."""
+    hi, step = int(np.searchsorted(sizes, y + gap, side="right")), 64
+    for k in range(hi - 1, max(-1, hi - 5), -1):  # mostly one of the first few is usable
+        if sizes[k] - y <= least:
+            return -1
+        come = np.atleast_1d(pool[k])
+        source = int(bins[come[0]])
+        if source != target and fill[target] + sizes[k] - y > fill[source] and (bins[come] == source).all():
+            return k
+    hi = max(0, hi - 4)
+    lo = int(np.searchsorted(sizes, y + least, side="right"))
+    while hi > lo:
+        at = max(lo, hi - step)
+        come = pool[at:hi]
+        source = bins[come if come.ndim == 1 else come[:, 0]]
+        ok = (source != target) & (fill[target] + sizes[at:hi] - y > fill[source])
+        if come.ndim == 2:
+            ok &= bins[come[:, 1]] == source
+        found = np.flatnonzero(ok)
+        if len(found):
+            return at + int(found[-1])
+        hi, step = at, 4 * step
+    return -1
+
+
 def local_search(lengths: np.ndarray, bins: np.ndarray, cap: int) -> np.ndarray:
     """Moves and exchanges pieces between underfull bins, each time raising the sum of squared fills, until bins empty.
 
     Bins are taken from the fullest down. Into each goes, from a bin no fuller, one piece or two of it for nothing, one
     or two of its own, so that it comes as near to full as any such step can bring it. What is free thus gathers in few bins, which
-    empty. It ends at the lower bound, when nothing improves, or after ``PASSES`` passes.
+    empty. It ends at the lower bound, when no such step improves, or after ``PASSES`` passes. Two pieces at once are taken from bins of at most
+    ``PAIRED`` pieces only.
     """
     bins = bins.copy()
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
@@ -67,11 +97,11 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, cap: int) -> np.ndarray:
         under = np.flatnonzero((fill > 0) & (fill < cap))
         at = np.flatnonzero(fill[bins] < cap)
         at = at[np.argsort(lengths[at], kind="stable")]
-        # Pairs of pieces that share a bin, of bins with few pieces: with many small ones, single pieces fit anyway.
+        # Pairs of pieces that share a bin, of bins with few pieces.
         members: dict[int, list[int]] = {}
         for i in at.tolist():
             members.setdefault(int(bins[i]), []).append(i)
-        pair = np.array([(i, j) for own in members.values() if len(own) <= 24 for x, i in enumerate(own) for j in own[x + 1 :]], np.int64).reshape(-1, 2)
+        pair = np.array([(i, j) for own in members.values() if len(own) <= PAIRED for x, i in enumerate(own) for j in own[x + 1 :]], np.int64).reshape(-1, 2)
         pair = pair[np.argsort(lengths[pair].sum(axis=1), kind="stable")]
         singles, pairs = lengths[at], lengths[pair].sum(axis=1)
         for target in under[np.argsort(-fill[under], kind="stable")].tolist():
@@ -80,7 +110,7 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, cap: int) -> np.ndarray:
                 continue
             own = np.flatnonzero(bins == target).tolist()
             leave: list[tuple[int, ...]] = [(), *((i,) for i in own)]
-            if len(own) <= 24:
+            if len(own) <= PAIRED:
                 leave += [(i, j) for x, i in enumerate(own) for j in own[x + 1 :]]
             best = None
             for out in leave:
@@ -88,16 +118,10 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, cap: int) -> np.ndarray:
                 for sizes, pool in ((singles, at), (pairs, pair)):
                     if pool is pair and len(out) == 2:
                         continue
-                    k = int(np.searchsorted(sizes, y + gap, side="right")) - 1
-                    for k in range(k, max(-1, k - 8), -1):  # a few of the next sizes, if the first is of this bin or a fuller one
-                        d = int(sizes[k]) - y
-                        if d <= (best[0] if best else 0):
-                            break
+                    k = _largest_usable(sizes, pool, y, best[0] if best else 0, gap, target, bins, fill)
+                    if k >= 0:
                         come = np.atleast_1d(pool[k])
-                        source = int(bins[come[0]])
-                        if source != target and (bins[come] == source).all() and fill[target] + d > fill[source]:
-                            best = (d, out, come.tolist(), source)
-                            break
+                        best = (int(sizes[k]) - y, out, come.tolist(), int(bins[come[0]]))
             if best:
                 d, out, come, source = best
                 for i in out:

@@ -80,3 +80,11 @@ def test_edges(spark):
 def test_small_caps(spark, cap):
     rows = [(i, " ".join(["cat"] * (i % 11))) for i in range(40)]
     check(pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), cap=cap).collect(), rows, cap)
+
+
+def test_local_search_looks_beyond_unusable_bins():
+    """Twelve pieces of equal length in fuller bins stand before the one that lets a bin empty."""
+    lengths = np.array([30, 60] + [65, 30] * 12)
+    bins = np.array([0, 1] + [2 + i // 2 for i in range(24)])
+    got = local_search(lengths, bins, 100)
+    assert np.bincount(got, weights=lengths).max() <= 100 and got.max() + 1 == 13
