@@ -1,17 +1,21 @@
 """Intermediate tables in the folder that all executors share.
 
 A lineage is cut by writing a Parquet table below ``spark.checkpoint.dir`` and reading it back.
-Where that setting is absent (single-machine tests) a temporary folder is used instead.
+Where that setting is absent, a temporary folder is used on a single machine (local mode) and a cluster is refused.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group of scratch tables: what a task holds of each that it writes or reads.
+ROW_GROUP = 16 * 2**20
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -20,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="loamline-")
@@ -42,7 +48,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{self._n:03d}-{name}"
         self._n += 1
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._loamline_path = path
         return out
