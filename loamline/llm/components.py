@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from .textkit import released
 
 
 class UnionFind:
@@ -45,6 +46,7 @@ class UnionFind:
 CONTRACT = 500_000
 
 
+@released
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     uf = UnionFind()
 

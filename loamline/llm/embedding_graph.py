@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .components import UnionFind, components
+from .textkit import released
 
 #: A shard of more vectors is split in FANOUT; a split is learned from at most so many of its vectors.
 MAX_SHARD, FANOUT, SPLIT_SAMPLE = 4000, 8, 2000
@@ -49,6 +50,7 @@ def _stack(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def _centres(k: int):
     """A shard's sample -> (shard, centres) by spherical k-means with a fixed seed."""
 
+    @released
     def run(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("node").to_numpy())
         x = _unit(_stack(t.column("vec")))[order]
@@ -65,6 +67,7 @@ def _centres(k: int):
 def _assign(overlap: float):
     """(node, vec, shard, own, centres) -> the rows in their new cells; the nearest cell of an own row owns it."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             shard, cs = b.column(2).to_pylist(), b.column(4)
@@ -184,6 +187,7 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, st
 def _search(low: float):
     """A shard (node, vec, own, copies, links) -> (node, links, root) of its own vectors: how many rows each links with, and its local component."""
 
+    @released
     def run(t: pa.Table) -> pa.Table:
         node = t.column("node").to_numpy()
         order = np.argsort(node)
@@ -257,6 +261,7 @@ def _unreached(graph: list[np.ndarray], start: int) -> list[int]:
 def _audit(queries, low: float):
     """All vectors in blocks -> for each audit query the number of rows it links with."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = queries.value
         n = np.zeros(len(q), np.int64)
@@ -280,6 +285,7 @@ def _audit(queries, low: float):
 def _exact(low: float):
     """Two blocks (node, vec, copies, first, second) of a label -> (node, n, root) of all their links; a block against itself comes alone."""
 
+    @released
     def run(t: pa.Table) -> pa.Table:
         node = t.column("node").to_numpy()
         order = np.argsort(node)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .dom_blocks import Block, blocks
 from .labelled_pages import MARK, labelled_pages
+from .textkit import released
 
 #: Pages that the field is trained on, steps of the optimiser and the penalty on squared weights.
 TRAIN_PAGES, STEPS, RIDGE = 2500, 200, 1e-5
@@ -168,6 +169,7 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """
     shared = pages.sparkSession.sparkContext.broadcast(field or trained())  # a few thousand weights
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
         for b in batches:

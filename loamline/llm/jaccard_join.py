@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .components import components
-from .textkit import digest, mix, shingle_sets, slices
+from .textkit import digest, mix, released, shingle_sets, slices
 
 #: Cells of the count sketch that orders shingles (4 MB as 32-bit counts).
 SKETCH_BITS = 20
@@ -70,6 +70,7 @@ def _node(n: int, d1: int, d2: int) -> int:
 def _scan(k: int):
     """(doc_id, text, ref) -> a row (doc_id, ref, n, node) each, and at the end the task's sketch in blocks of cells."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
@@ -91,6 +92,7 @@ def _scan(k: int):
     return run
 
 
+@released
 def _add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     acc: dict[int, np.ndarray] = {}
     for b in batches:
@@ -113,6 +115,7 @@ def _signature(s: np.ndarray) -> bytes:
 def _lists(k: int, percent: int, boundary: int, level):
     """Texts -> kind 0: (node, n, signature); kind 1: (token, node, n); kind 2: (subset key, node, n, the smaller size of the pairs it is for). Once for each node and task."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lev = np.frombuffer(level.value, np.uint8)
         seen: set[int] = set()
@@ -180,6 +183,7 @@ CHAIN = 2
 def _stars(percent: int):
     """Rows (token, n, node, comp) in order of token -> pairs of each set with the first of its list and the ``CHAIN`` before it, if in reach of size and of other components."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for b in batches:
@@ -206,6 +210,7 @@ def _stars(percent: int):
     return run
 
 
+@released
 def _subset_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, n, node, least) sorted so -> links of each set with its key's first, if that has the smaller size the key is for.
 
@@ -241,6 +246,7 @@ def _narrow(sig: bytes, width: int) -> bytes:
     return x.tobytes()
 
 
+@released
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_narrow(s, FOLD) for s in b.column(1).to_pylist()], pa.binary())], names=["node", "fold"])
@@ -281,6 +287,7 @@ def _cross(percent: int):
         if size:
             yield _pairs_batch(np.concatenate(a), np.concatenate(b))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         folds: list[bytes] = []
@@ -310,6 +317,7 @@ def _cross(percent: int):
 def _plausible(percent: int):
     """(a, b, na, siga, nb, sigb) -> pairs whose parity bitmaps allow enough overlap."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             a, b, na, sa, nb, sb = (t.column(i).to_pylist() for i in range(6))
@@ -328,6 +336,7 @@ def _plausible(percent: int):
 def _sets(k: int):
     """(node, text) -> (node, its set); rows whose text is not the node's, as a repeated doc_id brings them, go."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes = b.column(0).to_pylist()
@@ -341,6 +350,7 @@ def _sets(k: int):
 def _decide(percent: int):
     """(a, b, seta, setb) -> the pairs that are similar, by exact intersection."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             keep = []

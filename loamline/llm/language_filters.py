@@ -14,19 +14,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import released
+
 U = np.uint64
 #: Labelled documents that a language is learned from, at most about so many, chosen by hash.
 SAMPLE_DOCS = 3000
-#: An n-gram is in a language's filter if at least this share of its documents (and two of them) has it; so many n-grams a language at most.
-MIN_SHARE, MAX_GRAMS = 0.004, 40_000
+#: An n-gram is in a language's filter if at least this share of its documents (and two of them) has it. So a language has at most
+#: 1 / MIN_SHARE times the distinct n-grams of a mean document.
+MIN_SHARE = 0.004
 ORDERS = (2, 3, 4)
 HASHES = 2
 FOLDS, HELD_OUT = 4, 2
 #: Characters that are looked up at once.
-SLICE_CHARS = 400_000
+SLICE_CHARS = 100_000
 UNKNOWN = "und"
 
 _LETTER: np.ndarray | None = None
@@ -76,16 +79,25 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(owners)
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    at = size = 0
+def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """(indexes, parts of these texts) of ``SLICE_CHARS`` together. A longer text is cut at spaces, which no n-gram spans, and a longer word anywhere."""
+    index, part, size = [], [], 0
     for i, t in enumerate(texts):
-        n = len(t or "")
-        if i > at and size + n > SLICE_CHARS:
-            yield at, i
-            at, size = i, 0
-        size += n
-    if at < len(texts):
-        yield at, len(texts)
+        t, at = t or "", 0
+        while at < len(t):
+            to = at + SLICE_CHARS
+            if to < len(t):
+                to = max(t.rfind(" ", at, to), t.rfind("\n", at, to)) + 1 or to
+            piece = t if at == 0 and to >= len(t) else t[at:to]
+            if part and size + len(piece) > SLICE_CHARS:
+                yield index, part
+                index, part, size = [], [], 0
+            index.append(i)
+            part.append(piece)
+            size += len(piece)
+            at = to
+    if part:
+        yield index, part
 
 
 class Filters:
@@ -116,23 +128,26 @@ class Filters:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text: the winner's share of n-grams, corrected for false positives; ties go to the first language."""
-        lang, score = [], []
         false = self.fill**HASHES
-        for lo, hi in _slices(texts):
-            part = texts[lo:hi]
+        n_lang = max(1, len(self.languages))
+        total, got = np.zeros(len(texts)), np.zeros((len(texts), n_lang))
+        for index, part in _pieces(texts):
             h, owner = grams(part)
+            owner = np.asarray(index)[owner]
+            lo, n = index[0], index[-1] - index[0] + 1
             masks = self.masks(h)
-            total = np.bincount(owner, minlength=len(part)).astype(np.float64)
-            got = np.zeros((len(part), len(self.languages)))
+            total[lo : lo + n] += np.bincount(owner - lo, minlength=n)
             for i in range(len(self.languages)):
-                hit = ((masks[:, i // 64] >> U(i % 64)) & U(1)).astype(np.float64)
-                got[:, i] = np.bincount(owner, weights=hit, minlength=len(part))
-            got = np.clip((got - total[:, None] * false) / (1 - false), 0, None) if len(self.languages) else np.zeros((len(part), 1))
-            best = got.argmax(axis=1)
-            for k in range(len(part)):
-                known = total[k] > 0 and self.languages
-                lang.append(self.languages[best[k]] if known else UNKNOWN)
-                score.append(float(min(1.0, got[k, best[k]] / total[k])) if known else 0.0)
+                hit = ((masks[:, i // 64] >> U(i % 64)) & U(1)).astype(bool)
+                got[lo : lo + n, i] += np.bincount(owner[hit] - lo, minlength=n)
+        if self.languages:
+            got = np.clip((got - total[:, None] * false) / (1 - false), 0, None)
+        best = got.argmax(axis=1)
+        lang, score = [], []
+        for k in range(len(texts)):
+            known = total[k] > 0 and self.languages
+            lang.append(self.languages[best[k]] if known else UNKNOWN)
+            score.append(float(min(1.0, got[k, best[k]] / total[k])) if known else 0.0)
         return lang, score
 
 
@@ -141,6 +156,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
+@released
 def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) -> (lang, gram, number of documents with it) for each task."""
     held: dict[str, list[np.ndarray]] = {}
@@ -153,7 +169,8 @@ def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     for b in batches:
         for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            g = np.unique(grams([t])[0])
+            parts = [np.unique(grams(part)[0]) for _, part in _pieces([t])]
+            g = np.unique(np.concatenate(parts)) if parts else np.empty(0, U)
             held.setdefault(lang, []).append(g)
             size += len(g)
             if size > 4_000_000:
@@ -165,7 +182,7 @@ def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
     """Learns from ``docs`` (doc_id, text, lang) that aren't held out and have a text and a language.
 
-    The sample is about ``sample_docs`` documents a language by hash of id; what comes to the driver is at most ``MAX_GRAMS`` hashes a language.
+    The sample is about ``sample_docs`` documents a language by hash of id; what comes to the driver is the common n-grams of each language, bounded by ``MIN_SHARE``.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter("doc_id is not null and text is not null and lang is not null").filter(~held_out(F.col("doc_id")))
@@ -177,8 +194,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
     got = picked.mapInArrow(_document_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     sampled = F.least(F.col("docs").cast("double"), F.lit(float(sample_docs)))
     got = got.join(counts, "lang").filter((F.col("n") >= 2) & (F.col("n") >= MIN_SHARE * sampled) | (F.col("docs") < 20))
-    top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    got = got.withColumn("_r", F.row_number().over(top)).filter(F.col("_r") <= MAX_GRAMS).select("lang", "gram").toPandas()
+    got = got.select("lang", "gram").toPandas()
     return Filters({lang: g.gram.to_numpy(np.int64).view(U) for lang, g in got.groupby("lang")})
 
 
@@ -189,8 +205,9 @@ def identify(docs: DataFrame, filters: Filters | None = None) -> DataFrame:
     for learning, as documents of their own. Empty tables give no rows.
     """
     filters = filters or train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # at most MAX_GRAMS hashes a language
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by the sample, see MIN_SHARE
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang, score = shared.value.predict(b.column(1).to_pylist())
@@ -202,14 +219,17 @@ def identify(docs: DataFrame, filters: Filters | None = None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with at least ``min_score``."""
+    """The rows of ``docs``, all columns, whose language is known with at least ``min_score``.
+
+    Only texts go to Python and a flag comes back; null texts, empty ones and those without letters go. Repeated rows, null ids and
+    columns of any name stay as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lang, score = shared.value.predict(b.column(at).to_pylist())
-            good = [x != UNKNOWN and s >= min_score for x, s in zip(lang, score, strict=True)]
-            yield b.filter(pa.array(good, pa.bool_()))
+    @F.arrow_udf("boolean")
+    def known(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
+            lang, score = shared.value.predict(t.to_pylist())
+            yield pa.array([x != UNKNOWN and s >= min_score for x, s in zip(lang, score, strict=True)], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(known(F.col("text").cast("string")))

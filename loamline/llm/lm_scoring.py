@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .textkit import slices
+from .textkit import released, slices
 from .tokenization import WordIds, word_ids
 
 #: Bytes of text in a chunk on average.
@@ -47,6 +47,7 @@ def _bigrams(words: WordIds, texts: list, begin: int) -> Iterator[tuple[np.ndarr
 def _tally(vocab: str, begin: int):
     """(chunk, doc_id, text) with (chunk, doc_id) of the target -> (chunk, key, n, n_target) of the chunk's distinct bigrams."""
 
+    @released
     def run(docs: pa.Table, target: pa.Table) -> pa.Table:
         words = word_ids(vocab)
         good = set(target.column("_id").to_pylist()) if target.num_rows else set()
@@ -93,6 +94,7 @@ class _Models:
 def _score(vocab: str, models):
     """(chunk, doc_id, text) with (chunk, key, n, n_target) -> (doc_id, n_tokens, ce_background, ce_target, score)."""
 
+    @released
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         words, m = word_ids(vocab), models.value
         key = counts.column("key").to_numpy()

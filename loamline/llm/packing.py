@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .tokenization import word_ids
+from .textkit import released
 
 #: Pieces that one group holds on average; groups whose open bins are packed together.
 GROUP_PIECES, GROUPS_TOGETHER = 40_000, 256
@@ -153,6 +154,7 @@ def pack(lengths: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
 def _pieces(vocab: str, cap: int, end_id: int):
     end = end_id.to_bytes(4, "little")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(vocab)
         for b in batches:
@@ -172,6 +174,7 @@ def _pieces(vocab: str, cap: int, end_id: int):
 def _pack_group(cap: int, base: int, leave_open: bool):
     """Packs a group; ``leave_open`` marks its least-filled bin with a null sequence."""
 
+    @released
     def run(t: pa.Table) -> pa.Table:
         lengths = t.column("length").to_numpy().astype(np.int64)
         # A fixed order of equal rows makes reruns agree.

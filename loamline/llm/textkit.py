@@ -7,10 +7,14 @@ two different words or shingles meet with a chance of about 2**-60.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+import re
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, wraps
+from inspect import isgeneratorfunction, signature
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _ODD = np.random.default_rng(20240229).integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
@@ -18,10 +22,12 @@ _BYTE = np.random.default_rng(7_061_995).integers(0, 2**63, 256, dtype=np.uint64
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_SPACES = tuple(bytes([x]) for x in np.flatnonzero(_SPACE).tolist())
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
 _R = 0x9E3779B97F4A7C15 | 5
 _R_INV = pow(_R, -1, 2**64)
-#: Texts are hashed in slices of about so many bytes, which bounds the working arrays.
-SLICE_BYTES = 2_000_000
+#: Texts are hashed in slices of about so many bytes, which bounds the working arrays, whatever a text's length.
+SLICE_BYTES = 250_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -31,21 +37,63 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the polynomial's base and of its inverse, for one slice."""
     out = []
     for base in (_R, _R_INV):
-        p = np.full(n, base, np.uint64)
+        p = np.full(2 * SLICE_BYTES, base, np.uint64)
         p[0] = 1
         out.append(np.multiply.accumulate(p))
     return out[0], out[1]
 
 
-def slices(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first text, encoded texts) in slices; a text longer than ``limit`` stands alone."""
+def released(run):
+    """``run`` (batches -> batches, or table -> table), after which a worker gives back the memory that it has free.
+
+    Python workers live on between tasks; without this, each keeps the most that any operator before took.
+    """
+
+    @wraps(run)
+    def of_batches(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    def of_table(t):  # Spark counts the parameters, so these are spelled out
+        try:
+            return run(t)
+        finally:
+            release()
+
+    def of_two(t, u):
+        try:
+            return run(t, u)
+        finally:
+            release()
+
+    if isgeneratorfunction(run):
+        return of_batches
+    return of_table if len(signature(run).parameters) == 1 else of_two
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not the GNU library
+        return lambda _: None
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def _of_size(texts: Iterable[bytes], limit: int) -> Iterator[tuple[int, list[bytes]]]:
     first, part, size = 0, [], 0
-    for i, t in enumerate(texts):
-        b = b"" if t is None else t.encode()
+    for i, b in enumerate(texts):
         if part and size + len(b) > limit:
             yield first, part
             first, part, size = i, [], 0
@@ -55,21 +103,63 @@ def slices(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[by
         yield first, part
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and each text's number of words."""
-    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    n = len(buf)
-    size = 1 << max(21, int(n).bit_length())
-    power, inverse = _powers(size)
+def slices(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first text, encoded texts) in slices; a text longer than ``limit`` stands alone."""
+    return _of_size((b"" if t is None else t.encode() for t in texts), limit)
+
+
+def _short_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of at most ``2 * SLICE_BYTES - 1`` bytes."""
+    buf = np.frombuffer(data + b"\n", np.uint8)
+    power, inverse = _powers()
     space = _SPACE[buf]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate(([0], edge))
     starts, ends = edge[0::2], edge[1::2]
-    total = np.empty(n + 1, np.uint64)
+    total = np.empty(len(buf) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE[buf] * power[:n], out=total[1:])
-    h = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(_BYTE[buf] * power[: len(buf)], out=total[1:])
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def _long_word(data: bytes) -> np.ndarray:
+    """The hash of one word of any length."""
+    total = 0
+    for at in range(0, len(data), SLICE_BYTES):
+        part = np.frombuffer(data[at : at + SLICE_BYTES], np.uint8)
+        total += int((_BYTE[part] * _powers()[0][: len(part)]).sum(dtype=np.uint64)) * pow(_R, at, 2**64)
+    return mix(np.array([(total + len(data)) % 2**64], U))
+
+
+def _long_hashes(data: bytes) -> np.ndarray:
+    """Hashes of the words of a text of any length, cut before or after white space into slices."""
+    out, at = [], 0
+    while at < len(data):
+        to = at + SLICE_BYTES
+        if to < len(data):
+            gap = max(data.rfind(x, at, to) for x in _SPACES)
+            if gap < 0:  # in a word that is longer than a slice
+                end = _GAP.search(data, to)
+                to = end.start() if end else len(data)
+                out.append(_long_word(data[at:to]))
+                at = to
+                continue
+            to = gap + 1
+        out.append(_short_hashes(data[at:to])[0])
+        at = to
+    return np.concatenate(out)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and each text's number of words."""
+    if len(texts) == 1 and len(texts[0]) > SLICE_BYTES:
+        h = _long_hashes(texts[0])
+        return h, np.array([len(h)])
+    if sum(map(len, texts)) + len(texts) >= 2 * SLICE_BYTES:
+        parts = [word_hashes(part) for _, part in _of_size(texts, SLICE_BYTES)]
+        return np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts])
+    h, starts = _short_hashes(b"\n".join(texts))
     bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
     return h, np.diff(np.searchsorted(starts, bounds))
 
