@@ -1,10 +1,10 @@
 """Mixing sources to target weights, in DataFrame expressions only.
 
-Each source's documents are laid end to end and cut into blocks of a fixed number of words. Sources get slots in
-proportion to their targets; slot positions are dealt to output shards by a pseudorandom permutation of all slots, so each shard's
-source counts are a multinomial draw given the totals (drawing each shard alone would leave the totals off
-by their sampling error). The k-th slot of a source takes the block at place k of the source's own permutation, a new
-permutation for every full pass, and slots and blocks are joined by source and index.
+Each source's documents are laid end to end and cut into blocks of a fixed number of words. The mix is a row of output shards of
+fixed-length slots. Each shard draws its source counts from the multinomial of the target shares; slots are numbered by source over shards, and the
+few that the draws put over a source's number (the sampling error) go to sources that fell short, so totals are as planned. The k-th slot of a
+source takes the block at place k of the source's own permutation, a new permutation for every full pass, and slots and blocks are joined
+by source and index.
 
 Permutations are swap-or-not shuffles (Hoang, Morris and Rogaway, 2012): a few hashes for each index, any
 length, no sort and no state. All numbers follow from the seed and the rows, so reruns agree.
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from .quality_rules import let
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -25,8 +26,10 @@ WEIGHTS = (5, 2, 1)
 BLOCK_WORDS, LEAST_BLOCKS = 64, 128
 SHARD_SLOTS = 4096
 ROUNDS = 12
-#: Rows of a source that share one running total; slots made from one row.
-BUCKET_ROWS, CHUNK = 10_000, 4096
+#: Rows of a bucket, whose places are one running total.
+BUCKET_ROWS = 2000
+#: Shards whose draws share one running total.
+BATCH_SHARDS = 1024
 
 
 def permute(index: Column, length: Column, *key: Column, seed: int) -> Column:
@@ -89,16 +92,65 @@ def lay_out(docs: DataFrame, weights: tuple[int, ...], most: int, block_words: i
     return scratch.save(placed.join(mine, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "placed"), sources
 
 
-def slot_plan(sources: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """One row for each slot of the mix: shard, slot, s_no, pass_no and block (index in the source)."""
-    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few small rows become many: a given number isn't coalesced
-    df = sources.filter("n_slots > 0").select("s_no", "n_slots", "n_blocks", "first_slot", "all_slots")
-    df = df.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_slots - 1) div {CHUNK}")))).repartition(tasks, "s_no", "chunk")
-    k = F.sequence(F.col("chunk") * CHUNK, F.least(F.col("n_slots"), (F.col("chunk") + 1) * CHUNK) - 1)
-    df = df.withColumn("k", F.explode(k)).withColumn("pass_no", F.expr("k div n_blocks"))
-    df = df.withColumn("block", permute(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.col("s_no"), F.col("pass_no"), seed=seed))
-    df = df.withColumn("position", permute(F.col("first_slot") + F.col("k"), F.col("all_slots"), seed=seed + 1))
-    return df.select(F.expr(f"position div {shard_slots}").alias("shard"), (F.col("position") % shard_slots).alias("slot"), "s_no", "pass_no", "block")
+def shard_draws(sources: DataFrame, seed: int, shard_slots: int, scratch: Scratch) -> DataFrame:
+    """(shard, s_no, n): how many slots of each output shard are of each source, a multinomial draw with the sources' shares of all slots.
+
+    Each slot's hash falls into one source's interval of all slots. Intervals are found by cells of equal width, about four a source,
+    so the join is by equal keys whatever the number of sources.
+    """
+    spark = sources.sparkSession
+    total = sources.agg(F.max("all_slots").alias("n"), F.count("*").alias("s")).first()  # one row
+    every = total["n"] or 0
+    width = max(1, every // (4 * max(1, total["s"])))
+    cells = sources.filter("n_slots > 0").select("s_no", "first_slot", (F.col("first_slot") + F.col("n_slots")).alias("end_slot"))
+    cells = cells.withColumn("cell", F.explode(F.sequence(F.expr(f"first_slot div {width}"), F.expr(f"(end_slot - 1) div {width}"))))
+    cells = scratch.save(cells, "cells")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = spark.range(0, -(-every // shard_slots), 1, tasks).withColumnRenamed("id", "shard")
+    last = F.least(F.lit(shard_slots), F.lit(every) - F.col("shard") * shard_slots) - 1
+    slots = slots.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    slots = slots.select("shard", F.pmod(F.xxhash64(F.lit(seed), "shard", "slot"), F.lit(max(1, every))).alias("x")).withColumn("cell", F.expr(f"x div {width}"))
+    drawn = slots.join(cells, "cell").filter("x >= first_slot and x < end_slot")
+    return drawn.groupBy("shard", "s_no").agg(F.count("*").alias("n"))
+
+
+def slot_plan(sources: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS, scratch: Scratch | None = None) -> DataFrame:
+    """One row for each slot of the mix: shard, slot, s_no, k (which of its source's slots), pass_no and block (index in the source).
+
+    Shards' counts are numbered through by source, so the k-th slot of a source stands in a shard that its draw chose. Draws leave sources
+    a little over or short of their slots; what the last shards drew beyond a source's number goes to sources that are short.
+    """
+    scratch = scratch or Scratch(sources.sparkSession, "plan")
+    draws = scratch.save(shard_draws(sources, seed + 1, shard_slots, scratch), "draws").withColumn("batch", F.expr(f"shard div {BATCH_SHARDS}"))
+    # Numbers before each shard, by batches of shards, so that no window holds all shards of a source.
+    sums = draws.groupBy("s_no", "batch").agg(F.sum("n").alias("batch_n"))
+    before = Window.partitionBy("s_no").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_from", F.coalesce(F.sum("batch_n").over(before), F.lit(0).cast("long"))).drop("batch_n")
+    own = Window.partitionBy("s_no", "batch").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    place = Window.partitionBy("shard").orderBy("s_no").rowsBetween(Window.unboundedPreceding, -1)  # a row a source
+    draws = draws.withColumn("_own", F.coalesce(F.sum("n").over(own), F.lit(0).cast("long"))).withColumn("at", F.coalesce(F.sum("n").over(place), F.lit(0).cast("long")))
+    draws = draws.join(sums, ["s_no", "batch"]).select("shard", "s_no", "n", "at", (F.col("_from") + F.col("_own")).alias("first_k"))
+    # One row a source: what it drew beyond its slots, or lacks, numbered through over all sources.
+    drawn = draws.groupBy("s_no").agg(F.sum("n").alias("drawn"))
+    some = sources.select("s_no", "n_slots", "n_blocks").join(drawn, "s_no", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("long")))
+    running = Window.orderBy("s_no").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    some = some.withColumn("over", F.greatest(zero, F.col("drawn") - F.col("n_slots"))).withColumn("short", F.greatest(zero, F.col("n_slots") - F.col("drawn")))
+    some = some.withColumn("over_from", F.coalesce(F.sum("over").over(running), zero)).withColumn("short_from", F.coalesce(F.sum("short").over(running), zero))
+    some = scratch.save(some, "corrections")
+    draws = scratch.save(draws.join(some.select("s_no", "n_slots", "n_blocks", "over_from"), "s_no"), "numbered")
+
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows become many: a given number isn't coalesced
+    kept = draws.filter("first_k < n_slots").repartition(tasks, "shard")
+    kept = kept.withColumn("k", F.explode(F.sequence("first_k", F.least(F.col("first_k") + F.col("n"), "n_slots") - 1)))
+    kept = kept.select("shard", (F.col("at") + F.col("k") - F.col("first_k")).alias("slot"), "s_no", "k", "n_blocks")
+    over = draws.filter("first_k + n > n_slots").withColumn("k", F.explode(F.sequence(F.greatest("first_k", "n_slots"), F.col("first_k") + F.col("n") - 1)))
+    over = over.select("shard", (F.col("at") + F.col("k") - F.col("first_k")).alias("slot"), (F.col("over_from") + F.col("k") - F.col("n_slots")).alias("j"))
+    short = some.filter("short > 0").withColumn("i", F.explode(F.sequence(zero, F.col("short") - 1)))
+    short = short.select((F.col("short_from") + F.col("i")).alias("j"), "s_no", (F.col("drawn") + F.col("i")).alias("k"), "n_blocks")
+    plan = kept.unionByName(over.join(short, "j").drop("j")).withColumn("pass_no", F.expr("k div n_blocks"))
+    block = permute(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.col("s_no"), F.col("pass_no"), seed=seed)
+    return plan.select("shard", "slot", "s_no", "k", "pass_no", block.alias("block"))
 
 
 def document_blocks(placed: DataFrame) -> DataFrame:
@@ -115,17 +167,27 @@ def mix_sources(
 ) -> DataFrame:
     """doc_id, size, source_size, target and taken for each row of ``docs`` (doc_id, source, text; others are ignored).
 
+    ``n_slots`` and ``first_shard`` say how many slots of the mix have words of the row and the first output shard that does (null if none).
     Null texts have size 0 and are never taken; null sources are one source, the last; repeated rows and null ids each have their own
     place. An empty table gives no rows; a corpus without words has targets of 0.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     placed, sources = lay_out(docs, weights, most, block_words, scratch)
-    drawn = slot_plan(sources, seed).groupBy("s_no", "block").agg(F.count("*").alias("times"))
+    drawn = slot_plan(sources, seed, scratch=scratch).groupBy("s_no", "block").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
     parts = document_blocks(placed).join(drawn.hint("merge"), ["s_no", "block"], "left")  # both sides grow with the corpus
     out = ["doc_id", "size", "source_size", "target"]
-    taken = parts.groupBy("s_no", "start", *out).agg(F.sum(F.col("n") * F.coalesce("times", F.lit(0).cast("long"))).alias("taken"))
-    none = placed.filter("size = 0").select(*out, F.lit(0).cast("long").alias("taken"))
-    return taken.select(*out, "taken").unionByName(none)
+    times, zero = F.coalesce("times", F.lit(0).cast("long")), F.lit(0).cast("long")
+    taken = parts.groupBy("s_no", "start", *out).agg(F.sum(F.col("n") * times).alias("taken"), F.sum(times).alias("n_slots"), F.min("shard").alias("first_shard"))
+    none = placed.filter("size = 0").select(*out, zero.alias("taken"), zero.alias("n_slots"), F.lit(None).cast("long").alias("first_shard"))
+    return taken.drop("s_no", "start").unionByName(none)
+
+
+def shard_parts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block_words: int = BLOCK_WORDS, seed: int = 20240601, scratch: Scratch | None = None) -> DataFrame:
+    """The mix by shard: (shard, slot, source, doc_id, from_word, n) for each document that a slot's block has words of, in the block's order by from_place."""
+    scratch = scratch or Scratch(docs.sparkSession, "shards")
+    placed, sources = lay_out(docs, weights, most, block_words, scratch)
+    parts = slot_plan(sources, seed, scratch=scratch).join(document_blocks(placed).hint("merge"), ["s_no", "block"])
+    return parts.select("shard", "slot", "source", "doc_id", "from_word", "n", (F.col("start") + F.col("from_word")).alias("from_place"))
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block_words: int = BLOCK_WORDS, seed: int = 20240601, scratch: Scratch | None = None) -> DataFrame:
@@ -135,7 +197,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3,
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixture")
     placed, sources = lay_out(docs, weights, most, block_words, scratch)
-    parts = document_blocks(placed).join(slot_plan(sources, seed).hint("merge"), ["s_no", "block"])
+    parts = document_blocks(placed).join(slot_plan(sources, seed, scratch=scratch).hint("merge"), ["s_no", "block"])
     # A row is told from others with its id by its text and source, and equal rows by number.
     same = ["_id", "text_hash", "source"]
     number = F.row_number().over(Window.partitionBy(*same).orderBy("start"))
@@ -151,9 +213,13 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3,
     got = whole.join(
         ranges, (F.col("_id") == F.col("_i")) & (F.col("text_hash") == F.col("_t")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_no") == F.col("_k"))
     )
-    body = F.regexp_replace(F.col("_doc.text"), r"^[\x20\x09-\x0D]+", "")
-    got = got.withColumn("_w", F.when(F.col("_n") < F.col("size"), F.split(body, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")))
-    cut = F.array_join(F.transform("_ranges", lambda r: F.array_join(F.slice("_w", (r["from_word"] + 1).cast("int"), r["n"].cast("int")), "")), "")
+    spaced = F.regexp_extract_all("_doc.text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))  # words with the white space behind
+    some = F.aggregate(  # ranges that follow each other are one
+        "_ranges", F.array().cast("array<struct<a:bigint,b:bigint>>"),
+        lambda acc, r: F.when(F.get(acc, F.size(acc) - 1)["b"] == r["from_word"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.get(acc, F.size(acc) - 1)["a"].alias("a"), (r["from_word"] + r["n"]).alias("b")))))
+        .otherwise(F.concat(acc, F.array(F.struct(r["from_word"].alias("a"), (r["from_word"] + r["n"]).alias("b"))))),
+    )
+    cut = let(spaced, lambda w: F.array_join(F.transform(some, lambda r: F.array_join(F.slice(w, (r["a"] + 1).cast("int"), (r["b"] - r["a"]).cast("int")), "")), ""))
     got = got.withColumn("_text", F.when(F.col("_n") < F.col("size"), cut).otherwise(F.col("_doc.text")))
     put = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return got.select(*(put[c].alias(c) if c in put else F.col("_doc")[c].alias(c) for c in docs.columns))

@@ -2,10 +2,12 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loamline.llm import mixing, quality_rules
+from loamline.scratch import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, host string, n_words string"
@@ -133,3 +135,40 @@ def test_permutation(spark):
     assert sorted(a) == list(range(1000)) and a != sorted(a)
     assert abs(sum(a[:500]) / 500 - 499.5) < 60
     assert a != [r.y2 for r in rows]
+
+
+def test_slot_plan(spark):
+    """Shards draw their source counts; every slot is used once and every source gets its slots in its permutations' order."""
+    slots, blocks = [30_000, 0, 9_000, 900, 61], [20_000, 10, 3_000, 900, 128]
+    rows = [(i + 1, n, b, sum(slots[:i]), sum(slots)) for i, (n, b) in enumerate(zip(slots, blocks, strict=True))]
+    sources = spark.createDataFrame(rows, "s_no int, n_slots long, n_blocks long, first_slot long, all_slots long")
+    plan = mixing.slot_plan(sources, 5, 512).toPandas()
+    total = sum(slots)
+    assert sorted(zip(plan.shard, plan.slot, strict=True)) == [(i // 512, i % 512) for i in range(total)]
+    for i, n in enumerate(slots):
+        own = plan[plan.s_no == i + 1].sort_values("k")
+        assert own.k.tolist() == list(range(n)) and (own.pass_no == own.k // blocks[i]).all()
+        assert not own.duplicated(["pass_no", "block"]).any() and own.block.between(0, blocks[i] - 1).all()
+    draws = mixing.shard_draws(sources, 6, 512, Scratch(spark, "draws")).toPandas().pivot_table(index="shard", columns="s_no", values="n", fill_value=0)
+    sizes = draws.sum(axis=1)
+    assert sizes.tolist() == [512] * (total // 512) + [total % 512] and set(draws.columns) == {1, 3, 4, 5}
+    share = np.array([n / total for n in slots if n])
+    full = draws[:-1].to_numpy()
+    z = (full.mean(axis=0) - 512 * share) / np.sqrt(512 * share * (1 - share) / len(full))
+    assert (abs(z) < 5).all()
+    # Multinomial counts vary from shard to shard as they should, neither fixed nor drawn from what is left.
+    spread = full.var(axis=0) / (512 * share * (1 - share))
+    assert ((spread > 0.5) & (spread < 1.8)).all()
+    moved = plan.groupby(["shard", "s_no"]).size().unstack(fill_value=0).reindex(draws.index, fill_value=0).to_numpy() != draws.to_numpy()
+    assert moved.any(axis=1).mean() < 0.25  # only what is over moves
+    assert mixing.slot_plan(sources, 5, 512).groupBy().agg(F.sum("k")).first()[0] == plan.k.sum()
+
+
+def test_shard_parts(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    parts = mixing.shard_parts(df).toPandas()
+    taken = mixing.mix_sources(df).toPandas()
+    assert parts.n.sum() == taken.taken.sum()
+    by = parts.groupby("doc_id").n.sum()
+    for doc, n in taken.dropna(subset="doc_id").groupby("doc_id").taken.sum().items():
+        assert by.get(doc, 0) == n
