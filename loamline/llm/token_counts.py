@@ -1,43 +1,112 @@
 """Token counts without token ids.
 
-Each text is split into pre-tokens that the tokenizer never merges across. A task keeps a bounded table of
-distinct pre-tokens and their numbers of pieces, each counted once by the library, joins it to every document's pre-token
-frequencies, and adds up. No ids are made, nothing is shuffled, and a task holds one batch and the table.
+Each text is split into pre-tokens that the tokenizer never merges across. A task writes, for every chunk of documents,
+the documents' pre-token frequencies under numbers of the chunk's own, and the chunk's distinct pre-tokens once. Pre-tokens are
+made distinct over all chunks and each is counted once by the library; the counts are joined back to the chunks' pre-tokens, and a chunk's
+documents add up frequency times count. What is shuffled are a chunk's distinct pre-tokens and packed frequencies, never
+texts, and no ids are made. A pre-token that is in every chunk has one row a chunk, joined to its one count.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenization import PieceCounts
+from ..scratch import Scratch
 from .textkit import released
+from .tokenization import PieceCounts
+
+#: A chunk is closed at so many distinct pre-tokens or so many entries of document frequencies (8 bytes each while it is open).
+CHUNK_PRE, CHUNK_ENTRIES = 60_000, 1_000_000
+_FREQ = ["chunk", "doc_id", "n_bytes", "ids", "freq", "width", "pre", "id"]
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
-def _count(model: str):
+def _frequencies(model: str):
+    """(doc_id, text, n_bytes) -> rows of documents (chunk, doc_id, n_bytes, ids, freq, width) and of the chunks' pre-tokens (chunk, pre, id)."""
+
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = PieceCounts(model)
+        task = TaskContext.get().partitionId() << 32
+        number: dict[str, int] = defaultdict(count().__next__)
+        held: list[tuple] = []
+        entries, chunk = 0, task
+
+        def close() -> Iterator[pa.RecordBatch]:
+            n, m = len(held), len(number)
+            ids, freq = [_narrow(x) for *_, x, _ in held], [_narrow(x) for *_, x in held]
+            docs = [
+                pa.array([chunk] * n, pa.int64()), pa.array([d for d, *_ in held], pa.int64()), pa.array([b for _, b, *_ in held], pa.int64()),
+                pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.tobytes() for x in freq], pa.binary()),
+                pa.array([10 * x.itemsize + y.itemsize for x, y in zip(ids, freq, strict=True)], pa.int8()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()),
+            ]
+            yield pa.RecordBatch.from_arrays(docs, names=_FREQ)
+            nul = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int8())]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * m, pa.int64()), *nul, pa.array(number.keys(), pa.string()), pa.array(range(m), pa.int32())], names=_FREQ)
+
         for b in batches:
-            n = []
-            for t in b.column(1).to_pylist():
-                freq = Counter(pieces.pre_tokens(t)) if t else {}
-                n.append(sum(map(int.__mul__, map(pieces.memo.__getitem__, freq), freq.values())))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            for doc, t, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                freq = Counter(pieces.pre_tokens(t))
+                held.append((doc, size, np.fromiter(map(number.__getitem__, freq), np.int64, len(freq)), np.fromiter(freq.values(), np.int64, len(freq))))
+                entries += len(freq)
+                if len(number) >= CHUNK_PRE or entries >= CHUNK_ENTRIES:
+                    yield from close()
+                    number, held, entries, chunk = defaultdict(count().__next__), [], 0, chunk + 1
+        if held:
+            yield from close()
 
     return run
 
 
-def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = 4096) -> DataFrame:
+def _counted(model: str):
+    """(pre) -> (pre, n), its number of pieces."""
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = PieceCounts(model)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pieces.count(x) for x in b.column(0).to_pylist()], pa.int64())], names=["pre", "n"])
+
+    return run
+
+
+@released
+def _sums(docs: pa.Table, counts: pa.Table) -> pa.Table:
+    """A chunk's documents with their packed frequencies and its pre-tokens' counts (id, n) -> (doc_id, n_bytes, n_tokens)."""
+    n = np.zeros(counts.num_rows, np.int64)
+    n[counts.column("id").to_numpy()] = counts.column("n").to_numpy()
+    total = []
+    for ids, freq, width in zip(docs.column("ids"), docs.column("freq"), docs.column("width").to_pylist(), strict=True):
+        at, times = np.frombuffer(ids.as_buffer(), f"u{width // 10}"), np.frombuffer(freq.as_buffer(), f"u{width % 10}")
+        total.append(int((n[at] * times).sum()))
+    return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": docs.column("n_bytes"), "n_tokens": pa.array(total, pa.int64())})
+
+
+def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = 4096, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
-    A null text counts as empty: 0 bytes, 0 tokens. Repeated rows and null ids each give a row. Empty tables give none.
+    A null text counts as empty: 0 bytes, 0 tokens. Repeated rows and null ids each give a row. Empty tables give none. A pre-token may be as long as
+    its text.
     """
+    scratch = scratch or Scratch(docs.sparkSession, "tokens")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    out = src.mapInArrow(_count(model), "doc_id long, n_bytes long, n_tokens long")
+    schema = "chunk long, doc_id long, n_bytes long, ids binary, freq binary, width byte, pre string, id int"
+    rows = scratch.save(src.mapInArrow(_frequencies(model), schema), "frequencies")
+    own = rows.filter("id is not null").select("chunk", "pre", "id")
+    pieces = own.select("pre").distinct().mapInArrow(_counted(model), "pre string, n long")
+    counts = own.join(scratch.save(pieces, "pieces"), "pre").select(F.col("chunk").alias("part"), "id", "n")
+    packed = rows.filter("id is null").select("chunk", "doc_id", "n_bytes", "ids", "freq", "width")
+    out = packed.groupBy("chunk").cogroup(counts.groupBy("part")).applyInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

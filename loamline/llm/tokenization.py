@@ -95,9 +95,9 @@ class PieceCounts:
 
     def __init__(self, name: str):
         self.sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
-        self.memo = _Memo(self._one)
+        self.memo = _Memo(self.count)
 
-    def _one(self, pre: str) -> int:
+    def count(self, pre: str) -> int:
         """The library puts a space before each text: ``pre`` gives its own first space for it, and a line break a space that stands alone."""
         if pre[0] == " ":
             return len(self.sp.encode(pre[1:])) if len(pre) > 1 else 1
