@@ -24,10 +24,6 @@ from .textkit import released
 
 #: Pieces that one group holds on average; groups whose open bins are packed together.
 GROUP_PIECES, GROUPS_TOGETHER = 40_000, 256
-#: Passes of the local search over a group's underfull bins.
-PASSES = 60
-#: Pieces of a bin up to which two of them are exchanged at once: with many small ones, single pieces fit anyway.
-PAIRED = 24
 
 
 def best_fit(lengths: np.ndarray, cap: int) -> np.ndarray:
@@ -80,60 +76,76 @@ def _largest_usable(sizes: np.ndarray, pool: np.ndarray, y: int, least: int, gap
     return -1
 
 
+def _distinct(lengths: np.ndarray, own: list[int]) -> list[int]:
+    """One piece of each length among ``own``."""
+    return list({int(lengths[i]): i for i in own}.values())
+
+
+def _pairs(lengths: np.ndarray, own: list[int]) -> list[tuple[int, int]]:
+    """Two pieces for each sort of two lengths among ``own``. A bin of capacity c has fewer than sqrt(2 c) lengths, so these are fewer than c, however many pieces it has."""
+    by: dict[int, list[int]] = {}
+    for i in own:
+        by.setdefault(int(lengths[i]), []).append(i)
+    one = [x[0] for x in by.values()]
+    return [(i, j) for x, i in enumerate(one) for j in one[x + 1 :]] + [(x[0], x[1]) for x in by.values() if len(x) > 1]
+
+
 def local_search(lengths: np.ndarray, bins: np.ndarray, cap: int) -> np.ndarray:
     """Moves and exchanges pieces between underfull bins, each time raising the sum of squared fills, until bins empty.
 
     Bins are taken from the fullest down. Into each goes, from a bin no fuller, one piece or two of it for nothing, one
     or two of its own, so that it comes as near to full as any such step can bring it. What is free thus gathers in few bins, which
-    empty. It ends at the lower bound, when no such step improves, or after ``PASSES`` passes. Two pieces at once are taken from bins of at most
-    ``PAIRED`` pieces only.
+    empty. It ends at the lower bound or when no such step improves; every step raises a bounded whole number, so it does end. Pieces of
+    one length in a bin are one choice, which bounds the steps that are looked at by lengths, not by pieces.
     """
     bins = bins.copy()
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
     least = -(-int(lengths.sum()) // cap)
-    for _ in range(PASSES):
-        if (fill > 0).sum() <= least:
-            break
+    better = True
+    while better and (fill > 0).sum() > least:
         better = False
-        under = np.flatnonzero((fill > 0) & (fill < cap))
-        at = np.flatnonzero(fill[bins] < cap)
+        members: dict[int, list[int]] = {int(b): [] for b in np.flatnonzero((fill > 0) & (fill < cap))}
+        for i in np.flatnonzero(fill[bins] < cap).tolist():
+            members[int(bins[i])].append(i)
+        at = np.array([i for own in members.values() for i in _distinct(lengths, own)], np.int64)
         at = at[np.argsort(lengths[at], kind="stable")]
-        # Pairs of pieces that share a bin, of bins with few pieces.
-        members: dict[int, list[int]] = {}
-        for i in at.tolist():
-            members.setdefault(int(bins[i]), []).append(i)
-        pair = np.array([(i, j) for own in members.values() if len(own) <= PAIRED for x, i in enumerate(own) for j in own[x + 1 :]], np.int64).reshape(-1, 2)
+        pair = np.array([p for own in members.values() for p in _pairs(lengths, own)], np.int64).reshape(-1, 2)
         pair = pair[np.argsort(lengths[pair].sum(axis=1), kind="stable")]
-        singles, pairs = lengths[at], lengths[pair].sum(axis=1)
-        for target in under[np.argsort(-fill[under], kind="stable")].tolist():
+        pools = [(lengths[at], at), (lengths[pair].sum(axis=1), pair)]
+        for target in sorted(members, key=lambda b: (-fill[b], b)):
             gap = cap - int(fill[target])
             if gap == 0 or fill[target] == 0:
                 continue
-            own = np.flatnonzero(bins == target).tolist()
-            leave: list[tuple[int, ...]] = [(), *((i,) for i in own)]
-            if len(own) <= PAIRED:
-                leave += [(i, j) for x, i in enumerate(own) for j in own[x + 1 :]]
+            own = members[target]
+            leave: list[tuple[int, ...]] = [(), *((i,) for i in _distinct(lengths, own)), *_pairs(lengths, own)]
+            away = np.array([sum(int(lengths[i]) for i in out) for out in leave], np.int64)
             best = None
-            for out in leave:
-                y = int(lengths[list(out)].sum()) if out else 0
-                for sizes, pool in ((singles, at), (pairs, pair)):
-                    if pool is pair and len(out) == 2:
-                        continue
-                    k = _largest_usable(sizes, pool, y, best[0] if best else 0, gap, target, bins, fill)
-                    if k >= 0:
-                        come = np.atleast_1d(pool[k])
-                        best = (int(sizes[k]) - y, out, come.tolist(), int(bins[come[0]]))
+            # What a step could gain at most if any piece or pair of the right length could come; the most promising first.
+            hope = []
+            for n, (sizes, _) in enumerate(pools):
+                k = np.searchsorted(sizes, away + gap, side="right") - 1
+                gain = np.where(k >= 0, sizes[np.maximum(k, 0)] - away, 0) if len(sizes) else np.zeros(len(away), np.int64)
+                hope += [(-int(g), n, x) for x, g in enumerate(gain) if g > 0 and not (n == 1 and len(leave[x]) == 2)]
+            for g, n, x in sorted(hope):
+                if best and best[0] >= -g:
+                    break
+                sizes, pool = pools[n]
+                y = int(away[x])
+                k = _largest_usable(sizes, pool, y, best[0] if best else 0, gap, target, bins, fill)
+                if k >= 0:
+                    come = np.atleast_1d(pool[k])
+                    best = (int(sizes[k]) - y, leave[x], come.tolist(), int(bins[come[0]]))
             if best:
                 d, out, come, source = best
                 for i in out:
                     bins[i] = source
                 for i in come:
                     bins[i] = target
+                members[target] = [i for i in own if i not in out] + come
+                members[source] = [i for i in members[source] if i not in come] + list(out)
                 fill[target] += d
                 fill[source] -= d
                 better = True
-        if not better:
-            break
     return np.unique(bins, return_inverse=True)[1]
 
 
@@ -156,17 +168,18 @@ def _pieces(vocab: str, cap: int, end_id: int):
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(vocab)
+        words, n = word_ids(vocab), 0
         for b in batches:
             rows = []
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = words(t) + end
                 for k, at in enumerate(range(0, len(ids), 4 * cap)):
                     part = ids[at : at + 4 * cap]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), part, n))
+                    n += 1
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "number"])
 
     return run
 
@@ -202,12 +215,13 @@ def pack_documents(
     scratch = scratch or Scratch(docs.sparkSession, "packing")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-    pieces = src.mapInArrow(_pieces(vocab, cap, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
-    pieces = scratch.save(pieces.select(names), "pieces")
+    pieces = src.mapInArrow(_pieces(vocab, cap, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, number long")
+    pieces = scratch.save(pieces.select(*names, "number"), "pieces")
     n = max(1, math.ceil(pieces.count() / GROUP_PIECES))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)).cast("long")
-    grouped = pieces.withColumn("part", part).groupBy("part").applyInArrow(_pack_group(cap, 0, True), schema + ", part long, sequence_id long, offset long")
+    # The number within its task spreads rows that are equal in all else, so that many repeats or null ids don't fill one group.
+    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "number"), F.lit(n)).cast("long")
+    grouped = pieces.withColumn("part", part).drop("number").groupBy("part").applyInArrow(_pack_group(cap, 0, True), schema + ", part long, sequence_id long, offset long")
     grouped = scratch.save(grouped, "groups")
     again = grouped.filter("sequence_id is null").withColumn("part", F.expr(f"part div {GROUPS_TOGETHER}"))
     again = again.groupBy("part").applyInArrow(_pack_group(cap, 1 << 62, False), schema + ", part long, sequence_id long, offset long")

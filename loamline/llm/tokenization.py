@@ -6,7 +6,8 @@ The vocabulary files stay where the ``public_tokenizers`` package keeps them; th
 from __future__ import annotations
 
 import re
-import struct
+import sys
+from array import array
 from functools import lru_cache
 from unicodedata import is_normalized
 
@@ -42,6 +43,10 @@ _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are written as little-endian 32-bit words")
+
+
 class WordIds:
     """Ids of a tokenizer that drops white space, as little-endian 32-bit bytes.
 
@@ -58,16 +63,14 @@ class WordIds:
         self.memo[""] = b""
 
     def _one(self, part: str) -> bytes:
-        if part.isalpha() and part == part.lower() and is_normalized("NFC", part):
+        if part.isalpha() and (part.islower() if part.isascii() else part == part.lower() and is_normalized("NFC", part)):
             run = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
-            ids = [t.id for t in self.model.tokenize(run)]
-        elif len(part) > 1 and part[-1] in ".,!?:;" and part[:-1].isalpha():
-            return self.memo[part[:-1]] + self.memo[part[-1]]
-        elif part:
-            ids = self.tok.encode(part, add_special_tokens=False).ids
-        else:
+            return array("I", [t.id for t in self.model.tokenize(run)]).tobytes()
+        if not part:
             return b""
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if part[-1] in ".,!?:;" and part[:-1].isalpha():
+            return self.memo[part[:-1]] + self.memo[part[-1]]
+        return array("I", self.tok.encode(part, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:

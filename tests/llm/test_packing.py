@@ -88,3 +88,34 @@ def test_local_search_looks_beyond_unusable_bins():
     bins = np.array([0, 1] + [2 + i // 2 for i in range(24)])
     got = local_search(lengths, bins, 100)
     assert np.bincount(got, weights=lengths).max() <= 100 and got.max() + 1 == 13
+
+
+def test_search_beats_best_fit_decreasing():
+    """Lengths of which best fit leaves many bins half empty: the search empties some of them, and a fill never falls beyond the capacity."""
+    rng = np.random.default_rng(4)
+    for lengths, gain in ((rng.integers(600, 1100, 6000), 30), (rng.integers(300, 1000, 6000), 20)):
+        before = best_fit(lengths, 2048)
+        after = local_search(lengths, before, 2048)
+        fills = [np.bincount(x, weights=lengths) for x in (before, after)]
+        assert fills[1].max() <= 2048 and fills[1].sum() == lengths.sum()
+        assert len(fills[0]) - len(fills[1]) >= gain, (len(fills[0]), len(fills[1]))
+        assert (fills[1] ** 2).sum() > (fills[0] ** 2).sum()
+
+
+def test_search_among_many_small_pieces():
+    """Bins of many pieces are searched too: no single piece fills the first bin's gap of 3, so two come together, and the third bin empties."""
+    lengths = np.array([5] * 40 + [1] * 2 + [2] * 60 + [2] * 2, np.int64)
+    bins = np.array([0] * 40 + [1] * 62 + [2] * 2)
+    out = local_search(lengths, bins, 203)
+    assert sorted(np.bincount(out, weights=lengths).tolist()) == [123, 203]
+
+
+def test_equal_rows_are_spread_over_groups(spark, monkeypatch):
+    """Thousands of rows without an id and with one text are dealt to groups like any others."""
+    from loamline.llm import packing
+
+    monkeypatch.setattr(packing, "GROUP_PIECES", 100)
+    df = spark.createDataFrame([(None, "one two three " * 100)] * 1000, "doc_id long, text string")
+    out = packing.pack_documents(df)
+    groups = out.selectExpr("shiftright(sequence_id, 32) as g").distinct().count()
+    assert out.count() == 1000 and groups >= 6
