@@ -31,8 +31,8 @@ _UNIT = re.compile(r"\n+|(?<=[.!?;:])\s+")
 #: A word may be broken at a hyphen.
 _BREAK = r"(?<=-)[ \t]*\r?\n[ \t#*/]*(?=[A-Za-z0-9])"
 _WORD = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9.+'-]|{_BREAK})*")
-#: Units without a cue that may stand between two with one in a block; a block's longest length in characters before it is closed at the next unit.
-GAP, LONGEST = 3, 8000
+#: Units without a cue that may stand between two with one in a block.
+GAP = 3
 #: A block whose wording no template confirms is of no template if none saves this share of what the block costs, or the template if that is less. Words of a long template that may differ; a template is long from so many words.
 LEAST_REDUCTION, LONG_WORDS, MAY_DIFFER = 0.3, 20, 0.08
 #: Words of a document in which wordings are searched at once.
@@ -53,7 +53,7 @@ def candidate_blocks(text: str) -> list[tuple[int, int]]:
     for m in _CUE.finditer(text):
         k, to = bisect_right(starts, m.start()) - 1, bisect_right(starts, m.end() - 1) - 1
         (a, _), (_, b) = units[k], units[to]
-        if out and k - last <= GAP + 1 and b - out[-1][0] <= LONGEST:
+        if out and k - last <= GAP + 1:
             out[-1][1] = max(b, out[-1][1])
         elif not out or b > out[-1][1]:
             out.append([max(a, out[-1][1]) if out else a, b])

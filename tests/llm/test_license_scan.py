@@ -1,6 +1,8 @@
 import re
 import textwrap
 
+import numpy as np
+
 from loamline.llm import license_scan as ls
 from loamline.llm.license_templates import TEXTS, templates
 
@@ -93,3 +95,63 @@ def test_several_licences(spark):
         mine = sorted((r.start, r.end) for r in got if r.doc_id == k)
         assert sorted((r.license if r.confirmed else None for r in got if r.doc_id == k), key=str) == sorted(want, key=str)
         assert all(e <= s for (_, e), (s, _) in zip(mine, mine[1:]))
+
+
+def test_long_block():
+    """A licence behind any number of sentences with licence wording is found, and its block isn't cut."""
+    text = "This vendor sells a licence to print money. " * 1500 + TEXTS["MIT"] + " That licence is void." * 500
+    (block,) = ls.candidate_blocks(text)
+    assert block == (0, len(text))
+    (hit,) = [r for r in ls.rows(text, [block]) if r[5]]
+    assert hit[3] == "MIT" and ls.words(text[hit[1] : hit[2]]) == ls.words(TEXTS["MIT"])
+
+
+def indel_costs(want, have):
+    """By all windows: the least words that differ between ``want`` and a window of ``have`` that ends at each place."""
+    least = [len(want)] * (len(have) + 1)
+    for s in range(len(have) + 1):
+        row = list(range(len(want) + 1))
+        least[s] = min(least[s], row[-1])
+        for e in range(s, len(have)):
+            new = [row[0] + 1]
+            for i, w in enumerate(want):
+                new.append(row[i] if w == have[e] else 1 + min(row[i + 1], new[i]))
+            row = new
+            least[e + 1] = min(least[e + 1], row[-1])
+    return least
+
+
+def test_wordings_against_all_windows(monkeypatch):
+    rng = np.random.default_rng(3)
+    ids = [rng.integers(0, 12, 26), rng.integers(0, 12, 40), rng.integers(0, 12, 4)]
+    has = np.stack([np.bincount(x, minlength=12) for x in ids])
+    may = [3, 4, 0]
+    monkeypatch.setattr(ls, "_wordings", lambda: ({}, ids, has, may))
+    monkeypatch.setattr(ls, "CHUNK", 37)  # so that wordings lie over the ends of chunks
+    found = 0
+    for _ in range(25):
+        parts = [rng.integers(-1, 12, rng.integers(0, 30))]
+        for k in rng.integers(0, 3, 3):
+            x = ids[k].tolist()
+            for _ in range(rng.integers(0, 6)):
+                at = int(rng.integers(0, len(x)))
+                x[at : at + int(rng.integers(0, 2))] = [int(rng.integers(0, 12))] * int(rng.integers(0, 2))
+            parts += [np.array(x, np.int64), rng.integers(-1, 12, rng.integers(0, 20))]
+        have = np.concatenate(parts).astype(np.int64)
+        got = {}
+        for score, k, s, e, missing, extra in ls.wordings(have):
+            cost = len(missing) + len(extra)
+            assert score == len(ids[k]) - 2 * len(missing) - len(extra) and cost <= may[k]
+            assert [w for i, w in enumerate(ids[k].tolist()) if i not in missing] == [have[j] for j in range(s, e) if j not in extra]
+            got.setdefault(k, []).append((e, cost))
+        for k, want in enumerate(ids):
+            least = indel_costs(want.tolist(), have.tolist())
+            near = [e for e, c in enumerate(least) if c <= may[k]]
+            # Each run of ends that are near enough has a window in the result, the best of the run (or of its part in a chunk).
+            runs = [r for r in np.split(np.array(near, int), np.flatnonzero(np.diff(near) > 1) + 1) if len(r)]
+            ends = dict(got.get(k, []))
+            assert all(least[e] == c for e, c in ends.items())
+            for run in runs:
+                assert any(e in ends and least[e] == min(least[x] for x in run) for e in run.tolist()), (k, run, ends)
+            found += len(runs)
+    assert found > 30
