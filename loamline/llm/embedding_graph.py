@@ -8,8 +8,9 @@ double precision. Recall is audited against brute force on a fixed set of vector
 that have links, so that a large group doesn't hide what small ones lose; if it falls short, the shards are made to overlap more, and
 after the last step the labels that still fall short are searched exactly, block against block.
 
-Equal vectors are one node from the start; links come out of a search as local components, not as pairs, so a
-group of n near copies gives n rows.
+Equal vectors are one node from the start; links come out of a search as local components and counts, not as pairs, so a
+group of n near copies gives n rows. A shard that no split makes small, as a tight group of many different vectors, isn't searched by
+one task: its vectors are compared block against block, since nearly all of them are links to be counted.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .components import UnionFind, components
+from .components import components
 from .textkit import released
 
 #: A shard of more vectors is split in FANOUT; a split is learned from at most so many of its vectors.
-MAX_SHARD, FANOUT, SPLIT_SAMPLE = 4000, 8, 2000
+MAX_SHARD, FANOUT, SPLIT_SAMPLE, SPLITS = 4000, 8, 2000, 12
 #: How much farther than the nearest centre (in cosine) another may be for a vector to join its cell too; steps the audit may take.
 OVERLAP = (0.12, 0.25, 0.5)
 DEGREE, POOL, ALPHA, BEAM = 24, 64, 1.2, 48
@@ -92,30 +93,30 @@ def _assign(overlap: float):
     return run
 
 
-def _shards(nodes: DataFrame, overlap: float, scratch: Scratch) -> DataFrame:
-    """(node, vec, shard, own): each node once with own, and in the shards that it overlaps into."""
+def _shards(nodes: DataFrame, overlap: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """((node, vec, shard, own): each node once with own, and in the shards that it overlaps into; (shard) of those that stay above MAX_SHARD).
+
+    A shard that a split doesn't make smaller, such as one tight group, isn't split again; nor is any after SPLITS rounds.
+    """
     cur = nodes.select("node", "vec", "shard", F.lit(True).alias("own"))
-    stuck: set[str] = set()
-    for _ in range(12):
-        sizes = cur.groupBy("shard").agg(F.count("*").alias("n"))
-        big = scratch.save(sizes.filter(F.col("n") > MAX_SHARD), "big")
-        if stuck:  # shards that a split did not make smaller, such as one tight group; the audit would tell if they were split by force
-            big = big.filter(~F.col("shard").isin(sorted(stuck)))
+    stuck = nodes.select("shard").limit(0)
+    for _ in range(SPLITS):
+        sizes = cur.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_SHARD)
+        big = scratch.save(sizes.join(stuck, "shard", "left_anti"), "big")
         if big.isEmpty():
-            return cur
+            break
         uniform = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1_000_003)) / F.lit(1_000_003)
         some = cur.join(big, "shard").filter(uniform < F.lit(float(SPLIT_SAMPLE)) / F.col("n")).select("shard", "node", "vec")
         centres = some.groupBy("shard").applyInArrow(_centres(FANOUT), "shard string, centres binary")
         salted = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))  # a hot shard is joined in parts
         joined = cur.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALT))).join(salted, ["shard", "salt"], "left")
         new = scratch.save(joined.select("node", "vec", "shard", "own", "centres").mapInArrow(_assign(overlap), "node long, vec array<double>, shard string, own boolean"), "shards")
-        before = {r["shard"]: r["n"] for r in big.collect()}  # a row for MAX_SHARD vectors
         children = new.groupBy("shard").agg(F.count("*").alias("n")).withColumn("parent", F.regexp_replace("shard", "/[^/]*$", ""))
-        for r in children.join(big.select(F.col("shard").alias("parent")), "parent", "left_semi").collect():
-            if r["n"] > MAX_SHARD and r["n"] > 0.9 * before[r["parent"]]:
-                stuck.add(r["shard"])
+        children = children.join(big.select(F.col("shard").alias("parent"), F.col("n").alias("before")), "parent")
+        stuck = scratch.save(stuck.unionByName(children.filter((F.col("n") > MAX_SHARD) & (F.col("n") > 0.9 * F.col("before"))).select("shard")), "stuck")
         cur = new
-    return cur
+    large = cur.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_SHARD).select("shard")
+    return cur, scratch.save(large, "large")
 
 
 def _prune(near: np.ndarray, sim: np.ndarray, x: np.ndarray) -> list[int]:
@@ -150,7 +151,7 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, st
     """For each block of queries a matrix of cosines, -inf where the walk didn't come.
 
     A step expands the best unexpanded vectors among a query's BEAM best. When these are used up, every vector in range that isn't expanded
-    yet is, so the beam is as wide as what is in range.
+    yet is, all at once, so the beam is as wide as what is in range and the steps are as many as the graph is deep.
     """
     n = len(x)
     width = max(1, max((len(g) for g in graph), default=1))
@@ -165,25 +166,43 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, st
         while True:
             k = min(BEAM, n)
             kth = -np.partition(-sim, k - 1, axis=1)[:, k - 1]
-            todo = ~done & (sim > -np.inf) & ((sim >= kth[:, None]) | (sim >= low))
-            if not todo.any():
-                break
-            rank = np.where(todo, sim, -np.inf)
-            some = np.argpartition(-rank, min(8, n - 1), axis=1)[:, :8]  # the best few of each query at once
-            rows, cols = np.repeat(np.arange(len(q)), some.shape[1]), some.ravel()
-            live = todo[rows, cols]
-            rows, cols = rows[live], cols[live]
+            todo = ~done & (sim > -np.inf) & (sim >= kth[:, None])
+            if todo.any():
+                rank = np.where(todo, sim, -np.inf)
+                some = np.argpartition(-rank, min(8, n - 1), axis=1)[:, :8]  # the best few of each query at once
+                rows, cols = np.repeat(np.arange(len(q)), some.shape[1]), some.ravel()
+                live = todo[rows, cols]
+                rows, cols = rows[live], cols[live]
+            else:
+                rows, cols = np.nonzero(~done & (sim >= low))
+                if not len(rows):
+                    break
             done[rows, cols] = True
-            to = table[cols]
-            r, c = np.repeat(rows, width), to.ravel()
-            new = (c >= 0) & (sim[r, np.maximum(c, 0)] == -np.inf)
-            r, c = r[new], c[new]
-            for at in range(0, len(r), 100_000):
-                rr, cc = r[at : at + 100_000], c[at : at + 100_000]
-                sim[rr, cc] = np.einsum("ij,ij->i", q[rr], x[cc])
+            for at in range(0, len(rows), 10_000):
+                to = table[cols[at : at + 10_000]]
+                near = np.repeat(rows[at : at + 10_000], width) * n + to.ravel()
+                near = np.unique(near[(to.ravel() >= 0)])
+                near = near[sim.ravel()[near] == -np.inf]
+                r, c = near // n, near % n
+                for part in range(0, len(r), 100_000):
+                    rr, cc = r[part : part + 100_000], c[part : part + 100_000]
+                    sim[rr, cc] = np.einsum("ij,ij->i", q[rr], x[cc])
         yield sim
 
 
+class Labels:
+    """Components of 0 to n - 1 as an array of labels, the smallest member of each."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def unite(self, i: int, others: np.ndarray) -> None:
+        found = self.of[others]
+        if (found != self.of[i]).any():
+            every = np.unique(np.append(found, self.of[i]))
+            self.of[np.isin(self.of, every)] = every[0]
+
+
 def _search(low: float):
     """A shard (node, vec, own, copies, links) -> (node, links, root) of its own vectors: how many rows each links with, and its local component."""
 
@@ -209,32 +228,22 @@ def _search(low: float):
         queries = np.flatnonzero(own)
         medoid = int((x @ x.mean(axis=0)).argmax())
         starts = [medoid, *_unreached(graph, medoid)]
-        found = {}
+        hit = np.zeros((len(queries), len(x)), bool)  # at most MAX_SHARD squared bytes
         for k, sim in enumerate(range_search(x, graph, queries, starts, low - 1e-6)):
             for r in range(len(sim)):
                 i = int(queries[k * BLOCK + r])
                 c = np.flatnonzero(sim[r] >= low - 1e-6)
                 cos = (raw[c] @ raw[i]) / (norm[c] * norm[i])
-                found[i] = c[(cos >= low) & (c != i)]
-        # A search may miss what the search from the other end finds.
-        missed: dict[int, list[int]] = {}
-        has = {i: set(c.tolist()) for i, c in found.items()}
-        for i, c in found.items():
-            for j in c.tolist():
-                if j in has and i not in has[j]:
-                    missed.setdefault(j, []).append(i)
-        uf = UnionFind()
-        n_links = []
-        for i in queries.tolist():
-            c = np.concatenate((found[i], np.array(missed.get(i, []), np.int64)))
-            n_links.append(int(copies[i]) - 1 + int(copies[c].sum()))
-            for j in c.tolist():
-                uf.union(int(node[i]), int(node[j]))
-        mine = set(node[queries].tolist())
-        rows = [(int(node[i]), n, uf.find(int(node[i]))) for i, n in zip(queries.tolist(), n_links, strict=True)]
-        rows += [(x, None, uf.find(x)) for x in uf.up if x not in mine]  # vectors of other shards that own ones link with
-        cols = list(zip(*rows, strict=True)) or [()] * 3
-        return pa.table({"node": pa.array(cols[0], pa.int64()), "links": pa.array(cols[1], pa.int64()), "root": pa.array(cols[2], pa.int64())})
+                hit[k * BLOCK + r, c[(cos >= low) & (c != i)]] = True
+        hit[:, queries] |= hit[:, queries].T  # a search may miss what the search from the other end finds
+        labels = Labels(len(x))
+        for r, i in enumerate(queries.tolist()):
+            labels.unite(i, np.flatnonzero(hit[r]))
+        n_links = copies[queries] - 1 + hit @ copies
+        also = np.flatnonzero(hit.any(axis=0) & ~own)  # vectors of other shards that own ones link with
+        at = np.concatenate((queries, also))
+        links = pa.array(np.concatenate((n_links, np.zeros(len(also), np.int64))), pa.int64(), mask=np.arange(len(at)) >= len(queries))
+        return pa.table({"node": pa.array(node[at]), "links": links, "root": pa.array(node[labels.of[at]])})
 
     return run
 
@@ -283,7 +292,7 @@ def _audit(queries, low: float):
 
 
 def _exact(low: float):
-    """Two blocks (node, vec, copies, first, second) of a label -> (node, n, root) of all their links; a block against itself comes alone."""
+    """Two blocks (shard, node, vec, copies, first, second) of a shard -> (shard, node, n, root) of all their links; a block against itself comes alone."""
 
     @released
     def run(t: pa.Table) -> pa.Table:
@@ -293,7 +302,7 @@ def _exact(low: float):
         norm = np.sqrt((x * x).sum(axis=1))
         copies, first, second = (t.column(c).to_numpy()[order] for c in ("copies", "first", "second"))
         a, b = np.flatnonzero(first), np.flatnonzero(second)
-        n, uf = np.zeros(len(node), np.int64), UnionFind()
+        n, labels = np.zeros(len(node), np.int64), Labels(len(node))
         for lo in range(0, len(a), BLOCK):
             i = a[lo : lo + BLOCK]
             hit = (x[i] @ x[b].T) / (norm[i][:, None] * norm[b][None, :]) >= low
@@ -301,24 +310,25 @@ def _exact(low: float):
             n[i] += hit @ copies[b]
             if not first[b].all():  # two blocks: the links count from both ends
                 n[b] += copies[i] @ hit
-            for r, c in zip(*np.nonzero(hit), strict=True):
-                uf.union(int(node[i[r]]), int(node[b[c]]))
+            for r, k in enumerate(i.tolist()):
+                labels.unite(k, b[hit[r]])
         at = np.flatnonzero(n)
-        return pa.table({"node": pa.array(node[at]), "n": pa.array(n[at]), "root": pa.array([uf.find(int(node[k])) for k in at], pa.int64())})
+        shard = [t.column("shard")[0].as_py()] * len(at)
+        return pa.table({"shard": pa.array(shard, pa.string()), "node": pa.array(node[at]), "n": pa.array(n[at]), "root": pa.array(node[labels.of[at]])})
 
     return run
 
 
 def _searched_exactly(nodes: DataFrame, low: float, scratch: Scratch) -> DataFrame:
-    """(node, links, root) of ``nodes`` (node, vec, shard, copies) by comparing all vectors of a shard, as ``_search`` gives them."""
+    """(node, links, root) of ``nodes`` (node, vec, shard, copies, own) by comparing all vectors of a shard in blocks, as ``_search`` gives them: links of own ones only."""
     sizes = nodes.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(EXACT_BLOCK)).cast("int").alias("blocks"))
     own = nodes.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     pairs = pairs.withColumns({"first": F.col("block") == F.col("lo"), "second": F.col("block") == F.col("hi")})
-    parts = pairs.select("shard", "lo", "hi", "node", "vec", "copies", "first", "second").groupBy("shard", "lo", "hi").applyInArrow(_exact(low), "node long, n long, root long")
+    parts = pairs.select("shard", "lo", "hi", "node", "vec", "copies", "first", "second").groupBy("shard", "lo", "hi").applyInArrow(_exact(low), "shard string, node long, n long, root long")
     parts = scratch.save(parts, "exact")
-    count = nodes.select("node", "copies").join(parts.groupBy("node").agg(F.sum("n").alias("n")), "node", "left")
+    count = nodes.filter("own").select("shard", "node", "copies").join(parts.groupBy("shard", "node").agg(F.sum("n").alias("n")), ["shard", "node"], "left")
     count = count.select("node", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("links"), F.col("node").alias("root"))
     return count.unionByName(parts.select("node", F.lit(None).cast("long").alias("links"), "root"))
 
@@ -361,16 +371,20 @@ def near_duplicates(vectors: DataFrame, low: float = 0.93, scratch: Scratch | No
         return (sum(every) / len(every) if every else 1.0), sorted(k for k, own in by.items() if sum(own) < TARGET * len(own))
 
     for overlap in OVERLAP:
-        shards = scratch.save(_shards(nodes, overlap, scratch), "sharded")
-        graph = shards.groupBy("shard").applyInArrow(_build, "node long, links array<bigint>")
+        shards, large = _shards(nodes, overlap, scratch)
+        shards = scratch.save(shards.join(nodes.select("node", "copies"), "node"), "sharded")
+        small = shards.join(large, "shard", "left_anti")
+        graph = small.groupBy("shard").applyInArrow(_build, "node long, links array<bigint>")
         united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))  # a list a shard, DEGREE long
-        members = shards.join(nodes.select("node", "copies"), "node").join(united, "node")
-        found = scratch.save(members.groupBy("shard").applyInArrow(_search(low), "node long, links long, root long"), "found")
+        found = small.join(united, "node").groupBy("shard").applyInArrow(_search(low), "node long, links long, root long")
+        if not large.isEmpty():
+            found = found.unionByName(_searched_exactly(shards.join(large, "shard"), low, scratch))
+        found = scratch.save(found, "found")
         recall, short = audited(found)
         if recall >= TARGET:
             break
     else:
-        again = scratch.save(nodes.filter(F.col("shard").isin(short)), "again")
+        again = scratch.save(nodes.filter(F.col("shard").isin(short)).withColumn("own", F.lit(True)), "again")
         found = scratch.save(found.join(again.select("node"), "node", "left_anti").unionByName(_searched_exactly(again, low, scratch)), "found")
         recall, _ = audited(found)
     comp = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)

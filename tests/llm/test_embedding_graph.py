@@ -106,3 +106,21 @@ def test_small_groups_beside_a_large_one(spark, monkeypatch):
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
     rows += [(len(rows) + i, *r[1:]) for i, r in enumerate(rows[::50])]  # equal vectors
     assert run(spark, rows) == brute(rows)
+
+
+def test_tight_group_of_any_size(spark, monkeypatch):
+    """A tight group above the largest shard is compared in blocks; every link is counted, also those with vectors outside of it."""
+    monkeypatch.setattr(eg, "MAX_SHARD", 150)
+    monkeypatch.setattr(eg, "EXACT_BLOCK", 100)
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=16)
+    tight = centre + 0.02 * rng.normal(size=(700, 16))
+    rim = centre + 0.28 * rng.normal(size=(200, 16))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate((tight, rim, rng.normal(size=(300, 16)))).astype(np.float32))]
+    got, want = run(spark, rows), brute(rows)
+    assert [r[2:] for r in got] == [r[2:] for r in want]
+    assert sum(r[1] for r in got) >= 0.999 * sum(r[1] for r in want)
+    big = np.stack([centre + 0.02 * rng.normal(size=16) for _ in range(3000)])
+    x = eg._unit(big)
+    graph = [np.array([(i + k) % 3000 for k in (1, 7, 49, 343, 1201)]) for i in range(3000)]
+    assert all((s >= 0.93).all() for s in eg.range_search(x, graph, np.arange(256), [0], 0.93))
