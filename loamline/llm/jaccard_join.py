@@ -232,6 +232,8 @@ def _subset_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint16)
 
+#: Sets of one list that are compared with each other in one go.
+LIST_BLOCK = 1000
 #: Bytes of the folded parity bitmap that list rows carry in the second pass.
 FOLD = 256
 #: Smallest tokens of a set's lists that they carry too.
@@ -253,21 +255,25 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross(percent: int):
-    """Rows (token, n, node, comp, fold, low) sorted so -> all pairs of a list in reach of size, of different components, whose bitmaps allow enough overlap.
+    """Rows (token, part, n, node, comp, block, fold, low) sorted so -> all pairs of a list's part in reach of size, of different components, whose bitmaps
+    allow enough overlap. A part of two blocks gives the pairs between them, a part of one block its own.
 
     ``low`` has the smallest tokens of the set's lists. A pair for which these hold a smaller common one comes out of that list, so it is left out here.
     """
 
-    def pairs(token: np.ndarray, n: np.ndarray, node: np.ndarray, comp: np.ndarray, fold: list[bytes], low: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(token: np.ndarray, n: np.ndarray, node: np.ndarray, comp: np.ndarray, block: np.ndarray, fold: list[bytes], low: np.ndarray) -> Iterator[pa.RecordBatch]:
         if (comp == comp[0]).all():
             return
         reach = np.searchsorted(n, 100 * n // percent, side="right")
         width = np.array([len(x) for x in fold])
         bits = {w: np.stack([np.frombuffer(_narrow(x, w), np.uint8) if len(x) >= w else np.zeros(w, np.uint8) for x in fold]) for w in set(width.tolist())}
+        several = (block != block[0]).any()
         a, b, size = [], [], 0
         for i in range(len(n) - 1):
             j = np.arange(i + 1, reach[i])
             j = j[comp[j] != comp[i]]
+            if several:
+                j = j[block[j] != block[i]]
             for lo in range(0, len(j), 20_000):
                 # Sets of a list are sorted by size, so the first's bitmap is no wider than the others'.
                 k, w = j[lo : lo + 20_000], int(width[i])
@@ -293,19 +299,21 @@ def _cross(percent: int):
         folds: list[bytes] = []
 
         def lists(allc: np.ndarray, own: list[bytes]) -> Iterator[pa.RecordBatch]:
-            allc, low = allc[:4], allc[4:].T
-            edges = np.concatenate(([0], np.flatnonzero(allc[0, 1:] != allc[0, :-1]) + 1, [allc.shape[1]]))
+            allc, low = allc[:6], allc[6:].T
+            edges = np.concatenate(([0], np.flatnonzero((allc[:2, 1:] != allc[:2, :-1]).any(axis=0)) + 1, [allc.shape[1]]))
             for x, y in itertools.pairwise(edges.tolist()):
                 if y - x > 1:
-                    yield from pairs(*allc[:, x:y], own[x:y], low[x:y])
+                    yield from pairs(allc[0, x:y], *allc[2:, x:y], own[x:y], low[x:y])
 
         for b in batches:
-            cols = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, *range(5, 5 + LOW))])
+            cols = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 4, 5, *range(7, 7 + LOW))])
+            if not cols.shape[1]:
+                continue
             held.append(cols)
-            folds += b.column(4).to_pylist()
-            if cols.shape[1] and cols[0, -1] != held[0][0, 0]:
+            folds += b.column(6).to_pylist()
+            if (cols[:2, -1] != held[0][:2, 0]).any():
                 allc = np.concatenate(held, axis=1)
-                cut = int(np.flatnonzero(allc[0, 1:] != allc[0, :-1])[-1]) + 1
+                cut = int(np.flatnonzero((allc[:2, 1:] != allc[:2, :-1]).any(axis=0))[-1]) + 1
                 yield from lists(allc[:, :cut], folds[:cut])
                 held, folds = [allc[:, cut:]], folds[cut:]
         if held:
@@ -431,8 +439,13 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Sc
     mixed = scratch.save(between(comp), "mixed")
     low = mixed.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("token")), 1, LOW).alias("_low"))
     lows = [F.coalesce(F.get("_low", F.lit(i)), F.lit(2**63 - 1)).alias(f"low{i}") for i in range(LOW)]
-    rows = mixed.join(folds, "node").join(low, "node").select("token", "n", "node", "comp", "fold", *lows)
-    cross = in_lists(rows, "n").mapInArrow(_cross(percent), "a long, b long").distinct()
+    # A long list is compared in parts of one or two blocks of about LIST_BLOCK sets, so that no task holds it all.
+    long = scratch.save(mixed.groupBy("token").agg(F.ceil(F.count("*") / F.lit(LIST_BLOCK)).alias("blocks")).filter("blocks > 1"), "long")
+    rows = mixed.join(long, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumn("part", F.least("block", "other") * F.lit(2**31) + F.greatest("block", "other"))
+    rows = rows.join(folds, "node").join(low, "node").select("token", "part", "n", "node", "comp", "block", "fold", *lows)
+    cross = rows.repartition("token", "part").sortWithinPartitions("token", "part", "n", "node").mapInArrow(_cross(percent), "a long, b long").distinct()
     cross = scratch.save(cross.join(tried.unionByName(more), ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
         links = links.unionByName(verified(cross, screened=True))

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from loamline.llm import jaccard_join
 from loamline.llm.jaccard_join import light_boundary, min_overlap, ngram_components
 from loamline.llm.textkit import shingle_sets
 
@@ -79,3 +80,31 @@ def test_parts():
     assert 6 < light_boundary(85) < 30
     a, b = shingle_sets([b"A b c d e", b"a B C d  e\n"], 4)
     assert (a == b).all() and len(a) == 2
+
+
+def test_long_lists_in_blocks(spark, monkeypatch):
+    """Lists above a block are compared in parts: many sets around one passage, of which some link and most don't."""
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 7)
+    rnd = random.Random(8)
+    shared = [f"s{i}" for i in range(30)]
+    rows = []
+    for i in range(150):
+        own = [f"o{i % 50 if i % 3 else i}x{j}" for j in range(3 + i % 4)]
+        t = shared + own
+        if i % 7 == 0:
+            t[rnd.randrange(20)] = f"z{i}"
+        rows.append((i, " ".join(t), "x", 1))
+    for k, percent in ((1, 85), (4, 85), (2, 80)):
+        got = ngram_components(spark.createDataFrame(rows, SCHEMA).repartition(5), k, percent)
+        assert sorted(map(tuple, got.collect()), key=str) == brute(rows, k, percent)
+
+
+def test_very_long_texts(spark):
+    """Texts of tens of MB and a word of a MB."""
+    rnd = random.Random(3)
+    text = " ".join(f"{rnd.randrange(10**9):09d}" for _ in range(1_200_000))
+    cut = text[: len(text) * 9 // 10]
+    rows = [(5, text), (2, cut), (3, text.replace("1", "2")), (4, "q" * 1_000_000), (1, "Q" * 1_000_000 + "\n")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    n = len(set(zip(*(text.split()[i:] for i in range(4)))))  # noqa: B905
+    assert got[5] == (n, 2) and got[2][1] == 2 and got[3][1] == 3 and got[4] == got[1] == (1, 1)
