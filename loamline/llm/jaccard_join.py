@@ -68,7 +68,7 @@ def _node(n: int, d1: int, d2: int) -> int:
 
 
 def _scan(k: int):
-    """(doc_id, text, ref) -> a row (doc_id, ref, n, node) each, and at the end the task's sketch in blocks of cells."""
+    """(doc_id, text, hash) -> a row (doc_id, hash, n, node) each, and at the end the task's sketch in blocks of cells."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,11 +83,11 @@ def _scan(k: int):
                     cells = (np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int64)
                     counts += np.bincount(cells, minlength=len(counts)).astype(np.uint32)
             nul = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *nul], names=["doc_id", "ref", "n", "node", "block", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *nul], names=["doc_id", "hash", "n", "node", "block", "cells"])
         if counts.any():
             parts = counts.reshape(16, -1)
             nul = [pa.nulls(16, pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([*nul, pa.array(range(16), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "ref", "n", "node", "block", "cells"])
+            yield pa.RecordBatch.from_arrays([*nul, pa.array(range(16), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "hash", "n", "node", "block", "cells"])
 
     return run
 
@@ -373,22 +373,15 @@ def _decide(percent: int):
     return run
 
 
-def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each row of ``docs`` (doc_id, text; other columns are ignored).
-
-    Two documents link when 100 * common >= percent * union of their distinct ``k``-word shingles.
-    A null or wordless text has n_shingles 0 and links with nothing. Rows that repeat a doc_id each count
-    with their own text; a null doc_id takes part, but names no component unless all of its members are null
-    (then component_id is null). Empty tables give no rows.
-    """
+def _linked(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, hash, n, node) for each row of ``docs``; (node, comp) for the nodes that have links). Equal sets are one node; comp is the smallest node."""
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "jaccard")
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    src = src.withColumn("ref", F.coalesce("doc_id", F.xxhash64("text")))  # what a row is fetched by
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    ref = F.coalesce("doc_id", "hash")  # what a row is fetched by
     boundary = light_boundary(percent)
 
-    scan = scratch.save(src.mapInArrow(_scan(k), "doc_id long, ref long, n long, node long, block int, cells binary"), "scan")
-    digests = scan.filter("block is null").select("doc_id", "ref", "n", "node")
+    scan = scratch.save(src.mapInArrow(_scan(k), "doc_id long, hash long, n long, node long, block int, cells binary"), "scan")
+    digests = scan.filter("block is null").select("doc_id", "hash", "n", "node")
     levels = scan.filter("block is not null").select("block", "cells").repartition(16, "block").mapInArrow(_add_cells, "block int, level binary")
     whole = {r["block"]: bytes(r["level"]) for r in levels.collect()}  # at most 2**SKETCH_BITS bytes
     level = spark.sparkContext.broadcast(b"".join(whole.get(i, bytes(1 << SKETCH_BITS >> 4)) for i in range(16)))
@@ -410,8 +403,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Sc
             likely = pairs.join(na, "a").join(nb, "b").select("a", "b", "na", "sa", "nb", "sb")
             likely = scratch.save(likely.mapInArrow(_plausible(percent), "a long, b long"), "likely")
         needed = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-        holders = digests.groupBy("node").agg(F.min("ref").alias("ref")).join(needed, "node", "left_semi")
-        texts = src.join(holders, "ref").select("node", "text")
+        holders = digests.groupBy("node").agg(F.min(ref).alias("ref")).join(needed, "node", "left_semi")
+        texts = src.join(holders, ref == F.col("ref")).select("node", "text")
         sets = scratch.save(texts.mapInArrow(_sets(k), "node long, items binary"), "sets")
         sa, sb = (sets.select(F.col("node").alias(x), F.col("items").alias("i" + x)) for x in "ab")
         return scratch.save(likely.join(sa, "a").join(sb, "b").select("a", "b", "ia", "ib").mapInArrow(_decide(percent), "a long, b long"), "links")
@@ -451,6 +444,18 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Sc
         links = links.unionByName(verified(cross, screened=True))
         comp = scratch.save(components(links, scratch), "comp")
 
+    return digests, comp
+
+
+def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one for each row of ``docs`` (doc_id, text; other columns are ignored).
+
+    Two documents link when 100 * common >= percent * union of their distinct ``k``-word shingles.
+    A null or wordless text has n_shingles 0 and links with nothing. Rows that repeat a doc_id each count
+    with their own text; a null doc_id takes part, but names no component unless all of its members are null
+    (then component_id is null). Empty tables give no rows.
+    """
+    digests, comp = _linked(docs, k, percent, scratch or Scratch(docs.sparkSession, "jaccard"))
     named = digests.groupBy("node").agg(F.min("doc_id").alias("least")).join(comp, "node", "left")
     named = named.withColumn("comp", F.coalesce("comp", "node"))
     label = named.groupBy("comp").agg(F.min("least").alias("label"))
@@ -460,12 +465,20 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Sc
     )
 
 
-def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, without the members of each component but the one with the smallest doc_id.
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+    """One row, with all columns, of each component of ``docs``: the one with the smallest doc_id, null last, and of these the one with the smallest hash of its text.
 
-    Rows that share a doc_id stay or go together: they stay if one of them is the first of its component. Rows without a doc_id stay.
+    Of rows with that id and text, which one stays is open. Rows without words all stay. Columns may have any name.
     """
-    comp = ngram_components(docs, k, percent).filter("doc_id is not null")
-    gone = comp.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("_gone"))
-    gone = gone.filter("_gone").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left_anti")
+    digests, comp = _linked(docs, k, percent, scratch or Scratch(docs.sparkSession, "jaccard"))
+    rows = digests.filter("n > 0").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = rows.groupBy("comp", "doc_id", "hash").agg(F.count("*").alias("times"))  # a text has one node, so a key has one component
+    order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "hash")
+    first = rows.groupBy("comp").agg(F.min(order).alias("first"))
+    rows = rows.join(first, "comp").withColumn("stays", order == F.col("first"))
+    # Few rows need anything: those that go, and those of which one of several stays.
+    rows = rows.filter("not stays or times > 1").select(F.col("doc_id").alias("_i"), F.col("hash").alias("_h"), "stays")
+    whole = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
+    whole = whole.join(rows, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left").filter("stays is null or stays")
+    lone = whole.filter("stays is null").select("_doc.*")
+    return lone.unionByName(whole.filter("stays").groupBy("_i", "_h").agg(F.first("_doc").alias("_doc")).select("_doc.*"))

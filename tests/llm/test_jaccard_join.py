@@ -108,3 +108,18 @@ def test_very_long_texts(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
     n = len(set(zip(*(text.split()[i:] for i in range(4)))))  # noqa: B905
     assert got[5] == (n, 2) and got[2][1] == 2 and got[3][1] == 3 and got[4] == got[1] == (1, 1)
+
+
+def test_keep_one(spark):
+    """One row of each group stays, whatever repeats: ids, texts, whole rows, null ids; extra columns stay as they are."""
+    t, u = "a b c d e f g h i j k l m n o p", "q r s t u v"
+    rows = [(1, t, "x", 0), (1, t, "y", 0), (2, t, "x", 0), (None, t, "x", 0), (None, u, "x", 0), (None, u, "x", 0), (None, u + " ", "z", 0), (7, "lone text of its own", "x", 0),
+            (8, "", "x", 0), (8, "", "x", 0), (9, None, "x", 0), (7, "another lone text here", "x", 0), (5, t.upper(), "x", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string, stays int").repartition(3)
+    got = jaccard_join.keep_one(df)
+    assert got.columns == df.columns
+    got = sorted((r.doc_id, r.text and r.text.strip()) for r in got.collect() if r.doc_id is not None)
+    assert got == [(1, t), (7, "another lone text here"), (7, "lone text of its own"), (8, ""), (8, ""), (9, None)]
+    none = [r for r in jaccard_join.keep_one(df).collect() if r.doc_id is None]
+    assert len(none) == 1 and none[0].text.strip() == u
+    assert jaccard_join.keep_one(df.limit(0)).collect() == []
