@@ -49,3 +49,14 @@ def test_token_counts(spark, tools):
     want = [(i, len((t or "").encode()), tools[0].direct(t or ""), tools[0].direct(t or "") > 40) for i, t, _ in rows]
     assert got == sorted(want, key=str)
     assert token_counts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_many_chunks_and_buckets(spark, tools, monkeypatch):
+    """Small chunks, rows and buckets give the library's counts of whole documents, too."""
+    from loamline.llm import token_counts as tc
+
+    for name, value in (("CHUNK_PRE", 500), ("CHUNK_ENTRIES", 3000), ("ROW_ENTRIES", 400), ("BUCKET_DOCS", 20)):
+        monkeypatch.setattr(tc, name, value)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    got = {r.doc_id: r.n_tokens for r in token_counts(docs).collect()}
+    assert got == {r.doc_id: tools[0].direct(r.text or "") for r in docs.collect()}
