@@ -13,9 +13,10 @@ SOURCE_TYPES = ("wiki", "ticket", "chat", "email", "pdf", "docx")
 INDEX = "chunk_id STRING, doc_id STRING, content STRING, content_hash STRING, allowed_groups ARRAY<STRING>, source_type STRING, embedding ARRAY<FLOAT>, model STRING"
 
 
-def skip_reason(groups: Column, source_type: Column) -> Column:
-    """Why a document is not indexed, null if it is."""
-    return F.when(F.coalesce(F.size(groups), F.lit(0)) == 0, "no_groups").when(~F.coalesce(source_type.isin(*SOURCE_TYPES), F.lit(False)), "unsupported_type")
+def skip_reason(groups: Column, source_type: Column, n_chunks: Column | None = None) -> Column:
+    """Why a document is not indexed, null if it is: nobody may read it, its type is unknown, or (if ``n_chunks`` is given) it has no chunks."""
+    reason = F.when(F.coalesce(F.size(groups), F.lit(0)) == 0, "no_groups").when(~F.coalesce(source_type.isin(*SOURCE_TYPES), F.lit(False)), "unsupported_type")
+    return reason if n_chunks is None else reason.when(F.coalesce(n_chunks, F.lit(0)) == 0, "no_chunks")
 
 
 def documents(chunks: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def documents(chunks: DataFrame) -> DataFrame:
     out = chunks.groupBy("doc_id").agg(ordered.alias("_o"), first("title"), first("source_type"), first("allowed_groups"))
     hashes = F.array_join(F.transform("_o", lambda x: x["content_hash"]), "\n")
     out = out.select("doc_id", F.coalesce("title", "doc_id").alias("title"), "source_type", "allowed_groups", F.size("_o").alias("n_chunks"), F.sha2(hashes, 256).alias("content_hash"))
-    return out.withColumn("skip_reason", skip_reason(F.col("allowed_groups"), F.col("source_type")))
+    return out.withColumn("skip_reason", skip_reason(F.col("allowed_groups"), F.col("source_type"), F.col("n_chunks")))
 
 
 def update(gold: VersionedTable, index: VersionedTable, marks: VersionedTable, embed: Callable[[DataFrame], DataFrame], model: str) -> dict:

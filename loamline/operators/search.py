@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import document_subquery, heuristic_route
-from ..functions.vectors import cosine, dot, normalised
+from ..functions.vectors import cosine, normalised
 from ..scratch import Scratch
 from . import fulltext
 from .documents import rrf, top_k, visible
@@ -34,32 +35,80 @@ def hybrid(chunks: DataFrame, index: DataFrame, query: str, vector: list[float],
     return seen.join(F.broadcast(fused), "chunk_id").withColumn("similarity", similarity).orderBy(F.col("score").desc(), "chunk_id").limit(k)
 
 
+def _nearest(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best scores, ties by id, best first."""
+    if len(scores) > 4 * k:
+        least = -np.partition(-scores, k - 1)[k - 1]
+        some = np.flatnonzero(scores >= least)
+    else:
+        some = np.arange(len(scores))
+    return some[np.lexsort((ids[some], -scores[some]))[:k]]
+
+
+def _best_of_task(asked, k: int, digits: int | None):
+    """(id, vector of length 1) in batches -> (query_id, id, similarity): the task's best ``k`` for each query, all that it holds at any time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = asked.value
+        best = [(np.empty(0, np.int64), np.empty(0)) for _ in names]
+        for b in batches:
+            by_length: dict[int, list[int]] = {}
+            offsets = b.column(1).offsets.to_numpy()
+            for i, n in enumerate(np.diff(offsets).tolist()):
+                by_length.setdefault(n, []).append(i)
+            ids, flat = b.column(0).to_numpy(), b.column(1).values.to_numpy()
+            for n, rows in by_length.items():
+                if n not in q:
+                    continue
+                at, x = np.array(rows), flat[offsets[rows][:, None] + np.arange(n)]
+                own, y = q[n]
+                for lo in range(0, len(own), 256):
+                    sim = y[lo : lo + 256] @ x.T
+                    sim = sim if digits is None else np.round(sim, digits)
+                    for row, who in zip(sim, own[lo : lo + 256], strict=True):
+                        had, had_sim = best[who]
+                        if len(had) == k:  # most rows of most batches aren't near any query
+                            hit = np.flatnonzero(row >= had_sim[-1])
+                            if not len(hit):
+                                continue
+                        else:
+                            hit = np.arange(len(row))
+                        new, new_sim = np.concatenate((had, ids[at[hit]])), np.concatenate((had_sim, row[hit]))
+                        keep = _nearest(new, new_sim, k)
+                        best[who] = new[keep], new_sim[keep]
+        sizes = [len(x) for x, _ in best]
+        who = pa.array(np.repeat(np.asarray(names, np.int64), sizes))
+        yield pa.RecordBatch.from_arrays([who, *(pa.array(np.concatenate([x[i] for x in best]) if best else []) for i in (0, 1))], names=["query_id", "id", "similarity"])
+
+    return run
+
+
 def batch_vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK, digits: int | None = None) -> DataFrame:
-    """(query_id, id, similarity, rank): the nearest ``k`` of all ``vectors`` (id, embedding) for each of ``queries`` (query_id, query), exactly.
+    """(query_id, id, similarity, rank): the nearest ``k`` of all ``vectors`` (id, embedding) for each of ``queries`` (query_id, query), exactly; ids are long.
 
-    A pass takes about ``block`` queries to every task of the vectors, so what is broadcast has that bound however many queries there are;
-    a task keeps its best k for each query of the pass. Null and zero vectors aren't found and find nothing. Similarities are
-    rounded to ``digits`` before they are ordered, if given; ties go to the least id.
+    A pass sends at most ``block`` queries to every task of the vectors, however many queries there are; a task keeps its best ``k`` for each
+    query of the pass, and only these are shuffled. Null and zero vectors aren't found and find nothing, nor do vectors of other lengths. Similarities
+    are rounded to ``digits`` before they are ordered, if given; ties go to the least id.
     """
     spark = vectors.sparkSession
-    unit = vectors.select("id", normalised(F.col("embedding")).alias("_v")).filter("_v is not null")
-    asked = queries.select("query_id", normalised(F.col("query")).alias("_q")).filter("_q is not null")
-    passes = max(1, math.ceil(queries.count() / block))
-    score = dot(F.col("_v"), F.col("_q")) if digits is None else F.round(dot(F.col("_v"), F.col("_q")), digits)
-
-    def one_pass(part: DataFrame) -> DataFrame:
-        near = unit.join(F.broadcast(part)).select("query_id", F.struct((-score).alias("d"), F.col("id").alias("id")).alias("c"))
-        best = near.groupBy("query_id", F.spark_partition_id()).agg(F.slice(F.array_sort(F.collect_list("c")), 1, k).alias("b"))
-        best = best.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("b"))), 1, k).alias("b"))
-        out = best.select("query_id", F.posexplode("b").alias("p", "b"))
-        return out.select("query_id", F.col("b.id").alias("id"), (-F.col("b.d")).alias("similarity"), (F.col("p") + 1).alias("rank"))
-
-    if passes == 1:
-        return one_pass(asked)
     scratch = Scratch(spark, "batch-search")
-    asked = scratch.save(asked.withColumn("_pass", F.pmod(F.xxhash64("query_id"), F.lit(passes))), "queries")
-    done = [scratch.save(one_pass(asked.filter(F.col("_pass") == i).drop("_pass")), "found") for i in range(passes)]
-    return spark.read.schema(done[0].schema).parquet(*(d._loamline_path for d in done))
+    unit = vectors.select(F.col("id").cast("long").alias("id"), normalised(F.col("embedding")).alias("_v")).filter("_v is not null and id is not null")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), normalised(F.col("query")).alias("_q")).filter("_q is not null and query_id is not null")
+    numbered = asked.withColumn("_n", F.row_number().over(Window.orderBy("query_id"))) if block < queries.count() else asked.withColumn("_n", F.lit(1))
+    numbered = scratch.save(numbered, "queries")
+    last = numbered.agg(F.max("_n").alias("n")).first()["n"] or 1
+    found = []
+    for lo in range(0, last, block):
+        some = numbered.filter((F.col("_n") > lo) & (F.col("_n") <= lo + block)).select("query_id", "_q").collect()  # at most ``block`` rows
+        by: dict[int, list[int]] = {}
+        for i, r in enumerate(some):
+            by.setdefault(len(r["_q"]), []).append(i)
+        shared = spark.sparkContext.broadcast(([r["query_id"] for r in some], {n: (own, np.array([some[i]["_q"] for i in own])) for n, own in by.items()}))
+        part = unit.mapInArrow(_best_of_task(shared, k, digits), "query_id long, id long, similarity double")
+        found.append(part if last <= block else scratch.save(part, "found"))
+    every = found[0] if len(found) == 1 else spark.read.schema(found[0].schema).parquet(*(d._loamline_path for d in found))
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
+    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def evaluate_retrieval(cases: DataFrame, chunks: DataFrame, index: DataFrame, embed: Callable[[str], list[float]], k: int = 8) -> DataFrame:

@@ -20,7 +20,7 @@ FUNCTIONS = frozenset(
     "count sum avg min max stddev variance median percentile count_if bool_and bool_or any_value first last round bround floor ceil ceiling abs sqrt power mod greatest least sign exp ln log "
     "lower upper trim ltrim rtrim length substring substr concat concat_ws replace split_part left right lpad rpad instr position regexp_replace regexp_extract coalesce nullif nvl ifnull if "
     "date_trunc date_add date_sub datediff months_between add_months year month day hour quarter extract to_date to_timestamp date_format make_date make_interval last_day current_date current_timestamp now "
-    "row_number rank dense_rank percent_rank ntile lag lead first_value last_value cast string_agg listagg array_agg collect_list date int bigint double decimal string timestamp boolean like ilike isnull isnotnull not and or".split()
+    "row_number rank dense_rank percent_rank ntile lag lead first_value last_value cast string_agg listagg array_agg collect_list date int bigint double decimal string timestamp boolean like ilike isnull isnotnull not and or age date_bin".split()
 )
 #: Expressions by class name that the parser makes; any other is refused.
 EXPRESSIONS = frozenset(
@@ -35,6 +35,14 @@ EXPRESSIONS = frozenset(
 _QUALIFIER = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/)|\banalytics\s*\.\s*""", re.S | re.I)
 
 
+#: Date functions that callers know and Spark lacks: the span between two times, and the start of the bin of a width, counted from an origin, that a time lies in.
+DATE_FUNCTIONS = (
+    "CREATE OR REPLACE TEMPORARY FUNCTION age(a TIMESTAMP, b TIMESTAMP) RETURNS INTERVAL DAY TO SECOND RETURN a - b",
+    """CREATE OR REPLACE TEMPORARY FUNCTION date_bin(width INTERVAL DAY TO SECOND, at TIMESTAMP, origin TIMESTAMP) RETURNS TIMESTAMP
+    RETURN origin + width * floor((unix_micros(at) - unix_micros(origin)) / (extract(DAY FROM width) * 86400000000 + extract(HOUR FROM width) * 3600000000 + extract(MINUTE FROM width) * 60000000 + extract(SECOND FROM width) * 1000000))""",
+)
+
+
 class Rejected(ValueError):
     pass
 
@@ -116,6 +124,8 @@ class Caller:
 
     def __init__(self, spark: SparkSession, views: dict[str, tuple[DataFrame, list[str] | None]], groups: list[str], max_rows: int = 200, timeout_s: float = 5.0):
         self.session, self.max_rows, self.timeout_s = spark.newSession(), max_rows, timeout_s
+        for statement in DATE_FUNCTIONS:
+            self.session.sql(statement)
         self.views = [name for name, (_, need) in views.items() if groups and (need is None or set(need) & set(groups))]
         for name in self.views:
             df = views[name][0]

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.numbers import known_sum, nearest_rank
+from ..functions.numbers import known_sum, nearest_ranks
 from ..functions.vectors import cosine
 from ..operators import documents as D
 from ..operators import evaluation, fulltext
 from ..operators.search import batch_vector_top_k
-from . import lake_queries, record_queries  # noqa: F401  they register queries
+from . import lake_queries, record_queries, serving_queries  # noqa: F401  they register queries
 from .catalog import ORACLES, QUERIES, query, table
 
 
@@ -192,8 +192,9 @@ def pii_flags(spark, sf_dir):
 
 @query(rf"""WITH a AS (SELECT doc_id, regexp_replace(text, '{EMAIL_SQL}', '[EMAIL]', 'g') AS t, text FROM documents),
 b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '{PHONE_SQL}', '\1[PHONE]\3', 'g'), '{PHONE_SQL}', '\1[PHONE]\3', 'g') AS t, text FROM a),
-c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '{SSN_SQL}', '\1[SSN]\3', 'g'), '{SSN_SQL}', '\1[SSN]\3', 'g') AS t, text FROM b)
-SELECT doc_id, masked FROM (SELECT doc_id, text, list_reduce(list_concat([t], {cards_sql('t')}), lambda x, m: replace(x, m, '[CARD]')) AS masked FROM c) WHERE masked <> text""")
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '{SSN_SQL}', '\1[SSN]\3', 'g'), '{SSN_SQL}', '\1[SSN]\3', 'g') AS t, text FROM b),
+d AS (SELECT doc_id, list_reduce(list_concat([t], {cards_sql('t')}), lambda x, m: replace(x, m, '[CARD]')) AS t, text FROM c)
+SELECT doc_id, masked FROM (SELECT doc_id, text, list_reduce(list_concat([t], {cards_sql('t')}), lambda x, m: replace(x, m, '[CARD]')) AS masked FROM d) WHERE masked <> text""")
 def pii_masked(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("doc_id", "text", X.mask_pii(F.col("text")).alias("masked"))
     return df.filter("masked <> text").select("doc_id", "masked")
@@ -266,7 +267,7 @@ def set_ops_capped(spark, sf_dir):
 @query("""SELECT event_type, [x FOR x IN list_sort(list(value))][(round_even(0.5 * (count(*) - 1), 0) + 1)::INT] AS p50, [x FOR x IN list_sort(list(value))][(round_even(0.95 * (count(*) - 1), 0) + 1)::INT] AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1""")
 def latency_percentiles(spark, sf_dir):
     df = table(spark, sf_dir, "events").filter("value is not null")
-    return df.groupBy("event_type").agg(nearest_rank(F.col("value"), 0.5).alias("p50"), nearest_rank(F.col("value"), 0.95).alias("p95"))
+    return nearest_ranks(df, "value", {"p50": 0.5, "p95": 0.95}, "event_type")
 
 
 @query("""SELECT user_id, CASE WHEN count(*) = count(v) THEN coalesce(sum(v), 0)::BIGINT END AS total FROM (SELECT user_id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE event_id END AS v FROM events) GROUP BY 1""")

@@ -163,15 +163,36 @@ def parse_conversation(data: bytes) -> tuple[str | None, Blocks]:
         raise ParseError("no messages")
     if "ticket_id" in d:
         c = d.get("customer") or {}
-        details = [f"Ticket {d['ticket_id']}", f"Status: {d.get('status')}", f"Priority: {d.get('priority')}", f"Customer: {c.get('name')} ({c.get('tier')})"]
-        lines = [f"{m.get('author')} ({m.get('role')}, {m.get('sent_at')}): {m.get('body')}" for m in messages]
-        return d.get("subject"), [(True, "Details"), *((False, x) for x in details), (True, "Messages"), *((False, x) for x in lines)]
-    if "channel" in d:
-        return f"#{d['channel']}", [(True, "Messages"), *((False, f"{m.get('user')} ({m.get('ts')}): {m.get('text')}") for m in messages)]
-    if "thread_id" in d:
-        lines = [f"{(m.get('from') or {}).get('name')} ({m.get('sent_at')}): {m.get('body')}" for m in messages]
-        return d.get("subject"), [(True, "Messages"), *((False, x) for x in lines)]
-    raise ParseError("unknown conversation")
+        details = [
+            f"Ticket: {d['ticket_id']}", f"Status: {d.get('status')} | Priority: {d.get('priority')}", f"Customer: {c.get('name')} ({c.get('customer_id')}, {c.get('tier')} tier)",
+            f"Shipment: {d.get('shipment_id')}", f"Requester: {_person(d.get('requester'))}", f"Assignee: {_person(d.get('assignee'))}",
+        ]
+        head = [(True, "Ticket details"), *((False, x) for x in details)]
+    elif "channel" in d:
+        head = [(True, f"Thread in {d['channel']}")]
+    else:
+        head = [(True, "Email thread"), (False, f"Subject: {d.get('subject')}")]
+    lines = (line for m in messages for line in _message(m))
+    title = d.get("subject") or d.get("channel")
+    return str(title) if title else None, [*head, (True, "Messages"), *((False, x) for x in lines)]
+
+
+def _person(x) -> str:
+    """A name with its address, whichever there is."""
+    if not isinstance(x, dict):
+        return str(x)
+    name, email = x.get("name"), x.get("email")
+    return f"{name} <{email}>" if name and email else str(name or email or "")
+
+
+def _message(m: dict) -> list[str]:
+    """Lines of a chat, mail or ticket message, told apart by their keys."""
+    if "text" in m:
+        return [f"[{m.get('ts')}] {m.get('user')}: {m['text']}"]
+    if "from" in m:
+        to = ", ".join(map(_person, m.get("to") or []))
+        return [f"[{m.get('sent_at')}] From {_person(m['from'])} to {to}:", str(m.get("body") or "")]
+    return [f"[{m.get('sent_at')}] {m.get('author')} ({m.get('role')}): {m.get('body') or ''}"]
 
 
 #: Font sizes from which a line of a PDF is the title, or a heading.
@@ -188,11 +209,7 @@ def parse_pdf(data: bytes) -> tuple[str | None, Blocks]:
     return title, [(size >= PDF_HEADING, t) for t, size in lines if size < PDF_TITLE]
 
 
-def parse_text(data: bytes) -> tuple[str | None, Blocks]:
-    return None, [(False, line) for line in data.decode("utf-8", "replace").split("\n")]
-
-
-PARSERS = {"md": parse_markdown, "html": parse_html, "htm": parse_html, "docx": parse_docx, "pdf": parse_pdf, "json": parse_conversation, "txt": parse_text}
+PARSERS = {"md": parse_markdown, "html": parse_html, "docx": parse_docx, "pdf": parse_pdf, "json": parse_conversation}
 
 
 def parse(key: str, data: bytes) -> tuple[str | None, list[dict]]:

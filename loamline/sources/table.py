@@ -1,8 +1,9 @@
-"""Versioned Parquet tables with merge, change feed and time travel.
+"""Versioned Parquet tables with merge, append, change feed, time travel and a stream of commits.
 
-``<path>/_commits/NNNNNNNN.json`` names a version's snapshot and change folders. Data files are immutable; a commit file
-is put in place by a rename as the last step, so readers see whole versions only, and of two writers one fails. A merge that
-changes nothing commits nothing. A streaming batch that was committed before is not committed again.
+``<path>/_commits/NNNNNNNN.json`` names a version's data files, its folder of changes and the last batch of each stream that wrote to the table. Data
+files are immutable; a commit file is put in place by a rename as the last step, so readers and streams see whole versions only, and of two writers
+one fails. A merge writes the batch's own rows and those data files again that hold rows which it changes; an append writes new rows alone.
+What changes nothing commits nothing. A streaming batch that was committed before is not committed again.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.documents import merge_plan
+#: Marks rows that a replacement takes away.
+ROW = "_gone"
 
 
 class VersionedTable:
@@ -33,6 +35,8 @@ class VersionedTable:
         return sorted(int(n[:8]) for n in names if n.endswith(".json") and n[:8].isdigit())
 
     def _commit(self, version: int) -> dict:
+        if version == 0:
+            return {"files": [], "streams": {}}
         stream = self._fs.open(self._path(f"{self.path}/_commits/{version:08d}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
@@ -47,76 +51,130 @@ class VersionedTable:
         self._fs.mkdirs(self._path(f"{self.path}/_commits"))
         return self
 
-    def read(self, version: int | None = None) -> DataFrame:
-        version = self.version() if version is None else version
-        if version == 0:
+    def _read_files(self, files: list[str]) -> DataFrame:
+        if not files:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self._commit(version)['snapshot']}")
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/data/{f}" for f in files))
+
+    def read(self, version: int | None = None) -> DataFrame:
+        return self._read_files(self._commit(self.version() if version is None else version)["files"])
 
     def changes(self, after: int, upto: int | None = None) -> DataFrame | None:
         """Change rows of versions (after, upto] with _change_type and _version; None if part of the history is gone."""
         upto = self.version() if upto is None else upto
-        schema = T.StructType([*self.schema, T.StructField("_change_type", T.StringType())])
-        out = self.spark.createDataFrame([], schema).withColumn("_version", F.lit(0))
-        for v in range(after + 1, upto + 1):
-            folder = f"{self.path}/_changes/version={v}"
-            if not self._fs.exists(self._path(folder)):
-                return None
-            out = out.unionByName(self.spark.read.schema(schema).parquet(folder).withColumn("_version", F.lit(v)))
-        return out
+        return self.changes_of(range(after + 1, upto + 1))
+
+    def changes_of(self, versions) -> DataFrame | None:
+        """Change rows of the given versions, in one scan."""
+        schema = T.StructType([*self.schema, T.StructField("_change_type", T.StringType()), T.StructField("_version", T.IntegerType())])
+        folders = [f"{self.path}/_changes/_version={v}" for v in versions]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        if not all(self._fs.exists(self._path(f)) for f in folders):
+            return None
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/_changes").parquet(*folders)
+
+    def commits_stream(self, max_files: int = 500) -> DataFrame:
+        """The commits as a stream of (version), for a job that reads ``changes_of`` the versions of each batch."""
+        self.ensure()
+        src = self.spark.readStream.schema("version BIGINT").option("pathGlobFilter", "[0-9]*.json").option("maxFilesPerTrigger", max_files)
+        return src.json(f"{self.path}/_commits")
 
     def done(self, stream: str, batch_id: int) -> bool:
-        return any(c.get("stream") == stream and c.get("batch_id") == batch_id for c in map(self._commit, self._commits()))
+        """Whether a batch of a stream was committed; batches of a stream come in order."""
+        return self._commit(self.version())["streams"].get(stream, -1) >= batch_id
 
     def merge(self, source: DataFrame, key: str, update_if: Column | None = None, delete_if: Column | None = None, insert_if: Column | None = None,
               stream: str | None = None, batch_id: int | None = None) -> dict[str, int]:
-        """Merges ``source`` by ``key``; conditions see t and s. Gives the number of rows by action."""
+        """Merges ``source`` by ``key``; conditions see t and s. Gives the number of the source's rows by action: insert, update, delete, keep or ignore."""
+        if stream is not None and self.done(stream, batch_id):
+            return {}
+        action = F.when(delete_if, F.when(F.col("t").isNull(), "ignore").otherwise("delete")) if delete_if is not None else F.when(F.lit(False), "")
+        action = action.when(F.col("t").isNull(), F.when(insert_if if insert_if is not None else F.lit(True), "insert").otherwise("ignore"))
+        action = action.when(F.lit(True) if update_if is None else update_if, "update").otherwise("keep")
+        return self._apply(source, key, action, stream, batch_id)
+
+    def _work(self, df: DataFrame) -> tuple[DataFrame, str]:
+        path = f"{self.path}/_work/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def _apply(self, source: DataFrame, key: str, action: Column, stream: str | None, batch_id: int | None, extra: tuple[str, ...] = ()) -> dict[str, int]:
+        """Applies ``action`` of (t, s), the target's and the source's row, to each row of ``source``; other rows of the target stay as they are. s has the columns ``extra``, too."""
+        self.ensure()
+        last = self._commit(self.version())
+        names = self.schema.names
+        target = self._read_files(last["files"])
+        target = target.select(F.col(key).alias("_tk"), F.struct(*names).alias("t"), (F.input_file_name() if last["files"] else F.lit(None).cast("string")).alias("_file"))
+        s = source.select(F.col(key).alias("_sk"), F.struct(*names, *extra).alias("s"))
+        plan, work = self._work(s.join(target, F.col("_tk") == F.col("_sk"), "left").select(action.alias("_action"), "_sk", "t", "s", "_file"))
+        try:
+            if not plan.groupBy("_sk").count().filter("count > 1").isEmpty():
+                raise ValueError(f"source has several rows for one {key}")
+            counts = {r["_action"]: r["count"] for r in plan.groupBy("_action").count().collect()}
+            if any(counts.get(a) for a in ("insert", "update", "delete")):
+                changed = plan.filter("_action in ('update', 'delete')")
+                # Names of data files, which the commit lists anyway.
+                touched = {self._name(r["_file"]) for r in changed.select("_file").distinct().collect()}
+                kept = self._read_files(sorted(touched)).join(changed.select(F.col("_sk").alias(key)), key, "left_anti").select(names)
+                new = plan.filter("_action in ('insert', 'update')").select("s.*").select(names)
+                kind = F.col("_action")
+                old = changed.select("t.*", F.when(kind == "update", "update_preimage").otherwise("delete").alias("_change_type"))
+                fresh = plan.filter("_action in ('insert', 'update')").select("s.*", F.when(kind == "update", "update_postimage").otherwise("insert").alias("_change_type")).select(*names, "_change_type")
+                self._write(last, sorted(set(last["files"]) - touched), kept.unionByName(new), old.select(*names, "_change_type").unionByName(fresh), stream, batch_id)
+            return counts
+        finally:
+            self._fs.delete(self._path(work), True)
+
+    @staticmethod
+    def _name(file: str) -> str:
+        """A data file's name below ``data``: its run's folder and its own."""
+        return "/".join(file.rsplit("/", 2)[-2:])
+
+    def _write(self, last: dict, files: list[str], rows: DataFrame, changes: DataFrame, stream: str | None, batch_id: int | None) -> None:
+        version, run = last.get("version", 0) + 1, uuid.uuid4().hex
+        folder = self._path(f"{self.path}/data/{run}")
+        rows.write.parquet(folder.toString())
+        new = [f"{run}/{x.getPath().getName()}" for x in self._fs.listStatus(folder) if x.getPath().getName().endswith(".parquet")]
+        changes.select(*self.schema.names, "_change_type").write.mode("overwrite").parquet(f"{self.path}/_changes/_version={version}")
+        streams = last["streams"] | ({stream: batch_id} if stream is not None else {})
+        self._publish(version, {"version": version, "files": files + new, "streams": streams})
+
+    def append_new(self, source: DataFrame, key: str, stream: str | None = None, batch_id: int | None = None) -> dict[str, int]:
+        """Insert-only merge: rows whose key is new, of repeated keys one row. Only the table's keys are read, and nothing is written again."""
         if stream is not None and self.done(stream, batch_id):
             return {}
-        if source.groupBy(key).count().filter("count > 1").limit(1).count():
-            raise ValueError(f"source has several rows for one {key}")
-        plan = merge_plan(self.read(), source.select(self.schema.names), key, F.lit(True) if update_if is None else update_if, delete_if, insert_if)
-        return self._apply(plan, stream, batch_id)
-
-    def _apply(self, plan: DataFrame, stream: str | None = None, batch_id: int | None = None) -> dict[str, int]:
         self.ensure()
-        version, run = self.version() + 1, uuid.uuid4().hex
-        work = f"{self.path}/_work/{run}"
-        plan.write.parquet(work)
-        plan = self.spark.read.parquet(work)
-        counts = {r["_action"]: r["count"] for r in plan.groupBy("_action").count().collect()}
-        if any(counts.get(a) for a in ("insert", "update", "delete")):
-            kept = plan.filter("_action = 'keep'").select("_old.*").select(self.schema.names)
-            new = plan.filter("_action in ('insert', 'update')").select("_new.*").select(self.schema.names)
-            kept.unionByName(new).write.parquet(f"{self.path}/snap/v{version}-{run}")
-            old = plan.filter("_action in ('update', 'delete')").select(
-                "_old.*", F.when(F.col("_action") == "update", "update_preimage").otherwise("delete").alias("_change_type")
-            )
-            fresh = plan.filter("_action in ('update', 'insert')").select(
-                "_new.*", F.when(F.col("_action") == "update", "update_postimage").otherwise("insert").alias("_change_type")
-            )
-            names = [*self.schema.names, "_change_type"]
-            old.select(names).unionByName(fresh.select(names)).write.mode("overwrite").parquet(f"{self.path}/_changes/version={version}")
-            self._publish(version, {"version": version, "snapshot": f"snap/v{version}-{run}", "stream": stream, "batch_id": batch_id})
-        self._fs.delete(self._path(work), True)
-        return counts
-
-    def append_new(self, source: DataFrame, key: str, **commit) -> dict[str, int]:
-        """Insert-only merge: rows whose key is new; of repeated keys one row."""
-        return self.merge(source.dropDuplicates([key]), key, update_if=F.lit(False), **commit)
-
-    def replace_where(self, rows: DataFrame, key: str, unit: str, units: DataFrame, ignore: tuple[str, ...] = ()) -> dict[str, int]:
+        last = self._commit(self.version())
+        new = source.select(self.schema.names).dropDuplicates([key]).join(self._read_files(last["files"]).select(key), key, "left_anti").select(self.schema.names)
+        rows, work = self._work(new)
+        try:
+            n = rows.count()
+            if n:
+                self._write(last, last["files"], rows, rows.withColumn("_change_type", F.lit("insert")), stream, batch_id)
+            return {"insert": n}
+        finally:
+            self._fs.delete(self._path(work), True)
+
+    def replace_where(self, rows: DataFrame, key: str, unit: str, units: DataFrame, ignore: tuple[str, ...] = (), stream: str | None = None, batch_id: int | None = None) -> dict[str, int]:
         """Replaces all rows of the given ``units`` by ``rows`` in one commit. Rows that differ in columns to ``ignore`` alone stay as they are."""
+        if stream is not None and self.done(stream, batch_id):
+            return {}
         names = self.schema.names
         gone = self.read().join(units.select(unit).distinct(), unit, "left_semi").join(rows.select(key), key, "left_anti")
-        both = rows.select(*names, F.lit(False).alias("_gone")).unionByName(gone.select(*names, F.lit(True).alias("_gone")))
-        changed = ~F.struct(*(F.col(f"t.{c}") for c in names if c not in ignore)).eqNullSafe(F.struct(*(F.col(f"s.{c}") for c in names if c not in ignore)))
-        return self._apply(merge_plan(self.read(), both, key, changed, F.col("s._gone")))
+        both = rows.select(*names, F.lit(False).alias(ROW)).unionByName(gone.select(*names, F.lit(True).alias(ROW)))
+        both, work = self._work(both)
+        try:
+            same = F.struct(*(F.col(f"t.{c}") for c in names if c not in ignore)).eqNullSafe(F.struct(*(F.col(f"s.{c}") for c in names if c not in ignore)))
+            action = F.when(F.col(f"s.{ROW}"), "delete").when(F.col("t").isNull(), "insert").when(~same, "update").otherwise("keep")
+            return self._apply(both, key, action, stream, batch_id, extra=(ROW,))
+        finally:
+            self._fs.delete(self._path(work), True)
 
     def keep_only(self, keep: DataFrame, key: str) -> dict[str, int]:
         """Deletes all rows whose key isn't among ``keep``."""
-        both = self.read().join(keep.select(key), key, "left_anti")
-        return self._apply(merge_plan(self.read(), both, key, F.lit(False), F.lit(True)))
+        gone = self.read().join(keep.select(key), key, "left_anti")
+        return self._apply(gone, key, F.lit("delete"), None, None)
 
     def _publish(self, version: int, commit: dict) -> None:
         temp, final = (self._path(f"{self.path}/_commits/{x}") for x in (f".{uuid.uuid4().hex}", f"{version:08d}.json"))

@@ -7,13 +7,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.chunking import chunk_sections, content
-from ..operators.documents import latest_per_key
+from ..operators.documents import canonical_keys, latest_per_key
 from ..sources.parsers import ParseError, parse
 from ..sources.table import VersionedTable
 from . import contracts
@@ -146,9 +146,9 @@ def canonical_updates(silver: DataFrame, touched: DataFrame) -> DataFrame:
     """Rows of ``silver`` with a touched fingerprint and their canonical copy; tombstones and unreadable ones are no copies."""
     df = silver.join(touched.select("fingerprint").distinct(), "fingerprint", "left_semi")
     live = ~F.col("is_deleted") & F.col("parse_error").isNull()
-    order = Window.partitionBy("fingerprint", F.array_join(F.array_sort("allowed_groups"), ","), live)
-    first = F.min(F.struct(F.col("source_updated_at").isNull(), "source_updated_at", F.length("key"), F.col("key").alias("k"))).over(order)["k"]
-    df = df.withColumn("canonical_key", F.when(live, first).otherwise(F.col("key")))
+    own = df.filter(live).select("key", "fingerprint", "allowed_groups", "source_updated_at")
+    first = canonical_keys(own, "fingerprint", "allowed_groups", "source_updated_at", "key").select("key", F.col("canonical_key").alias("_first"))
+    df = df.join(first, "key", "left").withColumn("canonical_key", F.coalesce("_first", "key"))
     return df.withColumns({"is_duplicate": F.col("canonical_key") != F.col("key"), "updated_at": F.current_timestamp()}).select(*T.StructType.fromDDL(contracts.SILVER).names)
 
 
@@ -189,42 +189,40 @@ def run_bronze(lake: Lake, manifest_path: str, objects: DataFrame) -> None:
     run.start().awaitTermination()
 
 
-def _since(lake: Lake, source: str, sink: str) -> tuple[DataFrame | None, int]:
-    """Changes of ``source`` that ``sink`` hasn't seen, and the version they reach. The sink's mark is in its own folder."""
-    marks = VersionedTable(lake.spark, f"{lake.root}/_marks", "name STRING, version BIGINT")
-    seen = {r["name"]: r["version"] for r in marks.read().collect()}.get(f"{source}>{sink}", 0)
-    now = lake.table(source).version()
-    return (lake.table(source).changes(seen, now) if now > seen else None), now
+def _each_commit(lake: Lake, source: str, job: str, batch) -> None:
+    """Runs ``batch`` (versions, batch_id) over the commits of ``source`` that ``job`` hasn't seen, in bounded batches, and ends."""
 
+    def run(df: DataFrame, batch_id: int) -> None:
+        batch(sorted(r["version"] for r in df.collect()), batch_id)  # at most ``max_files`` numbers
 
-def _mark(lake: Lake, source: str, sink: str, version: int) -> None:
-    marks = VersionedTable(lake.spark, f"{lake.root}/_marks", "name STRING, version BIGINT")
-    marks.merge(lake.spark.createDataFrame([(f"{source}>{sink}", version)], "name string, version bigint"), "name", F.col("t.version") < F.col("s.version"))
+    src = lake.table(source).commits_stream(lake.max_files)
+    out = src.writeStream.foreachBatch(run).option("checkpointLocation", f"{lake.root}/_checkpoints/{job}").trigger(availableNow=True)
+    out.start().awaitTermination()
 
 
 def run_silver(lake: Lake) -> None:
-    """Parses what is new in bronze, newest event wins, then renews canonical copies of all fingerprints before and after."""
-    changed, now = _since(lake, "bronze", "silver")
-    if changed is None:
-        return
+    """Streams what is new in bronze into silver: parsed, newest event wins. A second stream then renews the canonical copies of all fingerprints before and after."""
     silver = lake.table("silver")
-    silver.merge(silver_rows(changed.drop("_change_type", "_version")), "key", update_if=F.col("s.sort_key") > F.col("t.sort_key"))
-    # Marked on its own, so that a run that ended between the two merges is made good by the next.
-    touched, upto = _since(lake, "silver", "canonical")
-    if touched is not None:
-        touched = touched.filter("fingerprint is not null")
-        silver.merge(canonical_updates(silver.read(), touched), "key", update_if=~F.col("t.canonical_key").eqNullSafe(F.col("s.canonical_key")))
-        _mark(lake, "silver", "canonical", upto)
-    _mark(lake, "bronze", "silver", now)
+
+    def parsed(versions: list[int], batch_id: int) -> None:
+        new = lake.table("bronze").changes_of(versions).drop("_change_type", "_version")
+        silver.merge(silver_rows(new), "key", update_if=F.col("s.sort_key") > F.col("t.sort_key"), stream="silver", batch_id=batch_id)
+
+    def canonical(versions: list[int], batch_id: int) -> None:
+        touched = silver.changes_of(versions).filter("fingerprint is not null")
+        silver.merge(canonical_updates(silver.read(), touched), "key", update_if=~F.col("t.canonical_key").eqNullSafe(F.col("s.canonical_key")), stream="canonical", batch_id=batch_id)
+
+    _each_commit(lake, "bronze", "silver", parsed)
+    _each_commit(lake, "silver", "canonical", canonical)
 
 
 def run_gold(lake: Lake) -> None:
-    """Reconciles chunks of the documents that changed in silver: stale ones go, changed ones are replaced."""
-    changed, now = _since(lake, "silver", "gold")
-    if changed is None:
-        return
+    """Streams what changed in silver into gold: of the documents' chunks stale ones go, changed ones are replaced."""
     gold = lake.table("gold")
-    keys = changed.filter("_change_type <> 'update_preimage'").select("key").distinct()
-    desired = gold_rows(lake.table("silver").read().join(keys, "key", "left_semi"))
-    gold.replace_where(desired, "chunk_id", "key", keys, ignore=contracts.AUDIT)
-    _mark(lake, "silver", "gold", now)
+
+    def reconciled(versions: list[int], batch_id: int) -> None:
+        keys = lake.table("silver").changes_of(versions).filter("_change_type <> 'update_preimage'").select("key").distinct()
+        desired = gold_rows(lake.table("silver").read().join(keys, "key", "left_semi"))
+        gold.replace_where(desired, "chunk_id", "key", keys, ignore=contracts.AUDIT, stream="gold", batch_id=batch_id)
+
+    _each_commit(lake, "silver", "gold", reconciled)

@@ -30,7 +30,20 @@ def test_round_trip(ext):
 
 def test_conversation_bytes():
     payload = {"channel": "c", "messages": [{"user": "u", "ts": "1", "text": "hé"}]}
-    assert parse("x.json", R.render_conversation(payload)) == ("#c", [{"heading": "Messages", "text": "u (1): hé"}])
+    assert parse("x.json", R.render_conversation(payload)) == ("c", [{"heading": "Thread in c", "text": ""}, {"heading": "Messages", "text": "[1] u: hé"}])
+
+
+def test_conversations_keep_who_and_what():
+    """Ids, people and recipients of tickets and mails can be found."""
+    ticket = {"ticket_id": "TCK-1", "subject": "Late", "status": "open", "priority": "p1", "customer": {"name": "N", "customer_id": "CUST-001", "tier": "gold"}, "shipment_id": "SHP-000001",
+              "requester": {"name": "R", "email": "r@x.example"}, "assignee": "A", "messages": [{"author": "R", "role": "customer", "sent_at": "t", "body": "where?"}]}
+    want = "Ticket: TCK-1\nStatus: open | Priority: p1\nCustomer: N (CUST-001, gold tier)\nShipment: SHP-000001\nRequester: R <r@x.example>\nAssignee: A"
+    assert parse("t.json", R.render_conversation(ticket)) == ("Late", [{"heading": "Ticket details", "text": want}, {"heading": "Messages", "text": "[t] R (customer): where?"}])
+    mail = {"thread_id": "E", "subject": "S", "messages": [{"from": {"name": "F", "email": "f@x.example"}, "to": [{"email": "t@x.example"}, "U"], "sent_at": "t", "body": "b"}]}
+    assert parse("m.json", R.render_conversation(mail)) == ("S", [{"heading": "Email thread", "text": "Subject: S"}, {"heading": "Messages", "text": "[t] From F <f@x.example> to t@x.example, U:\nb"}])
+    for key in ("a.txt", "a.htm"):
+        with pytest.raises(ParseError):
+            parse(key, b"text")
 
 
 def test_pdf_of_many_pages():

@@ -41,7 +41,7 @@ def test_parsers():
     html = b"<title>no</title><nav>menu</nav><div id=header>x<p>y</p></div><h1>T</h1><h2>A</h2><p>one<li>two</li><table><tr><td>1<td>2</tr></table><script>z</script>"
     assert parse("x.html", html) == ("T", [{"heading": "A", "text": "one\ntwo\n1 | 2"}])
     chat = b'{"channel":"c","messages":[{"user":"u","ts":"1","text":"hi"}]}'
-    assert parse("x.json", chat) == ("#c", [{"heading": "Messages", "text": "u (1): hi"}])
+    assert parse("x.json", chat) == ("c", [{"heading": "Thread in c", "text": ""}, {"heading": "Messages", "text": "[1] u: hi"}])
     for key, data in (("x.docx", b"no"), ("x.json", b"{"), ("x.json", b'{"messages": 1}'), ("x.md", b""), ("x.exe", b"a"), ("noext", b"a")):
         with pytest.raises(ParseError):
             parse(key, data)

@@ -48,3 +48,11 @@ def test_evaluation(spark):
     got = hit_ranks(spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (2, 1, "c")], "case_id int, rank int, doc_id string"), spark.createDataFrame([(1, "b"), (2, "z")], "case_id int, doc_id string"))
     assert [tuple(r) for r in got.collect()] == [(1, 2)]
     assert check_thresholds({"a": 0.5, "b": 2}, {"a": {"min": 0.6}, "b": {"max": 2}, "c": {"min": 0}}) == ["a = 0.5", "c is not reported"]
+
+
+def test_date_functions(spark):
+    """Spans between times and bins of a width, which Spark has no functions for."""
+    df = spark.sql("select timestamp '2024-01-31 10:17:00' as a, timestamp '2024-01-29 00:00:00' as b")
+    caller = Caller(spark, {"t": (df, None)}, ["staff"])
+    got = caller.run("select age(a, b) as span, date_bin(interval '15' minute, a, timestamp '2024-01-01') as q, date_bin(interval '7' day, a, timestamp '2024-01-01') as w from t").rows
+    assert [(str(x[0]), str(x[1]), str(x[2])) for x in got] == [("2 days, 10:17:00", "2024-01-31 10:15:00", "2024-01-29 00:00:00")]
