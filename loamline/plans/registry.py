@@ -176,15 +176,23 @@ def batch_retrieval(spark, sf_dir):
 EMAIL_SQL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE_SQL = r"(^|[^\w-])((?:\+?1[\s.-]?)?(?:\(\d{3}\)\s?|\d{3}[\s.-])\d{3}[\s.-]\d{4}(?:\s?x\d{1,5})?)($|[^\w-])"
 SSN_SQL = r"(^|\D)(\d{3}-\d{2}-\d{4})($|\D)"
-CARD_SQL = r"(?:^|\D)((?:\d[ -]?){13,16})(?:$|\D)"
-def cards_sql(text: str) -> str:
-    """Card numbers in a text: digits of every second place from the right count twice, less 9 above 9, and the sum ends in 0."""
-    digits = r"regexp_replace(m, '\D', '', 'g')"
+CARD_SQL = r"((?:\d[ -]?){13,16})($|\D)"
+
+
+def luhn_sql(m: str) -> str:
+    """Whether a card number's digits are valid: every second one from the right counts twice, less 9 above 9, and the sum ends in 0."""
+    digits = rf"regexp_replace({m}, '\D', '', 'g')"
     one = f"CASE WHEN i % 2 = 1 THEN {digits}[-i]::INT ELSE {digits}[-i]::INT * 2 - CASE WHEN {digits}[-i]::INT > 4 THEN 9 ELSE 0 END END"
-    return f"list_filter(regexp_extract_all({text}, '{CARD_SQL}', 1), lambda m: list_sum(list_transform(range(1, len({digits}) + 1), lambda i: {one})) % 10 = 0)"
+    return f"list_sum(list_transform(range(1, len({digits}) + 1), lambda i: {one})) % 10 = 0"
+
+
+def cards_sql(text: str) -> str:
+    """What looks like card numbers, each with the text up to the next behind a chr(2): a list whose first entry is the text before the first."""
+    mark = r"'\1' || chr(1) || '\2' || chr(2) || '\3'"
+    return rf"string_split(regexp_replace(regexp_replace({text}, '(^|\D){CARD_SQL}', {mark}, 'g'), '(^|[^\d\x01]){CARD_SQL}', {mark}, 'g'), chr(1))"
 
 
-@query(f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN len({cards_sql('text')}) > 0 THEN 'card' END, CASE WHEN regexp_matches(text, '{EMAIL_SQL}') THEN 'email' END,
+@query(f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN list_bool_or(list_transform({cards_sql('text')}[2:], lambda x: {luhn_sql('string_split(x, chr(2))[1]')})) THEN 'card' END, CASE WHEN regexp_matches(text, '{EMAIL_SQL}') THEN 'email' END,
 CASE WHEN regexp_matches(text, '{PHONE_SQL}') THEN 'phone' END, CASE WHEN regexp_matches(text, '{SSN_SQL}') THEN 'ssn' END], lambda x: x IS NOT NULL), ',') AS kinds FROM documents""")
 def pii_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.detect_pii(F.col("text")), ",").alias("kinds"))
@@ -193,8 +201,8 @@ def pii_flags(spark, sf_dir):
 @query(rf"""WITH a AS (SELECT doc_id, regexp_replace(text, '{EMAIL_SQL}', '[EMAIL]', 'g') AS t, text FROM documents),
 b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '{PHONE_SQL}', '\1[PHONE]\3', 'g'), '{PHONE_SQL}', '\1[PHONE]\3', 'g') AS t, text FROM a),
 c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '{SSN_SQL}', '\1[SSN]\3', 'g'), '{SSN_SQL}', '\1[SSN]\3', 'g') AS t, text FROM b),
-d AS (SELECT doc_id, list_reduce(list_concat([t], {cards_sql('t')}), lambda x, m: replace(x, m, '[CARD]')) AS t, text FROM c)
-SELECT doc_id, masked FROM (SELECT doc_id, text, list_reduce(list_concat([t], {cards_sql('t')}), lambda x, m: replace(x, m, '[CARD]')) AS masked FROM d) WHERE masked <> text""")
+k AS (SELECT doc_id, text, {cards_sql('t')} AS parts FROM c)
+SELECT doc_id, masked FROM (SELECT doc_id, text, parts[1] || array_to_string(list_transform(parts[2:], lambda x: CASE WHEN {luhn_sql('string_split(x, chr(2))[1]')} THEN '[CARD]' ELSE string_split(x, chr(2))[1] END || string_split(x, chr(2))[2]), '') AS masked FROM k) WHERE masked <> text""")
 def pii_masked(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("doc_id", "text", X.mask_pii(F.col("text")).alias("masked"))
     return df.filter("masked <> text").select("doc_id", "masked")
