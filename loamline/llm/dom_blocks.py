@@ -26,9 +26,9 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is text up to their end tag; it is never part of a page's text.
-RAW = frozenset("script style title textarea iframe xmp noembed noframes svg math object".split())
-#: Of these, svg and math may be empty elements, and one without an end tag hides nothing: browsers show what follows.
-_FOREIGN, _MAY_STAY_OPEN = frozenset({"svg", "math"}), frozenset({"svg", "math", "object"})
+RAW = frozenset("script style title textarea iframe xmp noembed noframes svg object annotation annotation-xml".split())
+#: svg and math may be empty elements; what math holds is text, but for its annotations. One of the second kind without an end tag hides nothing: browsers show what follows.
+_FOREIGN, _MAY_STAY_OPEN = frozenset({"svg", "math"}), frozenset({"svg", "object", "annotation", "annotation-xml"})
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 #: A start tag ends the nearest open one of these, unless one of the second is nearer.
 _ENDS = {
@@ -130,6 +130,8 @@ def blocks(html: str) -> list[Block]:
             if tag != "wbr":
                 parts.append(" ")
             continue
+        if tag == "math" and _EMPTY.search(m[0]):
+            continue
         if tag in BLOCK:
             flush()
             ends, inside = _ENDS.get(tag, (none, none))

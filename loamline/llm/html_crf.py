@@ -1,14 +1,16 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
 Blocks get features of their ancestors' tags and attribute words and of their text's shape. The field has two states, article and
-other. It is trained by maximum likelihood (forward-backward gradients, Adam) on ``labelled_pages`` and decoded by Viterbi.
+other. It is trained by maximum likelihood (forward-backward gradients, Adam) on ``labelled_pages``, once for all runs, and decoded by Viterbi.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -151,11 +153,26 @@ def _expected(emit: np.ndarray, step: np.ndarray, inside: np.ndarray) -> tuple[n
     return post, both[inside[:, 1:]].sum(axis=0)
 
 
-@lru_cache(maxsize=2)
-def trained(pages: int = TRAIN_PAGES, seed: int = 11) -> Field:
+#: Weights of the field that ``fit`` gives; ``python -m loamline.llm.html_crf`` writes them anew.
+WEIGHTS = Path(__file__).with_name("html_field.json")
+
+
+def fit(pages: int = TRAIN_PAGES, seed: int = 11) -> Field:
     return train(labelled_pages(pages, seed))
 
 
+@lru_cache(maxsize=1)
+def trained() -> Field:
+    """The field of ``WEIGHTS``, so that no driver has to fit it first."""
+    saved = json.loads(WEIGHTS.read_text())
+    return Field({k: i for i, k in enumerate(saved["weights"])}, np.array(list(saved["weights"].values())), np.array(saved["step"]))
+
+
+def save(field: Field) -> None:
+    weights = {k: float(field.weight[i]) for k, i in field.index.items()}
+    WEIGHTS.write_text(json.dumps({"weights": weights, "step": field.step.tolist()}, indent=0) + "\n")
+
+
 def main_text(html: str | None, field: Field) -> str:
     page = blocks(html or "")
     return "\n".join(b.text for b, keep in zip(page, field.decode(page), strict=True) if keep) if page else ""
@@ -178,3 +195,7 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
 
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return src.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    save(fit())

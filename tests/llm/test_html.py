@@ -105,3 +105,15 @@ def test_empty_and_unended_raw_elements():
     for t in ("svg", "math", "object"):
         assert texts(f"<p>a</p><{t} id=x><p>b</p><{t}><p>c") == ["a", "b", "c"]
     assert texts("<p>a</p><script src=x /><p>b") == ["a"]
+
+
+def test_saved_weights_are_what_training_gives(field):
+    new = html_crf.fit()
+    assert new.index.keys() == field.index.keys() and abs(new.step - field.step).max() < 1e-6
+    assert max(abs(new.weight[i] - field.weight[field.index[k]]) for k, i in new.index.items()) < 1e-6
+
+
+def test_formulas_are_text(field):
+    page = "<article>" + "".join(f"<p>A paragraph of plain prose, number {i}, that says a few things and ends. Another sentence follows it here.</p>" for i in range(4))
+    page += "<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='t'>x=2</annotation></math> holds, as every reader of these lines knows well.<math/> It is so.</p></article>"
+    assert "So x=2 holds, as every reader of these lines knows well. It is so." in html_crf.main_text(page, field)
