@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import bound_batches
+
 #: Bytes of a row group of scratch tables: what a task holds of each that it writes or reads.
 ROW_GROUP = 16 * 2**20
 
@@ -41,6 +43,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/loamline/{name}-{uuid.uuid4().hex}"
         self._n = 0
         atexit.register(self.close)
