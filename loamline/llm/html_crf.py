@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
 from .dom_blocks import Block, blocks
 from .labelled_pages import MARK, labelled_pages
 from .textkit import released
@@ -184,6 +185,7 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     A null or empty page, or one without article text, has text '' and n_chars 0. Repeated rows and null ids and urls each give a row.
     Empty tables give none.
     """
+    bound_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(field or trained())  # a few thousand weights
 
     @released

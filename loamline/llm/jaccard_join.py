@@ -233,7 +233,7 @@ def _subset_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint16)
 
 #: Sets of one list that are compared with each other in one go.
-LIST_BLOCK = 1000
+LIST_BLOCK = 250
 #: Bytes of the folded parity bitmap that list rows carry in the second pass.
 FOLD = 256
 #: Smallest tokens of a set's lists that they carry too.

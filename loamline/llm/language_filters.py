@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
 from .textkit import released
 
 U = np.uint64
@@ -204,6 +205,7 @@ def identify(docs: DataFrame, filters: Filters | None = None) -> DataFrame:
     A null text or one without letters is ``und`` with score 0, as is every text if nothing was learned. Repeated rows each count once
     for learning, as documents of their own. Empty tables give no rows.
     """
+    bound_batches(docs.sparkSession)
     filters = filters or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by the sample, see MIN_SHARE
 
@@ -224,6 +226,7 @@ def keep_known(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     Only texts go to Python and a flag comes back; null texts, empty ones and those without letters go. Repeated rows, null ids and
     columns of any name stay as they are.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     @F.arrow_udf("boolean")

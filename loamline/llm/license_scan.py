@@ -20,6 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
 from .license_templates import templates
 
 #: The words of a cue may stand on two lines, the second behind a comment's marks.
@@ -248,5 +249,6 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     Texts without licence wording, null texts and empty tables give no rows. Repeated rows and null ids give rows of their own.
     """
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.filter(F.col("text").rlike(CUE)).mapInArrow(_run, _SCHEMA)
