@@ -111,6 +111,24 @@ def streamed_windows(spark, sf_dir):
     return spark.read.schema(hours.schema).parquet(out)
 
 
+@query(f"""WITH {MANIFEST_SQL}, e AS (SELECT sha256(concat_ws(chr(10), 'raw', key, n::VARCHAR, event_type)) AS event_id, * FROM m),
+l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY sort_key DESC, event_id DESC) = 1),
+d AS (SELECT key, group_list, 'note ' || (n % 50) AS body FROM l WHERE event_type = 'upsert')
+SELECT key || ':0000' AS chunk_id, 'U > S' || chr(10) || chr(10) || body AS content, group_list FROM d QUALIFY row_number() OVER (PARTITION BY body, group_list ORDER BY length(key), key) = 1""")
+def medallion_chunks(spark, sf_dir):
+    """All events through the bronze, silver and gold streams: chunks of the newest version of each user's file, one for each group of copies."""
+    scratch = Scratch(spark, "medallion")
+    lake, arrived = P.Lake(spark, f"{scratch.root}/lake"), f"{scratch.root}/manifests"
+    body = F.concat(F.lit("# U\n## S\nnote "), F.col("event_id") % 50).cast("binary")
+    versions = table(spark, sf_dir, "events").filter("event_type <> 'error'")
+    objects = versions.select(F.concat(F.lit("user files/"), "user_id", F.lit(".md")).alias("key"), F.col("event_id").cast("string").alias("version_id"), body.alias("content"))
+    P.write_manifests(P.manifests(notifications(spark, sf_dir)), arrived)
+    P.run_bronze(lake, arrived, objects)
+    P.run_silver(lake)
+    P.run_gold(lake)
+    return lake.table("gold").read().select("chunk_id", "content", F.array_join("allowed_groups", ",").alias("group_list"))
+
+
 def _sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"page_id": pa.int64(), "title": pa.string(), "ordinal": pa.int32(), "heading": pa.string(), "text": pa.string(), "error": pa.string()}
     for b in batches:

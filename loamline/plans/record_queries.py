@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.costs import cost_usd
 from ..functions.numbers import known_sum
-from ..operators import evaluation
+from ..operators import evaluation, fulltext
 from ..operators.index import skip_reason
 from ..operators.search import batch_vector_top_k
 from ..operators.sqlguard import Caller
@@ -117,7 +117,7 @@ def evidence(spark, sf_dir):
     near = batch_vector_top_k(v.select(F.col("vec_id").alias("id"), "embedding"), q, 9, digits=6).filter("id <> query_id")
     best = Window.partitionBy("query_id").orderBy("rank")
     near = near.withColumn("r", F.row_number().over(best)).filter("r <= 8")
-    return near.groupBy("query_id").agg(F.max("similarity").alias("best"), F.bool_or(F.col("similarity") >= 0.55).alias("has_evidence"))
+    return near.groupBy("query_id").agg(F.max("similarity").alias("best"), fulltext.evidence(F.col("similarity"), F.lit(None).cast("int")).alias("has_evidence"))
 
 
 @query("""SELECT doc_id, CASE WHEN right(source, 1) = '5' THEN 'no_groups' WHEN lang NOT IN ('en', 'de') THEN 'unsupported_type' END AS reason FROM documents""")

@@ -100,7 +100,8 @@ def merge_actions(spark, sf_dir):
 @query(f"""WITH {HALVES} SELECT * FROM t UNION ALL SELECT s.* FROM s WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.c_custkey = s.c_custkey)""")
 def insert_only_merge(spark, sf_dir):
     target, source = halves(spark, sf_dir)
-    return target.unionByName(source.join(target, "c_custkey", "left_anti"))
+    plan = D.merge_plan(target, source, "c_custkey", F.lit(False))
+    return plan.select(F.when(F.col("_action") == "insert", F.col("_new")).otherwise(F.col("_old")).alias("r")).select("r.*")
 
 
 @query(f"""WITH {HALVES} SELECT coalesce(t.c_custkey, s.c_custkey) AS c_custkey,
