@@ -1,4 +1,4 @@
-"""Full-text search: tokens with positions, a light English stemmer, web-style queries and cover-density rank."""
+"""Full-text search: tokens with positions, English stems, web-style queries and cover-density rank."""
 
 from __future__ import annotations
 
@@ -9,31 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stemming import STOP, stem
+
 _TOKEN = re.compile(r"\w+(?:-\w+)*")
-#: Words that are not indexed; positions still count them.
-STOP = frozenset("a an and are as at be but by for from has have how i if in into is it its no not of on or s such t that the their then there these they this to was we were what when where which who will with you your".split())
-
-
-def stem(word: str) -> str:
-    """A light stemmer: plurals, -ing, -ed, -ly and final e and y, if a vowel is left before. Words with digits stay as they are."""
-    if len(word) < 4 or any(c.isdigit() for c in word):
-        return word
-    w = word
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith("ies"):
-        w = w[:-3] + "y"
-    elif w.endswith("s") and not w.endswith(("ss", "us", "is")):
-        w = w[:-1]
-    for end in ("ingly", "edly", "ing", "ed", "ly"):
-        if w.endswith(end) and re.search("[aeiouy]", w[: -len(end)]) and len(w) - len(end) >= 3:
-            w = w[: -len(end)]
-            if len(w) > 3 and w[-1] == w[-2] and w[-1] not in "lsz":
-                w = w[:-1]
-            break
-    if w.endswith("e") and len(w) > 3:
-        w = w[:-1]
-    return w[:-1] + "i" if w.endswith("y") and len(w) > 2 and w[-2] not in "aeiou" else w
 
 
 def lexemes(text: str | None) -> dict[str, list[int]]:
