@@ -101,7 +101,7 @@ def render_conversation(payload: dict) -> bytes:
     return (json.dumps(payload, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode()
 
 
-RENDERERS = {"md": render_markdown, "html": render_html, "docx": render_docx, "pdf": render_pdf}
+RENDERERS = {"md": render_markdown, "html": render_html, "docx": render_docx, "pdf": render_pdf, "json": render_conversation}
 
 
 def render(doc: dict, extension: str) -> bytes:

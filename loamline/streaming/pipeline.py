@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -14,12 +15,11 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..functions.chunking import chunk_sections, content
 from ..operators.documents import canonical_keys, latest_per_key
+from ..sources.fetch import MAX_OBJECT_BYTES, fetch_contents
 from ..sources.parsers import ParseError, parse
 from ..sources.table import VersionedTable
 from . import contracts
 
-MAX_OBJECT_BYTES = 25 * 1024 * 1024
-
 
 @dataclass
 class Lake:
@@ -29,6 +29,14 @@ class Lake:
     root: str
     max_files: int = 500
 
+    @classmethod
+    def from_env(cls, spark: SparkSession, env: Mapping[str, str] = os.environ) -> Lake:
+        """The lake that LOAMLINE_ROOT and, if it is set, LOAMLINE_MAX_FILES name."""
+        root, files = env.get("LOAMLINE_ROOT", "").strip(), env.get("LOAMLINE_MAX_FILES", "").strip() or cls.max_files
+        if not root or int(files) < 1:
+            raise ValueError("LOAMLINE_ROOT must be set and LOAMLINE_MAX_FILES be at least 1")
+        return cls(spark, root, int(files))
+
     def table(self, name: str) -> VersionedTable:
         return VersionedTable(self.spark, f"{self.root}/{name}", getattr(contracts, name.upper()))
 
@@ -177,11 +185,12 @@ def gold_rows(silver: DataFrame) -> DataFrame:
     return df.withColumn("row_hash", F.sha2(whole, 256)).select(*T.StructType.fromDDL(contracts.GOLD).names)
 
 
-def run_bronze(lake: Lake, manifest_path: str, objects: DataFrame) -> None:
-    """Streams manifest files into bronze; each event once, whatever is delivered again."""
+def run_bronze(lake: Lake, manifest_path: str, objects: DataFrame | Callable) -> None:
+    """Streams manifest files into bronze; each event once, whatever is delivered again. ``objects`` are rows of (key, version_id, content), or what ``fetch_contents`` connects by."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        rows = with_content(df.select(*T.StructType.fromDDL(contracts.MANIFEST).names).dropDuplicates(["event_id"]), objects)
+        new = df.select(*T.StructType.fromDDL(contracts.MANIFEST).names).dropDuplicates(["event_id"])
+        rows = with_content(new, objects) if isinstance(objects, DataFrame) else fetch_contents(new, objects).withColumn("ingested_at", F.current_timestamp())
         lake.table("bronze").append_new(rows, "event_id", stream="bronze", batch_id=batch_id)
 
     src = lake.spark.readStream.schema(contracts.MANIFEST).option("maxFilesPerTrigger", lake.max_files).json(manifest_path)

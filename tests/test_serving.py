@@ -8,6 +8,9 @@ from loamline.functions.stemming import stem
 from loamline.operators import fulltext
 from loamline.operators.resilience import Breaker, NoIdentity, RateLimiter, Unavailable, decode_token, mint_token
 from loamline.sources import fetch, sinks
+from loamline.streaming import pipeline as P
+
+EVENTS = "event_name string, bucket string, key string, version_id string, size bigint, sequencer string, event_time string, metadata map<string,string>"
 
 STEMS = """consign consign consigned consign consigning consign consignment consign consist consist consistency consist consistently consist consolation consol consolatory consolatori
 consolidate consolid conspicuously conspicu conspiracy conspiraci constables constabl constancy constanc knack knack knackeries knackeri knees knee kneeling kneel knew knew knightly knight
@@ -140,6 +143,30 @@ def test_fetch(spark):
         fetch.fetch_contents(spark.createDataFrame([("upsert", "b", "dead", "v", 1, None)], ddl), store, pause=0.0).collect()
 
 
+def test_bronze_reads_objects_itself(spark, tmp_path):
+    def store():
+        def read(bucket, key, version):
+            if key == "gone.md":
+                raise fetch.StoreError("404")
+            return f"# {key} {version}".encode()
+
+        return read
+
+    lake = P.Lake.from_env(spark, {"LOAMLINE_ROOT": f"{tmp_path}/lake", "LOAMLINE_MAX_FILES": "7"})
+    assert lake.max_files == 7
+    for env in ({}, {"LOAMLINE_ROOT": " "}, {"LOAMLINE_ROOT": "x", "LOAMLINE_MAX_FILES": "0"}):
+        with pytest.raises(ValueError):
+            P.Lake.from_env(spark, env)
+    meta = {"Allowed-Groups": "staff", "Source-Type": "wiki"}
+    rows = [(kind, "b", key, "v1", 1, f"{n:04x}", f"2024-01-01T00:00:{n:02d}Z", meta) for n, (kind, key) in enumerate([("ObjectCreated:Put", "a.md"), ("ObjectCreated:Put", "gone.md"), ("ObjectRemoved:Delete", "old.md")])]
+    P.write_manifests(P.manifests(spark.createDataFrame(rows, EVENTS)), f"{tmp_path}/manifests")
+    for _ in range(2):
+        P.run_bronze(lake, f"{tmp_path}/manifests", store)
+        got = {r["key"]: r for r in lake.table("bronze").read().collect()}
+        assert len(got) == 3 and bytes(got["a.md"]["content"]) == b"# a.md v1" and got["a.md"]["ingested_at"] is not None
+        assert got["gone.md"]["fetch_error"] == "missing: 404" and got["old.md"]["content"] is None and got["old.md"]["fetch_error"] is None
+
+
 def test_queue_messages_fail_alone(spark):
     record = {"eventName": "s3:ObjectCreated:Put", "eventTime": "2026-01-01T00:00:00Z", "s3": {"bucket": {"name": "b"}, "object": {"key": "k", "size": 3, "versionId": "v"}}}
     bodies = {"good": json.dumps({"Records": [record, record]}), "test": json.dumps({"Event": "s3:TestEvent"}), "broken": "{", "list": "[]", "null": None, "no key": json.dumps({"Records": [record, {"eventName": "x"}]}), "text": json.dumps({"Records": "x"}), "numbers": json.dumps({"Records": [1]}), "none": json.dumps({"Records": []})}
