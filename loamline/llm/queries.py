@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_graph, html_crf, jaccard_join, language_filters, license_scan, lm_scoring, mixing, packing, quality_rules, token_counts
+from . import embedding_graph, html_crf, jaccard_join, language_filters, license_scan, lm_scoring, mixing, packing, periodic_runs, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("base_failed"), "kept")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.planted(_table(spark, sf_dir, "documents")))
+    best = periodic_runs.longest(F.col("runs"))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), periodic_runs.listed(F.col("runs")).alias("runs"), "collapsed")
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long")
+    return found.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), F.sha2("runs", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
