@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_graph, html_crf, jaccard_join, language_filters, license_scan, lm_scoring, mixing, packing, periodic_runs, quality_rules, token_counts
+from . import embedding_graph, hard_negatives, html_crf, jaccard_join, language_filters, license_scan, lm_scoring, mixing, packing, periodic_runs, private_spans, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,9 +67,21 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hard_negatives.hard_negatives(hard_negatives.quantized(_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+    return found.withColumns({c: F.col(c).cast("long") for c in ("positive_score", "negative_score")})
+
+
+def op13_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_spans.private_spans(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    number = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(number, private_spans.KINDS), F.sha2(private_spans.listed(base), 256).alias("base_sha256"), private_spans.listed(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op10_quality_rules": quality_rules.ORACLE_SQL, "op12_hard_negatives": hard_negatives.ORACLE_SQL}
