@@ -125,5 +125,9 @@ def test_given_documents(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     got = queries.op13_private_spans(spark, f"/root/testdata/{sf}").collect()
     assert sorted(tuple(r)[:-1] for r in got) == sorted(base_row(r.doc_id, r.text) for r in docs.collect())
-    added = sum(len([x for x in r.spans.split(",") if x]) - r.n_email - r.n_ip - r.n_card - r.n_phone for r in got)
-    assert added <= 0.02 * sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in got)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in got:
+        base = {f"{k}:{a}:{b}" for k, a, b in brute(texts[r.doc_id])}
+        for x in {x for x in r.spans.split(",") if x} - base:  # two card numbers side by side are too long for the base pattern
+            kind, a, b = x.split(":")
+            assert kind == "card" and ps.luhn(re.sub("[^0-9]", "", texts[r.doc_id][int(a) : int(b)]))
