@@ -23,7 +23,7 @@ from .labelled_pages import MARK, labelled_pages
 from .textkit import released
 
 #: Pages that the field is trained on, steps of the optimiser and the penalty on squared weights.
-TRAIN_PAGES, STEPS, RIDGE = 2500, 200, 1e-5
+TRAIN_PAGES, STEPS, RIDGE = 4000, 200, 1e-5
 _END = re.compile(r"[.!?…。]['\"”’)\]]*$")
 _STOP = re.compile(r"[.!?,;:]")
 _SIGNS = {
@@ -54,6 +54,7 @@ def features(page: list[Block]) -> Iterator[list[str]]:
         ends = bool(_END.search(b.text))
         out.append(f"ends={ends},{_bucket(words, (3, 12))}")
         out.append(f"{b.tag},link={density}")
+        out.append(f"{b.tag},{'named' if b.names else 'bare'},words={_bucket(words, (4, 12))}")
         out.append(f"place={min(4, 5 * i // n)}")
         out.append("after_title" if seen_title else "before_title")
         out += [k for k, p in _SIGNS.items() if p.search(b.text)] if words < 60 else []

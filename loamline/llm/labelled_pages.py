@@ -28,6 +28,8 @@ class _Page:
         self.r = random.Random(seed)
         #: How the page's texts look: sentences, or words with odd signs, bars, capitals or no signs at all.
         self.style = self.r.choice(["plain"] * 5 + ["signs", "bars", "capitals", "bare"])
+        #: What holds a paragraph of the article; many pages have no ``p``. Text parted by ``br`` alone is one block.
+        self.body = self.r.choice(["p"] * 6 + ["div", "div", "span", "br", "br", "section", "cell", "named"])
 
     def words(self, lo: int, hi: int, mark: bool = False) -> str:
         r = self.r
@@ -66,6 +68,10 @@ class _Page:
             k = r.randrange(len(w))
             w[k] = r.choice([f"<b>{w[k]}</b>", f"<em>{w[k]}</em>", self.link(w[k]), f"<b>{w[k]}"])
             t = " ".join(w)
+        if mark and self.body != "p":
+            cell = f"<table><tr><td>{t}</td></tr></table>"
+            named = f"<div class={r.choice(['para', 'paragraph', 'text', 'line', 'paragraph-block', 'rich-text'])}>{t}</div>"
+            return {"div": f"<div>{t}</div>", "span": f"<div><span>{t}</span></div>", "br": t + "<br><br>", "section": f"<section>{t}</section>", "cell": cell, "named": named}[self.body]
         return "<p>" + t + ("<br>" if r.random() < 0.1 else "") + ("" if r.random() < 0.15 else "</p>")
 
     def nav(self) -> str:

@@ -117,3 +117,36 @@ def test_formulas_are_text(field):
     page = "<article>" + "".join(f"<p>A paragraph of plain prose, number {i}, that says a few things and ends. Another sentence follows it here.</p>" for i in range(4))
     page += "<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='t'>x=2</annotation></math> holds, as every reader of these lines knows well.<math/> It is so.</p></article>"
     assert "So x=2 holds, as every reader of these lines knows well. It is so." in html_crf.main_text(page, field)
+
+
+PARTS = [
+    "The first paragraph of the story says what happened, where it did, and to whom. It is long enough to be read as prose.",
+    "A second one follows, with another thought or two; nobody was hurt, and the bridge was opened again by noon.",
+    "In the end, the council said that it would look into the matter once more, and then everyone went home.",
+]
+LAYOUTS = {
+    "p": ("<div class=content>", "<p>{}</p>", "</div>"),
+    "article p": ("<article>", "<p>{}</p>", "</article>"),
+    "div": ("<div class=content>", "<div>{}</div>", "</div>"),
+    "div in article": ("<article>", "<div>{}</div>", "</article>"),
+    "span": ("<div id=main>", "<div><span>{}</span></div>", "</div>"),
+    "br": ("<div class=post>", "{}<br><br>", "</div>"),
+    "bare br": ("<div>", "{}<br><br>", "</div>"),
+    "section": ("<div class=story>", "<section>{}</section>", "</div>"),
+    "cells": ("<table>", "<tr><td>{}</td></tr>", "</table>"),
+    "bare": ("", "<p>{}</p>", ""),
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("title", [True, False])
+def test_articles_without_paragraph_tags(field, layout, title):
+    a, each, z = LAYOUTS[layout]
+    nav = "<div class=menu><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/s>Sport</a></li></ul></div>"
+    side = "<div class=sidebar><h3>More</h3><ul><li><a href=/1>Another story</a></li><li><a href=/2>And one more</a></li></ul></div>"
+    end = "<div class=footer>&copy; 2020 Some Paper. All rights reserved.</div>"
+    page = f"<html><body>{nav}{'<h1>A bridge is opened</h1>' if title else ''}{a}{''.join(each.format(x) for x in PARTS)}{z}{side}{end}</body></html>"
+    got = html_crf.main_text(page, field)
+    kept = [x for x in PARTS if x in got]
+    assert len(kept) >= 2, got
+    assert not any(x in got for x in ("Home", "Another story", "All rights"))
