@@ -23,7 +23,7 @@ from .textkit import released
 U = np.uint64
 #: Labelled documents that a language is learned from, at most about so many, chosen by hash.
 SAMPLE_DOCS = 3000
-#: An n-gram is in a language's filter if at least this share of its documents (and two of them) has it. So a language has at most
+#: An n-gram is in a language's filter if at least this share of its documents has it. So a language has at most
 #: 1 / MIN_SHARE times the distinct n-grams of a mean document.
 MIN_SHARE = 0.004
 ORDERS = (2, 3, 4)
@@ -188,13 +188,12 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter("doc_id is not null and text is not null and lang is not null").filter(~held_out(F.col("doc_id")))
     counts = rows.groupBy("lang").agg(F.count("*").alias("docs"))
-    # A row a language: the filters of all languages come to the driver anyway, so this is small.
     share = counts.select("lang", (F.lit(float(sample_docs)) / F.col("docs")).alias("_share"))
     uniform = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_003)) / F.lit(1_000_003)
-    picked = rows.join(F.broadcast(share), "lang").filter(uniform < F.col("_share")).select("lang", "text")
+    picked = rows.join(share, "lang").filter(uniform < F.col("_share")).select("lang", "text")
     got = picked.mapInArrow(_document_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     sampled = F.least(F.col("docs").cast("double"), F.lit(float(sample_docs)))
-    got = got.join(counts, "lang").filter((F.col("n") >= 2) & (F.col("n") >= MIN_SHARE * sampled) | (F.col("docs") < 20))
+    got = got.join(counts, "lang").filter(F.col("n") >= MIN_SHARE * sampled)
     got = got.select("lang", "gram").toPandas()
     return Filters({lang: g.gram.to_numpy(np.int64).view(U) for lang, g in got.groupby("lang")})
 

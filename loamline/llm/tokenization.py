@@ -47,6 +47,11 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are written as little-endian 32-bit words")
 
 
+def _one_run(part: str) -> bool:
+    """Whether a part is letters only that the normaliser leaves as they are; one that it splits may leave a mark that joins what follows."""
+    return part.isalpha() and (part.islower() if part.isascii() else part == part.lower() and is_normalized("NFC", part))
+
+
 class WordIds:
     """Ids of a tokenizer that drops white space, as little-endian 32-bit bytes.
 
@@ -63,12 +68,12 @@ class WordIds:
         self.memo[""] = b""
 
     def _one(self, part: str) -> bytes:
-        if part.isalpha() and (part.islower() if part.isascii() else part == part.lower() and is_normalized("NFC", part)):
+        if _one_run(part):
             run = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
             return array("I", [t.id for t in self.model.tokenize(run)]).tobytes()
         if not part:
             return b""
-        if part[-1] in ".,!?:;" and part[:-1].isalpha():
+        if part[-1] in ".,!?:;" and _one_run(part[:-1]):
             return self.memo[part[:-1]] + self.memo[part[-1]]
         return array("I", self.tok.encode(part, add_special_tokens=False).ids).tobytes()
 

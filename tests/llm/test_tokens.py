@@ -32,6 +32,15 @@ def test_odd_texts(tools):
         check(tools, t + " " + t + "\n" + t)
 
 
+def test_every_letter_before_every_stop(tools):
+    """Composed letters that the normaliser takes apart leave a mark that joins the stop."""
+    _, words = tools
+    letters = [c for c in map(chr, [*range(0x80, 0x3400), *range(0xA000, 0xABFF), *range(0xF900, 0xFFDD), *range(0x10000, 0x11800)]) if c.isalpha()]
+    parts = [c + stop for c in letters for stop in ".,!?:;"] + ["ab" + c + "," for c in letters]
+    wrong = [p for p, e in zip(parts, words.tok.encode_batch(parts, add_special_tokens=False), strict=True) if words(p) != b"".join(i.to_bytes(4, "little") for i in e.ids)]
+    assert not wrong, wrong[:20]
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\ta.1'<|>s▁́é"), st.characters(exclude_categories=["Cs"])), max_size=40))
 def test_any_text(tools, t):
