@@ -4,13 +4,14 @@ Vectors of one label (and length) are split into overlapping shards: k-means cel
 almost as near as its own. In each shard a graph is built by robust pruning (Subramanya et al., DiskANN, 2019) of the nearest
 neighbours, and a vector's adjacency lists from its shards are united. Each vector is then searched in its own shard by a
 greedy walk from the shard's medoid that keeps widening while it finds vectors in range. Cosines are verified in
-double precision. Recall is audited against brute force on a fixed set of vectors, against all rows in blocks, and averaged over those
-that have links, so that a large group doesn't hide what small ones lose; if it falls short, the shards are made to overlap more, and
-after the last step the labels that still fall short are searched exactly, block against block.
+double precision. Recall is audited label by label: some vectors of each label that are known to have links, and some of all its vectors, are compared with
+the whole label, and their recall is averaged over those that have links, so that a large group doesn't hide what small ones lose. Labels that fall short are
+searched again with shards that overlap more, and after the last step exactly.
 
 Equal vectors are one node from the start; links come out of a search as local components and counts, not as pairs, so a
 group of n near copies gives n rows. A shard that no split makes small, as a tight group of many different vectors, isn't searched by
-one task: its vectors are compared block against block, since nearly all of them are links to be counted.
+one task. Its vectors are laid into rings by their angle to one of them: by the triangle inequality, vectors of inner rings are all links, which are counted without a
+comparison, and those of rings far apart are none. Only the rings between are compared, block against block.
 """
 
 from __future__ import annotations
@@ -31,11 +32,14 @@ MAX_SHARD, FANOUT, SPLIT_SAMPLE, SPLITS = 4000, 8, 2000, 12
 #: How much farther than the nearest centre (in cosine) another may be for a vector to join its cell too; steps the audit may take.
 OVERLAP = (0.12, 0.25, 0.5)
 DEGREE, POOL, ALPHA, BEAM = 24, 64, 1.2, 48
-AUDIT, TARGET = 256, 0.99
+#: Audited vectors of a label: about so many of those with links, and of all; what their recall has to be on average.
+AUDIT, TARGET = 32, 0.99
 BLOCK = 128
 #: Vectors on average in a block of the exact search.
 EXACT_BLOCK = 2000
 SALT = 16
+#: Rings as wide as the angle of a link.
+RINGS = 8
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -267,26 +271,53 @@ def _unreached(graph: list[np.ndarray], start: int) -> list[int]:
     return out
 
 
-def _audit(queries, low: float):
-    """All vectors in blocks -> for each audit query the number of rows it links with."""
+def _audit(low: float):
+    """Audited vectors (node, vec) and a block of their label (node, vec, copies) -> (node, n), how many rows each links with."""
+
+    @released
+    def run(q: pa.Table, t: pa.Table) -> pa.Table:
+        if not len(q) or not len(t):
+            return pa.table({"node": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        own, node, copies = q.column("node").to_numpy(), t.column("node").to_numpy(), t.column("copies").to_numpy()
+        y, x = _stack(q.column("vec")), _stack(t.column("vec"))
+        hit = (y @ x.T) / (np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]) >= low
+        hit &= own[:, None] != node[None, :]
+        return pa.table({"node": pa.array(own), "n": pa.array(hit @ copies)})
+
+    return run
+
+
+def _recall(found: DataFrame, nodes: DataFrame, low: float, scratch: Scratch) -> DataFrame:
+    """(shard, recall) of the labels of ``nodes`` of which an audited vector has links; the others have nothing to be measured by."""
+    uniform = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1_000_003)) / F.lit(1_000_003)
+
+    def some(df: DataFrame) -> DataFrame:
+        sizes = df.groupBy("shard").agg(F.count("*").alias("_n"))
+        return df.join(sizes, "shard").filter(uniform < F.lit(float(AUDIT)) / F.col("_n")).select("node")
+
+    counted = found.filter("links is not null").select("node", "links")
+    linked = nodes.join(counted, "node").filter("links > copies - 1")
+    picked = scratch.save(nodes.join(some(linked).unionByName(some(nodes)).distinct(), "node"), "picked")
+    blocks = nodes.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(4 * EXACT_BLOCK)).cast("int").alias("blocks"))
+    q = picked.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    c = nodes.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("node", F.lit(6)), F.col("blocks")).cast("int"))
+    sides = [df.select(*(F.col(x).alias(x) for x in ("shard", "block", "node", "vec", "copies"))).groupBy("shard", "block") for df in (q, c)]
+    true = sides[0].cogroup(sides[1]).applyInArrow(_audit(low), "node long, n long").groupBy("node").agg(F.sum("n").alias("want")).filter("want > 0")
+    each = picked.select("node", "shard", "copies").join(true, "node").join(counted, "node", "left")
+    share = F.least("want", F.coalesce("links", F.lit(0)) - F.col("copies") + 1) / F.col("want")
+    return scratch.save(each.groupBy("shard").agg(F.avg(F.greatest(share, F.lit(0.0))).alias("recall")), "recall")
+
+
+def _ring(low: float):
+    """(shard, node, vec, copies, own, centre) -> (shard, node, vec, copies, own, ring) by the angle to the centre."""
+    width = (np.arccos(low) - 1e-6) / RINGS
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = queries.value
-        n = np.zeros(len(q), np.int64)
         for b in batches:
-            shard = np.array(b.column(2).to_pylist(), object)
-            node, copies = b.column(0).to_numpy(), b.column(3).to_numpy()
-            for s in {x[1] for x in q}:
-                at = np.flatnonzero(shard == s)
-                own = [i for i, x in enumerate(q) if x[1] == s]
-                if not len(at) or not own:
-                    continue
-                x, y = _stack(b.column(1).take(pa.array(at))), np.array([q[i][2] for i in own])
-                hit = (y @ x.T) / (np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]) >= low
-                hit &= node[at][None, :] != np.array([q[i][0] for i in own])[:, None]
-                n[own] += (hit * copies[at][None, :]).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in q], pa.int64()), pa.array(n)], names=["node", "n"])
+            x, c = _unit(_stack(b.column(2))), _unit(_stack(b.column(5)))
+            ring = np.floor(np.arccos(np.clip((x * c).sum(axis=1), -1, 1)) / width)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(ring.astype(np.int32))], names=["shard", "node", "vec", "copies", "own", "ring"])
 
     return run
 
@@ -320,22 +351,41 @@ def _exact(low: float):
 
 
 def _searched_exactly(nodes: DataFrame, low: float, scratch: Scratch) -> DataFrame:
-    """(node, links, root) of ``nodes`` (node, vec, shard, copies, own) by comparing all vectors of a shard in blocks, as ``_search`` gives them: links of own ones only."""
-    sizes = nodes.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(EXACT_BLOCK)).cast("int").alias("blocks"))
-    own = nodes.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
-    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    pairs = pairs.withColumns({"first": F.col("block") == F.col("lo"), "second": F.col("block") == F.col("hi")})
-    parts = pairs.select("shard", "lo", "hi", "node", "vec", "copies", "first", "second").groupBy("shard", "lo", "hi").applyInArrow(_exact(low), "shard string, node long, n long, root long")
+    """(node, links, root) of ``nodes`` (node, vec, shard, copies, own), exact, as ``_search`` gives them: links of own ones only."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    centres = nodes.groupBy("shard").agg(F.min_by("vec", "node").alias("centre")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    rows = nodes.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALT))).join(centres, ["shard", "salt"]).select("shard", "node", "vec", "copies", "own", "centre")
+    rows = scratch.save(rows.mapInArrow(_ring(low), "shard string, node long, vec array<double>, copies long, own boolean, ring int"), "rings")
+    sizes = rows.groupBy("shard", "ring").agg(F.ceil(F.count("*") / F.lit(EXACT_BLOCK)).cast("int").alias("blocks"), F.sum("copies").alias("sum"), F.min("node").alias("least"))
+    sizes = scratch.save(sizes, "sizes")  # a few rows a shard
+    both = sizes.join(sizes.select("shard", *(F.col(c).alias("o_" + c) for c in ("ring", "blocks", "sum", "least"))), "shard")
+    sure = F.col("ring") + F.col("o_ring") + 2 <= RINGS
+    inner = both.filter(sure).groupBy("shard", "ring").agg(F.sum("o_sum").alias("sure"), F.min_by("o_least", "o_ring").alias("first"))
+    between = both.filter(~sure & (F.col("ring") <= F.col("o_ring")) & (F.col("o_ring") - F.col("ring") <= RINGS)).select("shard", "ring", "o_ring", "blocks", "o_blocks")
+    between = scratch.save(between, "between")
+
+    block = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), F.col(n)).cast("int")
+    one_ring, one_block = F.col("ring") == F.col("o_ring"), F.col("a") == F.col("b")
+    left = rows.join(between, ["shard", "ring"]).withColumns({"a": block("blocks"), "b": every("o_blocks")}).filter(~one_ring | (F.col("a") <= F.col("b")))
+    left = left.withColumns({"first": F.lit(True), "second": one_ring & one_block})
+    right = rows.withColumnRenamed("ring", "o_ring").join(between, ["shard", "o_ring"]).withColumns({"b": block("o_blocks"), "a": every("blocks")})
+    right = right.filter(~one_ring | (F.col("a") < F.col("b"))).withColumns({"first": F.lit(False), "second": F.lit(True)})
+    columns = ["shard", "ring", "o_ring", "a", "b", "node", "vec", "copies", "first", "second"]
+    parts = left.select(columns).unionByName(right.select(columns)).groupBy(columns[:5]).applyInArrow(_exact(low), "shard string, node long, n long, root long")
     parts = scratch.save(parts, "exact")
-    count = nodes.filter("own").select("shard", "node", "copies").join(parts.groupBy("shard", "node").agg(F.sum("n").alias("n")), ["shard", "node"], "left")
-    count = count.select("node", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("links"), F.col("node").alias("root"))
+
+    count = rows.select("shard", "ring", "node", "copies", "own").join(inner, ["shard", "ring"], "left").join(parts.groupBy("node").agg(F.sum("n").alias("n")), "node", "left")
+    itself = F.when(2 * F.col("ring") + 2 <= RINGS, F.col("copies")).otherwise(0)
+    links = F.col("copies") - 1 + F.coalesce("sure", F.lit(0)) - itself + F.coalesce("n", F.lit(0))
+    count = count.select("node", F.when(F.col("own"), links).cast("long").alias("links"), F.coalesce("first", "node").alias("root"))
     return count.unionByName(parts.select("node", F.lit(None).cast("long").alias("links"), "root"))
 
 
 def near_duplicates(vectors: DataFrame, low: float = 0.93, scratch: Scratch | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audit_recall) for each row of ``vectors`` (vec_id, embedding, label; others are ignored).
 
+    ``audit_recall`` is that of the row's label; null where no audited vector of the label has links, so that nothing was measured.
+
     Rows link when their labels are equal and not null and their cosine is at least ``low``. Vectors that are null, empty or zero or hold a
     null, NaN or infinite component, and those without a label, link with nothing. Vectors of different lengths don't link. Rows that
     repeat a vec_id are vectors of their own under that id; a null vec_id takes part, but names a component only if no member has an id.
@@ -352,48 +402,39 @@ def near_duplicates(vectors: DataFrame, low: float = 0.93, scratch: Scratch | No
     rows = scratch.save(rows.select("vec_id", "ok", "shard", "node", F.when(F.col("ok"), F.col("vec")).alias("vec")), "rows")
     nodes = rows.filter("ok").groupBy("node").agg(F.first("vec").alias("vec"), F.first("shard").alias("shard"), F.count("*").cast("long").alias("copies"))
     nodes = scratch.save(nodes, "nodes")
-    picked = nodes.orderBy(F.xxhash64("node", F.lit(1))).limit(AUDIT).select("node", "shard", "vec").collect()  # AUDIT rows
-    audit = spark.sparkContext.broadcast([(r["node"], r["shard"], list(r["vec"])) for r in picked])
-    every = nodes.select("node", "vec", "shard", "copies").mapInArrow(_audit(audit, low), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    true = {r["node"]: r["n"] for r in every.collect()}  # AUDIT rows
-
-    few = F.broadcast(spark.createDataFrame([(k,) for k in true], "node long"))
-    copies = {r["node"]: r["copies"] for r in nodes.join(few, "node").collect()}  # AUDIT rows
-
-    def audited(found: DataFrame) -> tuple[float, list[str]]:
-        """The mean recall of the audited vectors that have links, and the labels (with length) that fall short."""
-        got = {r["node"]: r["links"] for r in found.filter("links is not null").join(few, "node").collect()}
-        by: dict[str, list[float]] = {}
-        for r in picked:
-            if want := true[r["node"]]:
-                by.setdefault(r["shard"], []).append(min(want, got.get(r["node"], 0) - copies[r["node"]] + 1) / want)
-        every = [x for own in by.values() for x in own]
-        return (sum(every) / len(every) if every else 1.0), sorted(k for k, own in by.items() if sum(own) < TARGET * len(own))
-
-    for overlap in OVERLAP:
-        shards, large = _shards(nodes, overlap, scratch)
-        shards = scratch.save(shards.join(nodes.select("node", "copies"), "node"), "sharded")
+
+    def searched(some: DataFrame, overlap: float) -> DataFrame:
+        shards, large = _shards(some, overlap, scratch)
+        shards = scratch.save(shards.join(some.select("node", "copies"), "node"), "sharded")
         small = shards.join(large, "shard", "left_anti")
         graph = small.groupBy("shard").applyInArrow(_build, "node long, links array<bigint>")
         united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))  # a list a shard, DEGREE long
         found = small.join(united, "node").groupBy("shard").applyInArrow(_search(low), "node long, links long, root long")
         if not large.isEmpty():
             found = found.unionByName(_searched_exactly(shards.join(large, "shard"), low, scratch))
-        found = scratch.save(found, "found")
-        recall, short = audited(found)
-        if recall >= TARGET:
+        return scratch.save(found, "found")
+
+    def audited(found: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        recall = _recall(found, some, low, scratch)
+        return recall, recall.filter(F.col("recall") < TARGET).select("shard")
+
+    todo, found = nodes, searched(nodes, OVERLAP[0])
+    recall, short = audited(found, nodes)
+    for overlap in (*OVERLAP[1:], None):  # None: exactly
+        if short.isEmpty():
             break
-    else:
-        again = scratch.save(nodes.filter(F.col("shard").isin(short)).withColumn("own", F.lit(True)), "again")
-        found = scratch.save(found.join(again.select("node"), "node", "left_anti").unionByName(_searched_exactly(again, low, scratch)), "found")
-        recall, _ = audited(found)
+        todo = scratch.save(todo.join(short, "shard", "left_semi"), "again")
+        again = searched(todo, overlap) if overlap is not None else scratch.save(_searched_exactly(todo.withColumn("own", F.lit(True)), low, scratch), "found")
+        found = scratch.save(found.join(todo.select("node"), "node", "left_anti").unionByName(again), "found")
+        better, next_short = audited(again, todo)
+        recall, short = scratch.save(recall.join(short, "shard", "left_anti").unionByName(better), "recall"), next_short
     comp = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     named = rows.filter("ok").groupBy("node").agg(F.min("vec_id").alias("least"))
     named = named.join(found.filter("links is not null").select("node", "links"), "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     label = named.groupBy("comp").agg(F.min("least").alias("label"))
     named = named.join(label, "comp").select("node", "links", "label")
-    out = rows.select("vec_id", "node").join(named, "node", "left")
+    out = rows.select("vec_id", "node", "shard").join(named, "node", "left").join(recall, "shard", "left")
     first = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("label"))
     return out.select(
-        "vec_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), first.alias("component_id"), F.col("vec_id").eqNullSafe(first).alias("kept"), F.lit(float(recall)).alias("audit_recall")
+        "vec_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), first.alias("component_id"), F.col("vec_id").eqNullSafe(first).alias("kept"), F.col("recall").alias("audit_recall")
     )

@@ -124,3 +124,36 @@ def test_tight_group_of_any_size(spark, monkeypatch):
     x = eg._unit(big)
     graph = [np.array([(i + k) % 3000 for k in (1, 7, 49, 343, 1201)]) for i in range(3000)]
     assert all((s >= 0.93).all() for s in eg.range_search(x, graph, np.arange(256), [0], 0.93))
+
+
+def test_audit_of_each_label(spark, monkeypatch):
+    """Links of a label with few rows are measured; labels without links have nothing to measure."""
+    monkeypatch.setattr(eg, "AUDIT", 4)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 16))
+    rows = [(i, v.tolist(), 1 if i < 900 else 2) for i, v in enumerate(x.astype(np.float32))]
+    rows += [(5000 + i, (np.array(rows[1199][1]) * 1.01 + 0.01 * i).tolist(), 2) for i in range(3)] + [(6000, [1.0] * 16, 3), (6001, None, 3)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    got = {r.vec_id: r.audit_recall for r in eg.near_duplicates(df).collect()}
+    assert got[0] is None and got[6000] is None and got[6001] is None and got[1000] == got[5000] == 1.0
+    assert run(spark, rows) == brute(rows)
+
+
+def test_rings(spark, monkeypatch):
+    """Links within inner rings are counted without comparisons, and no pair is counted twice or lost."""
+    monkeypatch.setattr(eg, "EXACT_BLOCK", 60)
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=12)
+    x = np.concatenate([centre + w * rng.normal(size=(150, 12)) for w in (0.01, 0.1, 0.2, 0.4, 1.0)]).astype(np.float32)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    rows += [(2000 + i, *r[1:]) for i, r in enumerate(rows[::40])]
+    df = spark.createDataFrame([(i, v, 1) for i, v, _ in rows], "vec_id long, embedding array<float>, label int")
+    from pyspark.sql import functions as F
+
+    from loamline.scratch import Scratch
+
+    v = F.col("embedding").cast("array<double>")
+    nodes = df.groupBy(F.xxhash64("embedding").alias("node"), v.alias("vec")).agg(F.count("*").alias("copies"), F.min("vec_id").alias("id")).withColumns({"shard": F.lit("1"), "own": F.lit(True)})
+    found = eg._searched_exactly(nodes.drop("id"), 0.93, Scratch(spark, "t")).filter("links is not null").join(nodes, "node").collect()
+    want = {r[0]: r[1] for r in brute(rows)}
+    assert {r.id: r.links for r in found} == {r.id: want[r.id] for r in found} and len(found) == len(x)
