@@ -47,7 +47,7 @@ def merge_plan(target: DataFrame, source: DataFrame, key: str, update_if: Column
     return both.select(action.alias("_action"), F.col("t").alias("_old"), F.col("s").alias("_new"))
 
 
-def rrf(left: DataFrame, right: DataFrame, key: str, left_rank: str, right_rank: str, k: int = 60) -> DataFrame:
+def rrf(left: DataFrame, right: DataFrame, key: str | list[str], left_rank: str, right_rank: str, k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of two rankings."""
     part = lambda r: F.coalesce(1.0 / (k + F.col(r)), F.lit(0.0))
     return left.join(right, key, "full").withColumn("score", part(left_rank) + part(right_rank))

@@ -14,6 +14,8 @@ from ..functions.vectors import cosine, normalised
 from ..scratch import Scratch
 from . import fulltext
 from .documents import rrf, top_k, visible
+from .postings_index import PostingsIndex
+from .vector_index import VectorIndex
 
 #: Queries of one pass of a batch search: 4,096 vectors of 1,024 doubles are 32 MB.
 QUERY_BLOCK = 4096
@@ -111,18 +113,33 @@ def batch_vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: in
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def evaluate_retrieval(cases: DataFrame, chunks: DataFrame, index: DataFrame, embed: Callable[[str], list[float]], k: int = 8) -> DataFrame:
-    """(case_id, rank, doc_id, route) of the best chunks for each of a golden set's ``cases`` (case_id, question, groups), without a model.
+def hybrid_batch(questions: DataFrame, vectors: VectorIndex, words: PostingsIndex, k: int = 8, candidates: int = 40, rrf_k: int = 60, exact: bool = False) -> DataFrame:
+    """(query_id, id, rank, score, similarity, vector_rank, lexical_rank): the best ``k`` for each of ``questions`` (query_id, query, vector, groups), all in one plan.
 
-    The route is that of the wording; hybrid questions search with their document clauses alone. A golden set is some hundred questions
-    written by hand, so they are looped over; each search is one distributed plan.
+    Both indexes give a question's visible ``candidates``, which are fused by rank; ties go to the least id, as a string. Similarity of hits that only words
+    found is filled in from their vectors. Callers without groups get nothing.
     """
-    routed = cases.withColumn("route", heuristic_route(F.col("question")))
-    asked = routed.withColumn("wanted", F.when(F.col("route") == "hybrid", document_subquery(F.col("question"))).otherwise(F.col("question")))
-    spark, rows = cases.sparkSession, []
-    for c in asked.toLocalIterator():
-        if c["route"] == "sql":
-            continue
-        hits = hybrid(chunks, index, c["wanted"], embed(c["wanted"]), list(c["groups"] or []), k).select("doc_id").collect()  # k rows
-        rows += [(c["case_id"], n, h["doc_id"], c["route"]) for n, h in enumerate(hits, 1)]
-    return spark.createDataFrame(rows, "case_id string, rank int, doc_id string, route string")
+    n = max(candidates, k)
+    near = vectors.search(questions.select("query_id", F.col("vector").alias("query"), "groups"), n, exact=exact)
+    near = near.select("query_id", F.col("id").cast("string").alias("id"), F.col("similarity").alias("_near"), F.col("rank").alias("vector_rank"))
+    lexical = words.search(questions.select("query_id", "query", "groups"), n).select("query_id", "id", F.col("rank").alias("lexical_rank"))
+    fused = rrf(near, lexical, ["query_id", "id"], "vector_rank", "lexical_rank", rrf_k)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    fused = Scratch(questions.sparkSession, "hybrid").save(fused.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k), "fused")
+    lone = vectors.similarities(fused.filter("_near is null").select("query_id", "id"), questions.select("query_id", F.col("vector").alias("query")))
+    out = fused.join(lone, ["query_id", "id"], "left").withColumn("similarity", F.coalesce("_near", "similarity", F.lit(0.0)))
+    return out.select("query_id", "id", "rank", "score", "similarity", "vector_rank", "lexical_rank")
+
+
+def evaluate_retrieval(cases: DataFrame, vectors: VectorIndex, words: PostingsIndex, documents: DataFrame, embed: Callable[[DataFrame], DataFrame], k: int = 8) -> DataFrame:
+    """(case_id, rank, doc_id, route) of the best chunks for each of a golden set's ``cases`` (case_id, question, groups), without a model, in one plan.
+
+    The route is that of the wording; hybrid questions search with their document clauses alone, and questions for records don't search. ``embed`` adds ``vector`` to
+    rows with ``query``; ``documents`` has (id, doc_id) of the chunks.
+    """
+    routed = cases.withColumns({"route": heuristic_route(F.col("question")), "query_id": F.xxhash64("case_id")})
+    asked = routed.withColumn("query", F.when(F.col("route") == "hybrid", document_subquery(F.col("question"))).otherwise(F.col("question"))).filter("route <> 'sql'")
+    asked = Scratch(cases.sparkSession, "evaluation").save(embed(asked.select("case_id", "query_id", "query", "groups", "route")), "asked")
+    hits = hybrid_batch(asked.select("query_id", "query", "vector", "groups"), vectors, words, k)
+    named = hits.join(documents.select(F.col("id").cast("string").alias("id"), "doc_id"), "id").join(asked.select("query_id", "case_id", "route"), "query_id")
+    return named.select("case_id", "rank", "doc_id", "route")

@@ -255,6 +255,16 @@ class VectorIndex:
             return spark.createDataFrame([], "query_id long, id long, similarity double, rank int")
         return self._ranked(found, q, k, rerank * k, exact, digits, slack)
 
+    def similarities(self, pairs: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
+        """(query_id, id, similarity) of ``pairs`` (query_id, id) for ``queries`` (query_id, query). Their cells are looked up first, and only these are read whole."""
+        pairs = pairs.select("query_id", F.col("id").alias("_id"), F.col("id").cast("long").alias("id"))
+        every = list(self.cells())
+        placed = Scratch(self.spark, "vector-search").save(self.rows(every).select("id", "cell").join(pairs, "id"), "placed")
+        cells = [r["cell"] for r in placed.select("cell").distinct().collect()]  # at most MAX_CELLS
+        q = queries.select(F.col("query_id").cast("long").alias("query_id"), normalised(F.col("query")).alias("q")).filter(F.size("q") == self.codes.centres.shape[1])
+        got = self.rows(cells).select("id", "cell", "unit").join(placed.distinct(), ["id", "cell"]).join(q, "query_id")
+        return got.groupBy("query_id", F.col("_id").alias("id")).agg(F.max(F.round(dot(F.col("unit"), F.col("q")), digits)).alias("similarity"))
+
     def _ranked(self, found: DataFrame, q: DataFrame, k: int, keep: int, exact: bool, digits: int, slack: float) -> DataFrame:
         """Reads the candidates' vectors and orders by exact similarity."""
         least = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low"), "id"))

@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
-from loamline.operators import fulltext
+from loamline.operators.postings_index import PostingsIndex
 from loamline.operators.search import batch_vector_top_k, evaluate_retrieval
 from loamline.operators.validation import validate_corpus
+from loamline.operators.vector_index import VectorIndex
 from loamline.streaming import contracts
 from loamline.streaming import pipeline as P
 
@@ -39,9 +40,11 @@ def test_batch_search_in_passes(spark):
     assert one == many and len(one) == 300 and {r[0] for r in one} == set(range(60)) == {r[1] for r in one} | set(range(60))
 
 
-def test_retrieval_evaluation(spark):
-    chunks = [("d1:0000", "d1", "the travel policy is strict", ["x"], [1.0, 0.0]), ("d2:0000", "d2", "a wiki of orders", ["x"], [0.0, 1.0]), ("d3:0000", "d3", "travel policy for hr", ["hr"], [1.0, 0.0])]
-    df = spark.createDataFrame(chunks, "chunk_id string, doc_id string, content string, allowed_groups array<string>, embedding array<double>")
-    cases = spark.createDataFrame([("c1", "What does the travel policy say?", ["x"]), ("c2", "How many orders?", ["x"]), ("c3", "What does the policy say?", None)], "case_id string, question string, groups array<string>")
-    got = evaluate_retrieval(cases, df, fulltext.postings(df, "chunk_id", "content"), lambda t: [1.0, 0.1], k=2).collect()
-    assert [(r.case_id, r["rank"], r.doc_id, r.route) for r in got] == [("c1", 1, "d1", "docs"), ("c1", 2, "d2", "docs")]
+def test_retrieval_evaluation(spark, tmp_path):
+    chunks = [(1, "d1", "the travel policy is strict", ["x"], [1.0, 0.0]), (2, "d2", "a wiki of orders", ["x"], [0.0, 1.0]), (3, "d3", "travel policy for hr", ["hr"], [1.0, 0.0])]
+    df = spark.createDataFrame(chunks, "id long, doc_id string, text string, groups array<string>, embedding array<double>")
+    words, vectors = PostingsIndex.build(df, str(tmp_path / "w")), VectorIndex.build(df, str(tmp_path / "v"))
+    asked = [("c1", "What does the travel policy say?", ["x"]), ("c2", "How many orders?", ["x"]), ("c3", "What does the policy say?", None), ("c4", "What does the policy for hr say?", ["hr", "x"])]
+    cases = spark.createDataFrame(asked, "case_id string, question string, groups array<string>")
+    got = evaluate_retrieval(cases, vectors, words, df, lambda q: q.withColumn("vector", F.array(F.lit(1.0), F.lit(0.1))), k=2).collect()
+    assert sorted((r.case_id, r["rank"], r.doc_id, r.route) for r in got) == [("c1", 1, "d1", "docs"), ("c1", 2, "d2", "docs"), ("c4", 1, "d3", "docs"), ("c4", 2, "d1", "docs")]
