@@ -97,20 +97,6 @@ def merged_latest(spark, sf_dir):
     return merged_table(spark, sf_dir, "merged-latest").read()
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
-def streamed_windows(spark, sf_dir):
-    """A run-to-completion stream over the event file; every batch replaces the table of windows, so a batch that is done again changes nothing."""
-    scratch = Scratch(spark, "streamed-windows")
-    schema = table(spark, sf_dir, "events").schema
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 500).parquet(sf_dir)
-    hours = src.withColumn("at", F.col("ts").cast("timestamp")).groupBy(F.window("at", "1 hour").alias("w"), "event_type")
-    hours = hours.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "total")
-    out = f"{scratch.root}/windows"
-    run = hours.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
-    run.option("checkpointLocation", f"{scratch.root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(hours.schema).parquet(out)
-
-
 @query(f"""WITH {MANIFEST_SQL}, e AS (SELECT sha256(concat_ws(chr(10), 'raw', key, n::VARCHAR, event_type)) AS event_id, * FROM m),
 l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY sort_key DESC, event_id DESC) = 1),
 d AS (SELECT key, group_list, 'note ' || (n % 50) AS body FROM l WHERE event_type = 'upsert')

@@ -1,8 +1,8 @@
 """Versioned Parquet tables with merge, append, change feed, time travel and a stream of commits.
 
 ``<path>/_commits/NNNNNNNN.json`` names a version's data files, its folder of changes and the last batch of each stream that wrote to the table. Data
-files are immutable; a commit file is put in place by a rename as the last step, so readers and streams see whole versions only, and of two writers
-one fails. A merge writes the batch's own rows and those data files again that hold rows which it changes; an append writes new rows alone.
+and change files are immutable and lie in folders of their own run; a commit file is put in place by a rename that doesn't replace, as the last step, so readers and streams
+see whole versions only, and of two writers one fails and leaves nothing that is read. A merge writes the batch's own rows and those data files again that hold rows which it changes; an append writes new rows alone.
 What changes nothing commits nothing. A streaming batch that was committed before is not committed again.
 """
 
@@ -34,10 +34,13 @@ class VersionedTable:
         names = [f.getPath().getName() for f in self._fs.listStatus(d)]
         return sorted(int(n[:8]) for n in names if n.endswith(".json") and n[:8].isdigit())
 
+    def _commit_path(self, version: int):
+        return self._path(f"{self.path}/_commits/{version:08d}.json")
+
     def _commit(self, version: int) -> dict:
         if version == 0:
             return {"files": [], "streams": {}}
-        stream = self._fs.open(self._path(f"{self.path}/_commits/{version:08d}.json"))
+        stream = self._fs.open(self._commit_path(version))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
@@ -67,12 +70,15 @@ class VersionedTable:
     def changes_of(self, versions) -> DataFrame | None:
         """Change rows of the given versions, in one scan."""
         schema = T.StructType([*self.schema, T.StructField("_change_type", T.StringType()), T.StructField("_version", T.IntegerType())])
-        folders = [f"{self.path}/_changes/_version={v}" for v in versions]
-        if not folders:
+        runs = {v: self._commit(v).get("changes") if self._fs.exists(self._commit_path(v)) else None for v in versions}
+        if not runs:
             return self.spark.createDataFrame([], schema)
-        if not all(self._fs.exists(self._path(f)) for f in folders):
+        folders = {f"{self.path}/_changes/_run={r}": v for v, r in runs.items()}
+        if None in runs.values() or not all(self._fs.exists(self._path(f)) for f in folders):
             return None
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/_changes").parquet(*folders)
+        number = F.create_map(*(x for r, v in ((r, v) for v, r in runs.items()) for x in (F.lit(r), F.lit(v))))  # an entry a version
+        rows = self.spark.read.schema(T.StructType([*schema.fields[:-1], T.StructField("_run", T.StringType())])).option("basePath", f"{self.path}/_changes").parquet(*folders)
+        return rows.withColumn("_version", number[F.col("_run")]).drop("_run")
 
     def commits_stream(self, max_files: int = 500) -> DataFrame:
         """The commits as a stream of (version), for a job that reads ``changes_of`` the versions of each batch."""
@@ -136,9 +142,9 @@ class VersionedTable:
         folder = self._path(f"{self.path}/data/{run}")
         rows.write.parquet(folder.toString())
         new = [f"{run}/{x.getPath().getName()}" for x in self._fs.listStatus(folder) if x.getPath().getName().endswith(".parquet")]
-        changes.select(*self.schema.names, "_change_type").write.mode("overwrite").parquet(f"{self.path}/_changes/_version={version}")
+        changes.select(*self.schema.names, "_change_type").write.parquet(f"{self.path}/_changes/_run={run}")
         streams = last["streams"] | ({stream: batch_id} if stream is not None else {})
-        self._publish(version, {"version": version, "files": files + new, "streams": streams})
+        self._publish(version, {"version": version, "files": files + new, "changes": run, "streams": streams})
 
     def append_new(self, source: DataFrame, key: str, stream: str | None = None, batch_id: int | None = None) -> dict[str, int]:
         """Insert-only merge: rows whose key is new, of repeated keys one row. Only the table's keys are read, and nothing is written again."""
@@ -177,9 +183,17 @@ class VersionedTable:
         return self._apply(gone, key, F.lit("delete"), None, None)
 
     def _publish(self, version: int, commit: dict) -> None:
-        temp, final = (self._path(f"{self.path}/_commits/{x}") for x in (f".{uuid.uuid4().hex}", f"{version:08d}.json"))
+        """Puts the whole commit file in place by a rename that fails if there is one, as Spark's own logs of streams do."""
+        jvm = self.spark.sparkContext._jvm
+        temp = self._path(f"{self.path}/_commits/.{commit['changes']}")
         out = self._fs.create(temp)
         out.write(bytearray(json.dumps(commit).encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(temp, final):
-            raise RuntimeError(f"version {version} was committed by another writer")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            context.rename(self._fs.makeQualified(temp), self._fs.makeQualified(self._commit_path(version)), options)
+        except Exception as e:
+            self._fs.delete(temp, False)
+            raise RuntimeError(f"version {version} was committed by another writer") from e

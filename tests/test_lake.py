@@ -35,6 +35,28 @@ def test_versioned_table(spark, tmp_path):
         t.merge(rows((1, 1), (1, 2)), "id")
 
 
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """Of two writers of a version one fails, and the change feed is that of the one who won."""
+    ddl = "id INT, v INT"
+    a, b = (VersionedTable(spark, f"{tmp_path}/t", ddl) for _ in range(2))
+    rows = lambda *r: spark.createDataFrame(r, "id int, v int")
+    a.merge(rows((1, 1)), "id")
+    publish = VersionedTable._publish
+
+    def late(self, version, commit):
+        if self is b:  # a commits between b's writing and its commit
+            a.merge(rows((2, 2)), "id")
+        publish(self, version, commit)
+
+    monkeypatch.setattr(VersionedTable, "_publish", late)
+    with pytest.raises(RuntimeError, match="another writer"):
+        b.merge(rows((3, 3)), "id")
+    monkeypatch.undo()
+    assert sorted(map(tuple, a.read().collect())) == [(1, 1), (2, 2)] and a.version() == 2
+    assert sorted(map(tuple, a.changes(0).select("id", "_change_type", "_version").collect())) == [(1, "insert", 1), (2, "insert", 2)]
+    assert b.merge(rows((3, 3)), "id") == {"insert": 1} and [r.id for r in a.changes(2).collect()] == [3]
+
+
 def test_parsers():
     md = b"---\ntitle: 'T'\n---\n# Ignored\nintro\n## A\none\n| x | y |\n|---|---|\n| 1 | a\\|b |\n## B\n"
     assert parse("d/x.md", md) == ("T", [{"heading": None, "text": "intro"}, {"heading": "A", "text": "one\nx | y\n1 | a|b"}, {"heading": "B", "text": ""}])
