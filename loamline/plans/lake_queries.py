@@ -68,16 +68,26 @@ def listing_manifests(spark, sf_dir):
     return P.listed(listing(spark, sf_dir)).select("key", "version_id", "etag")
 
 
+def balances(spark, sf_dir) -> DataFrame:
+    """What is merged into the customers: new balances of all who order, made of their orders, and all suppliers as new customers."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey"))
+    o = o.agg((F.max("o_totalprice") / 50).alias("c_acctbal"), F.max("o_orderstatus").alias("c_mktsegment"))
+    return o.unionByName(table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"), F.lit("new").alias("c_mktsegment")))
+
+
+BALANCES_SQL = """s AS (SELECT o_custkey AS c_custkey, max(o_totalprice) / 50 AS c_acctbal, max(o_orderstatus) AS c_mktsegment FROM orders GROUP BY 1
+UNION ALL SELECT -1 - s_suppkey, s_acctbal, 'new' FROM supplier)"""
+
+
 def merged_table(spark, sf_dir, name: str) -> VersionedTable:
-    """Nations of customers as a table of two versions: customers below 1,000 balance, then new balances for even keys and deletes for every fifth."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    """Customers as a table of two versions: all customers, then all of ``balances``; customers with every fifth key who order go."""
     t = VersionedTable(spark, f"{Scratch(spark, name).root}/table", "c_custkey BIGINT, c_acctbal DOUBLE")
-    t.merge(c.filter("c_acctbal < 1000"), "c_custkey")
-    t.merge(c.filter("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1), "c_custkey", delete_if=F.col("s.c_custkey") % 5 == 0)
+    t.merge(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
+    t.merge(balances(spark, sf_dir), "c_custkey", delete_if=F.col("s.c_custkey") % 5 == 0)
     return t
 
 
-MERGED_SQL = """o AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 1000), s AS (SELECT c_custkey, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 2 = 0)"""
+MERGED_SQL = f"""o AS (SELECT c_custkey, c_acctbal FROM customer), {BALANCES_SQL}"""
 
 
 @query(f"""WITH {MERGED_SQL}, j AS (SELECT s.c_custkey, o.c_acctbal AS old, s.c_acctbal AS new, o.c_custkey IS NOT NULL AS had FROM s LEFT JOIN o ON s.c_custkey = o.c_custkey)
@@ -92,7 +102,7 @@ def time_travel(spark, sf_dir):
     return merged_table(spark, sf_dir, "time-travel").read(1)
 
 
-@query(f"""WITH {MERGED_SQL} SELECT c_custkey, c_acctbal FROM s WHERE c_custkey % 5 <> 0 UNION ALL SELECT * FROM o WHERE c_custkey NOT IN (SELECT c_custkey FROM s)""")
+@query(f"""WITH {MERGED_SQL} SELECT c_custkey, c_acctbal FROM s WHERE c_custkey % 5 <> 0 UNION ALL SELECT c_custkey, c_acctbal FROM o WHERE c_custkey NOT IN (SELECT c_custkey FROM s)""")
 def merged_latest(spark, sf_dir):
     return merged_table(spark, sf_dir, "merged-latest").read()
 

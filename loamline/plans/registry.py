@@ -68,23 +68,20 @@ def latest_per_key(spark, sf_dir):
 
 
 def halves(spark, sf_dir):
-    """Customers as a merge target and a source that updates some and adds some."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    target = c.filter("c_custkey % 3 <> 0")
-    return target, c.filter("c_custkey % 2 = 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 4 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal") - 1))
+    """All customers as a merge target. The source has new balances of all who order, made of their orders, and all suppliers as new customers."""
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), lake_queries.balances(spark, sf_dir)
 
 
-HALVES = """t AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0),
-s AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal + 1 ELSE c_acctbal - 1 END AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 2 = 0)"""
+HALVES = f"t AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer), {lake_queries.BALANCES_SQL}"
 
 
 @query(f"""WITH {HALVES} SELECT coalesce(t.c_custkey, s.c_custkey) AS c_custkey,
-CASE WHEN s.c_custkey IS NULL THEN 'keep' WHEN s.c_mktsegment = 'MACHINERY' THEN CASE WHEN t.c_custkey IS NULL THEN 'ignore' ELSE 'delete' END
+CASE WHEN s.c_custkey IS NULL THEN 'keep' WHEN s.c_mktsegment = 'P' THEN CASE WHEN t.c_custkey IS NULL THEN 'ignore' ELSE 'delete' END
 WHEN t.c_custkey IS NULL THEN 'insert' WHEN s.c_acctbal > t.c_acctbal THEN 'update' ELSE 'keep' END AS action
 FROM t FULL JOIN s ON t.c_custkey = s.c_custkey""")
 def merge_actions(spark, sf_dir):
     target, source = halves(spark, sf_dir)
-    plan = D.merge_plan(target, source, "c_custkey", F.col("s.c_acctbal") > F.col("t.c_acctbal"), F.col("s.c_mktsegment") == "MACHINERY")
+    plan = D.merge_plan(target, source, "c_custkey", F.col("s.c_acctbal") > F.col("t.c_acctbal"), F.col("s.c_mktsegment") == "P")
     return plan.select(F.coalesce("_old.c_custkey", "_new.c_custkey").alias("c_custkey"), F.col("_action").alias("action"))
 
 
@@ -108,9 +105,9 @@ def newest_wins_merge(spark, sf_dir):
 UNION ALL SELECT c_custkey, c_mktsegment AS note, 'desired' AS op FROM s""")
 def reconcile_chunks(spark, sf_dir):
     target, source = halves(spark, sf_dir)
-    stale = target.join(source, "c_custkey", "left_anti").select("c_custkey", F.lit("stale").alias("op"))
-    desired = source.select("c_custkey", F.col("c_mktsegment").alias("note"), F.lit("desired").alias("op"))
-    return desired.unionByName(stale, allowMissingColumns=True)
+    plan = D.merge_plan(target, source, "c_custkey", F.lit(True))
+    stale = F.col("_new").isNull()
+    return plan.select(F.coalesce("_new.c_custkey", "_old.c_custkey").alias("c_custkey"), F.col("_new.c_mktsegment").alias("note"), F.when(stale, "stale").otherwise("desired").alias("op"))
 
 
 TOP_SQL = """q AS (SELECT embedding AS query FROM embeddings WHERE vec_id = 0),
@@ -290,28 +287,37 @@ def document_subqueries(spark, sf_dir):
 
 RESULTS_SQL = """r AS (SELECT CASE event_type WHEN 'click' THEN 'docs' WHEN 'view' THEN 'sql' WHEN 'purchase' THEN 'hybrid' ELSE 'acl' END AS kind,
 CASE WHEN event_id % 7 = 0 THEN 'sql' ELSE 'docs' END AS route, CASE WHEN event_type = 'view' THEN 'sql' ELSE 'docs' END AS expected_route,
-CASE WHEN event_id % 5 > 0 THEN event_id % 5 END AS hit_rank, event_id % 11 = 0 AS refused, event_id % 13 > 0 AS grounded, value AS latency_ms FROM events)"""
+CASE WHEN event_id % 5 > 0 THEN event_id % 5 END AS hit_rank, event_id % 11 = 0 AS refused, event_id % 13 > 0 AS grounded, value AS latency_ms,
+event_id % 3 AS facts_found, (event_id % 17 = 0)::INT AS leaked, event_id % 4 > 0 AS has_sql, event_id % 19 = 0 AS sql_failed, event_id % 23 = 0 AS failed, event_id % 9 / 8::DOUBLE AS cost_usd FROM events)"""
 
 
 def results(spark, sf_dir):
-    e, t = F.col("event_id"), F.col("event_type")
+    e, t, none = F.col("event_id"), F.col("event_type"), F.lit(None).cast("string")
     return table(spark, sf_dir, "events").select(
         F.when(t == "click", "docs").when(t == "view", "sql").when(t == "purchase", "hybrid").otherwise("acl").alias("kind"), F.when(e % 7 == 0, "sql").otherwise("docs").alias("route"),
         F.when(t == "view", "sql").otherwise("docs").alias("expected_route"), F.when(e % 5 > 0, e % 5).alias("hit_rank"), (e % 11 == 0).alias("refused"), (e % 13 > 0).alias("grounded"),
-        F.lit(1).alias("facts_found"), F.lit(1).alias("facts_expected"), F.lit(0).alias("leaked"), F.lit("s").alias("sql"), F.lit(None).cast("string").alias("sql_error"),
-        F.lit(None).cast("string").alias("error"), F.col("value").alias("latency_ms"), F.lit(0.0).alias("cost_usd"),
+        (e % 3).alias("facts_found"), F.lit(2).alias("facts_expected"), (e % 17 == 0).cast("int").alias("leaked"), F.when(e % 4 > 0, "s").alias("sql"), F.when(e % 19 == 0, "e").otherwise(none).alias("sql_error"),
+        F.when(e % 23 == 0, "e").otherwise(none).alias("error"), F.col("value").alias("latency_ms"), (e % 9 / 8.0).alias("cost_usd"),
     )
 
 
-@query(f"""WITH {RESULTS_SQL} SELECT count(*) AS cases,
-round(count(*) FILTER (kind IN ('docs','hybrid') AND hit_rank IS NOT NULL)::DOUBLE / count(*) FILTER (kind IN ('docs','hybrid')), 9) AS recall_at_k,
+METRICS = "recall_at_k mrr router_accuracy answer_correctness sql_success refusal_rate_restricted grounded_rate unexpected_refusal_rate acl_leaks errors total_cost_usd p50_ms p95_ms".split()
+
+
+def share_sql(hit: str, of: str) -> str:
+    return f"round(count(*) FILTER ({of} AND {hit})::DOUBLE / count(*) FILTER ({of}), 9)"
+
+
+@query(f"""WITH {RESULTS_SQL}, o AS (SELECT list_sort(list(latency_ms)) AS l FROM r WHERE latency_ms IS NOT NULL)
+SELECT count(*) AS cases, {share_sql("hit_rank IS NOT NULL", "kind IN ('docs','hybrid')")} AS recall_at_k,
 round(sum(1.0::DOUBLE / hit_rank) FILTER (kind IN ('docs','hybrid')) / count(*) FILTER (kind IN ('docs','hybrid')), 9) AS mrr,
-round(count(*) FILTER (kind <> 'acl' AND route = expected_route)::DOUBLE / count(*) FILTER (kind <> 'acl'), 9) AS router_accuracy,
-round(count(*) FILTER (kind = 'acl' AND refused)::DOUBLE / count(*) FILTER (kind = 'acl'), 9) AS refusal_rate_restricted,
-round(count(*) FILTER (kind <> 'acl' AND NOT refused AND grounded)::DOUBLE / count(*) FILTER (kind <> 'acl' AND NOT refused), 9) AS grounded_rate FROM r""")
+{share_sql("route = expected_route", "kind <> 'acl'")} AS router_accuracy, {share_sql("NOT refused AND facts_found = 2", "kind <> 'acl'")} AS answer_correctness,
+{share_sql("has_sql AND NOT sql_failed", "kind IN ('sql','hybrid')")} AS sql_success, {share_sql("refused", "kind = 'acl'")} AS refusal_rate_restricted,
+{share_sql("grounded", "kind <> 'acl' AND NOT refused")} AS grounded_rate, {share_sql("refused", "kind <> 'acl'")} AS unexpected_refusal_rate,
+sum(leaked)::BIGINT AS acl_leaks, count(*) FILTER (failed) AS errors, round(sum(cost_usd), 9) AS total_cost_usd,
+(SELECT round(l[(round_even(0.5 * (len(l) - 1), 0) + 1)::INT], 9) FROM o) AS p50_ms, (SELECT round(l[(round_even(0.95 * (len(l) - 1), 0) + 1)::INT], 9) FROM o) AS p95_ms FROM r""")
 def golden_metrics(spark, sf_dir):
-    names = ["recall_at_k", "mrr", "router_accuracy", "refusal_rate_restricted", "grounded_rate"]
-    return evaluation.summarise(results(spark, sf_dir)).select("cases", *(F.round(n, 9).alias(n) for n in names))
+    return evaluation.summarise(results(spark, sf_dir)).select("cases", *(n if n in ("acl_leaks", "errors") else F.round(n, 9).alias(n) for n in METRICS))
 
 
 @query("""SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
