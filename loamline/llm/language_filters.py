@@ -26,6 +26,8 @@ SAMPLE_DOCS = 3000
 #: An n-gram is in a language's filter if at least this share of its documents has it. So a language has at most
 #: 1 / MIN_SHARE times the distinct n-grams of a mean document.
 MIN_SHARE = 0.004
+#: More languages are joined by a shuffle.
+BROADCAST_LANGUAGES = 20_000
 ORDERS = (2, 3, 4)
 HASHES = 2
 FOLDS, HELD_OUT = 4, 2
@@ -190,6 +192,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Filters:
     counts = rows.groupBy("lang").agg(F.count("*").alias("docs"))
     share = counts.select("lang", (F.lit(float(sample_docs)) / F.col("docs")).alias("_share"))
     uniform = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_003)) / F.lit(1_000_003)
+    # A row a language: up to a bound it is sent to all tasks, so that no text is shuffled.
+    share = F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share
     picked = rows.join(share, "lang").filter(uniform < F.col("_share")).select("lang", "text")
     got = picked.mapInArrow(_document_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     sampled = F.least(F.col("docs").cast("double"), F.lit(float(sample_docs)))
