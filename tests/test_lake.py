@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from loamline.operators import index as I
 from loamline.operators.search import hybrid
 from loamline.operators import fulltext
+from loamline.sources import table
 from loamline.sources.parsers import ParseError, parse
 from loamline.sources.table import VersionedTable
 from loamline.streaming import pipeline as P
@@ -35,6 +36,35 @@ def test_versioned_table(spark, tmp_path):
         t.merge(rows((1, 1), (1, 2)), "id")
 
 
+def test_merges_read_only_files_that_may_hold_a_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(table, "FEW_FILES", 2)
+    t = VersionedTable(spark, f"{tmp_path}/t", "id STRING, unit INT, v INT")
+    rows = lambda r, v=0: spark.createDataFrame([(f"k{i}", i // 10, v) for i in r], "id string, unit int, v int")
+    for k in range(8):
+        t.append_new(rows(range(1000 * k, 1000 * k + 1000)), "id")
+    files = t._commit(t.version())["files"]
+    batch = rows([5, 7, 2040], 9)
+    some = t.candidates(batch, "id")
+    with_rows = {t._name(r[0]) for r in t._read_files(files).withColumn("f", F.input_file_name()).join(batch, "id", "left_semi").select("f").distinct().collect()}
+    assert with_rows <= set(some) and len(with_rows) == 2 and len(some) <= 3 and len(files) == 8
+    assert t.candidates(rows([]), "id") == [] and set(t.candidates(batch, "v")) == set(files)  # nothing is known of v
+    seen = []
+    read = VersionedTable._read_files
+    VersionedTable._read_files = lambda self, f: seen.append(set(f)) or read(self, f)
+    try:
+        assert t.merge(batch, "id") == {"update": 3}
+    finally:
+        VersionedTable._read_files = read
+    assert all(f <= set(some) for f in seen if f & set(files))
+    t.replace_where(rows([100, 101], 3), "id", "unit", rows([100]).select("unit"))
+    want = sorted((f"k{i}", {5: 9, 7: 9, 2040: 9, 100: 3, 101: 3}.get(i, 0)) for i in range(8000) if i not in range(102, 110))
+    assert sorted((r.id, r.v) for r in t.read().collect()) == want
+    before, n = len(t._commit(t.version())["files"]), t.version()
+    assert t.compact(4000) > 2 and t.version() == n + 1 and len(t._commit(t.version())["files"]) < before
+    assert sorted((r.id, r.v) for r in t.read().collect()) == want and t.changes(n).count() == 0 and t.compact(4000) == 0
+    assert t.merge(rows([5], 1), "id", delete_if=F.lit(True)) == {"delete": 1} and t.read().count() == len(want) - 1
+
+
 def test_two_writers(spark, tmp_path, monkeypatch):
     """Of two writers of a version one fails, and the change feed is that of the one who won."""
     ddl = "id INT, v INT"
