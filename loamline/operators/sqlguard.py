@@ -112,6 +112,31 @@ def validate(spark: SparkSession, sql: str, views: list[str]) -> set[str]:
     return used
 
 
+#: Rows that one side of a join without a key may have, if its plan bounds them; bytes that a statement may read by the plan's estimate.
+FEW_ROWS, MAX_READ = 1000, 2**40
+
+
+def check_cost(df: DataFrame, max_read: int = MAX_READ, few_rows: int = FEW_ROWS) -> int:
+    """The bytes that a statement reads, by its optimized plan's statistics; raises ``Rejected`` before anything runs if these are too many, or if it pairs all rows of two sides
+    of which neither is bound to a few."""
+    jvm, read = df.sparkSession._jvm, 0
+    keys = jvm.org.apache.spark.sql.catalyst.planning.ExtractEquiJoinKeys
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        children = _seq(node.children().toIndexedSeq())
+        if not children:
+            read += int(node.stats().sizeInBytes())
+        elif node.nodeName() == "Join" and keys.unapply(node).isEmpty():
+            bound = [int(c.maxRows().get()) if c.maxRows().isDefined() else None for c in children]
+            if not any(n is not None and n <= few_rows for n in bound):
+                raise Rejected("a join has no equal columns and would pair all rows; join on a key")
+        todo += children
+    if read > max_read:
+        raise Rejected(f"it would read about {read:,} bytes, more than {max_read:,}; ask for less")
+    return read
+
+
 @dataclass
 class Result:
     columns: list[str]
@@ -122,8 +147,8 @@ class Result:
 class Caller:
     """A caller's session: only the views whose groups they share, filtered."""
 
-    def __init__(self, spark: SparkSession, views: dict[str, tuple[DataFrame, list[str] | None]], groups: list[str], max_rows: int = 200, timeout_s: float = 5.0):
-        self.session, self.max_rows, self.timeout_s = spark.newSession(), max_rows, timeout_s
+    def __init__(self, spark: SparkSession, views: dict[str, tuple[DataFrame, list[str] | None]], groups: list[str], max_rows: int = 200, timeout_s: float = 5.0, max_read: int = MAX_READ):
+        self.session, self.max_rows, self.timeout_s, self.max_read = spark.newSession(), max_rows, timeout_s, max_read
         for statement in DATE_FUNCTIONS:
             self.session.sql(statement)
         self.views = [name for name, (_, need) in views.items() if groups and (need is None or set(need) & set(groups))]
@@ -146,7 +171,9 @@ class Caller:
         validate(self.session, sql, self.views)
         plain = _QUALIFIER.sub(lambda m: m[1] or "", sql)
         validate(self.session, plain, self.views)
-        return self.session.sql(plain)
+        df = self.session.sql(plain)
+        check_cost(df, self.max_read)
+        return df
 
     def run(self, sql: str) -> Result:
         """Runs a checked statement, with one row more than the cap to tell whether rows are left; stops at the timeout."""

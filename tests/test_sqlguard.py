@@ -56,3 +56,20 @@ def test_date_functions(spark):
     caller = Caller(spark, {"t": (df, None)}, ["staff"])
     got = caller.run("select age(a, b) as span, date_bin(interval '15' minute, a, timestamp '2024-01-01') as q, date_bin(interval '7' day, a, timestamp '2024-01-01') as w from t").rows
     assert [(str(x[0]), str(x[1]), str(x[2])) for x in got] == [("2 days, 10:17:00", "2024-01-31 10:15:00", "2024-01-29 00:00:00")]
+
+
+def test_costs_are_checked_before_a_run(spark, sf):
+    views = {n: (spark.read.parquet(f"{sf}/{n}.parquet"), None) for n in ("customer", "orders")}
+    caller = Caller(spark, views, ["staff"], timeout_s=60)
+    pairs = ["select count(*) from customer a, orders b", "select count(*) from customer a join orders b on a.c_custkey < b.o_custkey", "select count(*) from customer a cross join orders b",
+             "select count(*) from customer a where not exists (select 1 from orders b where b.o_totalprice > a.c_acctbal)"]
+    for sql in pairs:
+        with pytest.raises(Rejected, match="pair all rows"):
+            caller.run(sql)
+    good = ["select count(*) from customer a join orders b on a.c_custkey = b.o_custkey and a.c_acctbal < b.o_totalprice", "select count(*) from customer where c_acctbal > (select avg(c_acctbal) from customer)",
+            "select count(*) from customer, (select * from orders limit 5) o", "select c_custkey from customer except select o_custkey from orders"]
+    for sql in good:
+        assert caller.run(sql).columns
+    small = Caller(spark, views, ["staff"], timeout_s=60, max_read=100)
+    with pytest.raises(Rejected, match="would read about"):
+        small.run("select count(*) from orders")
