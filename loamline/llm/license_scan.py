@@ -1,10 +1,10 @@
 """Licence scans by conditional compression.
 
 Blocks of a document that use licence wording are compressed alone and, with each template as a zstandard raw-content
-dictionary, given the template. What a template saves is measured against the cheaper of the two, so other text in a block doesn't hide a notice. Templates are ranked
-by it; they are confirmed by the exact wording alone: a template's words must
-stand in the document in order, all of them for a short notice and nearly all for a long text. The wording is searched in the words of the whole
-document, so neither line ends nor the sentences without licence wording at a template's end cut it off.
+dictionary, given the template. Templates are ranked by the bytes that they save and confirmed down the ranking by the exact wording: a template's words must
+stand there in order, all of them for a short notice and nearly all for a long text. A block is taken with as many words around it as the longest template has, so neither
+line ends nor the sentences without licence wording at a template's end cut it off. A reduction is told as a share of the cheaper of block and template, so other text in a block
+doesn't hide a notice.
 """
 
 from __future__ import annotations
@@ -164,13 +164,40 @@ def _own_costs() -> list[int]:
     return [len(plain.compress(text.encode())) for _, text in templates()]
 
 
-def licences(have: np.ndarray) -> list[tuple[int, int, int, list[int], list[int]]]:
-    """(start, end, template, missing, extra) of all confirmed windows, in order; the best are taken out and the rest is searched again."""
-    out, todo = [], [(0, len(have))]
+def ranking(text: str) -> list[int]:
+    """All templates by the bytes that each saves of a text, the longer first among equals."""
+    ids, saved = _wordings()[1], [x for x, _ in _reductions(text)]
+    return sorted(range(len(ids)), key=lambda k: (-saved[k], -len(ids[k]), k))
+
+
+def regions(own: list[tuple[str, int, int]], blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first, last + 1) word of the candidate blocks, each with as many words around it as a template may have; those that meet are one."""
+    _, ids, _, may = _wordings()
+    reach, out = max(map(len, ids)) + max(may), []
+    for a, b in blocks:
+        lo, hi = max(0, bisect_right(own, a, key=lambda x: x[2]) - reach), min(len(own), bisect_right(own, b, key=lambda x: x[1]) + reach)
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
+        elif lo < hi:
+            out.append((lo, hi))
+    return out
+
+
+def licences(text: str, own: list[tuple[str, int, int]], have: np.ndarray, blocks: list[tuple[int, int]]) -> list[tuple[int, int, int, list[int], list[int]]]:
+    """(start, end, template, missing, extra) of the confirmed windows of the candidate blocks, in order.
+
+    A block is compressed with each template, and the templates are confirmed down their ranking, without a cap, by how their wording differs; of windows that
+    overlap the one that differs least and is longest stays, then the one ranked higher. What is left on either side is compressed, ranked and confirmed again.
+    """
+    out, todo = [], regions(own, blocks)
     while todo:
         lo, hi = todo.pop()
+        part = text[own[lo][1] : own[hi - 1][2]]
+        if not _CUE.search(part):
+            continue  # every template has a cue
+        place = {k: i for i, k in enumerate(ranking(part))}
         taken: list[tuple] = []
-        for _, k, s, e, missing, extra in wordings(have[lo:hi]):
+        for _, k, s, e, missing, extra in sorted(wordings(have[lo:hi]), key=lambda x: (-x[0], place[x[1]], x[2])):
             at = bisect_right(taken, lo + s, key=lambda x: x[0])
             if (not at or taken[at - 1][1] <= lo + s) and (at == len(taken) or lo + e <= taken[at][0]):
                 taken.insert(at, (lo + s, lo + e, k, missing, [lo + x for x in extra]))
@@ -192,7 +219,7 @@ def rows(text: str, blocks: list[tuple[int, int]]) -> list[tuple]:
     own = places(text)
     have = np.array([number.get(w, -1) for w, _, _ in own], np.int64)
     out, spans = [], []
-    for s, e, k, missing, extra in licences(have):
+    for s, e, k, missing, extra in licences(text, own, have, blocks):
         lo, hi = own[s][1], own[e - 1][2]
         block = min(bisect_right(blocks, lo, key=lambda x: x[1]), len(blocks) - 1)
         spans.append((lo, hi))

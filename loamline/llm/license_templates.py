@@ -31,8 +31,14 @@ NAMES = {
     "Zlib": ["the zlib License"], "BSL-1.0": ["the Boost Software License 1.0", "BSL-1.0"], "EPL-2.0": ["the Eclipse Public License 2.0", "EPL-2.0"], "EUPL-1.2": ["the European Union Public Licence 1.2", "EUPL-1.2"],
 }
 FRAMES = ("Licensed under {}.", "Released under {}.", "This work is licensed under {}.")
+#: For names that say that they are a licence's.
+TERMS = "under the terms of {}."
+#: Identifiers as they stand behind a tag.
+IDENTIFIERS = "MIT ISC BSD-2-Clause BSD-3-Clause Apache-2.0 MPL-2.0 GPL-3.0-only GPL-3.0-or-later GPL-2.0-only GPL-2.0-or-later LGPL-3.0-only LGPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later AGPL-3.0-only AGPL-3.0-or-later CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 Unlicense Zlib BSL-1.0 EPL-2.0 EUPL-1.2".split()
+TAGS = ("SPDX-License-Identifier: {}", "License: {}")
 
 
 def templates() -> list[tuple[str, str]]:
-    """(licence, text) of all texts and of each name in each frame."""
-    return [*TEXTS.items(), *((k, f.format(n)) for k, names in NAMES.items() for n in names for f in FRAMES)]
+    """(licence, text) of all texts, of each name in each frame and of each identifier behind each tag."""
+    named = ((k, f.format(n)) for k, names in NAMES.items() for n in names for f in (*FRAMES, *[TERMS] * ("Licen" in n)))
+    return [*TEXTS.items(), *named, *((k, f.format(k)) for k in IDENTIFIERS for f in TAGS)]

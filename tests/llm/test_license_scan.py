@@ -155,3 +155,33 @@ def test_wordings_against_all_windows(monkeypatch):
                 assert any(e in ends and least[e] == min(least[x] for x in run) for e in run.tolist()), (k, run, ends)
             found += len(runs)
     assert found > 30
+
+
+def test_identifiers_and_terms():
+    for text, want in [("// SPDX-License-Identifier: Apache-2.0\nint main() {}", "Apache-2.0"), ("License: GPL-3.0-only", "GPL-3.0-only"), ("It is distributed under the terms of the MIT license.", "MIT"),
+                       ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later")]:
+        got = [(r[3], r[5]) for r in ls.rows(text, ls.candidate_blocks(text)) if r[5]]
+        assert got == [(want, True)], (text, got)
+
+
+def test_every_template_has_a_cue_and_ranks_first_on_itself():
+    for k, (name, text) in enumerate(ls.templates()):
+        assert ls._CUE.search(text), name
+        first = ls.ranking(text)[0]
+        assert ls.templates()[first][0].split("-")[0] == name.split("-")[0] or set(ls.words(text)) <= set(ls.words(ls.templates()[first][1])), (name, ls.templates()[first])
+
+
+def test_blocks_against_the_whole_document():
+    """Only candidate blocks are searched; nothing is lost against a search of all words."""
+    import random
+
+    rng = random.Random(6)
+    texts = [t for _, t in ls.templates()]
+    noise = "the quick brown fox jumps over a lazy dog while licences, copyright and other words pass by in no order at all".split()
+    for _ in range(60):
+        parts = [" ".join(rng.choice(noise) for _ in range(rng.randrange(0, 120))) for _ in range(4)]
+        text = "\n".join(x for p in parts for x in (p, rng.choice(texts)))
+        own = ls.places(text)
+        have = np.array([ls._wordings()[0].get(w, -1) for w, _, _ in own], np.int64)
+        part = ls.licences(text, own, have, ls.candidate_blocks(text))
+        assert part == ls.licences(text, own, have, [(0, len(text))]) and len(part) >= 4
