@@ -183,7 +183,10 @@ def mix_sources(
 
 
 def shard_parts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block_words: int = BLOCK_WORDS, seed: int = 20240601, scratch: Scratch | None = None) -> DataFrame:
-    """The mix by shard: (shard, slot, source, doc_id, from_word, n) for each document that a slot's block has words of, in the block's order by from_place."""
+    """The mix by shard: (shard, slot, source, doc_id, from_word, n) for each document that a slot's block has words of, in the block's order by from_place.
+
+    Texts without words and null texts give no rows; null sources are one source; repeated rows and null ids each have their own place. An empty table gives none.
+    """
     scratch = scratch or Scratch(docs.sparkSession, "shards")
     placed, sources = lay_out(docs, weights, most, block_words, scratch)
     parts = slot_plan(sources, seed, scratch=scratch).join(document_blocks(placed).hint("merge"), ["s_no", "block"])
@@ -193,7 +196,8 @@ def shard_parts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block_words: int = BLOCK_WORDS, seed: int = 20240601, scratch: Scratch | None = None) -> DataFrame:
     """The mixed corpus in the columns of ``docs``: for each pass, what it takes of a document, with n_chars set where there is such a column.
 
-    A document that a pass takes whole keeps its text; else the words it takes stay in order, with the white space after each.
+    A document that a pass takes whole keeps its text; else the words it takes stay in order, with the white space after each. Null texts and texts without words are never
+    taken; null sources are one source; repeated rows and null ids each have their own place; columns of any other name stay. An empty table gives no rows.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixture")
     placed, sources = lay_out(docs, weights, most, block_words, scratch)

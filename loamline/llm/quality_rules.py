@@ -117,7 +117,10 @@ def quality_rules(docs: DataFrame, host: str = "source", max_failure: float = MA
 
 
 def keep_good(docs: DataFrame, host: str = "source", max_failure: float = MAX_HOST_FAILURE, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of ``docs`` that pass: all its columns, documents of rejected hosts and documents that fail the base rules left out."""
+    """The rows of ``docs`` that pass: all its columns, documents of rejected hosts and documents that fail the base rules left out.
+
+    A null text has no words and fails; null hosts form a host of their own; repeated rows and null ids are judged each; columns of any name stay. An empty table gives no rows.
+    """
     scratch = scratch or Scratch(docs.sparkSession, "quality")
     measured = measure(docs, host).withColumn("base_failed", fails_base(F.col("n_words"), F.col("n_repeat_words")))
     failed = F.col("base_failed") | F.col("fails_symbols") | F.col("fails_dup_lines")

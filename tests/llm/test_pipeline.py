@@ -28,3 +28,28 @@ def test_run_on_copies_and_junk(spark, tmp_path):
     df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert cp.run(spark, f"{tmp_path}/none").count() == 0
     assert language_filters.keep_known(df.limit(0)).count() == packing.pack_documents(df.limit(0)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls, repeats, ties, a very long text and columns with the stages' own names: rows come out whole or not at all."""
+    clean = [" ".join(f"word{i * 7 + j} plain" for j in range(60)) for i in range(6)]
+    long = " ".join(f"lang{j} wort" for j in range(150_000))
+    rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(clean)]
+    rows += [(None, clean[0], "en", None, 1), (None, clean[5] + " tail", None, "s1", None), (3, clean[3], "en", "s1", 1), (3, clean[3], "en", "s1", 1), (90, long, "en", "s0", len(long)), (91, None, "en", "s0", None), (92, "", "en", "s1", 0), (93, " \n ", None, None, 3)]
+    extra = "comp string, node int, size string, _doc string, block int, kept boolean, `Hash` string, rank int"
+    df = spark.createDataFrame([(*r, "c", 1, "z", "d", 2, True, "h", 3) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + extra)
+    docs = df
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.dtypes == df.dtypes, name
+        got = out.collect()
+        assert all(tuple(r)[5:] == ("c", 1, "z", "d", 2, True, "h", 3) for r in got), name
+        if name != "source_mixing":
+            assert all(tuple(r)[:5] in rows for r in got), name
+            assert any(r.doc_id == 90 and r.text == long for r in got), name
+        docs = spark.createDataFrame(got, df.schema)
+        if name == "ngram_jaccard_join":
+            assert sorted(r.doc_id for r in got if r.doc_id is not None) == [*range(6), 90]
+    assert all(r.text and r.text.strip() for r in docs.collect())
+    packed = cp.STAGES[-1][1](spark, docs, sf).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()} and all(r.length <= 2048 for r in packed)
