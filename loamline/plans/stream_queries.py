@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sketches
 from ..scratch import Scratch
 from ..streaming import limiter, windows
 from .catalog import query, table
@@ -65,3 +66,20 @@ def limited_requests(spark, sf_dir):
     out = f"{scratch.root}/decisions"
     delivered(scratch, rows, "requests", lambda src: limiter.run_limited(limiter.limited(src, BURST, PERIOD), out, f"{scratch.root}/checkpoint"))
     return spark.read.schema("caller long, request_id long, allowed boolean").parquet(out).select(F.col("caller").alias("user_id"), F.col("request_id").alias("event_id"), "allowed")
+
+
+@query("""SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS p50_ok, true AS p95_ok, true AS users_ok FROM events GROUP BY 1, 2""")
+def sketched_days(spark, sf_dir):
+    """Hourly sketches of values and users rolled up to days, held against the exact answers: each estimate has to keep to the sketch's bound."""
+    e = table(spark, sf_dir, "events").select("event_type", "user_id", "value", F.col("ts").cast("timestamp").alias("at"))
+    hours = Scratch(spark, "sketches").save(sketches.sketched(e, "at", "1 hour", ["event_type"], "value", "user_id"), "hours")
+    days = sketches.rolled_up(hours, F.date_trunc("day", "bucket"), ["event_type"])
+    told = days.select("bucket", "event_type", sketches.quantile(F.col("values"), 0.5).alias("p50"), sketches.quantile(F.col("values"), 0.95).alias("p95"), sketches.distinct_count(F.col("idents")).alias("users_told"))
+    rows = e.withColumn("bucket", F.date_trunc("day", "at")).join(told, ["bucket", "event_type"]).groupBy("bucket", "event_type")
+    # The place that an estimate has among all values, from below it to up to it, must hold the quantile within the bound.
+    place = lambda p: (F.count_if(F.col("value") < F.col(p)) / F.count("value"), F.count_if(F.col("value") <= F.col(p)) / F.count("value"))
+    within = lambda p, q: (place(p)[0] - sketches.RANK_ERROR <= q) & (place(p)[1] + sketches.RANK_ERROR >= q)
+    users = F.countDistinct("user_id")
+    near = F.abs(F.first("users_told") - users) <= F.greatest(F.lit(1.0), users * sketches.COUNT_ERROR)
+    exact = rows.agg(F.count("*").alias("n"), users.alias("users"), within("p50", 0.5).alias("p50_ok"), within("p95", 0.95).alias("p95_ok"), near.alias("users_ok"))
+    return exact.withColumn("bucket", F.col("bucket").cast("timestamp_ntz")).withColumnRenamed("bucket", "day")
