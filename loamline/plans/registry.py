@@ -13,7 +13,7 @@ from ..functions.vectors import cosine
 from ..operators import documents as D
 from ..operators import evaluation
 from ..operators.search import batch_vector_top_k
-from . import golden_queries, lake_queries, record_queries, search_queries, serving_queries, stream_queries  # noqa: F401  they register queries
+from . import golden_queries, index_queries, lake_queries, record_queries, search_queries, serving_queries, stream_queries  # noqa: F401  they register queries
 from .catalog import ORACLES, QUERIES, query, table
 from .groups import GROUPS_SQL, with_groups
 
