@@ -88,7 +88,7 @@ def _best_of_task(asked, k: int, digits: int | None):
 def batch_vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK, digits: int | None = None) -> DataFrame:
     """(query_id, id, similarity, rank): the nearest ``k`` of all ``vectors`` (id, embedding) for each of ``queries`` (query_id, query), exactly; ids are long.
 
-    A pass sends at most ``block`` queries to every task of the vectors, however many queries there are; a task keeps its best ``k`` for each
+    A pass sends about ``block`` queries, dealt by hash, to every task of the vectors, however many queries there are; a task keeps its best ``k`` for each
     query of the pass, and only these are shuffled. Null and zero vectors aren't found and find nothing, nor do vectors of other lengths. Similarities
     are rounded to ``digits`` before they are ordered, if given; ties go to the least id.
     """
@@ -96,18 +96,17 @@ def batch_vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: in
     scratch = Scratch(spark, "batch-search")
     unit = vectors.select(F.col("id").cast("long").alias("id"), normalised(F.col("embedding")).alias("_v")).filter("_v is not null and id is not null")
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), normalised(F.col("query")).alias("_q")).filter("_q is not null and query_id is not null")
-    numbered = asked.withColumn("_n", F.row_number().over(Window.orderBy("query_id"))) if block < queries.count() else asked.withColumn("_n", F.lit(1))
-    numbered = scratch.save(numbered, "queries")
-    last = numbered.agg(F.max("_n").alias("n")).first()["n"] or 1
+    asked = scratch.save(asked, "queries")
+    passes = max(1, -(-asked.count() // block))
     found = []
-    for lo in range(0, last, block):
-        some = numbered.filter((F.col("_n") > lo) & (F.col("_n") <= lo + block)).select("query_id", "_q").collect()  # at most ``block`` rows
+    for n in range(passes):
+        some = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n).collect()  # about ``block`` rows
         by: dict[int, list[int]] = {}
         for i, r in enumerate(some):
             by.setdefault(len(r["_q"]), []).append(i)
         shared = spark.sparkContext.broadcast(([r["query_id"] for r in some], {n: (own, np.array([some[i]["_q"] for i in own])) for n, own in by.items()}))
         part = unit.mapInArrow(_best_of_task(shared, k, digits), "query_id long, id long, similarity double")
-        found.append(part if last <= block else scratch.save(part, "found"))
+        found.append(part if passes == 1 else scratch.save(part, "found"))
     every = found[0] if len(found) == 1 else spark.read.schema(found[0].schema).parquet(*(d._loamline_path for d in found))
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
