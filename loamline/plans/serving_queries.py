@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import whole_dollars
-from ..operators import evaluation
+from ..operators import evaluation, session_groups
 from ..operators.sqlguard import Caller
 from ..operators.sync import sync_plan
-from ..operators.views import analytics_views
+from ..operators.views import VIEWS, analytics_views
 from .catalog import query, table
 
 
@@ -56,6 +57,20 @@ def restricted_views(spark, sf_dir):
     return out
 
 
+@query("SELECT 'exec' AS caller, count(*) AS invoices, (SELECT count(*) FROM supplier) AS salaries, (SELECT count(*) FROM customer) AS customers FROM orders UNION ALL SELECT 'hr', 0, (SELECT count(*) FROM supplier), count(*) FROM customer UNION ALL SELECT 'nobody', 0, 0, 0 UNION ALL SELECT 'sales', count(*), 0, (SELECT count(*) FROM customer) FROM orders")
+def session_views(spark, sf_dir):
+    """Rows that callers see of one set of views, whose filters read the groups of the session."""
+    session, tables, out = spark.newSession(), record_tables(spark, sf_dir), []
+    moved = lambda df: DataFrame(session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, df._jdf.queryExecution().analyzed()), session)
+    names = {"invoices": VIEWS["invoices"][1], "employee_compensation": VIEWS["employee_compensation"][1], "customers": VIEWS["customers"][1]}
+    session_groups.install(session, {n: (moved(tables[n]), need) for n, need in names.items()})
+    for caller in ("exec", "hr", "sales", "nobody"):
+        with session_groups.groups_of(session, [] if caller == "nobody" else [caller]):
+            n = [session.table(v).count() for v in names]
+        out.append((caller, n[0], n[1], n[2]))
+    return spark.createDataFrame(out, "caller string, invoices long, salaries long, customers long")  # a row a caller
+
+
 @query("""SELECT o_custkey, count(*) AS n, round_even(sum(o_totalprice::DECIMAL(12,2))::DOUBLE, 0)::BIGINT AS dollars FROM orders WHERE o_orderstatus = 'O' GROUP BY 1""")
 def open_dollars(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.count("*").alias("n"), whole_dollars(F.sum(F.col("o_totalprice").cast("decimal(12,2)"))).alias("dollars"))
