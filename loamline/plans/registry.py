@@ -193,7 +193,7 @@ c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '{SSN_SQL}', '\1[SSN]\3',
 k AS (SELECT doc_id, text, {cards_sql('t')} AS parts FROM c)
 SELECT doc_id, masked FROM (SELECT doc_id, text, parts[1] || array_to_string(list_transform(parts[2:], lambda x: CASE WHEN {luhn_sql('string_split(x, chr(2))[1]')} THEN '[CARD]' ELSE string_split(x, chr(2))[1] END || string_split(x, chr(2))[2]), '') AS masked FROM k) WHERE masked <> text""")
 def pii_masked(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("doc_id", "text", X.mask_pii(F.col("text")).alias("masked"))
+    df = table(spark, sf_dir, "documents").select("doc_id", "text", X.mask_pii(F.col("text"), as_sql=True).alias("masked"))
     return df.filter("masked <> text").select("doc_id", "masked")
 
 
