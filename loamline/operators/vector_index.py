@@ -4,8 +4,9 @@ Vectors of length 1 lie in the cell of their nearest centre; what is left after
 So a scan reads codes, not vectors, and knows how far each score may be off. A query scans its best cells first, sees only rows whose groups it shares, and
 widens until it has enough of them. Only then are vectors read, of the candidates alone.
 
-A search is exact if asked: no vector of a cell scores above the centre's score plus the cell's radius, so cells are scanned until none can hold a better row, and all
-candidates are kept whose score may reach the kth best. Otherwise a query stops at ``rerank`` times k visible candidates after ``probes`` cells at least.
+A search is exact if asked: no vector of a cell scores above the centre's score plus the cell's radius. The ``probes`` best cells give a query's least kth score; then it sees all cells that can reach
+it, by strips of cells, and each task compares the vectors themselves and gives a query's ``k`` best at most, so nothing grows with the number of pairs but the comparisons.
+Otherwise a query stops at ``rerank`` times k visible candidates after ``probes`` cells at least.
 
 Centres and codes are learned from a bounded sample (``SAMPLE`` vectors); every vector is indexed. Appended vectors use them as they are.
 """
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, normalised
@@ -26,7 +27,10 @@ from ..scratch import Scratch
 #: Vectors that centres and codes are learned from; most cells; dimensions and values of a code's byte; rows and queries that a task compares, and queries at once.
 SAMPLE, MAX_CELLS, SUB, VALUES = 20_000, 4096, 4, 256
 PART, BLOCK, AT_ONCE = 32_768, 1024, 64
+#: Queries that an exact search compares with a strip, and bytes of a strip's vectors.
+EXACT_BLOCK, STRIP_BYTES = 4096, 8 * 2**20
 STORED = "id long, code binary, err double, groups array<string>, unit array<double>, cell int"
+_ASKED = "query_id long, q array<double>, groups array<string>, floor double, cell int"
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -105,8 +109,8 @@ def _encoder(shared):
     return run
 
 
-def _chosen(shared, lo: int, hi: int, exact: bool, slack: float):
-    """Queries (query_id, q, groups, floor) -> a row for each cell that they scan in this round: places lo to hi of their order, less those that can't reach the floor."""
+def _chosen(shared, lo: int, hi: int):
+    """Queries (query_id, q, groups, floor) -> a row for each cell that they scan in this round: places lo to hi of their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, radius = shared.value
@@ -114,16 +118,31 @@ def _chosen(shared, lo: int, hi: int, exact: bool, slack: float):
             if not len(b):
                 continue
             near = _matrix(b.column(1)) @ codes.centres.T
-            most = near + radius[None, :]
-            order = np.argsort(-(most if exact else near), axis=1, kind="stable")[:, lo:hi]
-            ok = (radius[order] >= 0) & (np.take_along_axis(most, order, 1) >= b.column(3).to_numpy()[:, None] - slack)
-            i, j = np.nonzero(ok)
+            order = np.argsort(-near, axis=1, kind="stable")[:, lo:hi]
+            i, j = np.nonzero(radius[order] >= 0)
             at = pa.array(i)
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(4)), pa.array(order[i, j].astype(np.int32))], names=["query_id", "q", "groups", "floor", "cell"])
 
     return run
 
 
+def _reaching(shared, slack: float):
+    """Queries (query_id, q, groups, floor) -> a row for each strip with a cell that can reach the floor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, radius, strips = shared.value
+        for b in batches:
+            if not len(b):
+                continue
+            ok = (radius >= 0) & (_matrix(b.column(1)) @ codes.centres.T + radius[None, :] >= b.column(3).to_numpy()[:, None] - slack)
+            i, cell = np.nonzero(ok)
+            i, strip = np.unique(np.stack((i, strips[cell])), axis=1)
+            at = pa.array(i)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(4)), pa.array(strip.astype(np.int32))], names=["query_id", "q", "groups", "floor", "cell"])
+
+    return run
+
+
 def _sets(col) -> tuple[np.ndarray, list[frozenset]]:
     """Numbers of equal sets of groups, and the sets."""
     number: dict[frozenset, int] = {}
@@ -131,8 +150,14 @@ def _sets(col) -> tuple[np.ndarray, list[frozenset]]:
     return np.array(of, np.int64), list(number)
 
 
-def _scan(shared, k: int, keep: int, exact: bool, slack: float):
-    """Queries and a part of a cell -> (query_id, id, cell, low, high): visible rows that may be among the k best, with bounds of their score; at most the ``keep`` best if not exact."""
+def _meets(q: pa.Table, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which sets of the queries' groups (first) meet which of the rows', and the number of each query's and each row's set."""
+    (own, owns), (had, has) = _sets(q.column("groups")), _sets(rows.column("groups"))
+    return np.array([[bool(a & b) for b in has] for a in owns]), own, had
+
+
+def _scan(shared, keep: int):
+    """Queries and a part of a cell -> (query_id, id, cell, score): the ``keep`` best visible rows by their codes."""
 
     def run(q: pa.Table, rows: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -140,26 +165,49 @@ def _scan(shared, k: int, keep: int, exact: bool, slack: float):
             codes, _ = shared.value
             cell = rows.column("cell")[0].as_py()
             code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(rows), -1)
-            err, ids, who = rows.column("err").to_numpy(), rows.column("id").to_numpy(), q.column("query_id").to_numpy()
-            (own, owns), (had, has) = _sets(q.column("groups")), _sets(rows.column("groups"))
-            meets = np.array([[bool(a & b) for b in has] for a in owns])
-            x, floor = _matrix(q.column("q")), q.column("floor").to_numpy()
+            ids, who = rows.column("id").to_numpy(), q.column("query_id").to_numpy()
+            meets, own, had = _meets(q, rows)
+            x = _matrix(q.column("q"))
             for at in range(0, len(x), AT_ONCE):
                 part = slice(at, at + AT_ONCE)
                 score = codes.scores(x[part], cell, code)
                 seen = meets[own[part]][:, had]
                 for i, (s, ok) in enumerate(zip(score, seen, strict=True)):
                     r = np.flatnonzero(ok)
-                    if exact:
-                        low = s[r] - err[r]
-                        least = max(floor[at + i], np.partition(low, len(r) - k)[len(r) - k] if len(r) >= k else -np.inf)
-                        r = r[s[r] + err[r] >= least - slack]
-                    elif len(r) > keep:
+                    if len(r) > keep:
                         r = r[np.argpartition(-s[r], keep - 1)[:keep]]
-                    e = err[r] if exact else 0.0
-                    out.append((np.full(len(r), who[at + i]), ids[r], np.full(len(r), cell, np.int32), s[r] - e, s[r] + e))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, t) for t in (np.int64, np.int64, np.int32, float, float)]
-        return pa.table(dict(zip(("query_id", "id", "cell", "low", "high"), map(pa.array, cols), strict=True)))
+                    out.append((np.full(len(r), who[at + i]), ids[r], np.full(len(r), cell, np.int32), s[r]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, t) for t in (np.int64, np.int64, np.int32, float)]
+        return pa.table(dict(zip(("query_id", "id", "cell", "score"), map(pa.array, cols), strict=True)))
+
+    return run
+
+
+def _compare(k: int, digits: int):
+    """Queries and a part of a cell or strip -> (query_id, id, similarity): the ``k`` best visible rows that reach the query's floor, by rounded similarity, ties by id."""
+
+    def run(q: pa.Table, rows: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if len(q) and len(rows):
+            ids, who, floor = rows.column("id").to_numpy(), q.column("query_id").to_numpy(), q.column("floor").to_numpy()
+            meets, own, had = _meets(q, rows)
+            x, y = _matrix(q.column("q")), _matrix(rows.column("unit"))
+            for at in range(0, len(x), AT_ONCE):
+                part = slice(at, at + AT_ONCE)
+                score = x[part] @ y.T
+                hit = (score >= floor[part, None] - 10.0**-digits) & meets[own[part]][:, had]
+                for i, (s, ok) in enumerate(zip(score, hit, strict=True)):
+                    r = np.flatnonzero(ok)
+                    if not len(r):
+                        continue
+                    sim = np.round(s[r], digits)
+                    if len(r) > k:
+                        best = np.flatnonzero(sim >= np.partition(sim, len(r) - k)[len(r) - k])
+                        best = best[np.lexsort((ids[r[best]], -sim[best]))[:k]]
+                        r, sim = r[best], sim[best]
+                    out.append((np.full(len(r), who[at + i]), ids[r], sim))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, t) for t in (np.int64, np.int64, float)]
+        return pa.table(dict(zip(("query_id", "id", "similarity"), map(pa.array, cols), strict=True)))
 
     return run
 
@@ -226,34 +274,65 @@ class VectorIndex:
         q = scratch.save(q.filter((F.size("q") == dim) & (F.size("groups") > 0) & F.col("query_id").isNotNull()), "queries")
         sizes = self.cells()
         radius = np.array([sizes.get(c, (0, -1.0))[1] for c in range(len(self.codes.centres))])
+        if not sizes:
+            return spark.createDataFrame([], "query_id long, id long, similarity double, rank int")
+        if exact:
+            return self._exact(q, k, sizes, radius, probes, digits, scratch)
         shared = spark.sparkContext.broadcast((self.codes, radius))
-        slack = 2 * 10.0**-digits + 1e-9
-        parts = F.create_map(*(x for c, (n, _) in sizes.items() for x in (F.lit(c), F.lit(-(-n // PART))))) if sizes else None
+        parts = self._parts(sizes, PART)
         todo, found, lo, step = q.withColumn("floor", F.lit(float("-inf"))), None, 0, max(1, probes)
-        schema = "query_id long, q array<double>, groups array<string>, floor double, cell int"
-        while lo < len(radius) and parts is not None:
-            asked = scratch.save(todo.select("query_id", "q", "groups", "floor").mapInArrow(_chosen(shared, lo, lo + step, exact, slack), schema), "asked")
+        while lo < len(radius):
+            asked = scratch.save(todo.select("query_id", "q", "groups", "floor").mapInArrow(_chosen(shared, lo, lo + step), _ASKED), "asked")
             cells = [r["cell"] for r in asked.select("cell").distinct().collect()]  # at most MAX_CELLS
             if not cells:
                 break
-            asked = asked.withColumns({"part": F.explode(F.sequence(F.lit(0), parts[F.col("cell")] - 1)), "block": F.pmod(F.hash("query_id"), F.lit(-(-q.count() // BLOCK)))})
-            blocks = asked.select(F.col("cell").alias("cell"), F.col("block").alias("block")).distinct()
-            rows = self.rows(cells).select("id", "code", "err", "groups", "cell", F.pmod(F.hash("id"), parts[F.col("cell")]).alias("part")).join(blocks, "cell")
-            keys = ["cell", "part", "block"]
-            new = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(_scan(shared, k, rerank * k, exact, slack), "query_id long, id long, cell int, low double, high double")
+            rows = self.rows(cells).select("id", "code", "groups", "cell", F.pmod(F.hash("id"), parts[F.col("cell")]).alias("part"))
+            new = self._together(asked, rows, parts, -(-q.count() // BLOCK), _scan(shared, rerank * k), "query_id long, id long, cell int, score double")
             new = scratch.save(new, "candidates")
             found = new if found is None else found.unionByName(new)
             lo, step = lo + step, 2 * (lo + step)
-            best = Window.partitionBy("query_id").orderBy(F.desc("low"))
-            if exact:  # the kth best score is at least this
-                floors = found.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") == k).select("query_id", F.col("low").alias("floor"))
-                todo = q.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-            else:
-                enough = found.groupBy("query_id").count().filter(F.col("count") >= rerank * k)
-                todo = q.join(enough, "query_id", "left_anti").withColumn("floor", F.lit(float("-inf")))
+            enough = found.groupBy("query_id").count().filter(F.col("count") >= rerank * k)
+            todo = q.join(enough, "query_id", "left_anti").withColumn("floor", F.lit(float("-inf")))
         if found is None:
             return spark.createDataFrame([], "query_id long, id long, similarity double, rank int")
-        return self._ranked(found, q, k, rerank * k, exact, digits, slack)
+        return self._ranked(found, q, k, rerank * k, digits)
+
+    @staticmethod
+    def _parts(sizes: dict[int, tuple[int, float]], rows: int) -> Column:
+        """A map of a cell to the parts of about ``rows`` rows that its rows are dealt to."""
+        return F.create_map(*(x for c, (n, _) in sizes.items() for x in (F.lit(c), F.lit(-(-n // rows)))))
+
+    @staticmethod
+    def _together(asked: DataFrame, rows: DataFrame, parts: Column, blocks: int, compare, schema: str) -> DataFrame:
+        """Brings each block of a cell's queries together with each part of its rows."""
+        asked = asked.withColumns({"part": F.explode(F.sequence(F.lit(0), parts[F.col("cell")] - 1)), "block": F.pmod(F.hash("query_id"), F.lit(max(1, blocks)))})
+        pairs = asked.select(F.col("cell").alias("cell"), F.col("block").alias("block")).distinct()
+        keys = ["cell", "part", "block"]
+        return asked.groupBy(*keys).cogroup(rows.join(pairs, "cell").groupBy(*keys)).applyInArrow(compare, schema)
+
+    def _exact(self, q: DataFrame, k: int, sizes: dict[int, tuple[int, float]], radius: np.ndarray, probes: int, digits: int, scratch: Scratch) -> DataFrame:
+        """The exact answer: floors from the nearest cells, then all that can reach them. A strip is a cell or several small ones, so there are about as many as the vectors fill."""
+        dim, schema = self.codes.centres.shape[1], "query_id long, id long, similarity double"
+        most, blocks = max(1, min(PART, STRIP_BYTES // (8 * dim))), -(-q.count() // EXACT_BLOCK)
+        parts, order = self._parts(sizes, most), Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+        shared = self.spark.sparkContext.broadcast((self.codes, radius))
+        near = scratch.save(q.withColumn("floor", F.lit(float("-inf"))).mapInArrow(_chosen(shared, 0, max(1, probes)), _ASKED), "near")
+        rows = self.rows(list(sizes)).select("id", "unit", "groups", "cell")  # at most MAX_CELLS
+        first = self._together(near, rows.withColumn("part", F.pmod(F.hash("id"), parts[F.col("cell")])), parts, blocks, _compare(k, digits), schema)
+        floors = scratch.save(first.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") == k).select("query_id", F.col("similarity").alias("floor")), "floors")
+        strips, n = np.zeros(len(radius), np.int64), {}
+        for c in sorted(sizes):  # a strip is full before the next one begins
+            at = max(n, default=-1)
+            at = at + 1 if at < 0 or n[at] + sizes[c][0] > most else at
+            strips[c], n[at] = at, n.get(at, 0) + sizes[c][0]
+        strip_of = F.create_map(*(x for c in sizes for x in (F.lit(c), F.lit(int(strips[c])))))
+        parts = self._parts({c: (m, 0.0) for c, m in n.items()}, most)
+        shared = self.spark.sparkContext.broadcast((self.codes, radius, strips))
+        asked = q.join(floors, "query_id", "left").select("query_id", "q", "groups", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+        asked = scratch.save(asked.mapInArrow(_reaching(shared, 2 * 10.0**-digits + 1e-9), _ASKED), "asked")
+        rows = rows.withColumn("cell", strip_of[F.col("cell")]).withColumn("part", F.pmod(F.hash("id"), parts[F.col("cell")]))
+        found = scratch.save(self._together(asked, rows, parts, blocks, _compare(k, digits), schema), "found")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     def similarities(self, pairs: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
         """(query_id, id, similarity) of ``pairs`` (query_id, id) for ``queries`` (query_id, query). Their cells are looked up first, and only these are read whole."""
@@ -265,15 +344,9 @@ class VectorIndex:
         got = self.rows(cells).select("id", "cell", "unit").join(placed.distinct(), ["id", "cell"]).join(q, "query_id")
         return got.groupBy("query_id", F.col("_id").alias("id")).agg(F.max(F.round(dot(F.col("unit"), F.col("q")), digits)).alias("similarity"))
 
-    def _ranked(self, found: DataFrame, q: DataFrame, k: int, keep: int, exact: bool, digits: int, slack: float) -> DataFrame:
+    def _ranked(self, found: DataFrame, q: DataFrame, k: int, keep: int, digits: int) -> DataFrame:
         """Reads the candidates' vectors and orders by exact similarity."""
-        least = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low"), "id"))
-        found = found.withColumn("_r", least)
-        if exact:
-            floors = found.filter(F.col("_r") == k).select("query_id", F.col("low").alias("floor"))
-            found = found.join(floors, "query_id", "left").filter(F.col("floor").isNull() | (F.col("high") >= F.col("floor") - slack))
-        else:
-            found = found.filter(F.col("_r") <= keep)
+        found = found.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("_r") <= keep)
         cells = [r["cell"] for r in found.select("cell").distinct().collect()]
         pairs = found.select("query_id", "id", "cell").distinct().join(q.select("query_id", "q", F.col("groups").alias("_g")), "query_id")
         hits = self.rows(cells).select("id", "cell", "unit", "groups").join(pairs, ["cell", "id"]).filter(F.arrays_overlap("groups", "_g"))

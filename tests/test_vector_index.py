@@ -84,3 +84,27 @@ def test_ties_repeats_and_one_cell(spark, tmp_path):
         assert got == {1: [0, 1, 2, 3, 4, 5, 7], 2: [7]}
     with pytest.raises(ValueError):
         VectorIndex.build(spark.createDataFrame([], "id long, embedding array<double>, groups array<string>"), str(tmp_path / "e"))
+
+
+def test_exact_search_keeps_few_rows(spark, tmp_path, monkeypatch):
+    """Where bounds leave nothing out, as between random vectors, rows that are written don't grow with the pairs, and strips of several cells give the same rows."""
+    from loamline.operators import vector_index
+    from loamline.scratch import Scratch
+
+    rng = np.random.default_rng(7)
+    x, k = rng.normal(size=(4000, 24)), 5
+    rows = [(i, v.tolist(), ["a"] if i % 3 else ["b"]) for i, v in enumerate(x)]
+    index = vector_index.VectorIndex.build(spark.createDataFrame(rows, "id long, embedding array<double>, groups array<string>"), str(tmp_path / "v"))
+    monkeypatch.setattr(vector_index, "STRIP_BYTES", 8 * 24 * 700)
+    written, save = [], Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    asked = spark.createDataFrame([(i, x[i * 20].tolist(), ["a"]) for i in range(200)], "query_id long, query array<double>, groups array<string>")
+    got = by_query(index.search(asked, k, exact=True).collect())
+    assert got == {i: exact(x, [r[2] for r in rows], x[i * 20], ["a"], k) for i in range(200)}
+    assert max(written) <= 200 * k * 10  # 800,000 pairs
