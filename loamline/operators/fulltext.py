@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,58 @@ def lexemes(text: str | None) -> dict[str, list[int]]:
     return out
 
 
+class _Numbers(dict):
+    """Numbers of a word's lexeme, from 0, or -1 for a word that is left out; a hyphenated word has -2 less its place among ``joined``, which has the lexemes of its parts."""
+
+    def __init__(self):
+        super().__init__()
+        self.lexemes: dict[str, int] = {}
+        self.joined: list[tuple[int, list[int]]] = []
+
+    def _of(self, word: str) -> int:
+        return self.lexemes.setdefault(stem(word), len(self.lexemes)) if word not in STOP else -1
+
+    def __missing__(self, word: str) -> int:
+        if "-" in word:
+            self.joined.append((self._of(word), [self._of(w) for w in word.split("-")]))
+            n = -1 - len(self.joined)
+        else:
+            n = self._of(word)
+        self[word] = n
+        return n
+
+
+def chunk_postings(texts: Iterable[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``lexemes`` gives for each of some texts, as arrays by lexeme: (lexemes, documents, the first document of each lexeme, positions, positions of each document).
+
+    Documents are numbers from 0 in the order of the texts. Each word is stemmed once.
+    """
+    number, parts = _Numbers(), []
+    for doc, text in enumerate(texts):
+        found = np.fromiter(map(number.__getitem__, _TOKEN.findall((text or "").lower())), np.int64)
+        joined = np.flatnonzero(found < -1)
+        width = np.ones(len(found), np.int64)
+        width[joined] = [len(number.joined[-2 - n][1]) for n in found[joined].tolist()]
+        at = np.cumsum(width) - width + 1
+        plain = found >= 0
+        lexeme, at_of = [found[plain]], [at[plain]]
+        for n, p in zip(found[joined].tolist(), at[joined].tolist(), strict=True):
+            whole, each = number.joined[-2 - n]
+            some = [(x, p + max(0, k - 1)) for k, x in enumerate([whole, *each]) if x >= 0]
+            lexeme.append(np.array([x for x, _ in some], np.int64))
+            at_of.append(np.array([x for _, x in some], np.int64))
+        parts.append((np.concatenate(lexeme), np.concatenate(at_of), doc))
+    lexeme, position = (np.concatenate([np.empty(0, np.int64), *(x[i] for x in parts)]) for i in (0, 1))
+    doc = np.repeat(np.array([x[2] for x in parts], np.int64), [len(x[0]) for x in parts])
+    order = np.lexsort((position, doc, lexeme))
+    lexeme, doc, position = lexeme[order], doc[order], position[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(doc)), bool), (np.diff(lexeme) != 0) | (np.diff(doc) != 0))))
+    sizes, owner = np.diff(np.append(first, len(doc))), lexeme[first]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(owner)), bool), np.diff(owner) != 0)))
+    names = list(number.lexemes)
+    return [names[i] for i in owner[starts].tolist()], doc[first], starts, position, sizes
+
+
 _INDEX = "id string, lexeme string, positions array<int>"
 
 

@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import Scratch
-from .fulltext import parse_query, postings, score
+from .fulltext import chunk_postings, parse_query, score
 
 #: Documents of a chunk on average; buckets of lexemes; chunks that a query scores before it has a kth score.
 CHUNK_DOCS, BUCKETS, FIRST = 2048, 64, 2
+#: Bytes of a chunk's texts on average: what a task that makes its blocks holds at once.
+CHUNK_BYTES = 16 * 2**20
 BLOCKS = "lexeme string, segment int, chunk int, most int, docs array<int>, positions array<array<int>>, bucket int"
 _SCORED = "query_id long, segment int, chunk int, doc int, lexical_score double"
 
@@ -87,6 +89,25 @@ def _score_chunks(k: int):
     return run
 
 
+def _chunk_blocks(segment: int):
+    """A chunk's documents (chunk, id, text) -> its blocks, by lexeme. Documents are numbered by id."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, chunk = t.column("id").to_pylist(), t.column("chunk")[0].as_py()
+        text = t.column("text")
+        words, docs, starts, positions, sizes = chunk_postings(text[i].as_py() for i in sorted(range(len(ids)), key=ids.__getitem__))
+        first = np.concatenate((starts, [len(docs)]))
+        places = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.array(positions, pa.int32()))
+        cols = {
+            "lexeme": pa.array(words, pa.string()), "segment": pa.array(np.full(len(words), segment), pa.int32()), "chunk": pa.array(np.full(len(words), chunk), pa.int32()),
+            "most": pa.array(np.maximum.reduceat(sizes, starts) if len(starts) else [], pa.int32()),
+            "docs": pa.ListArray.from_arrays(first.astype(np.int32), pa.array(docs, pa.int32())), "positions": pa.ListArray.from_arrays(first.astype(np.int32), places),
+        }
+        return pa.table(cols)
+
+    return run
+
+
 @F.pandas_udf(T.BinaryType())
 def _bitmap(docs):
     """A bitmap of each list of document numbers."""
@@ -126,18 +147,16 @@ class PostingsIndex:
         """Adds ``docs`` as a segment, a number that none has yet."""
         scratch = Scratch(self.spark, "postings")
         src = docs.select(F.col("id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("groups").cast("array<string>").alias("groups")).filter("id is not null")
-        n = src.count()
-        own = src.select("id", "groups", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // chunk_docs)))).cast("int").alias("chunk"))
+        size = src.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+        chunks = max(1, -(-size["n"] // chunk_docs), -(-(size["bytes"] or 0) // CHUNK_BYTES))
+        src = src.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
+        own = src.select("id", "groups", "chunk")
         number = F.row_number().over(Window.partitionBy("chunk").orderBy("id")) - 1  # a chunk has about ``chunk_docs`` rows
         own = scratch.save(own.select(F.lit(segment).alias("segment"), "chunk", number.cast("int").alias("doc"), "id", "groups"), "docs")
         own.select("segment", "chunk", "doc", "id").repartition("chunk").write.mode("append").parquet(f"{self.path}/docs")
         readers = own.select("segment", "chunk", "doc", F.explode("groups").alias("group")).groupBy("segment", "chunk", "group").agg(F.collect_list("doc").alias("d"))
         readers.select("segment", "chunk", "group", _bitmap("d").alias("seen")).write.mode("append").parquet(f"{self.path}/readers")
-        found = postings(src, "id", "text").join(own.select("id", "segment", "chunk", "doc"), "id")
-        entry = F.array_sort(F.collect_list(F.struct("doc", "positions")))  # at most a chunk's documents
-        blocks = found.groupBy("lexeme", "segment", "chunk").agg(entry.alias("e"), F.max(F.size("positions")).alias("most"))
-        lists = {"docs": F.transform("e", lambda x: x["doc"]), "positions": F.transform("e", lambda x: x["positions"]), "bucket": _bucket()}
-        blocks = blocks.withColumns(lists).select("lexeme", "segment", "chunk", "most", "docs", "positions", "bucket")
+        blocks = src.select("chunk", "id", "text").groupBy("chunk").applyInArrow(_chunk_blocks(segment), "lexeme string, segment int, chunk int, most int, docs array<int>, positions array<array<int>>").withColumn("bucket", _bucket())
         blocks.repartition("bucket").sortWithinPartitions("bucket", "lexeme", "chunk").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/blocks")
 
     def _gone(self, rows: DataFrame) -> None:
@@ -157,10 +176,18 @@ class PostingsIndex:
     def search(self, queries: DataFrame, k: int, first: int = FIRST) -> DataFrame:
         """(query_id, id, lexical_score, rank): the ``k`` best visible matches for each of ``queries`` (query_id, query, groups), ties by id.
 
-        Equal to scoring every document. Query ids are distinct; null queries, those without words and callers without groups find nothing.
+        Equal to scoring every document. Query ids are distinct; null queries, those without words and callers without groups find nothing. What several ask with the same groups is searched once.
         """
         scratch = Scratch(self.spark, "postings-search")
-        q = scratch.save(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("string").alias("query"), "groups").filter("query_id is not null and query is not null"), "queries")
+        q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("string").alias("query"), F.array_sort(F.array_compact(F.array_distinct("groups"))).alias("groups"))
+        q = scratch.save(q.filter("query_id is not null and query is not null and size(groups) > 0"), "queries")
+        first_of = scratch.save(q.groupBy("query", "groups").agg(F.min("query_id").alias("query_id")), "distinct")
+        best = scratch.save(self._search(first_of, k, first, scratch), "best")
+        same = q.join(first_of.select("query", "groups", F.col("query_id").alias("_first")), ["query", "groups"]).select(F.col("query_id").alias("_asked"), F.col("_first").alias("query_id"))
+        return same.join(best, "query_id").select(F.col("_asked").alias("query_id"), "id", "lexical_score", "rank")
+
+    def _search(self, q: DataFrame, k: int, first: int, scratch: Scratch) -> DataFrame:
+        """``search`` of written queries that differ in words or groups."""
         terms = scratch.save(q.select("query_id", "query").mapInArrow(_terms, "query_id long, lexeme string").withColumn("bucket", _bucket()), "terms")
         buckets = [r["bucket"] for r in terms.select("bucket").distinct().collect()]  # at most BUCKETS
         blocks = self.blocks().filter(F.col("bucket").isin(buckets))

@@ -77,3 +77,31 @@ def test_bounds_hold():
 def test_no_documents(spark, tmp_path):
     index = PostingsIndex.build(spark.createDataFrame([], DDL), str(tmp_path / "i"))
     assert found(index, spark, ASKED, 3) == []
+
+
+def test_equal_questions_are_searched_once(spark, tmp_path, monkeypatch):
+    rows = made(300)
+    index = PostingsIndex.build(spark.createDataFrame(rows, DDL), str(tmp_path / "i"), chunk_docs=40)
+    searched, search = [], PostingsIndex._search
+
+    def counted(self, q, *rest):
+        searched.append(q.count())
+        return search(self, q, *rest)
+
+    monkeypatch.setattr(PostingsIndex, "_search", counted)
+    asked = [(i, QUERIES[i % 3], [["x", "y"], ["y", "x", "x"], ["y"], None][i % 4]) for i in range(120)]
+    assert found(index, spark, asked, 4) == brute(rows, asked, 4)
+    assert searched == [6]  # three wordings, two sets of groups
+
+
+def test_postings_of_many_texts(spark, tmp_path):
+    texts = ["well-known port-of-call, the state-of-the-art", None, "", "ports port-port x-ray the-the", "the of", "Ärger ǅ-x port_1 a-b-c", "port " * 50]
+    words, docs, starts, positions, sizes = fulltext.chunk_postings(texts)
+    got, ends, at = {}, [*starts[1:], len(docs)], 0
+    for w, a, b in zip(words, starts, ends, strict=True):
+        for i in range(a, b):
+            got.setdefault(int(docs[i]), {})[w] = positions[at : at + sizes[i]].tolist()
+            at += sizes[i]
+    assert got == {i: x for i, t in enumerate(texts) if (x := fulltext.lexemes(t))}
+    index = PostingsIndex.build(spark.createDataFrame([(str(i), t, ["x"]) for i, t in enumerate(texts)], DDL), str(tmp_path / "i"))
+    assert {r.lexeme: r.most for r in index.blocks().collect()} == {w: max(len(x[w]) for x in got.values() if w in x) for w in words}
