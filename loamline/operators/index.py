@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from ..sources.table import VersionedTable
 
 SOURCE_TYPES = ("wiki", "ticket", "chat", "email", "pdf", "docx")
@@ -39,19 +40,25 @@ def update(gold: VersionedTable, index: VersionedTable, marks: VersionedTable, e
     if now == seen:
         return {"mode": "noop"}
     changed = gold.changes(seen, now) if seen else None
-    units = gold.read(now).select("doc_id") if changed is None else changed.select("doc_id")
-    units = units.distinct()
-    chunks = gold.read(now).join(units, "doc_id", "left_semi")
-    good = documents(chunks).filter("skip_reason is null").select("doc_id")
-    rows = chunks.join(good, "doc_id", "left_semi").select("chunk_id", "doc_id", "content", "content_hash", "allowed_groups", "source_type")
+    # Contents travel twice at most, both times by chunk_id: to those that lack a vector, and to the rows. All else goes by keys and hashes.
+    chunks = gold.read(now)
+    units = (chunks if changed is None else changed).select("doc_id").distinct()
+    scratch = Scratch(gold.spark, "index")
+    if changed is not None:
+        chunks = scratch.save(chunks.join(units, "doc_id", "left_semi"), "chunks")
+    state = scratch.save(documents(chunks).select("doc_id", "skip_reason"), "documents")
+    keys = chunks.select("chunk_id", "doc_id", "content_hash").join(state.filter("skip_reason is null"), "doc_id", "left_semi")
+    keys = scratch.save(keys.select("chunk_id", "content_hash"), "keys")
     known = index.read().filter(F.col("model") == model).select("content_hash", "embedding").dropDuplicates(["content_hash"])
-    needed = rows.select("content_hash", "content").dropDuplicates(["content_hash"])
-    vectors = known.join(needed, "content_hash", "left_semi").unionByName(embed(needed.join(known, "content_hash", "left_anti")))
-    rows = rows.join(vectors, "content_hash").withColumn("model", F.lit(model)).select("chunk_id", "doc_id", "content", "content_hash", "allowed_groups", "source_type", "embedding", "model")
-    reused = needed.join(known, "content_hash", "left_semi").count()
-    computed = needed.count() - reused
+    needed = keys.groupBy("content_hash").agg(F.min("chunk_id").alias("chunk_id"))
+    reused = scratch.save(known.join(needed, "content_hash", "left_semi"), "reused")
+    lacking = scratch.save(needed.join(reused, "content_hash", "left_anti"), "lacking")
+    new = scratch.save(embed(lacking.join(chunks.select("chunk_id", "content"), "chunk_id").select("content_hash", "content")), "new")
+    vectors = keys.join(reused.unionByName(new), "content_hash").select("chunk_id", "embedding")
+    rows = chunks.select("chunk_id", "doc_id", "content", "content_hash", "allowed_groups", "source_type").join(vectors, "chunk_id").withColumn("model", F.lit(model))
+    counts = {"computed": lacking.count(), "reused": reused.count(), "skipped": state.filter("skip_reason is not null").count()}
     out = index.replace_where(rows, "chunk_id", "doc_id", units)
     if changed is None:
-        index.keep_only(gold.read(now), "chunk_id")
+        index.keep_only(gold.read(now).select("chunk_id"), "chunk_id")
     marks.merge(gold.spark.createDataFrame([("index", now)], "name string, version bigint"), "name", F.col("t.version") < F.col("s.version"))
-    return {"mode": "full" if changed is None else "incremental", "computed": computed, "reused": reused, "skipped": documents(chunks).filter("skip_reason is not null").count(), **out}
+    return {"mode": "full" if changed is None else "incremental", **counts, **out}

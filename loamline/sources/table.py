@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 ROW = "_gone"
 #: Tables of fewer files are read without asking which may hold a key. Keys of a batch that are looked up in the files' filters; a larger batch goes by ranges alone. Bits of a filter for each key, places that a key sets, and most bits.
 FEW_FILES, LOOKED_UP, BITS, PLACES, MOST_BITS = 32, 100_000, 12, 4, 1 << 26
+#: Of data, changes and a merge's plan: what is written is mostly texts.
+CODEC = "zstd"
 _STATS = "file string, key string, n long, least long, most long, filter binary"
 
 
@@ -191,7 +193,7 @@ class VersionedTable:
 
     def _work(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = f"{self.path}/_work/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("compression", CODEC).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def _apply(self, source: DataFrame, key: str, action: Column, stream: str | None, batch_id: int | None, extra: tuple[str, ...] = (), units: tuple[str, ...] = ()) -> dict[str, int]:
@@ -231,9 +233,9 @@ class VersionedTable:
         """Writes a version. Its files are noted by ``keys`` and those by which files were noted before."""
         version, run = last.get("version", 0) + 1, uuid.uuid4().hex
         folder = self._path(f"{self.path}/data/{run}")
-        rows.write.parquet(folder.toString())
+        rows.write.option("compression", CODEC).parquet(folder.toString())
         new = [f"{run}/{x.getPath().getName()}" for x in self._fs.listStatus(folder) if x.getPath().getName().endswith(".parquet")]
-        changes.select(*self.schema.names, "_change_type").write.parquet(f"{self.path}/_changes/_run={run}")
+        changes.select(*self.schema.names, "_change_type").write.option("compression", CODEC).parquet(f"{self.path}/_changes/_run={run}")
         streams = last["streams"] | ({stream: batch_id} if stream is not None else {})
         keys = tuple(sorted({*last.get("keys", ()), *keys}))
         self._note(run, new, keys)
@@ -262,19 +264,19 @@ class VersionedTable:
         names = self.schema.names
         units = units.select(unit).distinct()
         gone = self._read_files(self.candidates(units, unit)).join(units, unit, "left_semi").join(rows.select(key), key, "left_anti")
-        both = rows.select(*names, F.lit(False).alias(ROW)).unionByName(gone.select(*names, F.lit(True).alias(ROW)))
-        both, work = self._work(both)
-        try:
-            same = F.struct(*(F.col(f"t.{c}") for c in names if c not in ignore)).eqNullSafe(F.struct(*(F.col(f"s.{c}") for c in names if c not in ignore)))
-            action = F.when(F.col(f"s.{ROW}"), "delete").when(F.col("t").isNull(), "insert").when(~same, "update").otherwise("keep")
-            return self._apply(both, key, action, stream, batch_id, extra=(ROW,), units=(unit,))
-        finally:
-            self._fs.delete(self._path(work), True)
+        both = rows.select(*names, F.lit(False).alias(ROW)).unionByName(self._keys_alone(gone, key).withColumn(ROW, F.lit(True)))
+        same = F.struct(*(F.col(f"t.{c}") for c in names if c not in ignore)).eqNullSafe(F.struct(*(F.col(f"s.{c}") for c in names if c not in ignore)))
+        action = F.when(F.col(f"s.{ROW}"), "delete").when(F.col("t").isNull(), "insert").when(~same, "update").otherwise("keep")
+        return self._apply(both, key, action, stream, batch_id, extra=(ROW,), units=(unit,))
 
     def keep_only(self, keep: DataFrame, key: str) -> dict[str, int]:
         """Deletes all rows whose key isn't among ``keep``."""
-        gone = self.read().join(keep.select(key), key, "left_anti")
-        return self._apply(gone, key, F.lit("delete"), None, None)
+        gone = self._keys_alone(self.read().select(key).join(keep.select(key), key, "left_anti"), key)
+        return {} if gone.isEmpty() else self._apply(gone, key, F.lit("delete"), None, None)
+
+    def _keys_alone(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows to delete: of these the target's columns count, so no other column travels."""
+        return rows.select(*(F.col(key) if f.name == key else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema))
 
     def _publish(self, version: int, commit: dict) -> None:
         """Puts the whole commit file in place by a rename that fails if there is one, as Spark's own logs of streams do."""

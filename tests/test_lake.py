@@ -141,3 +141,24 @@ def test_lake(spark, tmp_path):
     hits = hybrid(index.read(), words, "same text", [1.0, 1.0], ["staff"]).collect()
     assert hits[0].chunk_id == "bb.md:0000" and hits[0].lexical_rank == 1 and len(hits) == 2
     assert hybrid(index.read(), words, "same text", [1.0, 1.0], []).collect() == [] == hybrid(index.read(), words, "same", [1.0, 1.0], ["x"]).collect()
+
+
+def test_deleted_rows_travel_by_key(spark, tmp_path, monkeypatch):
+    """What a replacement or keep_only takes away comes as keys; the change feed has the whole rows, and nothing to delete merges nothing."""
+    from loamline.sources.table import VersionedTable
+
+    t = VersionedTable(spark, str(tmp_path / "t"), "id STRING, unit STRING, text STRING")
+    t.merge(spark.createDataFrame([(f"k{i}", f"u{i % 3}", "long " * i) for i in range(9)], "id string, unit string, text string"), "id")
+    sources, apply = [], VersionedTable._apply
+
+    def seen(self, source, *rest, **kw):
+        sources.append(source.filter("text is not null").count())
+        return apply(self, source, *rest, **kw)
+
+    monkeypatch.setattr(VersionedTable, "_apply", seen)
+    new = spark.createDataFrame([("k0", "u0", "new")], "id string, unit string, text string")
+    assert t.replace_where(new, "id", "unit", new.select("unit")) == {"update": 1, "delete": 2}
+    assert t.keep_only(t.read().filter("id <> 'k1'"), "id") == {"delete": 1} and t.keep_only(t.read(), "id") == {}
+    assert sources == [1, 0]
+    gone = {r.id: r.text for r in t.changes(1).filter("_change_type = 'delete'").collect()}
+    assert gone == {k: "long " * int(k[1]) for k in ("k1", "k3", "k6")} and sorted(r.id for r in t.read().collect()) == ["k0", "k2", "k4", "k5", "k7", "k8"]
