@@ -1,8 +1,9 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
 Vectors of one label (and length) are split into overlapping shards: k-means cells, where a vector also joins the cells whose centre is
-almost as near as its own. In each shard a graph is built by robust pruning (Subramanya et al., DiskANN, 2019) of the nearest
-neighbours, and a vector's adjacency lists from its shards are united. Each vector is then searched in its own shard by a
+almost as near as its own. A shard's graph is made of smaller cells, of which each vector joins the two nearest: in each, the nearest
+neighbours are pruned robustly (Subramanya et al., DiskANN, 2019), and a vector's adjacency lists from its cells are united. Each vector
+is then searched in its own shard by a
 greedy walk from the shard's medoid that keeps widening while it finds vectors in range. Cosines are verified in
 double precision. Recall is audited label by label: some vectors of each label that are known to have links, and some of all its vectors, are compared with
 the whole label, and their recall is averaged over those that have links, so that a large group doesn't hide what small ones lose. Labels that fall short are
@@ -12,6 +13,9 @@ Equal vectors are one node from the start; links come out of a search as local c
 group of n near copies gives n rows. A shard that no split makes small, as a tight group of many different vectors, isn't searched by
 one task. Its vectors are laid into rings by their angle to one of them: by the triangle inequality, vectors of inner rings are all links, which are counted without a
 comparison, and those of rings far apart are none. Only the rings between are compared, block against block.
+
+Vectors travel as they came (single precision stays that) and are written as seldom as can be: splits are learned from samples and sent to all tasks,
+a split that would only multiply vectors isn't made, cells that are only looked up aren't written, and a shard is built and searched in one task.
 """
 
 from __future__ import annotations
@@ -27,16 +31,20 @@ from ..scratch import Scratch
 from .components import components
 from .textkit import released
 
-#: A shard of more vectors is split in FANOUT; a split is learned from at most so many of its vectors.
-MAX_SHARD, FANOUT, SPLIT_SAMPLE, SPLITS = 4000, 8, 2000, 12
+#: A shard of more vectors is split in FANOUT at most; a split is learned from about so many of its vectors.
+MAX_SHARD, FANOUT, SPLIT_SAMPLE, SPLITS = 24_000, 32, 2000, 12
 #: How much farther than the nearest centre (in cosine) another may be for a vector to join its cell too; steps the audit may take.
-OVERLAP = (0.12, 0.25, 0.5)
+OVERLAP = (0.08, 0.2)
+#: The pairs inside of the cells of a split, as a share of its shard's pairs: with more, the shard is compared block against block.
+WORTH = 0.85
+#: Vectors of a cell of a shard's graph, about.
+CELL = 3000
 DEGREE, POOL, ALPHA, BEAM = 24, 64, 1.2, 48
 #: Audited vectors of a label: about so many of those with links, and of all; what their recall has to be on average.
 AUDIT, TARGET = 32, 0.99
 BLOCK = 128
 #: Vectors on average in a block of the exact search.
-EXACT_BLOCK = 2000
+EXACT_BLOCK = 16_000
 SALT = 16
 #: Rings as wide as the angle of a link.
 RINGS = 8
@@ -52,146 +60,202 @@ def _stack(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
 
 
-def _centres(k: int):
-    """A shard's sample -> (shard, centres) by spherical k-means with a fixed seed."""
+def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
+    """Centres by spherical k-means with a fixed seed."""
+    c = x[np.random.default_rng(7).choice(len(x), min(k, len(x)), replace=False)]
+    for _ in range(12):
+        own = (x @ c.T).argmax(axis=1)
+        c = _unit(np.stack([x[own == i].sum(axis=0) if (own == i).any() else c[i] for i in range(len(c))]) + 1e-12)
+    return c
+
+
+def _centres(overlap: float):
+    """A shard's sample (shard, n, node, vec) -> (shard, centres); null if a split of the shard isn't worth it."""
 
     @released
     def run(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("node").to_numpy())
         x = _unit(_stack(t.column("vec")))[order]
-        rng = np.random.default_rng(7)
-        c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
-        for _ in range(12):
-            own = (x @ c.T).argmax(axis=1)
-            c = _unit(np.stack([x[own == i].sum(axis=0) if (own == i).any() else c[i] for i in range(len(c))]) + 1e-12)
-        return pa.table({"shard": t.column("shard")[:1], "centres": pa.array([c.ravel().tobytes()], pa.binary())})
+        k = min(FANOUT, max(4, -(-5 * t.column("n")[0].as_py() // (2 * MAX_SHARD))))
+        c: list[np.ndarray] = []
+        for v in _kmeans(x, k):  # a tight group keeps one of its centres; its vectors would join the cells of all
+            if all(v @ u < 1 - overlap for u in c):
+                c.append(v)
+        sim = x @ np.stack(c).T
+        share = (sim >= sim.max(axis=1, keepdims=True) - overlap).mean(axis=0)
+        worth = len(c) > 1 and (share * share).sum() <= WORTH
+        return pa.table({"shard": t.column("shard")[:1], "centres": pa.array([np.stack(c).ravel().tobytes() if worth else None], pa.binary())})
 
     return run
 
 
 def _assign(overlap: float):
-    """(node, vec, shard, own, centres) -> the rows in their new cells; the nearest cell of an own row owns it."""
+    """(node, vec, copies, shard, own, centres) -> the rows in their new cells; the nearest cell of an own row owns it."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shard, cs = b.column(2).to_pylist(), b.column(4)
-            take, name, own = [], [], []
-            x = [np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) for v in b.column(1)]
-            for i, v in enumerate(x):
-                if not cs[i].is_valid:
+            shard = b.column(3).dictionary_encode()
+            of, names, own = shard.indices.to_numpy(), shard.dictionary.to_pylist(), b.column(4).to_numpy(zero_copy_only=False)
+            take, name, owns = [], [], []
+            for k, s in enumerate(names):
+                i = np.flatnonzero(of == k)
+                if not b.column(5)[int(i[0])].is_valid:
                     take.append(i)
-                    name.append(shard[i])
-                    own.append(b.column(3)[i].as_py())
+                    name += [s] * len(i)
+                    owns.append(own[i])
                     continue
-                c = np.frombuffer(cs[i].as_buffer(), np.float64).reshape(-1, len(v))
-                sim = c @ (v / np.linalg.norm(v))
-                best = int(sim.argmax())
-                for j in np.flatnonzero(sim >= sim[best] - overlap).tolist():
-                    take.append(i)
-                    name.append(f"{shard[i]}/{j}")
-                    own.append(b.column(3)[i].as_py() and j == best)
-            at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(name, pa.string()), pa.array(own, pa.bool_())], names=["node", "vec", "shard", "own"])
+                x = _unit(_stack(b.column(1).take(pa.array(i))))
+                sim = x @ np.frombuffer(b.column(5)[int(i[0])].as_buffer(), np.float64).reshape(-1, x.shape[1]).T
+                best = sim.argmax(axis=1)
+                r, j = np.nonzero(sim >= sim.max(axis=1, keepdims=True) - overlap)
+                take.append(i[r])
+                name += [f"{s}/{c}" for c in j.tolist()]
+                owns.append(own[i[r]] & (j == best[r]))
+            if take:
+                at = pa.array(np.concatenate(take))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(3)), pa.array(name, pa.string()), pa.array(np.concatenate(owns), pa.bool_())], names=["node", "vec", "copies", "shard", "own"])
 
     return run
 
 
-def _shards(nodes: DataFrame, overlap: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """((node, vec, shard, own): each node once with own, and in the shards that it overlaps into; (shard) of those that stay above MAX_SHARD).
+def _shards(nodes: DataFrame, overlap: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """((node, vec, copies, shard, own): each node once with own, and in the shards that it overlaps into; (shard, n) of all; a table that the first reads).
 
-    A shard that a split doesn't make smaller, such as one tight group, isn't split again; nor is any after SPLITS rounds.
+    A shard that a split doesn't make smaller, such as one tight group, isn't split; nor is any after SPLITS rounds, so that some may stay above MAX_SHARD.
+    A split is written only if one of its cells has to be split again; centres are one for some thousands of vectors, and go to all tasks.
     """
-    cur = nodes.select("node", "vec", "shard", F.lit(True).alias("own"))
-    stuck = nodes.select("shard").limit(0)
-    for _ in range(SPLITS):
-        sizes = cur.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_SHARD)
-        big = scratch.save(sizes.join(stuck, "shard", "left_anti"), "big")
-        if big.isEmpty():
+    cur = nodes.select("node", "vec", "copies", "shard", F.lit(True).alias("own"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cur.schema)
+    saved = None
+    kept = nodes.select("shard").limit(0)
+    for step in range(SPLITS + 1):
+        sizes = scratch.save(cur.groupBy("shard").agg(F.count("*").alias("n")), "sizes")
+        big = sizes.filter(F.col("n") > MAX_SHARD).join(kept, "shard", "left_anti")
+        if step == SPLITS or big.isEmpty():
             break
+        if step:
+            old, saved = saved, scratch.save(cur, "shards")
+            cur = saved
+            if old is not None:
+                scratch.drop(old)
         uniform = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1_000_003)) / F.lit(1_000_003)
-        some = cur.join(big, "shard").filter(uniform < F.lit(float(SPLIT_SAMPLE)) / F.col("n")).select("shard", "node", "vec")
-        centres = some.groupBy("shard").applyInArrow(_centres(FANOUT), "shard string, centres binary")
-        salted = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))  # a hot shard is joined in parts
-        joined = cur.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALT))).join(salted, ["shard", "salt"], "left")
-        new = scratch.save(joined.select("node", "vec", "shard", "own", "centres").mapInArrow(_assign(overlap), "node long, vec array<double>, shard string, own boolean"), "shards")
-        children = new.groupBy("shard").agg(F.count("*").alias("n")).withColumn("parent", F.regexp_replace("shard", "/[^/]*$", ""))
-        children = children.join(big.select(F.col("shard").alias("parent"), F.col("n").alias("before")), "parent")
-        stuck = scratch.save(stuck.unionByName(children.filter((F.col("n") > MAX_SHARD) & (F.col("n") > 0.9 * F.col("before"))).select("shard")), "stuck")
-        cur = new
-    large = cur.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_SHARD).select("shard")
-    return cur, scratch.save(large, "large")
+        some = cur.join(F.broadcast(big), "shard").filter(uniform < F.lit(float(SPLIT_SAMPLE)) / F.col("n")).select("shard", "n", "node", "vec")
+        centres = scratch.save(some.groupBy("shard").applyInArrow(_centres(overlap), "shard string, centres binary"), "centres")
+        kept = scratch.save(kept.unionByName(centres.filter("centres is null").select("shard")), "kept")
+        centres = centres.filter("centres is not null")
+        if centres.isEmpty():
+            break
+        cur = cur.join(F.broadcast(centres), "shard", "left").select("node", "vec", "copies", "shard", "own", "centres").mapInArrow(_assign(overlap), kinds)
+    return cur, sizes, saved
+
+
+def _pruned(near: np.ndarray, sim: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Robust pruning of rows of candidates from near to far: whether each is kept, as no kept one is ALPHA times nearer to it (squared distances)."""
+    c = x[near]
+    apart = ALPHA * (2 - 2 * (c @ c.transpose(0, 2, 1)))
+    far = 2 - 2 * sim
+    live, keep, n = np.ones(near.shape, bool), np.zeros(near.shape, bool), np.zeros(len(near), np.int64)
+    for k in range(near.shape[1]):
+        now = live[:, k] & (n < DEGREE)
+        keep[:, k] = now
+        n += now
+        live &= ~now[:, None] | (apart[:, k] > far)
+    return keep
 
 
 def _prune(near: np.ndarray, sim: np.ndarray, x: np.ndarray) -> list[int]:
-    """Robust pruning: of candidates from near to far, those that no kept one is ALPHA times nearer to (squared distances)."""
-    keep: list[int] = []
-    for i, s in zip(near.tolist(), sim.tolist(), strict=True):
-        if not keep or (ALPHA * (2 - 2 * (x[keep] @ x[i])) > 2 - 2 * s).all():
-            keep.append(i)
-            if len(keep) == DEGREE:
-                break
-    return keep
+    """The kept candidates of one vector."""
+    return near[_pruned(near[None], sim[None], x)[0]].tolist()
 
 
-def _build(t: pa.Table) -> pa.Table:
-    """A shard -> (node, links) of its robust-pruned graph."""
-    node = t.column("node").to_numpy()
-    order = np.argsort(node)
-    node, x = node[order], _unit(_stack(t.column("vec")))[order]
-    out = []
-    for lo in range(0, len(x), BLOCK):
-        s = x[lo : lo + BLOCK] @ x.T
-        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -2
-        k = min(POOL, len(x) - 1)
-        near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else np.empty((len(s), 0), int)
-        for r in range(len(s)):
-            c = near[r][np.lexsort((near[r], -s[r, near[r]]))]
-            out.append(node[_prune(c, s[r, c], x)].tolist() if k else [])
-    return pa.table({"node": pa.array(node), "links": pa.array(out, pa.list_(pa.int64()))})
+def _cells(x: np.ndarray) -> list[np.ndarray]:
+    """The vectors of cells of about CELL; each vector is in two, if there are more."""
+    k = -(-2 * len(x) // CELL)
+    if len(x) <= CELL:
+        return [np.arange(len(x))]
+    sim = x @ _kmeans(x[np.random.default_rng(5).choice(len(x), min(len(x), SPLIT_SAMPLE), replace=False)], k).T
+    two = np.argpartition(-sim, 1, axis=1)[:, :2]
+    return [c for i in range(k) if len(c := np.flatnonzero((two == i).any(axis=1)))]
+
+
+def _build(x: np.ndarray) -> list[np.ndarray]:
+    """The links of each vector: those of the robust-pruned graphs of its cells, united, and links back to those that it is the nearest of and to DEGREE in all."""
+    n = len(x)
+    edges, ranks = [np.empty(0, np.int64)], [np.empty(0, np.int64)]  # from * n + to
+    for cell in _cells(x):
+        y = x[cell]
+        k = min(POOL, len(y) - 1)
+        for lo in range(0, len(y) if k else 0, BLOCK):
+            s = y[lo : lo + BLOCK] @ y.T
+            rows = np.arange(len(s))
+            s[rows, rows + lo] = -2
+            near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            order = np.lexsort((near, -np.take_along_axis(s, near, axis=1)), axis=1)
+            near = np.take_along_axis(near, order, axis=1)
+            keep = _pruned(near, np.take_along_axis(s, near, axis=1), y)
+            edges.append(np.repeat(cell[lo : lo + BLOCK], keep.sum(axis=1)) * n + cell[near[keep]])
+            ranks.append(keep.cumsum(axis=1)[keep])
+    edge, rank = np.concatenate(edges), np.concatenate(ranks)
+    to = edge % n
+    order = np.lexsort((edge, rank, to))
+    edge, to = edge[order], to[order]
+    first = (np.arange(len(to)) - np.searchsorted(to, to) < DEGREE) | (rank[order] == 1)
+    edge = np.unique(np.concatenate((edge, to[first] * n + edge[first] // n)))
+    return np.split(edge % n, np.searchsorted(edge, np.arange(1, n) * n))
 
 
 def range_search(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, starts: list[int], low: float) -> Iterator[np.ndarray]:
-    """For each block of queries a matrix of cosines, -inf where the walk didn't come.
+    """For each block of queries a matrix of cosines, -inf where the walk didn't come; a walk begins at ``starts`` and at the query itself.
 
     A step expands the best unexpanded vectors among a query's BEAM best. When these are used up, every vector in range that isn't expanded
     yet is, all at once, so the beam is as wide as what is in range and the steps are as many as the graph is deep.
     """
     n = len(x)
-    width = max(1, max((len(g) for g in graph), default=1))
-    table = np.full((n, width), -1, np.int64)
-    for i, g in enumerate(graph):
-        table[i, : len(g)] = g
+    links, size = np.concatenate(graph), np.array([len(g) for g in graph])
+    first = np.cumsum(size) - size
     for lo in range(0, len(queries), BLOCK):
         q = x[queries[lo : lo + BLOCK]]
-        sim = np.full((len(q), n), -np.inf)
-        done = np.zeros((len(q), n), bool)
-        sim[:, starts] = q @ x[starts].T
+        sim = np.full(len(q) * n, -np.inf, x.dtype)
+        seen, done = np.zeros(len(sim), bool), np.zeros(len(sim), bool)
+        row = np.arange(len(q))[:, None] * n
+        beam = np.empty((len(q), 0), np.int64)  # places in sim; -1: none
+        near = np.unique(np.concatenate((row + np.asarray(starts), row + queries[lo : lo + BLOCK, None]), axis=1))
+        in_range: list[np.ndarray] = []
         while True:
-            k = min(BEAM, n)
-            kth = -np.partition(-sim, k - 1, axis=1)[:, k - 1]
-            todo = ~done & (sim > -np.inf) & (sim >= kth[:, None])
-            if todo.any():
-                rank = np.where(todo, sim, -np.inf)
-                some = np.argpartition(-rank, min(8, n - 1), axis=1)[:, :8]  # the best few of each query at once
-                rows, cols = np.repeat(np.arange(len(q)), some.shape[1]), some.ravel()
-                live = todo[rows, cols]
-                rows, cols = rows[live], cols[live]
-            else:
-                rows, cols = np.nonzero(~done & (sim >= low))
-                if not len(rows):
+            seen[near] = True
+            for part in range(0, len(near), 100_000):
+                r, c = np.divmod(near[part : part + 100_000], n)
+                sim[near[part : part + 100_000]] = np.einsum("ij,ij->i", q[r], x[c])
+            in_range.append(near[sim[near] >= low])
+            if len(near):  # what was found may be among the best
+                r = near // n
+                count = np.bincount(r, minlength=len(q))
+                new = np.full((len(q), count.max()), -1)
+                new[r, np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)] = near
+                beam = np.concatenate((beam, new), axis=1)
+                if beam.shape[1] > BEAM:
+                    rank = np.where(beam >= 0, sim[beam], -np.inf)
+                    beam = np.take_along_axis(beam, np.argpartition(-rank, BEAM - 1, axis=1)[:, :BEAM], axis=1)
+            rank = np.where((beam >= 0) & ~done[beam], sim[beam], -np.inf)
+            some = np.argpartition(-rank, min(8, rank.shape[1] - 1), axis=1)[:, :8]  # the best few of each query at once
+            at = np.take_along_axis(beam, some, axis=1)[np.take_along_axis(rank, some, axis=1) > -np.inf]
+            if not len(at):
+                at = np.concatenate(in_range)
+                at, in_range = at[~done[at]], []
+                if not len(at):
                     break
-            done[rows, cols] = True
-            for at in range(0, len(rows), 10_000):
-                to = table[cols[at : at + 10_000]]
-                near = np.repeat(rows[at : at + 10_000], width) * n + to.ravel()
-                near = np.unique(near[(to.ravel() >= 0)])
-                near = near[sim.ravel()[near] == -np.inf]
-                r, c = near // n, near % n
-                for part in range(0, len(r), 100_000):
-                    rr, cc = r[part : part + 100_000], c[part : part + 100_000]
-                    sim[rr, cc] = np.einsum("ij,ij->i", q[rr], x[cc])
-        yield sim
+            done[at] = True
+            parts = []
+            for part in range(0, len(at), 10_000):
+                some = at[part : part + 10_000]
+                c = some % n
+                count = size[c]
+                to = np.repeat(some - c, count) + links[np.arange(count.sum()) + np.repeat(first[c] - np.cumsum(count) + count, count)]
+                parts.append(to[~seen[to]])
+            near = np.sort(np.concatenate(parts))
+            near = near[np.diff(near, prepend=-1) > 0]
+        yield sim.reshape(len(q), n)
 
 
 class Labels:
@@ -208,45 +272,46 @@ class Labels:
 
 
 def _search(low: float):
-    """A shard (node, vec, own, copies, links) -> (node, links, root) of its own vectors: how many rows each links with, and its local component."""
+    """A shard (node, vec, own, copies) -> (node, links, root) of its own vectors: how many rows each links with, and its local component."""
 
     @released
     def run(t: pa.Table) -> pa.Table:
-        node = t.column("node").to_numpy()
-        order = np.argsort(node)
-        node, raw = node[order], _stack(t.column("vec"))[order]
-        x = _unit(raw)
+        node, own = t.column("node").to_numpy(), t.column("own").to_numpy()
+        order = np.lexsort((node, ~own))
+        node, raw, copies = node[order], _stack(t.column("vec"))[order], t.column("copies").to_numpy()[order]
+        n, m = len(node), int(own.sum())  # the first m are own ones
         norm = np.sqrt((raw * raw).sum(axis=1))
-        own, copies = t.column("own").to_numpy()[order], t.column("copies").to_numpy()[order]
-        links = t.column("links").combine_chunks()
-        graph = []
-        for i in order.tolist():
-            g = np.asarray(links[i].values.to_numpy(zero_copy_only=False), np.int64) if links[i].is_valid else np.empty(0, np.int64)
-            at = np.minimum(np.searchsorted(node, g), len(node) - 1)
-            graph.append(np.unique(at[node[at] == g]))  # the united lists, as far as they lead inside of the shard
-        back: list[list[int]] = [[] for _ in node]
-        for i, g in enumerate(graph):
-            for j in g.tolist():
-                back[j].append(i)
-        graph = [np.union1d(g, np.array(b[:DEGREE], np.int64)) for g, b in zip(graph, back, strict=True)]
-        queries = np.flatnonzero(own)
+        x = (raw / norm[:, None]).astype(np.float32)
+        slack = 2e-7 * (x.shape[1] + 8)  # what the walk's cosines may be wrong by
+        graph = _build(x)
         medoid = int((x @ x.mean(axis=0)).argmax())
         starts = [medoid, *_unreached(graph, medoid)]
-        hit = np.zeros((len(queries), len(x)), bool)  # at most MAX_SHARD squared bytes
-        for k, sim in enumerate(range_search(x, graph, queries, starts, low - 1e-6)):
-            for r in range(len(sim)):
-                i = int(queries[k * BLOCK + r])
-                c = np.flatnonzero(sim[r] >= low - 1e-6)
-                cos = (raw[c] @ raw[i]) / (norm[c] * norm[i])
-                hit[k * BLOCK + r, c[(cos >= low) & (c != i)]] = True
-        hit[:, queries] |= hit[:, queries].T  # a search may miss what the search from the other end finds
-        labels = Labels(len(x))
-        for r, i in enumerate(queries.tolist()):
-            labels.unite(i, np.flatnonzero(hit[r]))
-        n_links = copies[queries] - 1 + hit @ copies
-        also = np.flatnonzero(hit.any(axis=0) & ~own)  # vectors of other shards that own ones link with
-        at = np.concatenate((queries, also))
-        links = pa.array(np.concatenate((n_links, np.zeros(len(also), np.int64))), pa.int64(), mask=np.arange(len(at)) >= len(queries))
+        at, bits = [np.empty(0, np.int64)], [np.empty((0, -(-n // 8)), np.uint8)]  # of own vectors that link, a bit for each vector
+        for k, sim in enumerate(range_search(x, graph, np.arange(m), starts, low - slack)):
+            hit = sim >= low + slack
+            r, c = np.nonzero((sim >= low - slack) & ~hit)
+            i = r + k * BLOCK
+            hit[r, c] = np.einsum("ij,ij->i", raw[i], raw[c]) / (norm[i] * norm[c]) >= low
+            r = np.arange(len(hit))
+            hit[r, r + k * BLOCK] = False
+            r = np.flatnonzero(hit.any(axis=1))
+            at.append(r + k * BLOCK)
+            bits.append(np.packbits(hit[r], axis=1))
+        at, bits = np.concatenate(at), np.concatenate(bits)
+        found = np.unpackbits(np.bitwise_or.reduce(bits, axis=0), count=n).astype(bool) if len(at) else np.zeros(n, bool)
+        also = np.flatnonzero(found[m:]) + m  # vectors of other shards that own ones link with
+        only = np.setdiff1d(np.flatnonzero(found[:m]), at)
+        at, bits = np.concatenate((at, only)), np.concatenate((bits, np.zeros((len(only), bits.shape[1]), np.uint8)))
+        n_links, labels = copies[:m] - 1, Labels(n)
+        for lo in range(0, len(at), BLOCK):
+            i = at[lo : lo + BLOCK]
+            hit = np.unpackbits(bits[lo : lo + BLOCK], axis=1, count=n).astype(bool)
+            hit[:, at] |= (bits[:, i // 8] >> (7 - i % 8).astype(np.uint8) & 1).T.astype(bool)  # a search may miss what the search from the other end finds
+            n_links[i] += hit @ copies
+            for r, k in enumerate(i.tolist()):
+                labels.unite(k, np.flatnonzero(hit[r]))
+        at = np.concatenate((np.arange(m), also))
+        links = pa.array(np.concatenate((n_links, np.zeros(len(also), np.int64))), pa.int64(), mask=np.arange(len(at)) >= m)
         return pa.table({"node": pa.array(node[at]), "links": links, "root": pa.array(node[labels.of[at]])})
 
     return run
@@ -297,8 +362,9 @@ def _recall(found: DataFrame, nodes: DataFrame, low: float, scratch: Scratch) ->
 
     counted = found.filter("links is not null").select("node", "links")
     linked = nodes.join(counted, "node").filter("links > copies - 1")
-    picked = scratch.save(nodes.join(some(linked).unionByName(some(nodes)).distinct(), "node"), "picked")
-    blocks = nodes.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(4 * EXACT_BLOCK)).cast("int").alias("blocks"))
+    picked = scratch.save(some(linked).unionByName(some(nodes)).distinct(), "picks")
+    picked = scratch.save(nodes.join(picked, "node"), "picked")
+    blocks = scratch.save(nodes.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(EXACT_BLOCK)).cast("int").alias("blocks")), "blocks")  # known to be small, so that no vector is shuffled for it
     q = picked.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     c = nodes.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("node", F.lit(6)), F.col("blocks")).cast("int"))
     sides = [df.select(*(F.col(x).alias(x) for x in ("shard", "block", "node", "vec", "copies"))).groupBy("shard", "block") for df in (q, c)]
@@ -309,7 +375,10 @@ def _recall(found: DataFrame, nodes: DataFrame, low: float, scratch: Scratch) ->
 
 
 def _ring(low: float):
-    """(shard, node, vec, copies, own, centre) -> (shard, node, vec, copies, own, ring) by the angle to the centre."""
+    """(shard, node, vec, copies, own, centre) -> (shard, node, vec, copies, own, ring) by the angle to the centre.
+
+    Outer rings are laid together by RINGS + 1, so that one is compared with itself and its neighbours alone.
+    """
     width = (np.arccos(low) - 1e-6) / RINGS
 
     @released
@@ -317,6 +386,7 @@ def _ring(low: float):
         for b in batches:
             x, c = _unit(_stack(b.column(2))), _unit(_stack(b.column(5)))
             ring = np.floor(np.arccos(np.clip((x * c).sum(axis=1), -1, 1)) / width)
+            ring = np.where(ring < RINGS, ring, ring - (ring - RINGS) % (RINGS + 1))
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(ring.astype(np.int32))], names=["shard", "node", "vec", "copies", "own", "ring"])
 
     return run
@@ -353,15 +423,17 @@ def _exact(low: float):
 def _searched_exactly(nodes: DataFrame, low: float, scratch: Scratch) -> DataFrame:
     """(node, links, root) of ``nodes`` (node, vec, shard, copies, own), exact, as ``_search`` gives them: links of own ones only."""
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    centres = nodes.groupBy("shard").agg(F.min_by("vec", "node").alias("centre")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    kind = nodes.schema["vec"].dataType.simpleString()
+    centres = scratch.save(nodes.groupBy("shard").agg(F.min_by("vec", "node").alias("centre")), "ring-centres")
+    centres = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))  # a hot shard is joined in parts
     rows = nodes.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALT))).join(centres, ["shard", "salt"]).select("shard", "node", "vec", "copies", "own", "centre")
-    rows = scratch.save(rows.mapInArrow(_ring(low), "shard string, node long, vec array<double>, copies long, own boolean, ring int"), "rings")
+    rows = scratch.save(rows.mapInArrow(_ring(low), f"shard string, node long, vec {kind}, copies long, own boolean, ring int"), "rings")
     sizes = rows.groupBy("shard", "ring").agg(F.ceil(F.count("*") / F.lit(EXACT_BLOCK)).cast("int").alias("blocks"), F.sum("copies").alias("sum"), F.min("node").alias("least"))
     sizes = scratch.save(sizes, "sizes")  # a few rows a shard
     both = sizes.join(sizes.select("shard", *(F.col(c).alias("o_" + c) for c in ("ring", "blocks", "sum", "least"))), "shard")
     sure = F.col("ring") + F.col("o_ring") + 2 <= RINGS
     inner = both.filter(sure).groupBy("shard", "ring").agg(F.sum("o_sum").alias("sure"), F.min_by("o_least", "o_ring").alias("first"))
-    between = both.filter(~sure & (F.col("ring") <= F.col("o_ring")) & (F.col("o_ring") - F.col("ring") <= RINGS)).select("shard", "ring", "o_ring", "blocks", "o_blocks")
+    between = both.filter(~sure & (F.col("ring") <= F.col("o_ring")) & (F.col("o_ring") - F.col("ring") <= RINGS + 1)).select("shard", "ring", "o_ring", "blocks", "o_blocks")
     between = scratch.save(between, "between")
 
     block = lambda n: F.pmod(F.xxhash64("node", F.lit(5)), F.col(n)).cast("int")
@@ -374,7 +446,7 @@ def _searched_exactly(nodes: DataFrame, low: float, scratch: Scratch) -> DataFra
     parts = left.select(columns).unionByName(right.select(columns)).groupBy(columns[:5]).applyInArrow(_exact(low), "shard string, node long, n long, root long")
     parts = scratch.save(parts, "exact")
 
-    count = rows.select("shard", "ring", "node", "copies", "own").join(inner, ["shard", "ring"], "left").join(parts.groupBy("node").agg(F.sum("n").alias("n")), "node", "left")
+    count = rows.select("shard", "ring", "node", "copies", "own").join(inner, ["shard", "ring"], "left").join(parts.groupBy("shard", "node").agg(F.sum("n").alias("n")), ["shard", "node"], "left")
     itself = F.when(2 * F.col("ring") + 2 <= RINGS, F.col("copies")).otherwise(0)
     links = F.col("copies") - 1 + F.coalesce("sure", F.lit(0)) - itself + F.coalesce("n", F.lit(0))
     count = count.select("node", F.when(F.col("own"), links).cast("long").alias("links"), F.coalesce("first", "node").alias("root"))
@@ -392,27 +464,32 @@ def near_duplicates(vectors: DataFrame, low: float = 0.93, scratch: Scratch | No
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "graph")
-    v = F.col("embedding").cast("array<double>")
+    inner = vectors.schema["embedding"].dataType.elementType.typeName()
+    v = F.col("embedding").cast(f"array<{inner if inner == 'float' else 'double'}>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vec"), F.col("label").cast("string").alias("label"))
     odd = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.col("label").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0) & ~odd & F.exists("vec", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(good, F.lit(False)))
     shard = F.concat(F.col("label"), F.lit("|"), F.size("vec"))
     rows = rows.withColumn("shard", F.when(F.col("ok"), shard)).withColumn("node", F.when(F.col("ok"), F.xxhash64("shard", "vec")))
-    rows = scratch.save(rows.select("vec_id", "ok", "shard", "node", F.when(F.col("ok"), F.col("vec")).alias("vec")), "rows")
-    nodes = rows.filter("ok").groupBy("node").agg(F.first("vec").alias("vec"), F.first("shard").alias("shard"), F.count("*").cast("long").alias("copies"))
+    given = scratch.save(rows.select("vec_id", "ok", "shard", "node", F.when(F.col("ok"), F.col("vec")).alias("vec")), "given")
+    rows = scratch.save(given.drop("vec"), "rows")
+    nodes = given.filter("ok").groupBy("node").agg(F.first("vec").alias("vec"), F.first("shard").alias("shard"), F.count("*").cast("long").alias("copies"))
     nodes = scratch.save(nodes, "nodes")
+    scratch.drop(given)
 
     def searched(some: DataFrame, overlap: float) -> DataFrame:
-        shards, large = _shards(some, overlap, scratch)
-        shards = scratch.save(shards.join(some.select("node", "copies"), "node"), "sharded")
-        small = shards.join(large, "shard", "left_anti")
-        graph = small.groupBy("shard").applyInArrow(_build, "node long, links array<bigint>")
-        united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))  # a list a shard, DEGREE long
-        found = small.join(united, "node").groupBy("shard").applyInArrow(_search(low), "node long, links long, root long")
+        shards, sizes, split = _shards(some, overlap, scratch)
+        large = sizes.filter(F.col("n") > MAX_SHARD).select("shard")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (sizes.agg(F.sum("n")).first()[0] or 0) // CELL)  # few tasks get two large shards
+        small = shards.join(F.broadcast(large), "shard", "left_anti").repartition(parts, "shard")
+        found = small.groupBy("shard").applyInArrow(_search(low), "node long, links long, root long")
         if not large.isEmpty():
-            found = found.unionByName(_searched_exactly(shards.join(large, "shard"), low, scratch))
-        return scratch.save(found, "found")
+            found = found.unionByName(_searched_exactly(shards.join(F.broadcast(large), "shard"), low, scratch))
+        found = scratch.save(found, "found")
+        if split is not None:
+            scratch.drop(split)
+        return found
 
     def audited(found: DataFrame, some: DataFrame) -> tuple[DataFrame, DataFrame]:
         recall = _recall(found, some, low, scratch)

@@ -157,3 +157,64 @@ def test_rings(spark, monkeypatch):
     found = eg._searched_exactly(nodes.drop("id"), 0.93, Scratch(spark, "t")).filter("links is not null").join(nodes, "node").collect()
     want = {r[0]: r[1] for r in brute(rows)}
     assert {r.id: r.links for r in found} == {r.id: want[r.id] for r in found} and len(found) == len(x)
+
+
+def test_vectors_are_written_a_few_times_only(spark, monkeypatch):
+    """Splitting vectors without any structure doesn't multiply what is kept on disk and shuffled, and links of any strength are found."""
+    from loamline.scratch import Scratch
+
+    written = []
+
+    class Counted(Scratch):
+        def save(self, df, name):
+            out = super().save(df, name)
+            written.append((name, out.count()) if "vec" in out.columns else (name, 0))
+            return out
+
+    monkeypatch.setattr(eg, "MAX_SHARD", 150)
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(2000, 32))
+    x = np.concatenate((base, base[:200] + 0.3 * rng.normal(size=(200, 32)), base[500:700] + 0.05 * rng.normal(size=(200, 32)))).astype(np.float32)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(4)
+    got = sorted((tuple(r)[:4] for r in eg.near_duplicates(df, scratch=Counted(spark, "t")).collect()), key=str)
+    assert sum(n for _, n in written) <= 12 * len(rows), written
+    want = brute(rows)
+    assert sum(r[1] for r in got) >= 0.97 * sum(r[1] for r in want) and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+
+
+def test_exact_links_of_a_shard_alone(spark):
+    """What a vector links with in a shard that it overlaps into isn't counted again in its own."""
+    from pyspark.sql import functions as F
+
+    from loamline.scratch import Scratch
+
+    rng = np.random.default_rng(22)
+    base = rng.normal(size=(120, 12))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate((base, base + 0.05 * rng.normal(size=base.shape))))]
+    one = spark.createDataFrame([r[:2] for r in rows], "node long, vec array<double>").withColumns({"copies": F.lit(1).cast("long"), "shard": F.lit("a"), "own": F.lit(True)})
+    both = one.unionByName(one.withColumns({"shard": F.lit("b"), "own": F.lit(False)}))
+    found = eg._searched_exactly(both, 0.93, Scratch(spark, "t")).filter("links is not null").collect()
+    assert sorted((r.node, r.links) for r in found) == sorted(r[:2] for r in brute([(i, np.float64(v).tolist(), 1) for i, v, _ in rows]))
+
+
+def test_copies_of_one_vector_find_each_other():
+    """Near copies of one vector, each with it as its nearest, are all within reach of a walk that begins at any of them."""
+    rng = np.random.default_rng(31)
+    centre = rng.normal(size=64)
+    x = eg._unit(np.concatenate((centre[None], centre + 0.1 * rng.normal(size=(600, 64)), rng.normal(size=(2000, 64)))))
+    got = np.concatenate(list(eg.range_search(x, eg._build(x), np.arange(601), [2600], 0.93)))
+    assert ((got >= 0.93) == (x[:601] @ x.T >= 0.93)).all()
+
+
+def test_parts_of_a_shard_are_one_graph(monkeypatch):
+    monkeypatch.setattr(eg, "CELL", 200)
+    rng = np.random.default_rng(32)
+    x = eg._unit(rng.normal(size=(1500, 24)))
+    x = np.concatenate((x, eg._unit(x[:300] + 0.03 * rng.normal(size=(300, 24)))))
+    cells = eg._cells(x)
+    assert len(cells) > 10 and sum(map(len, cells)) == 2 * len(x)
+    graph = eg._build(x)
+    assert not eg._unreached(graph, 0)
+    got = np.concatenate(list(eg.range_search(x, graph, np.arange(len(x)), [0], 0.93)))
+    assert ((got >= 0.93) == (x @ x.T >= 0.93)).mean() > 0.99999
