@@ -34,9 +34,9 @@ from .textkit import released
 #: A shard of more vectors is split in FANOUT at most; a split is learned from about so many of its vectors.
 MAX_SHARD, FANOUT, SPLIT_SAMPLE, SPLITS = 24_000, 32, 2000, 12
 #: How much farther than the nearest centre (in cosine) another may be for a vector to join its cell too; steps the audit may take.
-OVERLAP = (0.08, 0.2)
+OVERLAP = (0.11, 0.25)
 #: The pairs inside of the cells of a split, as a share of its shard's pairs: with more, the shard is compared block against block.
-WORTH = 0.85
+WORTH = 1.0
 #: Vectors of a cell of a shard's graph, about.
 CELL = 3000
 DEGREE, POOL, ALPHA, BEAM = 24, 64, 1.2, 48
@@ -76,7 +76,7 @@ def _centres(overlap: float):
     def run(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("node").to_numpy())
         x = _unit(_stack(t.column("vec")))[order]
-        k = min(FANOUT, max(4, -(-5 * t.column("n")[0].as_py() // (2 * MAX_SHARD))))
+        k = min(FANOUT, max(4, -(-16 * t.column("n")[0].as_py() // (5 * MAX_SHARD))))  # of two to three cells a vector
         c: list[np.ndarray] = []
         for v in _kmeans(x, k):  # a tight group keeps one of its centres; its vectors would join the cells of all
             if all(v @ u < 1 - overlap for u in c):
@@ -474,8 +474,10 @@ def near_duplicates(vectors: DataFrame, low: float = 0.93, scratch: Scratch | No
     rows = rows.withColumn("shard", F.when(F.col("ok"), shard)).withColumn("node", F.when(F.col("ok"), F.xxhash64("shard", "vec")))
     given = scratch.save(rows.select("vec_id", "ok", "shard", "node", F.when(F.col("ok"), F.col("vec")).alias("vec")), "given")
     rows = scratch.save(given.drop("vec"), "rows")
-    nodes = given.filter("ok").groupBy("node").agg(F.first("vec").alias("vec"), F.first("shard").alias("shard"), F.count("*").cast("long").alias("copies"))
-    nodes = scratch.save(nodes, "nodes")
+    several = scratch.save(rows.filter("ok").groupBy("node").agg(F.count("*").cast("long").alias("copies")).filter("copies > 1"), "several")
+    each = given.filter("ok").join(several, "node", "left").select("node", "vec", "shard", "copies")  # only vectors with copies have to meet
+    more = each.filter("copies is not null").groupBy("node").agg(*(F.first(c).alias(c) for c in ("vec", "shard", "copies")))
+    nodes = scratch.save(each.filter("copies is null").fillna(1, "copies").unionByName(more), "nodes")
     scratch.drop(given)
 
     def searched(some: DataFrame, overlap: float) -> DataFrame:
